@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -84,18 +85,19 @@ def as_text(col: str | Column) -> Column:
 
 
 def running_start(
-    df: DataFrame, key: str, weight: Column, order: list[str], out: str, bucket_rows: int = 50_000
+    df: DataFrame, key: str, weight: Column, order: list[str], out: str, bucket_rows: int = 1_000
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows that come earlier within ``key``.
 
     The order is a hash bucket of the ``order`` columns, then these columns.  A
-    key's rows are dealt to as many buckets as keep each near ``bucket_rows``, so
-    that no task sorts a whole key; only the bucket totals are summed per key.
+    key's rows are dealt to buckets of near ``bucket_rows``, or the square root of
+    its rows if that is more, so that neither a bucket's rows nor the bucket totals
+    of a key, which are summed in one place, grow with the whole key.
     ``df`` is read three times and should be a saved table.  Rows that agree in
     all ``order`` columns are interchangeable.  Null keys form a key of their own.
     """
     most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    n = max(1, -(-most // bucket_rows))
+    n = max(1, -(-most // max(bucket_rows, math.isqrt(most))))
     dealt = df.withColumn("_w", weight.cast("long")).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     totals = dealt.groupBy(key, "_b").agg(F.sum("_w").alias("_t"))
     by_key = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, warc
+from . import mixing, packing, ranking, simhash, topk, warc
 from .common import Workspace
 
 
@@ -27,12 +27,40 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, linked at four bits or fewer."""
+    rows = simhash.near_duplicates(Workspace(spark), table(spark, sf_dir, "documents"), limit=4, width=4)
+    return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 by source."""
+    return mixing.mix_summary(Workspace(spark), table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def op6_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products for every fiftieth vector, against all."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(Workspace(spark), vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = ranking.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(F.col("doc_id").cast("long"), ranking.held_out().alias("held_out"), ranking.quality_score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= ranking.CUT_SCORE).cast("int"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces placed in sequences of 1024."""
     return packing.pack_documents(Workspace(spark), table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op9_pack_sequences)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op6_top_neighbours, op8_quality_ranking, op9_pack_sequences)
+}
 
 _QUINT = "CAST('0x' || substr(hx, {}, 5) AS BIGINT)"
 _B32 = " || ".join(
@@ -45,5 +73,11 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html,
 SELECT page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
        CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = o THEN NULL ELSE o END AS refers_to
-FROM p JOIN f ON p.b = f.b"""
+FROM p JOIN f ON p.b = f.b""",
+    "op6_top_neighbours": """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
