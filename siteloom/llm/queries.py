@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, ranking, simhash, topk, warc
+from . import mixing, packing, ranking, rules, secrets, simhash, topk, warc
 from .common import Workspace
 
 
@@ -38,6 +38,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(Workspace(spark), table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; the Markov models learn from what the fixed patterns find."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train_markov(secrets.corpus_samples(docs)))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; the list is learned from labels.quality."""
+    return rules.judge(Workspace(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products for every fiftieth vector, against all."""
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
@@ -59,7 +70,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op6_top_neighbours, op8_quality_ranking, op9_pack_sequences)
+    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op4_secret_spans, op5_quality_rules, op6_top_neighbours, op8_quality_ranking, op9_pack_sequences)
 }
 
 _QUINT = "CAST('0x' || substr(hx, {}, 5) AS BIGINT)"
