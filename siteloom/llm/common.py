@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +142,24 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def by_group(batches, keys: int):
+    """Tables of the rows that agree in the first ``keys`` columns, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows, bool)
+        for i in range(keys):
+            c = t.column(i).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(at, at[1:], strict=False):
+            yield t.slice(a, b - a)
+        held = t.slice(at[-1]).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held

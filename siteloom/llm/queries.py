@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, ranking, rules, secrets, simhash, topk, warc
+from . import lines, mixing, packing, ranking, rules, secrets, simhash, topk, warc
 from .common import Workspace
 
 
@@ -55,6 +55,13 @@ def op6_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(Workspace(spark), vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, and the numbers of those that equal or resemble an earlier line."""
+    ws = Workspace(spark)
+    rows = lines.dropped_lines(ws, lines.numbered(ws, table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +77,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op4_secret_spans, op5_quality_rules, op6_top_neighbours, op8_quality_ranking, op9_pack_sequences)
+    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op4_secret_spans, op5_quality_rules, op6_top_neighbours, op7_line_components, op8_quality_ranking, op9_pack_sequences)
 }
 
 _QUINT = "CAST('0x' || substr(hx, {}, 5) AS BIGINT)"
