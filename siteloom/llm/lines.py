@@ -55,7 +55,7 @@ def band_hashes(lines: list[str]) -> list[np.ndarray]:
         h = h * _U(0x100000001B3) + chars[i : len(chars) - SHINGLE + 1 + i]
     line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
     valid = np.arange(len(h)) + SHINGLE <= ends[line]
-    bits = _U(64 - max(1, int(len(lines)).bit_length()))
+    bits = _U(43)  # fixed: a signature must not depend on its neighbours; callers give under 2**21 lines
     keys = np.unique((line[valid].astype(np.uint64) << bits) | (_mixed(h[valid]) >> (_U(64) - bits)))
     line, value = (keys >> bits).astype(np.int64), keys & ((_U(1) << bits) - _U(1))
     many = np.bincount(line, minlength=len(lines))
