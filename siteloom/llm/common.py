@@ -54,7 +54,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = self.path(name), df.schema
         with self.writing():
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, ranking, rules, secrets, simhash, topk, warc
+from . import lines, mixing, packing, ranking, rules, secrets, simhash, suffixes, topk, warc
 from .common import Workspace
 
 
@@ -75,9 +75,14 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(Workspace(spark), table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents lose of strings of 50 bytes that start in an earlier one."""
+    return suffixes.removal_summary(Workspace(spark), table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op4_secret_spans, op5_quality_rules, op6_top_neighbours, op7_line_components, op8_quality_ranking, op9_pack_sequences)
+    for f in (op1_warc_revisits, op2_simhash_components, op3_mix_sources, op4_secret_spans, op5_quality_rules, op6_top_neighbours, op7_line_components, op8_quality_ranking, op9_pack_sequences, op10_repeated_strings)
 }
 
 _QUINT = "CAST('0x' || substr(hx, {}, 5) AS BIGINT)"

@@ -194,3 +194,182 @@ def smaller_owners(left: np.ndarray, right: np.ndarray, group: np.ndarray, lo: n
             out[r].append((int(open_[r]), d - 1))
             open_[r] = -1
     return out
+
+
+def contexts(t: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Byte matrices (reversed bytes before the anchor, bytes from it on) of ``ctx``, whose first ``before``
+    bytes stand before the anchor; filled with zeros to a multiple of eight."""
+    width, n = -(-length // 8) * 8, t.num_rows
+    left, right = np.zeros((n, width), np.uint8), np.zeros((n, width), np.uint8)
+    for i, (c, hi) in enumerate(zip(t.column("ctx").to_pylist(), t.column("before").to_pylist(), strict=True)):
+        b = np.frombuffer(c, np.uint8)
+        left[i, :hi] = b[:hi][::-1]
+        right[i, : len(b) - hi] = b[hi:]
+    return left, right
+
+
+def decide_shard(t: pa.Table, length: int = LENGTH) -> pa.Table:
+    """Of different contexts (g, h, sid, ctx, before, lo, hi, owner), g the group that may hold equal strings: ``runs``, distances with a smaller owner."""
+    left, right = contexts(t, length)
+    group = np.unique(t.column("g").to_numpy(), return_inverse=True)[1]
+    runs = smaller_owners(left, right, group, t.column("lo").to_numpy(), t.column("hi").to_numpy(), t.column("owner").to_numpy(), length)
+    flat = pa.array([[x for r in one for x in r] for one in runs], pa.list_(pa.int32()))
+    return pa.table({"h": t.column("h"), "sid": t.column("sid"), "first": t.column("owner"), "runs": flat})
+
+
+def distinct_texts(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, units): thin rows (doc_id, key), and each different text once as (u, key, owner, data),
+    owner its smallest doc_id (null if it has none).  Copies are collapsed map-side by digest."""
+    body = F.encode(as_text("text"), "UTF-8")
+    rows = docs.select(F.col("doc_id").cast("long"), body.alias("data")).withColumn("key", F.unhex(F.md5("data")))
+    units = rows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("data").alias("data"))
+    units = ws.save(units.withColumn("u", F.monotonically_increasing_id()), "texts")
+    return ws.save(rows.select("doc_id", "key"), "rows"), units
+
+
+def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: int = ANCHOR, shard_rows: int = 20_000) -> DataFrame:
+    """(u, cuts): per text the byte ranges [start, end, ...] covered by a string of ``length`` bytes
+    that also starts in a text with a smaller owner.
+
+    Anchors held by one text only cannot matter.  The others are found by a
+    map-side aggregated least and greatest text per hash, which is joined back (a very
+    common anchor is split by the adaptive skew join).  Equal contexts meet map-side
+    in one row before the sort, so a passage in many texts is sorted once.
+    """
+    owned = units.where(f"owner is not null and octet_length(data) >= {length}")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, h, _, _ = anchors(data.as_py(), length, k)
+                yield pa.record_batch([pa.array(np.full(len(at), u)), pa.array(h), pa.array(at.astype(np.int32))], names=["u", "h", "at"])
+
+    def joined_batches(run):
+        """Small record batches put together to some size."""
+
+        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in run(batches):
+                held.append(b)
+                n += b.num_rows
+                if n >= 50_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+        return out
+
+    found = owned.select("u", "data").mapInArrow(joined_batches(find), "u long, h long, at int")
+    shared = found.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("h")
+    shared = ws.save(shared, "shared-anchors")
+    places = found.join(shared, "h").groupBy("u").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    places = ws.save(places, "places").withColumnRenamed("u", "pu")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, owner, data, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                data = data.as_py()
+                at, h, first, last = anchors(data, length, k)
+                keep = np.isin(at, own.values.to_numpy())
+                at, h, first, last = at[keep], h[keep], first[keep], last[keep]
+                ctx = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                lo, hi = (at - last).astype(np.int32), (at - first).astype(np.int32)
+                sid = np.array([xxhash.xxh3_64_intdigest(c, (int(a) << 8) + int(b)) for c, a, b in zip(ctx, lo, hi, strict=True)], np.uint64).view(np.int64)
+                n = len(at)
+                yield pa.record_batch(
+                    [pa.array(np.full(n, u)), pa.array(np.full(n, owner)), pa.array(at), pa.array(h), pa.array(sid), pa.array(lo), pa.array(hi), pa.array(ctx, pa.binary())],
+                    names=["u", "owner", "at", "h", "sid", "lo", "hi", "ctx"],
+                )
+
+    schema = "u long, owner long, at long, h long, sid long, lo int, hi int, ctx binary"
+    marked = owned.select("u", "owner", "data").join(places.hint("shuffle_hash"), F.col("u") == F.col("pu")).select("u", "owner", "data", "places")
+    marked = ws.save(marked.mapInArrow(joined_batches(cut), schema), "contexts")
+    different = marked.groupBy("h", "sid", "lo", "hi", "ctx").agg(F.min("owner").alias("owner"))
+    n = marked.count()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held.append(t)
+            rows += t.num_rows
+            if rows > shard_rows:
+                t = pa.concat_tables(held)
+                g = t.column("g").to_numpy()
+                end = int(np.searchsorted(g, g[-1], "left"))
+                if end:
+                    yield from decide_shard(t.slice(0, end), length).to_batches()
+                held, rows = [t.slice(end)], t.num_rows - end
+        if rows:
+            yield from decide_shard(pa.concat_tables(held), length).to_batches()
+
+    parts = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (8 * shard_rows)))
+    # an anchor with very many contexts is dealt by more of the string: by what follows it for
+    # starts near the anchor, by what precedes it for the others
+    near = (length - k) // 2
+    common = marked.groupBy("h").count().where(F.col("count") > shard_rows).select(F.col("h").alias("ch"))
+    many, hi = F.col("ch").isNotNull(), F.col("hi")
+    after = F.struct(F.xxhash64("h", F.lit(1), F.substring(F.col("ctx"), hi + 1, F.lit(length - near))).alias("g"), F.col("lo").alias("lo"), F.least(hi, F.lit(near)).alias("hi"))
+    before = F.struct(F.xxhash64("h", F.lit(2), F.substring(F.col("ctx"), hi - near, F.lit(near + 1 + k))).alias("g"), F.greatest("lo", F.lit(near + 1)).alias("lo"), hi.alias("hi"))
+    halves = F.filter(F.array(after, before), lambda x: x["lo"] <= x["hi"])
+    dealt = different.join(common, F.col("h") == F.col("ch"), "left").withColumn("part", F.explode(F.when(many, halves).otherwise(F.array(F.struct(F.col("h").alias("g"), "lo", "hi")))))
+    shards = dealt.select("part.g", "h", "sid", "ctx", hi.alias("before"), "part.lo", "part.hi", "owner").repartition(parts, "g").sortWithinPartitions("g")
+    told = ws.save(shards.mapInArrow(decide, "h long, sid long, first long, runs array<int>"), "decisions")
+    told = told.select(F.col("h").alias("th"), F.col("sid").alias("ts"), "first", "runs")
+    rows = marked.select("u", "owner", "at", "h", "sid", "lo", "hi").join(told, (F.col("h") == F.col("th")) & (F.col("sid") == F.col("ts")))
+    runs = F.when(F.col("owner") > F.col("first"), F.array("lo", "hi")).otherwise(F.col("runs"))
+    ranges = rows.select("u", "at", runs.alias("runs")).where("size(runs) > 0")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("at") - F.get("runs", i + 1)).alias("a"), (F.col("at") - F.get("runs", i) + length).alias("b")))
+    return ranges.select("u", F.explode(pairs).alias("r")).groupBy("u").agg(F.sort_array(F.collect_list("r")).alias("cuts"))
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted byte ranges, those that touch put together."""
+    out: list[list[int]] = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def removal_summary(ws: Workspace, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null text is empty; texts shorter than ``length`` lose nothing.  A row with a
+    null doc_id loses nothing and is no one's source.  Rows with equal doc_id aren't
+    compared with each other; a copy of a text with a smaller doc_id goes whole.
+    """
+    rows, units = distinct_texts(ws, docs)
+    cuts = ws.save(repeated_strings(ws, units, length), "cuts").withColumnRenamed("u", "cu")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, ranges in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                data, spans = data.as_py(), merged([(r["a"], r["b"]) for r in ranges or []])
+                kept, at = hashlib.sha256(), 0
+                for a, b in spans:
+                    kept.update(data[at:a])
+                    at = b
+                kept.update(data[at:])
+                out.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), hashlib.sha256(data).hexdigest()))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            names = ["key", "owner", "n_bytes", "n_removed", "n_spans", "kept_sha256", "whole"]
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    texts = units.select("u", "key", "owner", "data").join(cuts.hint("shuffle_hash"), F.col("u") == F.col("cu"), "left")
+    schema = "key binary, owner long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, whole string"
+    told = ws.save(texts.select("key", "owner", "data", "cuts").mapInArrow(run, schema), "told").withColumnRenamed("key", "k")
+    copy = (F.col("doc_id") > F.col("owner")) & (F.col("n_bytes") >= length)
+    none = F.col("doc_id").isNull()
+    pick = lambda own, null, again: F.when(none, null).when(copy, again).otherwise(own)
+    return rows.join(told, rows["key"] == told["k"]).select(
+        "doc_id", "n_bytes",
+        pick(F.col("n_removed"), F.lit(0), F.col("n_bytes")).cast("long").alias("n_removed"),
+        pick(F.col("n_spans"), F.lit(0), F.lit(1)).cast("long").alias("n_spans"),
+        pick(F.col("kept_sha256"), F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"),
+    )
