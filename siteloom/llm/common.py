@@ -163,3 +163,65 @@ def by_group(batches, keys: int):
         held = t.slice(at[-1]).combine_chunks()
     if held is not None and held.num_rows:
         yield held
+
+
+SIMILAR = 0.8
+
+
+def alike(a: set, b: set, least: float = SIMILAR) -> bool:
+    """Exact Jaccard similarity of at least ``least``; two empty sets are alike."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def star_links(ids: list[int], sets: list[set]) -> list[tuple[int, int]]:
+    """(centre, member) pairs that span each component of alike sets.
+
+    A member that a centre's component has reached is not compared again, so a dense
+    group costs few comparisons and no pair list.
+    """
+    left, out = list(dict(zip(ids, sets, strict=True)).items()), []
+    while len(left) > 1:
+        centre, *left = left
+        front = [centre]
+        while front and left:
+            one, rest = front.pop(), []
+            for other in left:
+                if alike(one[1], other[1]):
+                    out.append((centre[0], other[0]))
+                    front.append(other)
+                else:
+                    rest.append(other)
+            left = rest
+    return out
+
+
+def blocked_links(ws: Workspace, members: DataFrame, texts: DataFrame, shingles, block_rows: int = 2_000) -> DataFrame:
+    """Links (a, b) that span the components of alike texts within each group of ``members(grp, id)``.
+
+    ``texts(id, text)``, a saved table of the members only, meets each group sorted.
+    A group beyond ``block_rows`` is split into blocks, and each two blocks meet in a
+    group of their own, so that what a task holds is bounded.
+    """
+    large = members.groupBy("grp").count().select("grp", F.ceil(F.col("count") / block_rows).alias("blocks")).where("blocks > 1")
+    dealt = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id")
+
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        made = lambda: pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        for t in by_group(batches, 1):
+            if t.num_rows > 1:
+                out += star_links(t.column("id").to_pylist(), [shingles(x) for x in t.column("text").to_pylist()])
+            if len(out) > 20_000:
+                yield made()
+                out = []
+        yield made()
+
+    groups = dealt.join(texts, "id").select("grp", "id", "text")
+    groups = groups.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp", "id")
+    return groups.mapInArrow(run, "a long, b long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_text, components
+from .common import Workspace, as_text, blocked_links, components
 
 SEED = 42
 #: Fingerprints that the trees' vantage points and radii are fitted on, at most.
@@ -176,6 +176,41 @@ def near_duplicates(ws: Workspace, docs: DataFrame, limit: int = 4, width: int =
     return fps.join(found, fps["fp"] == found["f"]).select("doc_id", "fp", "component_id")
 
 
+def word_shingles(text: str, width: int = 5) -> set[bytes]:
+    words = text.encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) -> DataFrame:
+    """Documents, with the columns of ``docs``, of which one stays of each group of near copies.
+
+    Candidates are components of fingerprints within ``limit`` bits; within these,
+    documents are grouped by exact Jaccard similarity of 0.8 or more on word shingles.
+    The document with the smallest doc_id (nulls last) stays.  Exact copies meet by
+    digest before anything else; texts without words are one group.
+    """
+    own = ws.save(docs.withColumn("_sim_row", F.monotonically_increasing_id()), "numbered")
+    thin = own.select(F.col("_sim_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text"))
+    marked = ws.save(fingerprints(thin.withColumn("doc_id", F.col("row")), width), "fingerprints").withColumnRenamed("doc_id", "frow")
+    digests = thin.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    units = digests.groupBy("digest").agg(first).select("first", F.col("first.row").alias("id"))
+    units = ws.save(units.join(marked, F.col("id") == F.col("frow")).select("id", "first", "fp"), "units")
+    fps = ws.save(units.select("fp").distinct(), "distinct")
+    roots = components(ws, ws.save(links(ws, fps, limit, limit + 1), "near"))
+    grouped = units.join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("grp"))
+    grouped = ws.save(grouped, "groups")
+    several = grouped.groupBy("grp").count().where("count > 1").select("grp")
+    members = ws.save(grouped.join(several, "grp"), "members")
+    texts = ws.save(thin.select(F.col("row").alias("id"), "text").join(members.select("id").hint("shuffle_hash"), "id", "left_semi"), "texts")
+    same = components(ws, ws.save(blocked_links(ws, members, texts, lambda t: word_shingles(t, width)), "links"))
+    linked = units.select("id", "first").join(same, F.col("id") == F.col("node"))
+    best = linked.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept.row").alias("kept"))
+    gone = linked.join(best, "root").where("id <> kept").select(F.col("id").alias("gone"))
+    kept = units.join(gone, F.col("id") == F.col("gone"), "left_anti").select(F.col("id").alias("_sim_row"))
+    return own.join(kept.hint("shuffle_hash"), "_sim_row", "left_semi").select(*docs.columns)
+
+
 def hex_fingerprint(fp: str = "fp"):
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
