@@ -2,7 +2,7 @@
 
 
 def all_queries() -> tuple[dict, dict]:
-    from . import core
+    from . import core, web
 
-    modules = (core,)
+    modules = (core, web)
     return {k: f for m in modules for k, f in m.QUERIES.items()}, {k: s for m in modules for k, s in m.ORACLES.items()}

@@ -357,11 +357,11 @@ def j15_parent_rollup_zero(spark, sf_dir):
     return R.roll_up_children(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey", "o_orderdate")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders o WHERE o_orderdate < TIMESTAMP '1995-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
+@query("SELECT o_orderkey, o_orderdate FROM orders o WHERE o_orderdate < TIMESTAMP '1997-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
 def j16_stale_parents(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    return R.stale_parents(o, lines, "o_orderkey", "o_orderdate", F.lit(datetime(1995, 1, 1)), F.col("l_returnflag") == "R")
+    return R.stale_parents(o, lines, "o_orderkey", "o_orderdate", F.lit(datetime(1997, 1, 1)), F.col("l_returnflag") == "R")
 
 
 @query("""WITH p AS (SELECT c_custkey AS provider, 24 * (1 + c_custkey % 60) AS refresh_hours FROM customer),
