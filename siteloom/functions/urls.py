@@ -116,30 +116,19 @@ def suffix_table(spark, suffixes: list[str] | None = None) -> DataFrame:
 def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: str = "domain") -> DataFrame:
     """Add ``out``: the label before the longest public suffix, and that suffix; null without one.
 
-    The suffix list is one map, looked up for each tail of the host, so that no row
-    is exploded or shuffled.  Wildcard rules take one more label, exceptions one less.
+    The list becomes one pattern anchored at the end of the host, whose leftmost match
+    is the longest suffix, so that no row is exploded, joined or shuffled.  Wildcard rules
+    take one more label; exceptions, tried first, one less.
     """
-    rules = {r["suffix"]: r["rule"] for r in suffixes.collect()}
-    exact = sorted(k for k, v in rules.items() if v == "=")
-    wild = sorted(k for k, v in rules.items() if v == "*")
-    less = sorted(k for k, v in rules.items() if v == "!")
-    labels = F.split(F.rtrim(F.lower(F.col(host)), F.lit(".")), r"\.")
-    n = F.size("_labels")
-    tail = lambda k: F.array_join(F.slice(F.col("_labels"), n - k + 1, k), ".")
-    lists = {name: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>") for name, xs in (("exact", exact), ("wild", wild), ("less", less))}
-    held = lambda name, x: F.array_contains(lists[name], x)
-
-    def width(k: Column) -> Column:
-        t = tail(k)
-        return F.when(held("less", t), k - 1).when(held("exact", t), k).when((n > k) & held("wild", t), k + 1).otherwise(0)
-
-    # an exception beats the wildcard it is an exception of
-    ks = F.sequence(F.lit(1), n)
-    except_ = F.array_max(F.transform(ks, lambda k: F.when(held("less", tail(k)), k - 1).otherwise(0)))
-    longest = F.array_max(F.transform(ks, width))
-    rows = hosts.withColumn("_labels", labels).withColumn("_suffix", F.when(except_ > 0, except_).otherwise(longest))
-    domain = F.when((F.col("_suffix") > 0) & (n > F.col("_suffix")) & (F.get("_labels", n - F.col("_suffix") - 1) != ""), tail(F.col("_suffix") + 1))
-    return rows.withColumn(out, domain).drop("_labels", "_suffix")
+    rules = [(r["suffix"], r["rule"]) for r in suffixes.collect()]
+    literal = lambda x: x.replace(".", r"\.")
+    ends = [literal(x) for x, r in rules if r == "="] + [r"[^.]+\." + literal(x) for x, r in rules if r == "*"]
+    h = F.rtrim(F.lower(F.col(host)), F.lit("."))
+    plain = F.regexp_extract(h, rf"(?:^|\.)([^.]+\.(?:{'|'.join(sorted(ends, key=len, reverse=True))}))$", 1)
+    kept = [literal(x) for x, r in rules if r == "!"]
+    found = plain if not kept else F.coalesce(F.nullif(F.regexp_extract(h, rf"(?:^|\.)({'|'.join(kept)})$", 1), F.lit("")), plain)
+    bare = h.rlike(rf"^(?:{'|'.join(ends)})$") & ~(h.rlike(rf"^(?:{'|'.join(kept)})$") if kept else F.lit(False))
+    return hosts.withColumn(out, F.when(~bare, F.nullif(found, F.lit(""))))
 
 
 @F.udf(T.StringType(), useArrow=True)
