@@ -135,7 +135,7 @@ def signal_estimates(normalized: DataFrame, config: dict) -> DataFrame:
     long = normalized.select("domain", *have).unpivot("domain", have, "feature", "x").where("x is not null")
     segments = F.broadcast(curve_segments(normalized.sparkSession, config))
     hit = long.join(segments, "feature").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
-    return hit.select("domain", "signal", "kind", "weight", F.round(_on_segment(F.col("x")), 3).alias("log10_estimate"))
+    return hit.select("domain", "signal", "kind", "weight", F.round(_on_segment(F.col("x")) + 1e-9, 3).alias("log10_estimate"))
 
 
 def combine_signals(signals: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -148,7 +148,7 @@ def combine_signals(signals: DataFrame, scale: float = 1.0) -> DataFrame:
     n = F.when(F.col("n_popularity") > 0, F.col("n_popularity")).otherwise(F.col("n_signals"))
     sd = F.when(F.col("n_popularity") > 0, F.col("_sp")).otherwise(F.col("_sa"))
     agree = F.when(n < 2, 0.6).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), sd / scale)), 4))
-    return rows.withColumn("agreement", agree).withColumn("stddev", F.when(n >= 2, F.round(sd, 4))).drop("_sp", "_sa")
+    return rows.withColumn("agreement", agree).withColumn("stddev", F.when(n >= 2, F.round(sd + 1e-9, 4))).drop("_sp", "_sa")
 
 
 def evidence_coverage(status: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -232,18 +232,20 @@ def grade(pages: DataFrame, text: str = "markdown", success: Column | None = Non
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[#>*_`|\\-]+", " ")
     rows = pages.withColumn("_w", F.size(F.filter(F.split(bare, r"\s+"), lambda w: w.rlike("(?i)[a-z]{2,}"))).cast("long"))
     rows = rows.withColumn("_l", F.filter(F.transform(F.split(md, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""))
-    w, n, head = F.col("_w"), F.size("_l").cast("long"), F.lower(F.substring(md, 1, 3000))
+    rows = rows.withColumn("_head", F.when(F.col("_w") < 400, F.lower(F.substring(md, 1, 3000))))
+    w, n, head = F.col("_w"), F.size("_l").cast("long"), F.col("_head")
+    says = lambda p: head.contains(p) if p.replace(" ", "").replace("-", "").isalnum() else head.rlike(p)
     link_lines = F.size(F.filter("_l", lambda x: x.rlike(r"^\W*\[[^\]]*\]\([^)]*\)\W*$")))
     issue = lambda cond, label: F.when(cond, F.lit(label))
     issues = [
         issue(~ok, "failed"), F.when(w < 50, F.concat(F.lit("thin content ("), w, F.lit(" words)"))).when(w < 150, F.concat(F.lit("low content ("), w, F.lit(" words)"))),
-        *(issue(head.rlike(p) & (w < 400), f"block/interstitial: {p}") for p in INTERSTITIAL), *(issue(head.rlike(p) & (w < 200), f"placeholder: {p}") for p in PLACEHOLDER),
+        *(issue((w < 400) & says(p), f"block/interstitial: {p}") for p in INTERSTITIAL), *(issue((w < 200) & says(p), f"placeholder: {p}") for p in PLACEHOLDER),
         issue((n > 10) & (link_lines / n > 0.6), "mostly links"), issue((n > 20) & (F.size(F.array_distinct("_l")) / n < 0.5), "heavy duplication"),
     ]
     rows = rows.withColumn("words", w).withColumn("lines", n).withColumn("images", F.regexp_count(md, F.lit(r"!\[[^\]]*\]\(")).cast("long")).withColumn("issues", F.array_compact(F.array(*issues)))
     bad = ~ok | (F.col("words") < 50) | F.exists("issues", lambda i: i.startswith("block"))
     verdict = F.when(bad, "BAD").when(F.size("issues") > 0, "CHECK").otherwise("GOOD")
-    return rows.withColumn("verdict", verdict).drop("_w", "_l")
+    return rows.withColumn("verdict", verdict).drop("_w", "_l", "_head")
 
 
 def site_issue(host: Column, status: Column, text: Column, words: Column) -> Column:
@@ -257,8 +259,9 @@ def site_issue(host: Column, status: Column, text: Column, words: Column) -> Col
 
 def verdict_counts(graded: DataFrame) -> DataFrame:
     """Verdicts, and site issues among what is not GOOD."""
-    issues = graded.where("verdict <> 'GOOD'").groupBy(F.lit("site_issue").alias("what"), F.coalesce("site_issue", F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
-    return graded.groupBy(F.lit("verdict").alias("what"), F.col("verdict").alias("label")).agg(F.count("*").alias("n")).unionByName(issues)
+    label = lambda what, value: F.struct(F.lit(what).alias("what"), value.alias("label"))
+    both = F.array_compact(F.array(label("verdict", F.col("verdict")), F.when(F.col("verdict") != "GOOD", label("site_issue", F.coalesce("site_issue", F.lit("none"))))))
+    return graded.select(F.explode(both).alias("x")).groupBy("x.what", "x.label").agg(F.count("*").alias("n"))
 
 
 def page_outcome(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import estimate as T
 from ..operators import relational as R
-from .core import _round, table
+from ..sources.scratch import scratch
+from .core import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,16 @@ def part_status(spark, sf_dir):
     return T.source_status(f, seen, list(T.V2["source_weights"]))
 
 
+def stored(spark, sf_dir):
+    """Features and status as written tables, which the chain reads several times."""
+    out = []
+    for name, df in (("features", part_features(spark, sf_dir)), ("status", part_status(spark, sf_dir))):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
 _SEG = " UNION ALL ".join(
     f"SELECT '{n}' AS signal, '{f}' AS feature, {w}::DOUBLE AS weight, '{k}' AS kind, {x0}::DOUBLE AS x0, {x1}::DOUBLE AS x1, {y0}::DOUBLE AS y0, {y1}::DOUBLE AS y1"
     for n, f, w, k, p in T.SIGNALS_V2
@@ -53,21 +64,22 @@ _FEAT = """(SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey *
   CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 307 END AS pr, q, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
 _LONG = f"""(SELECT CAST(k AS VARCHAR) AS domain, feature, x FROM (SELECT k, unnest(['log_tranco_rank', 'log_crux_bucket', 'log_ccg_harmonic_rank', 'log_ccg_pagerank_rank', 'log_opr_ref_domains', 'log_cc_url_count', 'log_sitemap_pages']) AS feature,
   unnest([round(log10(tranco), 4), round(log10(crux), 4), round(log10(har), 4), round(log10(pr), 4), round(log10(q + 1), 4), round(log10(n + 1), 4), CASE WHEN k % 7 <> 0 AND n > 0 THEN round(log10(n * 5 + 1), 4) END]) AS x FROM {_FEAT}) WHERE x IS NOT NULL)"""
-_SIG = f"(SELECT domain, signal, kind, weight, round(y0 + (y1 - y0) * (x - x0) / (x1 - x0), 3) AS log10_estimate FROM {_LONG} JOIN ({_SEG}) USING (feature) WHERE x >= x0 AND x < x1)"
+_SIG = f"(SELECT domain, signal, kind, weight, round(y0 + (y1 - y0) * (x - x0) / (x1 - x0) + 1e-9, 3) AS log10_estimate FROM {_LONG} JOIN ({_SEG}) USING (feature) WHERE x >= x0 AND x < x1)"
 
 
-@query(f"SELECT * FROM {_SIG}")
+@query(f"SELECT domain, signal, kind, weight, log10_estimate FROM {_SIG}")
 def j12_curve_interpolate(spark, sf_dir):
-    return T.signal_estimates(T.normalize(part_features(spark, sf_dir)), T.V2)
+    rows = T.signal_estimates(T.normalize(part_features(spark, sf_dir)), T.V2)
+    return rows
 
 
 @query(f"""WITH s AS {_SIG}, g AS (SELECT domain, sum(weight * log10_estimate) / sum(weight) AS mean, count(*) FILTER (WHERE kind = 'popularity') AS n_popularity, count(*) AS n_signals,
   stddev_pop(log10_estimate) FILTER (WHERE kind = 'popularity') AS sp, stddev_pop(log10_estimate) AS sa FROM s GROUP BY 1)
-SELECT domain, round(mean, 5) AS mean, n_popularity, n_signals, CASE WHEN CASE WHEN n_popularity > 0 THEN n_popularity ELSE n_signals END >= 2 THEN round(round(CASE WHEN n_popularity > 0 THEN sp ELSE sa END, 4), 3) END AS stddev FROM g""")
+SELECT domain, round(mean + 1e-9, 5) AS mean, n_popularity, n_signals, CASE WHEN CASE WHEN n_popularity > 0 THEN n_popularity ELSE n_signals END >= 2 THEN round(CASE WHEN n_popularity > 0 THEN sp ELSE sa END + 1e-9, 4) END AS stddev FROM g""")
 def a10_weighted_mean(spark, sf_dir):
     """A8 and A10 per part."""
     rows = T.combine_signals(T.signal_estimates(T.normalize(part_features(spark, sf_dir)), T.V2))
-    return rows.select("domain", F.round("mean", 5).alias("mean"), "n_popularity", "n_signals", F.round("stddev", 3).alias("stddev"))
+    return rows.select("domain", F.round(F.col("mean") + 1e-9, 5).alias("mean"), "n_popularity", "n_signals", "stddev")
 
 
 _ST = """(SELECT CAST(k AS VARCHAR) AS domain, s AS source, CASE s WHEN 'tranco' THEN CASE WHEN k % 3 <> 0 THEN 'present' ELSE 'absent' END WHEN 'crux_top' THEN CASE WHEN k % 4 = 0 THEN 'present' ELSE 'absent' END
@@ -113,7 +125,7 @@ def p26_extract_features(spark, sf_dir):
 @query()
 def a12_estimates(spark, sf_dir):
     """J12, A7 to A13 in order: the whole chain of version 2 per part."""
-    e = T.estimate(part_features(spark, sf_dir), part_status(spark, sf_dir), "heuristic_v2")
+    e = T.estimate(*stored(spark, sf_dir), "heuristic_v2")
     return e.select("domain", "visits", "lower", "upper", "bucket", "confidence", "score", F.array_join("notes", "; ").alias("notes"), "details.log10_estimate", "details.spread")
 
 
@@ -122,7 +134,7 @@ def j21_compare_models(spark, sf_dir):
     """parts' prices as reference under both versions; a part without order lines never ran."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("domain"), F.col("p_retailprice").alias("reference"))
     ran = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("domain"), F.when(F.col("l_partkey") % 17 == 0, "failed").otherwise("completed").alias("run_status")).distinct()
-    return T.compare_models(parts, ran, part_features(spark, sf_dir), part_status(spark, sf_dir), ["heuristic_v1", "heuristic_v2"])
+    return T.compare_models(parts, ran, *stored(spark, sf_dir), ["heuristic_v1", "heuristic_v2"])
 
 
 @query("SELECT p_partkey, contains(p_type, 'BRASS') AS schema_product, contains(p_type, 'STEEL') AS schema_article, false AS schema_organization FROM part")
