@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from .common import Workspace, as_text
 LENGTH, ANCHOR = 50, 20
 #: Depth in bytes that multikey quicksort goes to before blind tries take over.
 SHALLOW = 16
-_CHUNK = 1 << 22
+#: Bytes worked on at once: arrays of this many longs stay in a core's cache.
+_PIECE = 1 << 17
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -37,47 +38,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-    n = min(len(a), len(b) - shift)
-    x = a[:n] * _P + b[shift : shift + n]
-    return x ^ (x >> _U(29))
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
+_MULT = _mixed(np.arange(1001, 1129, dtype=np.uint64)) | _U(1)
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-mers, built from halves."""
-    h, have = data.astype(np.uint64) + _U(1), 1
-    done, at = None, 0
+    """Hashes of all k-mers, built from those of half the length."""
+    h, have, done, at = _BYTES[data], 1, None, 0
     while have <= k:
         if k & have:
-            done, at = (h, have) if done is None else (_joined(done, h, at), at + have)
-        h, have = _joined(h, h, have), 2 * have
-    return _mixed(done)
-
-
-def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first start, last start) of each anchor: the strings of ``length`` bytes
-    that start in [first, last] have it as their least k-mer (the leftmost of equal ones)."""
-    parts: list[tuple] = []
-    width = length - k + 1
-    for base in range(0, max(1, len(data) - length + 1), _CHUNK):
-        piece = np.frombuffer(data, np.uint8)[base : base + _CHUNK + length - 1]
-        if len(piece) < length:
+            n = len(data) - at - have + 1
+            done, at = (h[:n].copy() if done is None else done[:n] * _MULT[64 + have] + h[at : at + n]), at + have
+        if 2 * have > k:
             break
-        h = kmer_hashes(piece, k)
-        low = (h >> _U(24) << _U(24)) | np.arange(len(h), dtype=np.uint64)
-        have = 1
-        while 2 * have <= width:
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if width > have:
-            low = np.minimum(low[: have - width], low[width - have :])
-        at = (low & _U((1 << 24) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        parts.append((at[first] + base, h[at[first]].view(np.int64), first + base, last + base))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        n = len(h) - have
+        h, have = h[:n] * _MULT[have] + h[have:], 2 * have
+    done ^= done >> _U(32)
+    done *= _U(0xBF58476D1CE4E5B9)
+    return done ^ (done >> _U(29))
+
+
+def _piece_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(text, position, hash, first, last) of the anchors of texts that lie at [starts, ends) of ``data``."""
+    width, n = length - k + 1, len(data) - length + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 5
+    h = kmer_hashes(data, k)
+    low = (h & _U(~0xFFFFFF & (2**64 - 1))) | np.arange(len(h), dtype=np.uint64)
+    have = 1
+    while 2 * have <= width:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if width > have:
+        low = np.minimum(low[: have - width], low[width - have :])
+    at = (low & _U(0xFFFFFF)).astype(np.int64)[:n]
+    many = np.maximum(ends - starts - length + 1, 0)
+    text = np.repeat(np.arange(len(starts)), many)
+    s = np.arange(len(text)) + np.repeat(starts - (np.cumsum(many) - many), many)
+    at = at[s]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])[: len(at)]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+    own = starts[text[first]]
+    return text[first], at[first] - own, h[at[first]].view(np.int64), s[first] - own, s[last] - own
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks (text number, position, hash, first, last): the strings of ``length`` bytes of a text that
+    start in [first, last] have the k-mer at the position as their least (the leftmost of equal ones)."""
+    held: list[int] = []
+    size = 0
+
+    def work() -> tuple[np.ndarray, ...]:
+        lens = np.array([len(texts[i]) for i in held])
+        ends = np.cumsum(lens)
+        text, *rest = _piece_anchors(np.frombuffer(b"".join(texts[i] for i in held), np.uint8), ends - lens, ends, length, k)
+        return np.array(held)[text], *rest
+
+    for i, t in enumerate(texts):
+        if len(t) > 8 * _PIECE:  # in parts that overlap by all but the first byte of a string
+            for a in range(0, len(t) - length + 1, 4 * _PIECE):
+                part = np.frombuffer(t, np.uint8)[a : a + 4 * _PIECE + length - 1]
+                text, at, h, first, last = _piece_anchors(part, np.array([0]), np.array([len(part)]), length, k)
+                yield text + i, at + a, h, first + a, last + a
+        elif len(t) >= length:
+            held.append(i)
+            size += len(t)
+            if size > _PIECE:
+                yield work()
+                held, size = [], 0
+    if held:
+        yield work()
 
 
 def blind_trie_order(strings: list[bytes], skip: int = 0) -> list[int]:
@@ -209,7 +240,12 @@ def contexts(t: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]
 
 
 def decide_shard(t: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Of different contexts (g, h, sid, ctx, before, lo, hi, owner), g the group that may hold equal strings: ``runs``, distances with a smaller owner."""
+    """Of contexts (g, h, sid, ctx, before, lo, hi, owner), g the group that may hold equal strings, each
+    different one once: its smallest owner, ``first``, and ``runs``, distances with a smaller owner still."""
+    keys = [t.column(c).to_numpy() for c in ("owner", "lo", "sid", "h", "g")]
+    order = np.lexsort(keys)
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys[1:]], axis=0)])
+    t = t.take(pa.array(order[new]))
     left, right = contexts(t, length)
     group = np.unique(t.column("g").to_numpy(), return_inverse=True)[1]
     runs = smaller_owners(left, right, group, t.column("lo").to_numpy(), t.column("hi").to_numpy(), t.column("owner").to_numpy(), length)
@@ -233,34 +269,18 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
 
     Anchors held by one text only cannot matter.  The others are found by a
     map-side aggregated least and greatest text per hash, which is joined back (a very
-    common anchor is split by the adaptive skew join).  Equal contexts meet map-side
-    in one row before the sort, so a passage in many texts is sorted once.
+    common anchor is split by the adaptive skew join).  Equal contexts of a batch are
+    one row before the shuffle and one in the sort, however many texts hold them.
     """
     owned = units.where(f"owner is not null and octet_length(data) >= {length}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for u, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, h, _, _ = anchors(data.as_py(), length, k)
-                yield pa.record_batch([pa.array(np.full(len(at), u)), pa.array(h), pa.array(at.astype(np.int32))], names=["u", "h", "at"])
-
-    def joined_batches(run):
-        """Small record batches put together to some size."""
-
-        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
-            for b in run(batches):
-                held.append(b)
-                n += b.num_rows
-                if n >= 50_000:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held, n = [], 0
-            if held:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-        return out
-
-    found = owned.select("u", "data").mapInArrow(joined_batches(find), "u long, h long, at int")
+            u = batch.column(0).to_numpy()
+            for text, at, h, _, _ in anchors(batch.column(1).to_pylist(), length, k):
+                yield pa.record_batch([pa.array(u[text]), pa.array(h), pa.array(at.astype(np.int32))], names=["u", "h", "at"])
+
+    found = owned.select("u", "data").mapInArrow(find, "u long, h long, at int")
     shared = found.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("h")
     shared = ws.save(shared, "shared-anchors")
     places = found.join(shared, "h").groupBy("u").agg(F.sort_array(F.collect_list("at")).alias("places"))
@@ -268,24 +288,35 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for u, owner, data, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data = data.as_py()
-                at, h, first, last = anchors(data, length, k)
-                keep = np.isin(at, own.values.to_numpy())
-                at, h, first, last = at[keep], h[keep], first[keep], last[keep]
-                ctx = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                lo, hi = (at - last).astype(np.int32), (at - first).astype(np.int32)
-                sid = np.array([xxhash.xxh3_64_intdigest(c, (int(a) << 8) + int(b)) for c, a, b in zip(ctx, lo, hi, strict=True)], np.uint64).view(np.int64)
-                n = len(at)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, u)), pa.array(np.full(n, owner)), pa.array(at), pa.array(h), pa.array(sid), pa.array(lo), pa.array(hi), pa.array(ctx, pa.binary())],
-                    names=["u", "owner", "at", "h", "sid", "lo", "hi", "ctx"],
-                )
+            u, owner, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            wide = max([0, *map(len, texts)]) + 1
+            places = batch.column(3)
+            wanted = np.sort(np.repeat(np.arange(len(u)), pc.list_value_length(places).to_numpy()) * wide + places.flatten().to_numpy())
+            parts, ctx = [], []
+            for text, at, h, first, last in anchors(texts, length, k):
+                mark = text * wide + at
+                keep = wanted[np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)] == mark
+                text, at, h, first, last = text[keep], at[keep], h[keep], first[keep], last[keep]
+                ctx += [texts[i][a:b] for i, a, b in zip(text.tolist(), first.tolist(), (last + length).tolist(), strict=True)]
+                parts.append((text, at, h, (at - last).astype(np.int32), (at - first).astype(np.int32)))
+            if not ctx:
+                continue
+            text, at, h, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+            seeds = ((lo.astype(np.int64) << 8) + hi).tolist()
+            sid = np.array([xxhash.xxh3_64_intdigest(c, x) for c, x in zip(ctx, seeds, strict=True)], np.uint64).view(np.int64)
+            # of equal contexts of a batch only the one with the smallest owner carries the bytes
+            order = np.lexsort((owner[text], sid, h))
+            first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (sid[order][1:] != sid[order][:-1])])
+            mute = np.ones(len(ctx), bool)
+            mute[order[first]] = False
+            cols = [u[text], owner[text], at, h, sid, lo, hi]
+            body = pa.array([None if m else c for m, c in zip(mute.tolist(), ctx, strict=True)], pa.binary())
+            yield from pa.table([*map(pa.array, cols), body], names=["u", "owner", "at", "h", "sid", "lo", "hi", "ctx"]).to_batches(50_000)
 
     schema = "u long, owner long, at long, h long, sid long, lo int, hi int, ctx binary"
     marked = owned.select("u", "owner", "data").join(places.hint("shuffle_hash"), F.col("u") == F.col("pu")).select("u", "owner", "data", "places")
-    marked = ws.save(marked.mapInArrow(joined_batches(cut), schema), "contexts")
-    different = marked.groupBy("h", "sid", "lo", "hi", "ctx").agg(F.min("owner").alias("owner"))
+    marked = ws.save(marked.mapInArrow(cut, schema), "contexts")
+    different = marked.where("ctx is not null").select("h", "sid", "lo", "hi", "ctx", "owner")
     n = marked.count()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
