@@ -25,7 +25,7 @@ def colour_columns(df: DataFrame, colour: str) -> DataFrame:
     """
     s = F.lower(F.trim(colour))
     digits = F.regexp_extract(s, "^#([0-9a-f]{3,8})$", 1)
-    wide = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).when(F.length(digits).isin(6, 8), digits)
+    wide = F.when(F.length(digits).isin(3, 4), F.regexp_replace(F.substring(digits, 1, 3), "(.)", "$1$1")).when(F.length(digits).isin(6, 8), digits)
     byte = lambda i: F.conv(F.substring(wide, i, 2), 16, 10).cast("int")
     parts = F.filter(F.split(F.regexp_extract(s, r"^rgba?\(([^)]+)\)$", 1), "[ ,/]+"), lambda x: x != "")
     num = lambda i: F.regexp_replace(F.get(parts, F.lit(i)), "%$", "").try_cast("double") * F.when(F.get(parts, F.lit(i)).endswith("%"), 2.55).otherwise(1.0)
