@@ -29,6 +29,8 @@ LENGTH, ANCHOR = 50, 20
 SHALLOW = 16
 #: Bytes worked on at once: arrays of this many longs stay in a core's cache.
 _PIECE = 1 << 17
+#: Common anchors (a long each) that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 
@@ -284,7 +286,9 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
     shared = found.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("h")
     shared = ws.save(shared, "shared-anchors")
     places = found.join(shared, "h").groupBy("u").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    places = ws.save(places, "places").withColumnRenamed("u", "pu")
+    placed = ws.save(places, "places")
+    ws.drop(shared)
+    places = placed.withColumnRenamed("u", "pu")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +320,7 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
     schema = "u long, owner long, at long, h long, sid long, lo int, hi int, ctx binary"
     marked = owned.select("u", "owner", "data").join(places.hint("shuffle_hash"), F.col("u") == F.col("pu")).select("u", "owner", "data", "places")
     marked = ws.save(marked.mapInArrow(cut, schema), "contexts")
+    ws.drop(placed)
     different = marked.where("ctx is not null").select("h", "sid", "lo", "hi", "ctx", "owner")
     n = marked.count()
 
@@ -339,7 +344,8 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
     # an anchor with very many contexts is dealt by more of the string: by what follows it for
     # starts near the anchor, by what precedes it for the others
     near = (length - k) // 2
-    common = marked.groupBy("h").count().where(F.col("count") > shard_rows).select(F.col("h").alias("ch"))
+    common = ws.save(marked.groupBy("h").count().where(F.col("count") > shard_rows).select(F.col("h").alias("ch")), "common-anchors")
+    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
     many, hi = F.col("ch").isNotNull(), F.col("hi")
     after = F.struct(F.xxhash64("h", F.lit(1), F.substring(F.col("ctx"), hi + 1, F.lit(length - near))).alias("g"), F.col("lo").alias("lo"), F.least(hi, F.lit(near)).alias("hi"))
     before = F.struct(F.xxhash64("h", F.lit(2), F.substring(F.col("ctx"), hi - near, F.lit(near + 1 + k))).alias("g"), F.greatest("lo", F.lit(near + 1)).alias("lo"), hi.alias("hi"))
