@@ -176,20 +176,31 @@ def alike(a: set, b: set, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+#: Up to so many different members, sets are compared as bit masks.
+MASK_BITS = 1 << 16
+
+
 def star_links(ids: list[int], sets: list[set]) -> list[tuple[int, int]]:
     """(centre, member) pairs that span each component of alike sets.
 
     A member that a centre's component has reached is not compared again, so a dense
-    group costs few comparisons and no pair list.
+    group costs few comparisons and no pair list.  In larger groups sets become bit
+    masks over the group's members, which gives the same exact counts.
     """
     left, out = list(dict(zip(ids, sets, strict=True)).items()), []
+    close = alike
+    if len(left) > 4:
+        place: dict = {}
+        numbers = [(i, [place.setdefault(x, len(place)) for x in s]) for i, s in left]
+        if len(place) <= MASK_BITS:
+            left, close = [(i, (len(n), _mask(n, len(place)))) for i, n in numbers], _alike_masks
     while len(left) > 1:
         centre, *left = left
         front = [centre]
         while front and left:
             one, rest = front.pop(), []
             for other in left:
-                if alike(one[1], other[1]):
+                if close(one[1], other[1]):
                     out.append((centre[0], other[0]))
                     front.append(other)
                 else:
@@ -198,6 +209,19 @@ def star_links(ids: list[int], sets: list[set]) -> list[tuple[int, int]]:
     return out
 
 
+def _mask(numbers: list[int], width: int) -> int:
+    bits = np.zeros(width, bool)
+    bits[numbers] = True
+    return int.from_bytes(np.packbits(bits).tobytes())
+
+
+def _alike_masks(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    if min(a[0], b[0]) < SIMILAR * max(a[0], b[0]):
+        return False
+    both = (a[1] & b[1]).bit_count()
+    return both >= SIMILAR * (a[0] + b[0] - both)
+
+
 def blocked_links(ws: Workspace, members: DataFrame, texts: DataFrame, shingles, block_rows: int = 2_000) -> DataFrame:
     """Links (a, b) that span the components of alike texts within each group of ``members(grp, id)``.
 

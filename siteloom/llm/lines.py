@@ -14,18 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_text, by_group, components
+from .common import SIMILAR, Workspace, as_text, blocked_links, components
 
-SHINGLE, SIMILAR = 6, 0.8
+SHINGLE = 6
 BANDS, ROWS = 12, 5
 ENTRIES = BANDS * ROWS
 #: Distinct shingles from which a line has a one-permutation signature.
 LONG = 150
 _CHUNK = 1 << 20
-_LINES = "row_id long, doc_id long, line_no int, key binary, bands array<long>"
+_LINES = "row_id long, doc_id long, line_no int, key binary"
 _U = np.uint64
 
 
@@ -37,6 +37,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _MULT = _mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64)) | _U(1)
 _ADD = _mixed(np.arange(1001, ENTRIES + 1001, dtype=np.uint64))
+_MULT32, _ADD32 = (_MULT >> _U(32)).astype(np.uint32) | np.uint32(1), (_ADD >> _U(32)).astype(np.uint32)
+_P = _U(0x9E3779B97F4A7C15)
 
 
 def _banded(signature: np.ndarray, family: int) -> np.ndarray:
@@ -44,42 +46,70 @@ def _banded(signature: np.ndarray, family: int) -> np.ndarray:
     return _mixed(parts + _mixed(np.arange(BANDS, dtype=np.uint64) + _U(1 + family * BANDS))).view(np.int64)
 
 
-def band_hashes(lines: list[str]) -> list[np.ndarray]:
-    """For each line (not empty) the bucket ids of its bands, of one family or both."""
+def _line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, 43-bit hash) of the distinct shingles, sorted; shorter lines are filled up with zeros."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     chars = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x) for x in padded])
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     ends = np.cumsum(sizes)
-    h = np.zeros(len(chars) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
-        h = h * _U(0x100000001B3) + chars[i : len(chars) - SHINGLE + 1 + i]
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    valid = np.arange(len(h)) + SHINGLE <= ends[line]
-    bits = _U(43)  # fixed: a signature must not depend on its neighbours; callers give under 2**21 lines
-    keys = np.unique((line[valid].astype(np.uint64) << bits) | (_mixed(h[valid]) >> (_U(64) - bits)))
-    line, value = (keys >> bits).astype(np.int64), keys & ((_U(1) << bits) - _U(1))
+    two = chars[:-1] * _P + chars[1:]
+    four = (two[:-2] * _P) ^ two[2:]
+    h = (four[:-2] * _P) ^ two[4:]
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    # a signature must not depend on a line's neighbours, so the widths are fixed; callers give under 2**21 lines
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64) << _U(43), sizes)[: len(h)] | (h >> _U(21))
+    valid = np.ones(len(h), bool)
+    for i in range(1, SHINGLE):
+        valid[ends[:-1] - i] = False
+    keys = np.sort(keys[valid])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return (keys >> _U(43)).astype(np.int64), keys & _U((1 << 43) - 1)
+
+
+def band_families(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(line numbers, bucket ids by band) of the short and of the long family; lines must not be empty."""
+    line, value = _line_shingles(lines)
     many = np.bincount(line, minlength=len(lines))
-    out: list[list[np.ndarray]] = [[] for _ in lines]
+    out = []
     short = np.flatnonzero(many * SIMILAR <= LONG)
     if len(short):
         own = (many * SIMILAR <= LONG)[line]
-        v, starts = _mixed(value[own]), np.concatenate([[0], np.cumsum(many[short])[:-1]])
-        sig = np.stack([np.minimum.reduceat(v * _MULT[k] + _ADD[k], starts) for k in range(ENTRIES)], axis=1)
-        for i, b in zip(short.tolist(), _banded(sig, 0), strict=True):
-            out[i].append(b)
+        v = (value[own] >> _U(11)).astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum(many[short])[:-1]])
+        sig = np.stack([np.minimum.reduceat(v * _MULT32[k] + _ADD32[k], starts) for k in range(ENTRIES)], axis=1)
+        out.append((short, _banded(sig.astype(np.uint64), 0)))
     long = np.flatnonzero(many >= LONG)
     if len(long):
         place = np.full(len(lines), -1)
         place[long] = np.arange(len(long))
-        own = place[line] >= 0
-        v = _mixed(value[own])
-        order = np.argsort(v)[::-1]
-        v, at = v[order], place[line[own][order]]
-        sig = np.zeros((len(long), ENTRIES), np.uint64)
-        sig[at, (v % _U(ENTRIES)).astype(np.int64)] = v  # the least of an entry is written last
-        while (gap := sig == 0).any():
-            sig = np.where(gap, np.where(np.roll(gap, -1, axis=1), _U(0), np.roll(sig, -1, axis=1) + _U(0x9E3779B97F4A7C15)), sig)
-        for i, b in zip(long.tolist(), _banded(sig, 1), strict=True):
+        at = place[line][::-1]
+        own = at >= 0
+        v, at = value[::-1][own], at[own]
+        entry = ((v & _U(0xFFFFF)) * _U(ENTRIES) >> _U(20)).astype(np.int64)
+        sig = np.zeros(len(long) * ENTRIES, np.uint64)
+        sig[at * ENTRIES + entry] = v | _U(1)  # values fall, so the least of an entry is written last
+        sig, turn = sig.reshape(-1, ENTRIES), 0
+        filled = sig > 0
+        while not filled.all():
+            # an empty entry takes the value of one at a keyed distance, another distance each turn
+            turn += 1
+            other = (np.arange(ENTRIES) * (2 * turn + 1) + 17 * turn * turn + turn) % ENTRIES
+            fill = ~filled & filled[:, other]
+            sig = np.where(fill, sig[:, other] + _U(turn * int(_P) % 2**64), sig)
+            if turn > 60:
+                fill = ~filled
+                sig = np.where(fill, sig.max(axis=1, keepdims=True), sig)
+            filled |= fill
+        out.append((long, _banded(sig, 1)))
+    return out
+
+
+def band_hashes(lines: list[str]) -> list[np.ndarray]:
+    """For each line the bucket ids of its bands, of one family or both."""
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    for which, bands in band_families(lines):
+        for i, b in zip(which.tolist(), bands, strict=True):
             out[i].append(b)
     return [np.concatenate(x) for x in out]
 
@@ -94,122 +124,81 @@ def line_key(line: str) -> bytes:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """One row per line of ``docs(row_id, doc_id, text)``, and one with line_no -1 per document.
-
-    ``bands`` is given once for each different line of a batch, null elsewhere.
-    """
+    """One row per line of ``docs(row_id, doc_id, text)``, and one with line_no -1 and no key per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            seen: set[bytes] = set()
-            rows, todo, held = [], [], 0
-
-            def made() -> pa.RecordBatch:
-                bands = dict(zip((i for i, _ in todo), band_hashes([x for _, x in todo]), strict=True)) if todo else {}
-                cols = [*zip(*rows, strict=True)]
-                return pa.record_batch(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()),
-                     pa.array([bands.get(i) for i in range(len(rows))], pa.list_(pa.int64()))],
-                    names=["row_id", "doc_id", "line_no", "key", "bands"],
-                )
-
+            rows = []
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((row, doc, -1, None))
-                for no, line in line_keys(text):
-                    key = line_key(line)
-                    if key not in seen:
-                        seen.add(key)
-                        todo.append((len(rows), line))
-                        held += len(line)
-                    rows.append((row, doc, no, key))
-                    if held > _CHUNK:
-                        yield made()
-                        rows, todo, held = [], [], 0
-            if rows:
-                yield made()
+                rows += [(row, doc, no, line_key(line)) for no, line in line_keys(text)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row_id", "doc_id", "line_no", "key"])
 
     return docs.select("row_id", F.col("doc_id").cast("long"), as_text("text").alias("text")).mapInArrow(run, _LINES)
 
 
-def similar(a: set[str], b: set[str]) -> bool:
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILAR * (len(a) + len(b) - both)
+def _different(batch: pa.RecordBatch) -> dict[bytes, str]:
+    return {line_key(x): x for t in batch.column(0).to_pylist() for _, x in line_keys(t)}
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def banded_lines(docs: DataFrame) -> DataFrame:
+    """(key, bands) of each different line of a batch, a row per family it has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines, held = [], [], 0
+            todo = list(_different(batch).items())
+            for i, (key, line) in enumerate(todo):
+                keys.append(key)
+                lines.append(line)
+                held += len(line)
+                if held > _CHUNK or i == len(todo) - 1:
+                    all_keys = pa.array(keys, pa.binary())
+                    for which, bands in band_families(lines):
+                        ends = pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS)
+                        yield pa.record_batch([all_keys.take(pa.array(which)), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["key", "bands"])
+                    keys, lines, held = [], [], 0
+
+    return docs.select(as_text("text").alias("text")).mapInArrow(run, "key binary, bands array<long>")
 
-def star_links(keys: list[bytes], lines: list[str]) -> list[tuple[bytes, bytes]]:
-    """(centre, member) pairs that span each component of similar lines of a bucket."""
-    left = [(k, shingles(x)) for k, x in dict(zip(keys, lines, strict=True)).items()]
-    out = []
-    while len(left) > 1:
-        centre, *left = left
-        front = [centre]
-        while front and left:
-            one, rest = front.pop(), []
-            for other in left:
-                if similar(one[1], other[1]):
-                    out.append((centre[0], other[0]))
-                    front.append(other)
-                else:
-                    rest.append(other)
-            left = rest
-    return out
 
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
-def candidate_buckets(bands: DataFrame) -> DataFrame:
-    """(bucket, key) of the buckets with different lines, one bucket for each set of lines.
 
-    Members are counted with map-side aggregation, so that a line with a large
-    share of all rows arrives as a few.
-    """
-    members = bands.select(F.explode("bands").alias("bucket"), "key").distinct()
-    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum(F.xxhash64("key") % (1 << 40)).alias("mark"))
-    one = sets.where("n > 1").groupBy("n", "lo", "hi", "mark").agg(F.min("bucket").alias("b")).select("b")
-    return members.join(one, F.col("bucket") == F.col("b")).select("bucket", "key")
+def candidate_buckets(ws: Workspace, banded: DataFrame) -> DataFrame:
+    """(grp, id): the different lines of ``banded(lid, bands)`` that share a bucket, those of all buckets
+    with the same first line together.  Rows are dealt by bucket once, and a row stays if a
+    neighbour in its bucket differs."""
+    rows = banded.select(F.explode("bands").alias("bucket"), "lid")
+    w = Window.partitionBy("bucket").orderBy("lid")
+    near = rows.withColumn("a", F.lag("lid").over(w)).withColumn("b", F.lead("lid").over(w))
+    found = ws.save(near.where("a <> lid or b <> lid").select("bucket", "lid"), "buckets")
+    firsts = found.groupBy("bucket").agg(F.min("lid").alias("grp")).withColumnRenamed("bucket", "b")
+    return found.join(firsts, F.col("bucket") == F.col("b")).select("grp", F.col("lid").alias("id")).distinct()
 
 
-def line_links(ws: Workspace, docs: DataFrame, lines: DataFrame, block_rows: int = 2_000) -> DataFrame:
-    """Links (a, b) between keys of different similar lines that share a bucket.
+def line_links(ws: Workspace, docs: DataFrame, firsts: DataFrame, block_rows: int = 2_000) -> DataFrame:
+    """Links (a, b) between the numbers of different similar lines, ``firsts(key, lid, ...)``, that share a bucket.
 
-    Only lines in such buckets have their text fetched, once each.  A bucket beyond
-    ``block_rows`` lines is split into blocks, and each two blocks meet in a group.
+    Only lines in such buckets have their text fetched, once each.
     """
-    found = ws.save(candidate_buckets(lines.where("bands is not null").select("key", "bands")), "buckets")
+    numbers = firsts.select(F.col("key").alias("k"), "lid")
+    banded = banded_lines(docs).join(numbers.hint("shuffle_hash"), F.col("key") == F.col("k")).select("lid", "bands")
+    found = ws.save(candidate_buckets(ws, banded), "candidates")
+    wanted = ws.save(numbers.join(found.select(F.col("id").alias("lid")).distinct(), "lid"), "wanted")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {line_key(x): x for t in batch.column(0).to_pylist() for _, x in line_keys(t)}
+            own = _different(batch)
             yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string())], names=["key", "line"])
 
-    wanted = found.select("key").distinct()
     all_lines = docs.select(as_text("text").alias("text")).mapInArrow(texts, "key binary, line string")
-    fetched = all_lines.join(wanted.hint("shuffle_hash"), "key", "left_semi")
-    fetched = ws.save(fetched.groupBy("key").agg(F.min("line").alias("line")), "lines")
-    large = found.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / block_rows).alias("blocks")).where("blocks > 1")
-    dealt = found.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("blocks"))
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for t in by_group(batches, 1):
-            if t.num_rows > 1:
-                for x, y in star_links(t.column("key").to_pylist(), t.column("line").to_pylist()):
-                    a.append(x)
-                    b.append(y)
-            if len(a) > 20_000:
-                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    groups = dealt.join(fetched, "key").select("grp", "key", "line").repartition("grp").sortWithinPartitions("grp", "key")
-    return groups.mapInArrow(run, "a binary, b binary")
+    fetched = all_lines.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("k")).groupBy("lid").agg(F.min("line").alias("text")).withColumnRenamed("lid", "id")
+    fetched = ws.save(fetched, "lines")
+    return blocked_links(ws, found, fetched, shingles, block_rows)
 
 
 def dropped_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
@@ -221,15 +210,17 @@ def dropped_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     stays.  Blank lines stay and are not counted.
     """
     lines = ws.save(hashed_lines(docs), "hashed")
-    roots = components(ws, ws.save(line_links(ws, docs, lines), "links"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "line_no")
-    firsts = ws.save(lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first")), "firsts")
-    joined = firsts.join(roots, firsts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
-    linked = joined.where("node is not null").groupBy("root").agg(F.min("first").alias("kept")).select(F.col("root").alias("r"), "kept")
-    kept = joined.join(linked, joined["root"] == linked["r"], "left").select(F.col("key").alias("k"), F.coalesce("kept", "first").alias("kept"))
-    occurrences = lines.select("row_id", "doc_id", "line_no", "key")
-    told = occurrences.join(kept, occurrences["key"] == kept["k"], "left")
-    out = F.when(F.col("kept").isNotNull() & ((F.col("kept.row_id") != F.col("row_id")) | (F.col("kept.line_no") != F.col("line_no"))), F.col("line_no"))
+    firsts = lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
+    firsts = ws.save(firsts.withColumn("lid", F.monotonically_increasing_id()), "firsts")
+    roots = components(ws, ws.save(line_links(ws, docs, firsts), "links"))
+    linked = firsts.select("lid", "first").join(roots, F.col("lid") == F.col("node"))
+    least = linked.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("root").alias("r"), "kept")
+    better = linked.join(least, F.col("root") == F.col("r")).select(F.col("lid").alias("l"), "kept")
+    kept = firsts.join(better, F.col("lid") == F.col("l"), "left").select(F.col("key").alias("k"), F.coalesce("kept", "first").alias("kept"))
+    kept = ws.save(kept.select("k", F.col("kept.row_id").alias("kept_row"), F.col("kept.line_no").alias("kept_line")), "kept")
+    told = lines.join(kept, lines["key"] == kept["k"], "left")
+    out = F.when((F.col("kept_row") != F.col("row_id")) | (F.col("kept_line") != F.col("line_no")), F.col("line_no"))
     return told.groupBy("row_id", "doc_id").agg(F.count("key").alias("n_lines"), F.array_sort(F.collect_list(out)).alias("dropped"))
 
 
