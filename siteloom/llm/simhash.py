@@ -9,6 +9,9 @@ slice's tolerance of the radius).  The leaves are the shards.  Every linked pair
 so meets in a shard, where distances to a local vantage point bound which pairs
 need their exact distance.  With more slices than bits of ``limit`` the tolerance
 is zero and a fingerprint visits one shard per tree.
+
+``keep_one`` groups by Jaccard similarity, which fingerprints alone meet only in
+part, and so takes a second set of shards: buckets of MinHash bands.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_text, blocked_links, components
@@ -26,26 +29,41 @@ from .common import Workspace, as_text, blocked_links, components
 SEED = 42
 #: Fingerprints that the trees' vantage points and radii are fitted on, at most.
 FIT_SAMPLE = 4096
+#: MinHash bands of ``keep_one`` and values in each: two sets of Jaccard similarity 0.8 share a bucket
+#: with probability 1 - (1 - 0.8**5)**20 = 0.9996; fingerprints in a bucket are linked within so many bits.
+BANDS, ROWS, BAND_LIMIT = 20, 5, 22
+_rng = np.random.default_rng(SEED)
+_MULT = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; none for a text without words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those that more than half of ``h`` have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(h)))
 
 
+def fingerprint(text: str, width: int = 4) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) with fp as a signed long; null text counts as empty."""
 
@@ -57,6 +75,40 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), as_text("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def least_values(h: np.ndarray) -> np.ndarray:
+    """MinHash values of the shingle hashes ``h``, of which there is at least one."""
+    v, out = (h >> np.uint64(32)).astype(np.uint32), None
+    for at in range(0, len(v), 1 << 13):
+        low = (v[None, at : at + (1 << 13)] * _MULT + _ADD).min(axis=1)
+        out = low if out is None else np.minimum(out, low)
+    return out
+
+
+def bucket_ids(least: np.ndarray) -> np.ndarray:
+    """(documents, BANDS) bucket ids of ``least``, a row of MinHash values per document."""
+    parts = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    ids = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for i in range(ROWS):
+        ids = (ids ^ parts[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        ids = ids ^ (ids >> np.uint64(29))
+    return ids.view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, buckets) of the different word shingles; a text without words has fp 0 and no bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
+            least = [least_values(h) for h in sets if len(h)]
+            ids = bucket_ids(np.array(least, np.uint32).reshape(-1, BANDS * ROWS)).ravel()
+            ends = np.concatenate([[0], np.cumsum([BANDS * (len(h) > 0) for h in sets])]).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "fp", "buckets"])
+
+    return docs.select(F.col("doc_id").cast("long"), as_text("text").alias("text")).mapInArrow(run, "doc_id long, fp long, buckets array<long>")
+
+
 def fit_forest(sample: np.ndarray, depth: int, slices: int, seed: int = 1) -> list[tuple[int, list[tuple[int, int]]]]:
     """Per slice (mask, [(vantage, radius) per level]), chosen for even shards on the sample."""
     rng, sample = np.random.default_rng(seed), sample.view(np.uint64)
@@ -158,6 +210,49 @@ def links(ws: Workspace, fps: DataFrame, limit: int = 4, slices: int = 5, leaf_r
     return visits.groupBy("tree", "leaf", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
+def bucket_links(ws: Workspace, visits: DataFrame, limit: int = BAND_LIMIT, block_rows: int = 20_000) -> DataFrame:
+    """Links (a, b) that span the components of fingerprints within ``limit`` bits in each bucket of ``visits(bucket, fp)``.
+
+    A row stays if a neighbour in its bucket differs, so that equal ones leave two at most; a bucket beyond ``block_rows`` is split as in :func:`links`.
+    """
+    w = Window.partitionBy("bucket").orderBy("fp")
+    near = visits.withColumn("a", F.lag("fp").over(w)).withColumn("b", F.lead("fp").over(w))
+    found = ws.save(near.where("a <> fp or b <> fp").select("bucket", "fp"), "buckets")
+    large = found.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / block_rows).alias("blocks")).where("blocks > 1")
+    dealt = found.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp")
+
+    def linked(grp: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(grp)]]))
+        first = np.repeat(fp[starts], sizes)
+        close = np.bitwise_count((fp ^ first).view(np.uint64)) <= limit
+        star = np.logical_and.reduceat(close, starts)
+        some = np.repeat(star, sizes) & (fp != first)
+        a, b = [first[some]], [fp[some]]
+        for i in np.flatnonzero(~star & (sizes > 2)):
+            x, y = star_links(fp[starts[i] : starts[i] + sizes[i]], limit)
+            a.append(x)
+            b.append(y)
+        return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            grp, fp = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((grp, fp)))
+            cut = int(np.searchsorted(grp, grp[-1])) if len(grp) else 0  # the last group may go on in the next batch
+            if cut:
+                yield linked(grp[:cut], fp[:cut])
+                grp, fp = grp[cut:], fp[cut:]
+        if len(grp):
+            yield linked(grp, fp)
+
+    dealt = dealt.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp", "fp")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(ws: Workspace, docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable by links).
 
@@ -184,20 +279,22 @@ def word_shingles(text: str, width: int = 5) -> set[bytes]:
 def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) -> DataFrame:
     """Documents, with the columns of ``docs``, of which one stays of each group of near copies.
 
-    Candidates are components of fingerprints within ``limit`` bits; within these,
-    documents are grouped by exact Jaccard similarity of 0.8 or more on word shingles.
+    Candidates are components of fingerprints within ``limit`` bits, and of those within
+    ``BAND_LIMIT`` bits that share a MinHash bucket, which meets the pairs at the threshold
+    that lie further apart; within these, documents are grouped by exact Jaccard similarity of 0.8 or more on word shingles.
     The document with the smallest doc_id (nulls last) stays.  Exact copies meet by
     digest before anything else; texts without words are one group.
     """
     own = ws.save(docs.withColumn("_sim_row", F.monotonically_increasing_id()), "numbered")
     thin = own.select(F.col("_sim_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text"))
-    marked = ws.save(fingerprints(thin.withColumn("doc_id", F.col("row")), width), "fingerprints").withColumnRenamed("doc_id", "frow")
+    marked = ws.save(sketches(thin.withColumn("doc_id", F.col("row")), width), "fingerprints").withColumnRenamed("doc_id", "frow")
     digests = thin.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     units = digests.groupBy("digest").agg(first).select("first", F.col("first.row").alias("id"))
-    units = ws.save(units.join(marked, F.col("id") == F.col("frow")).select("id", "first", "fp"), "units")
+    units = ws.save(units.join(marked, F.col("id") == F.col("frow")).select("id", "first", "fp", "buckets"), "units")
     fps = ws.save(units.select("fp").distinct(), "distinct")
-    roots = components(ws, ws.save(links(ws, fps, limit, limit + 1), "near"))
+    shared = bucket_links(ws, units.select(F.explode("buckets").alias("bucket"), "fp"))
+    roots = components(ws, ws.save(links(ws, fps, limit, limit + 1).unionByName(shared), "near"))
     grouped = units.join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("grp"))
     grouped = ws.save(grouped, "groups")
     several = grouped.groupBy("grp").count().where("count > 1").select("grp")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteloom.llm import lines, mixing, packing, ranking, rules, secrets, simhash, suffixes, topk, warc
-from siteloom.llm.common import Workspace, components, running_start
+from siteloom.llm.common import Workspace, alike, components, running_start
 
 LONG = "long words here " * 3000
 BASE = " ".join(f"w{i}" for i in range(80))
@@ -82,6 +82,52 @@ def test_keep_one_of_near_copies(docs, ws):
     assert simhash.keep_one(ws, docs.limit(0)).count() == 0
 
 
+def test_keep_one_reaches_copies_at_the_threshold(spark, ws):
+    import random
+
+    random.seed(4)
+    rows, far = [], 0
+    for k in range(240):
+        a = [f"v{random.randrange(10**6)}" for _ in range((12, 40, 120, 400)[k % 4])]
+        b = a
+        while True:
+            c = b[:]
+            c[random.randrange(len(c))] = f"y{random.randrange(10**6)}"
+            if not alike(simhash.word_shingles(" ".join(a)), simhash.word_shingles(" ".join(c))):
+                break
+            b = c
+        b = b if b is not a else [*a, "tail"]
+        assert alike(simhash.word_shingles(" ".join(a)), simhash.word_shingles(" ".join(b)))
+        c = a[: len(a) // 2] + [f"z{random.randrange(10**6)}" for _ in a]  # a half copy stays
+        assert not alike(simhash.word_shingles(" ".join(a)), simhash.word_shingles(" ".join(c)))
+        far += (simhash.fingerprint(" ".join(a), 5) ^ simhash.fingerprint(" ".join(b), 5)).bit_count() > 8
+        rows += [(3 * k, " ".join(a)), (3 * k + 1, " ".join(b)), (3 * k + 2, " ".join(c))]
+    kept = {r["doc_id"] for r in simhash.keep_one(ws, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert far > 60 and {3 * k for k in range(240)} | {3 * k + 2 for k in range(240)} <= kept
+    assert sum(3 * k + 1 in kept for k in range(240)) <= 2
+
+
+def test_bucket_links_split_large_buckets(spark, ws):
+    fps = [0, 1, 3, 7, 2**40, 2**62 - 1, 2**62 - 2] + [2**20 + 2**i for i in range(30, 40)]
+    rows = [(b, f) for b in (1, 2) for f in fps * b] + [(3, 5), (3, 5), (4, 9), (5, 2**50), (5, 2**50), (5, 2**50 + 1)]
+    for block_rows in (3, 1000):
+        got = {(r["a"], r["b"]) for r in simhash.bucket_links(ws, spark.createDataFrame(rows, "bucket long, fp long"), 2, block_rows).collect()}
+        roots = {r["node"]: r["root"] for r in components(ws, spark.createDataFrame(list(got), "a long, b long")).collect()}
+        want = {}
+        for f in fps:
+            reach, todo = {f}, [f]
+            while todo:
+                x = todo.pop()
+                new = {y for y in fps if (x ^ y).bit_count() <= 2} - reach
+                reach |= new
+                todo += new
+            if len(reach) > 1:
+                want[f] = min(reach)
+        want |= {2**50: 2**50, 2**50 + 1: 2**50}
+        assert roots == want
+    assert simhash.bucket_links(ws, spark.createDataFrame([], "bucket long, fp long")).count() == 0
+
+
 def test_mix_meets_targets(spark, docs, ws):
     rows = mixing.mix_summary(ws, docs).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
