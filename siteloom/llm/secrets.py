@@ -9,6 +9,7 @@ strings and one of ordinary identifiers, trained from labelled samples.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ ASSIGN_LEAST = 12
 #: Tokens that the models judge, and the characters they are made of.
 TOKEN, TOKEN_LEAST = "[A-Za-z0-9+/_=-]", 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents that the models are trained on (about so many, chosen by hash of the id), and the ratio asked for.
+#: Documents that the model of ordinary strings is trained on (about so many, chosen by hash of the id;
+#: that of random strings learns from all), and the ratio asked for.
 TRAIN_DOCS = 5_000
 THRESHOLD, PER_PAIR = 12.0, 0.5
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -54,8 +56,14 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": spans(text, ASSIGN, 0, 2, ASSIGN_LEAST), "access": spans(text, ACCESS, 1), "hex": spans(text, HEX, 2)}
 
 
+def base_values(text: Column) -> Column:
+    """The values of all base spans, without their places."""
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.concat(F.filter(found(ASSIGN, 2), lambda v: F.length(v) >= ASSIGN_LEAST), found(ACCESS, 0), found(HEX, 0))
+
+
 def train_markov(samples: DataFrame, smooth: float = 0.5) -> list[float] | None:
-    """Log-likelihood ratios of character pairs from ``samples(value, random)``; None without both kinds.
+    """Log-likelihood ratios of character pairs from ``samples(value, random)``; None, with a warning, without both kinds.
 
     Spark counts the pairs; what is fetched is bounded by the alphabet squared.
     Pairs with a character outside the alphabet are passed over.
@@ -64,7 +72,9 @@ def train_markov(samples: DataFrame, smooth: float = 0.5) -> list[float] | None:
     pairs = samples.where("value is not null and random is not null and length(value) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(0), F.length("value") - 2), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1)))).alias("pair"))
     inside = pairs.where(F.col("pair").rlike(f"^{TOKEN}{{2}}$"))
     counts = {(r["random"], r["pair"]): r["count"] for r in inside.groupBy("random", "pair").count().collect()}
-    if {k[0] for k in counts} != {True, False}:
+    if missing := {True, False} - {k[0] for k in counts}:
+        names = " and ".join("random" if kind else "ordinary" for kind in sorted(missing, reverse=True))
+        warnings.warn(f"no Markov models: there are no {names} strings to learn from, only the fixed patterns are used", stacklevel=2)
         return None
     table = []
     for a in ALPHABET:
@@ -83,14 +93,13 @@ def likelihood_ratio(value: Column, table: list[float]) -> Column:
 
 
 def corpus_samples(docs: DataFrame, about: int = TRAIN_DOCS) -> DataFrame:
-    """Labelled samples (value, random) from about ``about`` documents: what the fixed patterns find
-    is random, other words of six and more letters and digits are ordinary."""
+    """Labelled samples (value, random): what the fixed patterns find in any document is random, other
+    words of six and more letters and digits, of about ``about`` documents, are ordinary."""
     n = docs.count()
+    random = docs.select(F.explode(base_values(as_text("text"))).alias("value"), F.lit(True).alias("random"))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // about))) == 0).select(as_text("text").alias("text"))
-    found = some.select(F.flatten(F.array(*base_spans(F.col("text")).values())).alias("base"), "text")
-    random = found.select(F.explode("base.value").alias("value"), F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = found.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9_-]{6,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
+    ordinary = some.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9_-]{6,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
 

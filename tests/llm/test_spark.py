@@ -179,6 +179,24 @@ def test_markov_models_add_random_tokens_only(spark):
     assert secrets.train_markov(samples.where("random")) is None
 
 
+def test_random_strings_of_all_documents_are_learned(spark):
+    from collections import Counter
+
+    rows = [(i, f"ordinary identifier number{i}" + (f" {SECRETS[i % 6][0]}" if i % 40 == 7 else "")) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (400, None)], "doc_id long, text string").repartition(3)
+    got = secrets.corpus_samples(docs, 4).collect()
+    want = Counter(s["value"] for r in secrets_of(spark, rows) for s in r)
+    assert want and Counter(r["value"] for r in got if r["random"]) == want
+    assert 0 < sum(not r["random"] for r in got) < 400
+    with pytest.warns(UserWarning, match="no random strings"):
+        assert secrets.train_markov(secrets.corpus_samples(docs.where("doc_id % 40 <> 7"))) is None
+
+
+def secrets_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [r[0] for r in df.select(F.flatten(F.array(*secrets.base_spans(F.col("text")).values()))).collect()]
+
+
 def test_statistics_match_brute_force(spark, docs):
     more = spark.createDataFrame([(90, "a b c d e f g h i a b c d e f g h"), (91, "x " * 30), (92, "l 1\nl 1\n\nl 1 ***"), (93, "A!! B!! | C")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(more)
