@@ -39,10 +39,12 @@ KEPT_HEADERS = ["server", "x-powered-by", "via", "content-type", "x-generator",
 
 FACTS = (
     "url string, title string, description string, lang string, canonical string, robots string, noindex boolean, generator string, n_h1 int, n_h2 int, n_h3 int, og map<string,string>, "
-    "hreflang array<string>, n_feeds int, scripts array<string>, inline_script_bytes int, n_images int, n_forms int, search_form boolean, word_count int, html_bytes int, text string, "
+    "hreflang array<string>, n_feeds int, scripts array<string>, inline_script_bytes int, n_images int, n_forms int, search_form boolean, word_count int, html_bytes int, text string, visible_text string, "
     "schema_types array<string>, links array<string>"
 )
 _SILENT = {"script", "style", "noscript", "template", "svg"}
+#: Tags that part words of the visible text; other tags may stand within a word.
+_BLOCK = set("address article aside blockquote body br button caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 
 
 class _Facts(HTMLParser):
@@ -52,7 +54,7 @@ class _Facts(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.f: dict = dict(title=None, description=None, lang=None, canonical=None, robots=None, generator=None, og={}, hreflang=[], scripts=[], links=[], types=set())
         self.n = dict.fromkeys(("h1", "h2", "h3", "img", "form", "feeds", "inline"), 0)
-        self.search, self.words, self.inside, self.silent, self.ld = False, [], "", 0, None
+        self.search, self.words, self.shown, self.inside, self.silent, self.ld = False, [], [], "", 0, None
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -60,10 +62,14 @@ class _Facts(HTMLParser):
             self.n[tag] += 1
         if tag in _SILENT:
             self.silent += 1
+        if tag in _BLOCK:
+            self.shown.append(" ")
         if tag == "html":
             self.f["lang"] = a.get("lang") or None
         elif tag == "title":
             self.inside = "title"
+        elif tag == "style":
+            self.inside = "style"
         elif tag == "a" and a.get("href"):
             self.f["links"].append(a["href"])
         elif tag == "script":
@@ -92,13 +98,15 @@ class _Facts(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SILENT and self.silent:
             self.silent -= 1
+        if tag in _BLOCK:
+            self.shown.append(" ")
         if tag == "script" and self.ld is not None:
             try:
                 self.walk(json.loads("".join(self.ld)))
             except ValueError:
                 pass
             self.ld = None
-        if tag in ("title", "script"):
+        if tag in ("title", "script", "style"):
             self.inside = ""
 
     def walk(self, root) -> None:
@@ -119,8 +127,10 @@ class _Facts(HTMLParser):
             self.n["inline"] += len(data.encode("utf-8", "replace"))
             if self.ld is not None:
                 self.ld.append(data)
-        elif not self.silent:
-            self.words += data.split()
+        elif self.inside != "style":
+            self.shown.append(data)
+            if not self.silent:
+                self.words += data.split()
 
 
 def html_facts(url: str | None, html: str | None) -> tuple:
@@ -132,13 +142,15 @@ def html_facts(url: str | None, html: str | None) -> tuple:
     return (
         url, title and title[:300], f["description"] and f["description"][:500], f["lang"], f["canonical"], f["robots"], "noindex" in (f["robots"] or "").lower(), f["generator"], n["h1"], n["h2"], n["h3"],
         list(f["og"].items()), f["hreflang"][:50], n["feeds"], f["scripts"], n["inline"], n["img"], n["form"], p.search, len(p.words), len((html or "").encode("utf-8", "replace")), " ".join(p.words)[:2000],
+        " ".join("".join(p.shown).split()),
         sorted(f["types"])[:20], f["links"],
     )
 
 
 def page_facts(pages: DataFrame, url: str = "url", html: str = "html", extra: list[str] | None = None) -> DataFrame:
-    """Title, meta, headings, links, scripts, structured-data types and visible text of each page.
+    """Title, meta, headings, links, scripts, structured-data types and text of each page.
 
+    ``text`` is P9's sample of 2,000 characters; ``visible_text`` (P15) is all that is not script or style.
     The html is read here and goes no further; ``extra`` columns are kept.
     """
     extra = extra or []

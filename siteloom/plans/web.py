@@ -35,9 +35,9 @@ def p9_page_basics(spark, sf_dir):
 
 @query()
 def p9_page_facts(spark, sf_dir):
-    """The full facts of each page, text cut to its sample."""
+    """The full facts of each page, with length and digest of its whole visible text."""
     f = P.page_facts(table(spark, sf_dir, "pages"), extra=["page_id"])
-    return f.select("page_id", "title", "lang", "n_h1", "n_images", "word_count", "html_bytes", F.size("links").alias("n_links"), F.array_join("schema_types", ",").alias("schema_types"), "inline_script_bytes")
+    return f.select("page_id", "title", "lang", "n_h1", "n_images", "word_count", "html_bytes", F.size("links").alias("n_links"), F.array_join("schema_types", ",").alias("schema_types"), "inline_script_bytes", F.length("visible_text").alias("text_length"), F.sha2(F.col("visible_text").cast("binary"), 256).alias("text_sha256"))
 
 
 _EDGE = f"""(WITH p AS {_P.replace('FROM pages', ', html FROM pages')}, l AS (SELECT page_id, url, domain, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM p),

@@ -55,6 +55,28 @@ def test_page_facts_and_edges(spark):
     assert edges == {"https://www.site.com/in": True, "https://other.org/x": False}
 
 
+def test_visible_text_is_whole(spark):
+    import hashlib
+    import html
+    import os
+    import re
+
+    from siteloom.plans.web import p9_page_facts
+
+    page = "<title>t</title><h1>Title</h1><p>a <b>b</b>c &amp; <a href='/x'>Link</a><img alt=no></p><script>x()</script><style>y{}</style><noscript>z</noscript>" + "<p>word</p>" * 1000
+    f = P.page_facts(spark.createDataFrame([("u", page), ("v", None)], "url string, html string")).orderBy("url").collect()
+    assert f[0]["visible_text"] == "Title a bc & Link z" + " word" * 1000 and len(f[0]["text"]) == 2000 and f[1]["visible_text"] == ""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in p9_page_facts(spark, sf).collect():
+        bare = re.sub(r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "", pages[r["page_id"]])
+        bare = re.sub(r"(?i)</?(a|abbr|b|code|em|i|img|label|small|span|strong|sub|sup|time|u|input|link|meta|noscript|svg|path)\b[^>]*>", "", bare)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", bare)).split())
+        assert (r["text_length"], r["text_sha256"]) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_technologies_close_and_demote(spark):
     rows = [("a", "/wp-content/ add-to-cart woocommerce", {"server": "nginx"}, ["PHPSESSID"]), ("b", "cart/add /_next/static/", {"x-bc-store": "1"}, []), ("c", "cart/add", {}, [])]
     d = S.detect_technologies(spark.createDataFrame(rows, "domain string, html string, headers map<string,string>, cookies array<string>"))
