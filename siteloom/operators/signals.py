@@ -8,18 +8,240 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from .relational import top_counts
 
-# A default set of technology signatures (name, category, part, key, pattern); pass a full table where it matters.
+# The technology signatures (name, category, part, key, pattern), all 138 of the survey's J9, and what implies what.
 SIGNATURES = [
-    ("WordPress", "cms", "html", "", "/wp-content/|/wp-includes/|wp-json"), ("WordPress", "cms", "generator", "", "^wordpress"), ("Drupal", "cms", "html", "", "/sites/default/files/|data-drupal-"),
-    ("Drupal", "cms", "header", "x-generator", "drupal"), ("Joomla", "cms", "generator", "", "^joomla"), ("Ghost", "cms", "generator", "", "^ghost"), ("Webflow", "cms", "html", "", "data-wf-site="),
-    ("Wix", "cms", "html", "", r"static\.parastorage\.com|wixstatic\.com"), ("Squarespace", "cms", "html", "", r"static1\.squarespace\.com"), ("Shopify", "ecommerce", "html", "", r"cdn\.shopify\.com"),
-    ("Shopify", "ecommerce", "header", "x-shopid", "."), ("WooCommerce", "ecommerce", "html", "", "woocommerce"), ("Magento", "ecommerce", "html", "", "mage/cookies"), ("BigCommerce", "ecommerce", "header", "x-bc-", "."),
-    ("PrestaShop", "ecommerce", "cookie", "", "^PrestaShop-"), ("Other cart", "ecommerce", "html", "", "add-to-cart|addtocart|cart/add"), ("React", "framework", "html", "", "data-reactroot"),
-    ("Next.js", "framework", "html", "", "/_next/static/"), ("Vue.js", "framework", "html", "", "data-v-app"), ("Google Analytics", "analytics", "script", "", r"google-analytics\.com|gtag/js"),
-    ("Matomo", "analytics", "script", "", r"matomo\.js|piwik\.js"), ("Google Ads", "advertising", "script", "", r"googleadservices\.com|adsbygoogle"), ("Cloudflare", "cdn", "header", "cf-ray", "."),
-    ("Fastly", "cdn", "header", "x-served-by", "cache-"), ("Cloudflare", "cdn", "dns", "", r"\.ns\.cloudflare\.com$"), ("nginx", "server", "header", "server", "nginx"), ("PHP", "language", "cookie", "", "^PHPSESSID$"),
+    ("WordPress", "cms", "generator", "", "^wordpress"),
+    ("WordPress", "cms", "html", "", "/wp-content/|/wp-includes/|wp-json"),
+    ("Drupal", "cms", "generator", "", "^drupal"),
+    ("Drupal", "cms", "header", "x-generator", "drupal"),
+    ("Drupal", "cms", "header", "x-drupal-cache", "."),
+    ("Drupal", "cms", "html", "", "/sites/default/files/|drupal-settings-json|data-drupal-"),
+    ("Joomla", "cms", "generator", "", "^joomla"),
+    ("Joomla", "cms", "html", "", "/media/jui/|/components/com_|joomla"),
+    ("Ghost", "cms", "generator", "", "^ghost"),
+    ("Ghost", "cms", "html", "", "ghost-sdk|/ghost/api/"),
+    ("Webflow", "cms", "generator", "", "^webflow"),
+    ("Webflow", "cms", "script", "", r"assets\.website-files\.com|webflow\.js"),
+    ("Webflow", "cms", "html", "", "data-wf-site=|data-wf-page="),
+    ("Wix", "cms", "generator", "", r"wix\.com"),
+    ("Wix", "cms", "header", "x-wix-request-id", "."),
+    ("Wix", "cms", "html", "", r"static\.parastorage\.com|wix\.com|wixstatic\.com"),
+    ("Squarespace", "cms", "generator", "", "^squarespace"),
+    ("Squarespace", "cms", "header", "server", "squarespace"),
+    ("Squarespace", "cms", "html", "", r"static1\.squarespace\.com|squarespace\.com/universal"),
+    ("HubSpot CMS", "cms", "generator", "", "^hubspot"),
+    ("HubSpot CMS", "cms", "html", "", r"hs-sites\.com|hubspot\.net/hub/"),
+    ("Duda", "cms", "generator", "", "^duda"),
+    ("Duda", "cms", "html", "", r"cdn-cms\.f-static\.|duda_"),
+    ("Weebly", "cms", "generator", "", "^weebly"),
+    ("Weebly", "cms", "html", "", r"weebly\.com|editmysite\.com"),
+    ("GoDaddy Website Builder", "cms", "generator", "", "starfield|godaddy"),
+    ("GoDaddy Website Builder", "cms", "html", "", r"img1\.wsimg\.com|godaddy"),
+    ("Blogger", "cms", "generator", "", "^blogger"),
+    ("Blogger", "cms", "html", "", r"blogger\.com/|blogspot\.com"),
+    ("Framer", "cms", "generator", "", "^framer"),
+    ("Framer", "cms", "html", "", r"framerusercontent\.com"),
+    ("Typo3", "cms", "generator", "", "^typo3"),
+    ("Typo3", "cms", "html", "", "typo3conf|typo3temp"),
+    ("Sitecore", "cms", "html", "", "/sitecore/|sc_site="),
+    ("Adobe Experience Manager", "cms", "html", "", r"/etc\.clientlibs/|/content/dam/"),
+    ("Contentful", "cms", "html", "", r"ctfassets\.net|contentful"),
+    ("Craft CMS", "cms", "generator", "", "^craft"),
+    ("Craft CMS", "cms", "header", "x-powered-by", "craft cms"),
+    ("Shopify", "ecommerce", "header", "x-shopify-stage", "."),
+    ("Shopify", "ecommerce", "header", "x-shopid", "."),
+    ("Shopify", "ecommerce", "script", "", r"cdn\.shopify\.com"),
+    ("Shopify", "ecommerce", "html", "", r"cdn\.shopify\.com|Shopify\.theme|shopify-section"),
+    ("Shopify", "ecommerce", "dns", "", r"shops\.myshopify\.com"),
+    ("WooCommerce", "ecommerce", "generator", "", "woocommerce"),
+    ("WooCommerce", "ecommerce", "html", "", "woocommerce|/wp-content/plugins/woocommerce/"),
+    ("Magento", "ecommerce", "header", "x-magento-", "."),
+    ("Magento", "ecommerce", "cookie", "", "^mage-|^form_key$"),
+    ("Magento", "ecommerce", "html", "", r"/static/version\d+/|Magento_|mage/cookies|/static/frontend/"),
+    ("BigCommerce", "ecommerce", "header", "x-bc-", "."),
+    ("BigCommerce", "ecommerce", "html", "", r"cdn\d*\.bigcommerce\.com|bigcommerce"),
+    ("PrestaShop", "ecommerce", "generator", "", "^prestashop"),
+    ("PrestaShop", "ecommerce", "cookie", "", "^PrestaShop-"),
+    ("PrestaShop", "ecommerce", "html", "", "prestashop|/modules/ps_"),
+    ("OpenCart", "ecommerce", "cookie", "", "^OCSESSID$"),
+    ("OpenCart", "ecommerce", "html", "", "catalog/view/theme|route=product/"),
+    ("Salesforce Commerce Cloud", "ecommerce", "cookie", "", "^dwanonymous_|^dwsid$"),
+    ("Salesforce Commerce Cloud", "ecommerce", "html", "", r"demandware\.static|/on/demandware\.store/"),
+    ("Wix Stores", "ecommerce", "html", "", "wixstores|wix-stores"),
+    ("Squarespace Commerce", "ecommerce", "html", "", "squarespace-commerce|sqs-commerce"),
+    ("Shopware", "ecommerce", "cookie", "", "^sw-"),
+    ("Shopware", "ecommerce", "html", "", "shopware|/bundles/storefront/"),
+    ("Ecwid", "ecommerce", "html", "", r"ecwid\.com|ecwid-"),
+    ("Other cart", "ecommerce", "html", "", "add-to-cart|addtocart|cart/add"),
+    ("Next.js", "framework", "header", "x-powered-by", r"next\.js"),
+    ("Next.js", "framework", "html", "", "/_next/static/|__NEXT_DATA__|next/dist"),
+    ("Nuxt", "framework", "html", "", r"/_nuxt/|__NUXT__|window\.__NUXT"),
+    ("Gatsby", "framework", "html", "", "___gatsby|/page-data/|gatsby-"),
+    ("Remix", "framework", "html", "", "__remixContext|/build/_shared/chunk-"),
+    ("SvelteKit", "framework", "html", "", "__sveltekit|/_app/immutable/"),
+    ("Astro", "framework", "generator", "", "^astro"),
+    ("Astro", "framework", "html", "", "astro-island|/_astro/"),
+    ("Angular", "framework", "html", "", "ng-version=|ng-app|<app-root"),
+    ("React", "framework", "script", "", r"react(-dom)?(\.production)?(\.min)?\.js"),
+    ("React", "framework", "html", "", r"data-reactroot|react-dom|__reactContainer|/react\.production\.min\.js"),
+    ("Vue", "framework", "script", "", r"/vue(\.runtime)?(\.global)?(\.prod)?(\.min)?\.js"),
+    ("Vue", "framework", "html", "", r"data-v-[0-9a-f]{6,}|__vue__|vue\.runtime|/vue(\.min)?\.js"),
+    ("jQuery", "framework", "script", "", r"jquery[-.\d]*(\.min)?\.js"),
+    ("jQuery", "framework", "html", "", "jquery"),
+    ("Bootstrap", "framework", "script", "", r"bootstrap(\.bundle)?(\.min)?\.js"),
+    ("Bootstrap", "framework", "html", "", r"bootstrap(\.min)?\.css"),
+    ("Tailwind CSS", "framework", "html", "", r'tailwindcss|class=\"[^\"]*\b(?:flex|grid) (?:items-center|justify-between)\b'),
+    ("Laravel", "framework", "cookie", "", "^laravel_session$|^XSRF-TOKEN$"),
+    ("Django", "framework", "cookie", "", "^csrftoken$|^django"),
+    ("Ruby on Rails", "framework", "cookie", "", "_session$"),
+    ("Ruby on Rails", "framework", "html", "", "csrf-param|data-turbo"),
+    ("ASP.NET", "framework", "header", "x-aspnet-version", "."),
+    ("ASP.NET", "framework", "header", "x-powered-by", r"asp\.net"),
+    ("ASP.NET", "framework", "cookie", "", r"^ASP\.NET_SessionId$"),
+    ("ASP.NET", "framework", "html", "", "__VIEWSTATE|aspnetForm"),
+    ("PHP", "server", "header", "x-powered-by", "php"),
+    ("PHP", "server", "cookie", "", "^PHPSESSID$"),
+    ("Express", "server", "header", "x-powered-by", "express"),
+    ("nginx", "server", "header", "server", "^nginx"),
+    ("Apache", "server", "header", "server", "^apache"),
+    ("LiteSpeed", "server", "header", "server", "litespeed"),
+    ("Microsoft IIS", "server", "header", "server", "microsoft-iis"),
+    ("Varnish", "cdn", "header", "via", "varnish"),
+    ("Varnish", "cdn", "header", "x-varnish", "."),
+    ("Cloudflare", "cdn", "header", "server", "^cloudflare"),
+    ("Cloudflare", "cdn", "header", "cf-ray", "."),
+    ("Cloudflare", "cdn", "dns", "", r"\.ns\.cloudflare\.com$|cdn\.cloudflare\.net$"),
+    ("Akamai", "cdn", "header", "server", "akamai"),
+    ("Akamai", "cdn", "header", "x-akamai-transformed", "."),
+    ("Akamai", "cdn", "dns", "", r"\.(edgekey|edgesuite|akamaiedge|akamaized)\.net$"),
+    ("Fastly", "cdn", "header", "x-served-by", "cache-"),
+    ("Fastly", "cdn", "header", "x-fastly-request-id", "."),
+    ("Fastly", "cdn", "dns", "", r"\.fastly(lb)?\.net$"),
+    ("Amazon CloudFront", "cdn", "header", "via", "cloudfront"),
+    ("Amazon CloudFront", "cdn", "header", "x-amz-cf-id", "."),
+    ("Amazon CloudFront", "cdn", "dns", "", r"\.cloudfront\.net$"),
+    ("Vercel", "hosting", "header", "server", "^vercel"),
+    ("Vercel", "hosting", "header", "x-vercel-id", "."),
+    ("Vercel", "hosting", "dns", "", r"vercel-dns\.com$|\.vercel\.app$"),
+    ("Netlify", "hosting", "header", "server", "netlify"),
+    ("Netlify", "hosting", "header", "x-nf-request-id", "."),
+    ("Netlify", "hosting", "dns", "", r"\.netlify\.app$|\.netlify\.com$"),
+    ("GitHub Pages", "hosting", "header", "server", r"github\.com"),
+    ("GitHub Pages", "hosting", "dns", "", r"\.github\.io$"),
+    ("Amazon Web Services", "hosting", "header", "server", "amazons3"),
+    ("Amazon Web Services", "hosting", "header", "x-amz-request-id", "."),
+    ("Amazon Web Services", "hosting", "dns", "", r"\.amazonaws\.com$|awsdns-"),
+    ("Google Cloud", "hosting", "header", "server", "^gws$|google frontend|^gse$"),
+    ("Google Cloud", "hosting", "header", "via", r"1\.1 google"),
+    ("Google Cloud", "hosting", "dns", "", r"googledomains\.com$|\.googleusercontent\.com$|ghs\.googlehosted\.com$"),
+    ("Microsoft Azure", "hosting", "header", "x-azure-ref", "."),
+    ("Microsoft Azure", "hosting", "dns", "", r"\.azurewebsites\.net$|\.azureedge\.net$|\.azurefd\.net$|\.trafficmanager\.net$"),
+    ("WP Engine", "hosting", "header", "x-powered-by", "wp engine"),
+    ("WP Engine", "hosting", "dns", "", r"\.wpengine\.com$"),
+    ("Kinsta", "hosting", "header", "x-kinsta-cache", "."),
+    ("Kinsta", "hosting", "dns", "", r"\.kinsta\.cloud$"),
+    ("Pantheon", "hosting", "header", "x-pantheon-styx-hostname", "."),
+    ("Pantheon", "hosting", "dns", "", r"\.pantheonsite\.io$"),
+    ("Heroku", "hosting", "dns", "", r"\.herokuapp\.com$|\.herokudns\.com$"),
+    ("DigitalOcean", "hosting", "dns", "", r"\.digitalocean\.com$|\.ondigitalocean\.app$"),
+    ("Hostinger", "hosting", "dns", "", r"\.hostinger\.com$|dns-parking\.com$"),
+    ("Bluehost", "hosting", "dns", "", r"\.bluehost\.com$"),
+    ("SiteGround", "hosting", "dns", "", r"\.siteground\.net$|sgvps\.net$"),
+    ("Vagaro", "other", "html", "", r"vagaro\.com"),
+    ("Google Analytics", "analytics", "script", "", r"google-analytics\.com/(analytics|ga)\.js|googletagmanager\.com/gtag/js"),
+    ("Google Analytics", "analytics", "html", "", r"gtag\('config',\s*'(UA|G)-|ga\('create'|_gaq\.push|googletagmanager\.com/gtag/js"),
+    ("Google Analytics 4", "analytics", "html", "", r"gtag\('config',\s*'G-[A-Z0-9]+'|googletagmanager\.com/gtag/js\?id=G-"),
+    ("Google Tag Manager", "analytics", "script", "", r"googletagmanager\.com/gtm\.js"),
+    ("Google Tag Manager", "analytics", "html", "", r"googletagmanager\.com/gtm\.js|GTM-[A-Z0-9]{4,}"),
+    ("Matomo", "analytics", "html", "", r"matomo\.js|piwik\.js|_paq\.push"),
+    ("Plausible", "analytics", "script", "", r"plausible\.io/js/"),
+    ("Plausible", "analytics", "html", "", r"plausible\.io"),
+    ("Fathom", "analytics", "script", "", r"usefathom\.com|cdn\.usefathom\.com"),
+    ("Hotjar", "analytics", "html", "", r"static\.hotjar\.com|hj\('"),
+    ("Microsoft Clarity", "analytics", "html", "", r"clarity\.ms/tag/"),
+    ("Mixpanel", "analytics", "html", "", r"cdn\.mxpnl\.com|mixpanel\.init"),
+    ("Segment", "analytics", "html", "", r"cdn\.segment\.com/analytics\.js|analytics\.load\("),
+    ("Amplitude", "analytics", "html", "", r"cdn\.amplitude\.com|amplitude\.getInstance"),
+    ("Heap", "analytics", "html", "", r"heapanalytics\.com|heap\.load\("),
+    ("Yandex Metrica", "analytics", "html", "", r"mc\.yandex\.ru/metrika|ym\(\d+"),
+    ("Baidu Analytics", "analytics", "html", "", r"hm\.baidu\.com/hm\.js"),
+    ("Adobe Analytics", "analytics", "html", "", r"omtrdc\.net|s_code\.js|adobedtm\.com|AppMeasurement"),
+    ("Cloudflare Web Analytics", "analytics", "html", "", r"static\.cloudflareinsights\.com/beacon"),
+    ("Umami", "analytics", "html", "", r'data-website-id=.*umami|umami\.js|/script\.js\" data-website-id'),
+    ("Google Ads", "advertising", "html", "", r"googleads\.g\.doubleclick\.net|gtag\('config',\s*'AW-|googleadservices\.com/pagead/conversion|AW-\d{6,}"),
+    ("Google AdSense", "advertising", "html", "", r"pagead2\.googlesyndication\.com/pagead/js/adsbygoogle|adsbygoogle"),
+    ("Google Ad Manager", "advertising", "html", "", r"securepubads\.g\.doubleclick\.net|googletag\.pubads"),
+    ("Meta Pixel", "advertising", "html", "", r"connect\.facebook\.net/[a-z_A-Z]+/fbevents\.js|fbq\('init'"),
+    ("TikTok Pixel", "advertising", "html", "", r"analytics\.tiktok\.com/i18n/pixel|ttq\.load\("),
+    ("LinkedIn Insight Tag", "advertising", "html", "", r"snap\.licdn\.com/li\.lms-analytics|_linkedin_partner_id"),
+    ("Pinterest Tag", "advertising", "html", "", r"s\.pinimg\.com/ct/core\.js|pintrk\("),
+    ("Snap Pixel", "advertising", "html", "", r"sc-static\.net/scevent\.min\.js|snaptr\("),
+    ("Twitter/X Pixel", "advertising", "html", "", r"static\.ads-twitter\.com/uwt\.js|twq\("),
+    ("Microsoft Advertising", "advertising", "html", "", r"bat\.bing\.com/bat\.js"),
+    ("Criteo", "advertising", "html", "", r"static\.criteo\.net|dynamic\.criteo\.com"),
+    ("Taboola", "advertising", "html", "", r"cdn\.taboola\.com"),
+    ("Outbrain", "advertising", "html", "", r"widgets\.outbrain\.com"),
+    ("Amazon Associates", "advertising", "html", "", r"amazon-adsystem\.com|assoc-amazon"),
+    ("Prebid", "advertising", "html", "", r"prebid(\.min)?\.js|pbjs\.que"),
+    ("HubSpot", "marketing", "html", "", r"js\.hs-scripts\.com|js\.hsforms\.net|hs-analytics\.net"),
+    ("Klaviyo", "marketing", "html", "", r"static\.klaviyo\.com|klaviyo\.js"),
+    ("Mailchimp", "marketing", "html", "", r"chimpstatic\.com|list-manage\.com|mailchimp"),
+    ("Intercom", "marketing", "html", "", r"widget\.intercom\.io|intercomSettings"),
+    ("Drift", "marketing", "html", "", r"js\.driftt\.com"),
+    ("Zendesk", "marketing", "html", "", r"static\.zdassets\.com|zendesk\.com/embeddable"),
+    ("Tidio", "marketing", "html", "", r"code\.tidio\.co"),
+    ("Crisp", "marketing", "html", "", r"client\.crisp\.chat"),
+    ("LiveChat", "marketing", "html", "", r"cdn\.livechatinc\.com"),
+    ("Tawk.to", "marketing", "html", "", r"embed\.tawk\.to"),
+    ("Calendly", "marketing", "html", "", r"assets\.calendly\.com"),
+    ("Typeform", "marketing", "html", "", r"embed\.typeform\.com"),
+    ("OneTrust", "marketing", "html", "", r"cdn\.cookielaw\.org|onetrust"),
+    ("Cookiebot", "marketing", "html", "", r"consent\.cookiebot\.com"),
+    ("reCAPTCHA", "other", "html", "", r"google\.com/recaptcha|recaptcha/api\.js"),
+    ("hCaptcha", "other", "html", "", r"hcaptcha\.com/1/api\.js"),
+    ("Stripe", "payments", "html", "", r"js\.stripe\.com"),
+    ("PayPal", "payments", "html", "", r"paypal\.com/sdk/js|paypalobjects\.com"),
+    ("Shop Pay", "payments", "html", "", r"shop\.app/|shopify-pay"),
+    ("Klarna", "payments", "html", "", r"klarna\.com/|klarnaservices"),
+    ("Afterpay", "payments", "html", "", r"afterpay\.com|afterpay\.js"),
+    ("Square", "payments", "html", "", r"squareup\.com|web\.squarecdn\.com"),
+    ("Font Awesome", "other", "html", "", "font-awesome|fontawesome"),
+    ("Google Fonts", "other", "html", "", r"fonts\.googleapis\.com"),
+    ("Google Maps", "other", "html", "", r"maps\.googleapis\.com/maps/api|maps\.google\.com/maps"),
+    ("YouTube embed", "other", "html", "", r"youtube(-nocookie)?\.com/embed/"),
+    ("Vimeo embed", "other", "html", "", r"player\.vimeo\.com/video/"),
+    ("Elementor", "other", "html", "", "elementor|/wp-content/plugins/elementor/"),
+    ("WPBakery", "other", "html", "", "js_composer|wpb_"),
+    ("Yoast SEO", "other", "html", "", "yoast seo|yoast-schema-graph"),
+    ("Rank Math", "other", "html", "", "rank math|rank-math"),
+    ("Divi", "other", "html", "", "/themes/Divi/|et_pb_"),
+    ("WP Rocket", "other", "html", "", "wp-rocket|wp rocket|rocket-loader"),
+    ("Cloudflare Rocket Loader", "cdn", "html", "", r"ajax/libs/rocket-loader|rocket-loader\.min\.js"),
+]
+IMPLIES = [
+    ("WordPress", "PHP", "server"),
+    ("Drupal", "PHP", "server"),
+    ("Joomla", "PHP", "server"),
+    ("HubSpot CMS", "HubSpot", "marketing"),
+    ("Sitecore", "ASP.NET", "framework"),
+    ("WooCommerce", "WordPress", "cms"),
+    ("Wix Stores", "Wix", "cms"),
+    ("Squarespace Commerce", "Squarespace", "cms"),
+    ("Next.js", "React", "framework"),
+    ("Nuxt", "Vue", "framework"),
+    ("Gatsby", "React", "framework"),
+    ("Remix", "React", "framework"),
+    ("Laravel", "PHP", "server"),
+    ("Google Analytics 4", "Google Analytics", "analytics"),
+    ("Shop Pay", "Shopify", "ecommerce"),
+    ("Elementor", "WordPress", "cms"),
+    ("WPBakery", "WordPress", "cms"),
+    ("Yoast SEO", "WordPress", "cms"),
+    ("Rank Math", "WordPress", "cms"),
+    ("Divi", "WordPress", "cms"),
+    ("WP Rocket", "WordPress", "cms"),
+    ("Cloudflare Rocket Loader", "Cloudflare", "cdn"),
 ]
-IMPLIES = [("Next.js", "React", "framework"), ("WordPress", "PHP", "language"), ("Drupal", "PHP", "language"), ("Joomla", "PHP", "language"), ("WooCommerce", "WordPress", "cms")]
 GENERIC_CART, CART_NAME = "Other cart", "Generic shopping cart"
 PREFER = ["Shopify", "WooCommerce", "Magento", "BigCommerce"]
 CDN_PROVIDERS = ["Cloudflare", "Fastly", "Amazon CloudFront", "Akamai"]

@@ -86,6 +86,18 @@ def test_technologies_close_and_demote(spark):
     assert {r["domain"]: r["ecommerce_platform"] for r in S.technology_summary(t, ["cms"]).collect()} == {"a": "WooCommerce", "b": "BigCommerce", "c": "Generic shopping cart"}
 
 
+def test_all_signatures_are_detected(spark):
+    rows = [
+        ("a", "<script src=https://js.stripe.com/v3></script> fbq('init', '1') /_nuxt/ x", "TYPO3 CMS", {"server": "LiteSpeed", "x-magento-tags": "1"}, ["laravel_session"], ["/js/jquery-3.7.min.js"], ["x.HEROKUDNS.com"]),
+        ("b", "gtag('config', 'G-AB12') wpb_row", None, {"via": "1.1 varnish"}, ["csrftoken"], [], ["a.azureedge.net"]), ("c", None, None, {}, [], [], []),
+    ]
+    d = S.detect_technologies(spark.createDataFrame(rows, "domain string, html string, generator string, headers map<string,string>, cookies array<string>, scripts array<string>, dns array<string>"))
+    got = {(r["domain"], r["tech"]) for r in d.collect()}
+    assert got == {("a", t) for t in ("Stripe", "Meta Pixel", "Nuxt", "Typo3", "LiteSpeed", "Magento", "Laravel", "Ruby on Rails", "jQuery", "Heroku")} | {("b", t) for t in ("Google Analytics", "Google Analytics 4", "WPBakery", "Varnish", "Django", "Microsoft Azure")}
+    assert len({s[0] for s in S.SIGNATURES}) == 138
+    assert {("b", "WordPress"), ("b", "PHP"), ("a", "Vue"), ("a", "PHP")} <= {(r["domain"], r["tech"]) for r in S.add_implied(d).collect()}
+
+
 def test_estimates_follow_the_rules(spark):
     features = spark.createDataFrame(
         [("big", 100.0, 4e6, True, False, True, False, None, None), ("none", None, 4e6, False, False, False, True, "not_found", None), ("parked", 1000.0, 4e6, True, True, True, False, None, None), ("absent", None, 4.6e6, True, False, True, False, None, 1e5)],
