@@ -1,11 +1,15 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-A vector's components are postings.  Each dimension of a shard is shifted so that
-impacts are not negative for either sign of a query's weight, and its vectors
-are sorted by value into segments, the quantised impacts.  A query takes segments of all
-dimensions by descending impact and adds one number per posting.  It stops when
-the sum of the impacts still to come proves that no vector outside the possible
-members can reach the k best, and rescores these exactly.
+A vector's components, less the middle of their dimension, are postings, and the
+impact of a posting is its size.  Impacts are quantised; the postings of one level
+are a segment.  Queries take the segments by descending impact, a few levels a step,
+and add up scores.  What a vector still lacks is bounded by the norm of its postings to come,
+so the search stops at the step that proves that all but a few vectors cannot reach a
+query's k best; these possible members are scored exactly.
+
+Shards are cells around pivots.  A query first asks the shard it lies in, whose k-th
+score is its threshold everywhere else; cells whose ball cannot reach the threshold are
+not asked at all.
 """
 
 from __future__ import annotations
@@ -17,121 +21,188 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-LEVELS = 16
-#: A query takes its segments in so many steps, and looks for proof after some of them.
-STEPS, CHECKS = 16, (9, 12)
-SHARD_ROWS, QUERY_ROWS = 8_192, 8_192
+#: Levels of quantised impact, and the shares of the squared norm still to come at which a step ends.
+LEVELS, STEPS = 16, (0.1, 0.03, 0.0)
+#: A search passes on to exact scores once so small a share of all pairs is possible.
+FEW = 1 / 64
+SHARD_ROWS, QUERY_ROWS, CHUNK = 8_192, 32_768, 256
+#: Pivots are drawn from at most so many rows; every row is indexed.
+MAX_CELLS = 4_096
 
 
 class ImpactIndex:
-    """The segments of one shard of integer vectors (rows of ``x``)."""
+    """The impact segments of one shard of integer vectors (rows of ``x``)."""
 
     def __init__(self, x: np.ndarray, levels: int = LEVELS) -> None:
         self.x = x.astype(np.int64)
-        n, dims = x.shape
-        order = np.argsort(self.x, axis=0, kind="stable")
-        self.lists = np.ascontiguousarray(order.T.astype(np.int32))  # per dimension the rows by value
-        ends = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(int))
-        self.lo, self.hi = ends[:-1], ends[1:]
-        ranked = np.take_along_axis(self.x, order, axis=0)
-        self.least, self.most = ranked[self.lo], ranked[self.hi - 1]  # per segment and dimension
-        self.floor, self.roof = ranked[0], ranked[-1]
-        self.segment = np.empty((n, dims), np.int16)
-        np.put_along_axis(self.segment, order, np.repeat(np.arange(len(self.lo), dtype=np.int16), self.hi - self.lo)[:, None] + np.zeros((1, dims), np.int16), axis=0)
-
-    def search(self, q: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best (more on ties with the last); rows of ``skip`` take no part."""
+        self.middle = np.median(self.x, axis=0).astype(np.int64)
+        e = self.x - self.middle
+        impact = np.abs(e)
+        # level 0 has the greatest impacts
+        level = levels - 1 - impact * levels // (int(impact.max(initial=0)) + 1)
+        energy = e.astype(float) ** 2
+        whole, self.steps, done = energy.sum() or 1.0, [], np.zeros(e.shape, bool)
+        self.norm = float(np.sqrt(energy.sum(axis=1).max(initial=0)))
+        to_come, ends = 1 - np.cumsum(np.bincount(level.ravel(), energy.ravel(), levels)) / whole, []
+        for share in STEPS[:-1]:
+            ends.append(int(np.argmax(to_come <= share)))
+        for end in dict.fromkeys([*ends, levels - 1]):
+            now = (level <= end) & ~done
+            done |= now
+            left = np.sqrt(np.where(done, 0.0, energy).sum(axis=1))
+            self.steps.append((np.where(now, e, 0).astype(np.float32), left.astype(np.float32)))
+
+    def search(self, q: np.ndarray, k: int, own: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of all that can be among the k best of each query (rows of ``q``).
+
+        ``own`` is the row that a query may not find, or -1; rows that score under a
+        query's ``threshold`` (-inf: none) may be left out.
+        """
+        n, dims = self.x.shape
         q = q.astype(np.int64)
-        n, many = len(self.x), len(self.lo)
-        up = q > 0
-        base = int(np.where(up, q * self.floor, q * self.roof).sum())
-        low = np.where(up, q * (self.least - self.floor), q * (self.most - self.roof))
-        high = np.where(up, q * (self.most - self.floor), q * (self.least - self.roof))
-        # a segment's turn is by its greatest impact; the next one of its dimension bounds what is to come
-        high = np.where(up, high, high[::-1])
-        low = np.where(up, low, low[::-1])
-        high, low = high[::-1], low[::-1]
-        turn = np.argsort(-high, axis=None, kind="stable")
-        acc, slack = np.full(n, base, float), high - low
-        seen_slack, taken = np.zeros(n), np.zeros(len(q), np.int64)
-        live = np.ones(n, bool)
-        live[skip] = False
-        members = np.flatnonzero(live)
-        want = min(k, len(members))
-        if not want:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        turned, last = np.where(up, -1, 1).astype(np.int16), np.where(up, many - 1, 0).astype(np.int16)
-        steps = np.array_split(turn, min(STEPS, len(turn)))
-        for i, step in enumerate(steps):
-            level, dim = np.divmod(step, len(q))
-            seg = np.where(up[dim], many - 1 - level, level)
-            lo, hi = self.lo[seg], self.hi[seg]
-            ids = np.concatenate([self.lists[j, a:b] for j, a, b in zip(dim.tolist(), lo.tolist(), hi.tolist(), strict=True)])
-            acc += np.bincount(ids, np.repeat(low[level, dim], hi - lo), n)
-            seen_slack += np.bincount(ids, np.repeat(slack[level, dim], hi - lo), n)
-            np.maximum.at(taken, dim, level + 1)
-            if i + 1 in CHECKS or i == len(steps) - 1:
-                # of the dimensions whose turn has not come to a vector, at most the next impact is to come
-                following = np.where(taken < many, high[np.minimum(taken, many - 1), np.arange(len(q))], 0)
-                waits = self.segment[members] * turned + last >= taken.astype(np.int16)
-                reach = acc[members] + seen_slack[members] + waits.astype(np.float32) @ following.astype(np.float32) * (1 + 1e-4) + 1
-                best = np.partition(acc[members], len(members) - want)[len(members) - want]
-                members = members[reach >= best]
-                if len(members) <= max(8 * k, n // 50):
-                    break
-        exact = self.x[members] @ q
-        cut = np.partition(exact, len(exact) - want)[len(exact) - want]
-        keep = exact >= cut
-        return members[keep], exact[keep]
+        size = np.sqrt((q.astype(float) ** 2).sum(axis=1))
+        wide = q.astype(np.float32)
+        # what single precision may be off by
+        off = ((dims + 8) * 2.0**-22 * size * self.norm + 1e-3).astype(np.float32)
+        need = threshold - (q @ self.middle).astype(float) - off
+        mine = np.flatnonzero(own >= 0)
+        acc = np.zeros((len(q), n), np.float32)
+        size = size.astype(np.float32) * np.float32(1 + 1e-5)
+        for step, left in self.steps:
+            acc += wide @ step.T
+            acc[mine, own[mine]] = -np.inf
+            rest = size[:, None] * left[None, :]
+            if n > k:
+                sure = np.partition(acc - rest, n - k, axis=1)[:, n - k] - 2 * off
+                need = np.maximum(need, sure)
+            member = acc + rest >= need[:, None]
+            member[mine, own[mine]] = False
+            if member.mean() <= FEW:
+                break
+        who, row = np.nonzero(member)
+        score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[a], self.x[b]) for a, b in ((who[i : i + 65_536], row[i : i + 65_536]) for i in range(0, len(who), 65_536)))])
+        return who, row, score
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v) with v = floor(scale * component); rows with a null vec_id, vector or component,
-    or a component that isn't finite, take no part."""
+    or a component that isn't finite, take no part.  Inner products must stay within a long."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), x.alias("x")).where("vec_id is not null and x is not null").where(~bad)
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
-def _matrix(t: pa.Table, dims: int) -> np.ndarray:
-    out = np.zeros((t.num_rows, dims), np.int64)
-    for i, v in enumerate(t.column("v").to_pylist()):
-        out[i, : len(v)] = v
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """The lists of a column as rows, filled up with zeros."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    many = c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(c), dims), np.int64)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    out[np.repeat(np.arange(len(c)), many), at] = c.flatten().to_numpy()
     return out
 
 
+_FOUND = "query_row long, query_id long, vec_id long, row_id long, score long"
+
+
+def _best(index: ImpactIndex, asked: tuple[np.ndarray, ...], ids: np.ndarray, uid: np.ndarray, k: int) -> pa.Table:
+    """The k best rows of one shard for each asked (row_id, vec_id, vector, threshold)."""
+    row, query, q, threshold = asked
+    order = np.argsort(uid)
+    place = np.minimum(np.searchsorted(uid[order], row), len(uid) - 1)
+    own = np.where(uid[order][place] == row, order[place], -1)
+    out = []
+    for i in range(0, len(row), CHUNK):
+        who, at, score = index.search(q[i : i + CHUNK], k, own[i : i + CHUNK], threshold[i : i + CHUNK])
+        best = np.lexsort((uid[at], ids[at], -score, who))
+        first = np.searchsorted(who[best], who[best])
+        best = best[np.arange(len(best)) - first < k]
+        who, at, score = who[best] + i, at[best], score[best]
+        out.append((row[who], query[who], ids[at], uid[at], score))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    return pa.table(dict(zip([x.split()[0] for x in _FOUND.split(", ")], cols, strict=True)))
+
+
 def top_k(ws: Workspace, vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """For each row of ``vectors(vec_id, v)`` where ``is_query``: rank, vec_id and score of its k best
     others by inner product, ties to the smaller vec_id.
 
-    Blocks of queries meet blocks of vectors; each meeting is one index search per
-    query and keeps k rows, of which the k best over all shards remain.  Repeated
-    rows are rows of their own: a copy of the query's row is a candidate.  A shorter
-    vector counts as padded with zeros.
+    Repeated rows are rows of their own: a copy of the query's row is a candidate.  A
+    shorter vector counts as padded with zeros.  A cell beyond ``shard_rows``, such as
+    one of very many equal vectors, is dealt to several shards; queries meet a shard in
+    blocks of ``query_rows``.  What is sent to all tasks is at most MAX_CELLS pivots.
+    No rows or no queries give no rows.
     """
-    rows = ws.save(vectors.withColumn("row_id", F.monotonically_increasing_id()), "vectors")
-    n, m, dims = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
-    dims, shards, blocks = max(1, dims or 0), max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    one = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where(is_query).withColumn("block", one(blocks, 1)).withColumn("shard", every(shards))
-    kept = rows.withColumn("shard", one(shards, 2)).withColumn("block", every(blocks))
-
-    def search(q: pa.Table, x: pa.Table) -> pa.Table:
-        out = []
-        if q.num_rows and x.num_rows:
-            ids, uid = x.column("vec_id").to_numpy(), x.column("row_id").to_numpy()
-            index = ImpactIndex(_matrix(x, dims))
-            asked = zip(q.column("row_id").to_pylist(), q.column("vec_id").to_pylist(), _matrix(q, dims), strict=True)
-            for row, query, v in asked:
-                at, score = index.search(v, k, np.flatnonzero(uid == row))
-                best = np.lexsort((uid[at], ids[at], -score))[:k]
-                out.append((np.full(len(best), row), np.full(len(best), query), ids[at][best], uid[at][best], score[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "row_id", "score"), cols, strict=True)))
-
-    schema = "query_row long, query_id long, vec_id long, row_id long, score long"
-    found = asked.groupBy("block", "shard").cogroup(kept.groupBy("block", "shard")).applyInArrow(search, schema)
+    rows = ws.save(vectors.withColumn("row_id", F.monotonically_increasing_id()).withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
+    n, m, dims = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    if not m:
+        return ws.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims, cells, blocks = max(1, dims or 0), min(MAX_CELLS, -(-n // shard_rows)), max(1, -(-m // query_rows))
+    drawn = rows.orderBy(F.xxhash64("v"), "row_id").limit(cells).select("v").toArrow()
+    pivots = _matrix(drawn.column("v"), dims).astype(np.float64)
+    lengths = (pivots**2).sum(axis=1)
+
+    def deal(batches):
+        for b in batches:
+            x = _matrix(b.column(1), dims).astype(np.float64)
+            parts = []
+            for i in range(0, len(x), 1024):
+                d = lengths[None, :] - 2 * (x[i : i + 1024] @ pivots.T)
+                parts.append((d.argmin(axis=1), d.min(axis=1) + (x[i : i + 1024] ** 2).sum(axis=1)))
+            cell, d = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0))
+            yield pa.record_batch([*b.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(np.maximum(d, 0)))], names=["vec_id", "v", "row_id", "asks", "cell", "away"])
+
+    dealt = ws.save(rows.mapInArrow(deal, "vec_id long, v array<long>, row_id long, asks boolean, cell int, away double"), "cells")
+    told = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    ws.drop(rows)
+    parts, radius = np.zeros(cells, np.int64), np.full(cells, -1.0)
+    for r in told:
+        parts[r["cell"]], radius[r["cell"]] = -(-r["n"] // shard_rows), r["radius"]
+    table = ws.spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "of int, parts long")
+    dealt = dealt.join(F.broadcast(table), F.col("cell") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("row_id"), "parts").cast("int")).drop("of", "parts")
+
+    def own(t: pa.Table) -> pa.Table:
+        x, asks = _matrix(t.column("v"), dims), t.column("asks").to_numpy()
+        ids, uid = t.column("vec_id").to_numpy(), t.column("row_id").to_numpy()
+        return _best(ImpactIndex(x), (uid[asks], ids[asks], x[asks], np.full(asks.sum(), -np.inf)), ids, uid, k)
+
+    near = ws.save(dealt.groupBy("cell", "part").applyInArrow(own, _FOUND), "nearest")
+    # a query with fewer than k rows in its own shard has no threshold yet
+    reached = near.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    asks = dealt.where("asks").join(reached.withColumnRenamed("query_row", "row_id"), "row_id", "left").select("vec_id", "v", "row_id", "cell", "part", "least")
+
+    def choose(batches):
+        """A query goes to every shard but its own whose ball reaches the threshold."""
+        reach = np.repeat(np.arange(cells), parts)
+        part = np.concatenate([np.arange(p) for p in parts]) if len(reach) else reach
+        for b in batches:
+            q = _matrix(b.column(1), dims).astype(np.float64)
+            home, own_part = b.column(3).to_numpy(), b.column(4).to_numpy()
+            least = b.column(5).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            for i in range(0, len(q), 256):
+                some = slice(i, i + 256)
+                size = np.sqrt((q[some] ** 2).sum(axis=1))
+                bound = (q[some] @ pivots.T + size[:, None] * radius[None, :]) * (1 + 1e-9) + np.abs(q[some] @ pivots.T) * 1e-9 + 1
+                hit = (bound >= least[some][:, None])[:, reach]
+                hit &= ~((home[some][:, None] == reach[None, :]) & (own_part[some][:, None] == part[None, :]))
+                who, to = np.nonzero(hit)
+                at = pa.array(who + i)
+                cols = [b.column(2).take(at), b.column(0).take(at), b.column(1).take(at), pa.array(least[who + i]), pa.array(reach[to].astype(np.int32)), pa.array(part[to].astype(np.int32))]
+                yield pa.record_batch(cols, names=["row_id", "vec_id", "v", "least", "cell", "part"])
+
+    sent = asks.mapInArrow(choose, "row_id long, vec_id long, v array<long>, least double, cell int, part int")
+    sent = sent.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(blocks)).cast("int"))
+    kept = dealt.select("vec_id", "v", "row_id", "cell", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def others(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids, uid = x.column("vec_id").to_numpy(), x.column("row_id").to_numpy()
+        asked = q.column("row_id").to_numpy(), q.column("vec_id").to_numpy(), _matrix(q.column("v"), dims), q.column("least").to_numpy()
+        if not q.num_rows or not x.num_rows:
+            return pa.table({c.split()[0]: np.zeros(0, np.int64) for c in _FOUND.split(", ")})
+        return _best(ImpactIndex(_matrix(x.column("v"), dims)), asked, ids, uid, k)
+
+    keys = "cell", "part", "block"
+    far = sent.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInArrow(others, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

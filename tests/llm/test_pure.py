@@ -108,20 +108,38 @@ def test_take_words_keeps_runs_and_spacing():
     assert mixing.take_words(" a b ", [(0, 2)]) == " a b "
 
 
-def test_index_is_exact_with_ties_and_negative_values():
+@pytest.mark.parametrize("spread", [3, 60, 100_000])
+def test_index_is_exact_with_ties_and_negative_values(spread):
     rng = np.random.default_rng(1)
-    x = rng.integers(-60, 60, (400, 16))
+    x = rng.integers(-spread, spread, (2000, 16))
     x[5] = x[6] = x[7]
+    index, own = topk.ImpactIndex(x), np.array([0, 5, -1, 1999])
+    q = x[[0, 5, 7, 1999]]
+    all_ = q @ x.T
+    all_[[0, 1, 3], [0, 5, 1999]] = -(10**18)
+    for threshold in (np.full(4, -np.inf), np.sort(all_, axis=1)[:, -5].astype(float), np.sort(all_, axis=1)[:, -9].astype(float)):
+        who, at, score = index.search(q, 5, own, threshold)
+        assert len(who) < 4 * len(x) / 8  # most rows are proved out of reach
+        for i in range(4):
+            mine = who == i
+            best = np.lexsort((at[mine], -score[mine]))[:5]
+            want = np.lexsort((np.arange(2000), -all_[i]))[:5]
+            assert at[mine][best].tolist() == want.tolist() and score[mine][best].tolist() == all_[i][want].tolist()
+    none = np.full(1, -np.inf)
+    assert topk.ImpactIndex(x[:3]).search(x[:1], 5, np.array([0]), none)[1].size == 2
+    assert topk.ImpactIndex(x[:1]).search(x[:1], 5, np.array([0]), none)[0].size == 0
+    assert topk.ImpactIndex(np.zeros((9, 4), int)).search(np.zeros((1, 4), int), 5, np.array([-1]), none)[1].size == 9
+
+
+def test_index_stops_before_the_last_segments():
+    rng = np.random.default_rng(2)
+    x = np.round(256 * rng.normal(size=(4000, 64)) / 8).astype(int)
     index = topk.ImpactIndex(x)
-    for i in (0, 5, 399):
-        at, score = index.search(x[i], 5, np.array([i]))
-        best = np.lexsort((at, -score))[:5]
-        all_ = x @ x[i]
-        all_[i] = -(10**9)
-        want = np.lexsort((np.arange(400), -all_))[:5]
-        assert at[best].tolist() == want.tolist() and score[best].tolist() == all_[want].tolist()
-    assert topk.ImpactIndex(x[:3]).search(x[0], 5, np.array([0]))[0].size == 2
-    assert topk.ImpactIndex(x[:1]).search(x[0], 5, np.array([0]))[0].size == 0
+    best = np.sort(x[:20] @ x.T, axis=1)[:, -6].astype(float)
+    assert len(index.steps) == 3
+    index.steps[-1] = (np.full_like(index.steps[-1][0], np.nan), index.steps[-1][1])  # a step that is taken would spoil all scores
+    who, at, score = index.search(x[:20], 5, np.arange(20), best)
+    assert all((score[who == i] >= best[i]).sum() >= 5 for i in range(20))
 
 
 def test_band_recall_is_high_at_the_threshold():

@@ -224,9 +224,10 @@ def test_top_k_matches_brute_force(spark, ws):
     import random
 
     random.seed(2)
-    rows = [(i, [random.gauss(0, 0.2) for _ in range(8)]) for i in range(150)] + [(50, [0.1] * 8), (151, None), (152, [0.1, None] * 4), (153, [float("nan")] * 8), (None, [0.1] * 8), (154, [0.2] * 3), (155, [])]
+    rows = [(i, [random.gauss(0, 0.2) for _ in range(8)]) for i in range(150)] + [(50, [0.1] * 8), (151, None), (152, [0.1, None] * 4), (153, [float("nan")] * 8), (None, [0.1] * 8), (154, [0.2] * 3), (155, [])] + [(1000 + i, [0.3] * 8) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row_id", F.lit(0)).withColumn("x", F.lit(1))
-    got = topk.top_k(ws, topk.integer_vectors(df), F.col("vec_id") % 50 == 0, shard_rows=40).collect()
+    got = topk.top_k(ws, topk.integer_vectors(df), F.col("vec_id") % 50 == 0, shard_rows=40, query_rows=2).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, topk.top_k(ws, topk.integer_vectors(df), F.col("vec_id") % 50 == 0).collect()))
     f32 = lambda x: __import__("struct").unpack("f", __import__("struct").pack("f", x))[0]
     good = [(i, [math.floor(256 * f32(x)) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
