@@ -86,6 +86,22 @@ def as_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that ``df`` has a column of already (case aside)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, also those with dots or other odd characters in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def running_start(
     df: DataFrame, key: str, weight: Column, order: list[str], out: str, bucket_rows: int = 1_000
 ) -> DataFrame:
@@ -222,28 +238,45 @@ def _alike_masks(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return both >= SIMILAR * (a[0] + b[0] - both)
 
 
-def blocked_links(ws: Workspace, members: DataFrame, texts: DataFrame, shingles, block_rows: int = 2_000) -> DataFrame:
+def linked_groups(shingles):
+    """A linker of :func:`blocked_links` that compares sets of ``shingles(text)``, one group at a time."""
+
+    def run(groups: list[tuple[list[int], list[str]]]) -> list[tuple[int, int]]:
+        return [x for ids, texts in groups for x in star_links(ids, [shingles(t) for t in texts])]
+
+    return run
+
+
+def blocked_links(ws: Workspace, members: DataFrame, texts: DataFrame, linker, block_rows: int = 2_000, block_chars: int = 4_000_000) -> DataFrame:
     """Links (a, b) that span the components of alike texts within each group of ``members(grp, id)``.
 
-    ``texts(id, text)``, a saved table of the members only, meets each group sorted.
-    A group beyond ``block_rows`` is split into blocks, and each two blocks meet in a
-    group of their own, so that what a task holds is bounded.
+    ``texts(id, text)``, a saved table of the members only, meets each group sorted; ``linker``
+    takes a list of groups (ids, texts).  A group beyond ``block_rows`` rows or ``block_chars``
+    characters is split into blocks, and each two blocks meet in a group of their own, so that
+    what a task holds is bounded.
     """
-    large = members.groupBy("grp").count().select("grp", F.ceil(F.col("count") / block_rows).alias("blocks")).where("blocks > 1")
+    chars = texts.select(F.col("id").alias("tid"), F.length("text").alias("chars"))
+    wide = members.join(chars, F.col("id") == F.col("tid")).groupBy("grp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.least("n", F.ceil(F.col("chars") / block_chars)))
+    large = wide.select("grp", blocks.alias("blocks")).where("blocks > 1")
     dealt = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks"))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id")
 
     def run(batches):
-        out: list[tuple[int, int]] = []
-        made = lambda: pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def made() -> pa.RecordBatch:
+            out = linker(held)
+            return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        held, size = [], 0
         for t in by_group(batches, 1):
             if t.num_rows > 1:
-                out += star_links(t.column("id").to_pylist(), [shingles(x) for x in t.column("text").to_pylist()])
-            if len(out) > 20_000:
+                held.append((t.column("id").to_pylist(), t.column("text").to_pylist()))
+                size += sum(map(len, held[-1][1])) + 64 * t.num_rows
+            if size > 1 << 20:
                 yield made()
-                out = []
+                held, size = [], 0
         yield made()
 
     groups = dealt.join(texts, "id").select("grp", "id", "text")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, Workspace, as_text, blocked_links, components
+from .common import SIMILAR, Workspace, as_text, blocked_links, components, free_names, linked_groups, quoted
 
 SHINGLE = 6
 BANDS, ROWS = 12, 5
@@ -25,7 +25,7 @@ ENTRIES = BANDS * ROWS
 #: Distinct shingles from which a line has a one-permutation signature.
 LONG = 150
 _CHUNK = 1 << 20
-_LINES = "row_id long, doc_id long, line_no int, key binary"
+_LINES = "row_id long, doc_id long, line_no int, k1 long, k2 long"
 _U = np.uint64
 
 
@@ -123,18 +123,30 @@ def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
 
 
+def _halves(keys: list[bytes]) -> list[pa.Array]:
+    """The two halves of each key, as longs."""
+    both = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """One row per line of ``docs(row_id, doc_id, text)``, and one with line_no -1 and no key per document."""
+    """One row per line of ``docs(row_id, doc_id, text)`` with the halves of its key, and one with line_no -1
+    and no key per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            rows = []
-            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((row, doc, -1, None))
-                rows += [(row, doc, no, line_key(line)) for no, line in line_keys(text)]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row_id", "doc_id", "line_no", "key"])
+            who, number, keys = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                who.append(i)
+                number.append(-1)
+                for no, line in line_keys(text):
+                    who.append(i)
+                    number.append(no)
+                    keys.append(line_key(line))
+            at, no = pa.array(who, pa.int64()), np.array(number, np.int32)
+            place = np.cumsum(no >= 0) - 1  # of each line among the keys
+            own = pa.array(place, mask=no < 0)
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(no), *(h.take(own) for h in _halves(keys))], names=["row_id", "doc_id", "line_no", "k1", "k2"])
 
     return docs.select("row_id", F.col("doc_id").cast("long"), as_text("text").alias("text")).mapInArrow(run, _LINES)
 
@@ -144,7 +156,7 @@ def _different(batch: pa.RecordBatch) -> dict[bytes, str]:
 
 
 def banded_lines(docs: DataFrame) -> DataFrame:
-    """(key, bands) of each different line of a batch, a row per family it has."""
+    """(k1, k2, bands) of each different line of a batch, k1 and k2 the halves of its key, a row per family it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,55 +167,146 @@ def banded_lines(docs: DataFrame) -> DataFrame:
                 lines.append(line)
                 held += len(line)
                 if held > _CHUNK or i == len(todo) - 1:
-                    all_keys = pa.array(keys, pa.binary())
+                    halves = _halves(keys)
                     for which, bands in band_families(lines):
                         ends = pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS)
-                        yield pa.record_batch([all_keys.take(pa.array(which)), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["key", "bands"])
+                        yield pa.record_batch([*(h.take(pa.array(which)) for h in halves), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["k1", "k2", "bands"])
                     keys, lines, held = [], [], 0
 
-    return docs.select(as_text("text").alias("text")).mapInArrow(run, "key binary, bands array<long>")
+    return docs.select(as_text("text").alias("text")).mapInArrow(run, "k1 long, k2 long, bands array<long>")
 
 
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def candidate_buckets(ws: Workspace, banded: DataFrame) -> DataFrame:
-    """(grp, id): the different lines of ``banded(lid, bands)`` that share a bucket, those of all buckets
-    with the same first line together.  Rows are dealt by bucket once, and a row stays if a
-    neighbour in its bucket differs."""
-    rows = banded.select(F.explode("bands").alias("bucket"), "lid")
-    w = Window.partitionBy("bucket").orderBy("lid")
-    near = rows.withColumn("a", F.lag("lid").over(w)).withColumn("b", F.lead("lid").over(w))
-    found = ws.save(near.where("a <> lid or b <> lid").select("bucket", "lid"), "buckets")
+def _exact_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """(distinct shingles of all lines as numbers, sorted line by line; where each line's end), or None
+    where the lines have too many different characters for six of them and a line number in 64 bits."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[chars] = True
+    bits, line_bits = max(1, int(used.sum() - 1).bit_length()), max(1, (len(lines) - 1).bit_length())
+    if SHINGLE * bits + line_bits > 64:
+        return None
+    codes = (np.cumsum(used, dtype=np.uint64) - _U(1))[chars]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    n = len(codes) - SHINGLE + 1
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64) << _U(SHINGLE * bits), sizes)[:n]
+    for i in range(SHINGLE):
+        keys |= codes[i : i + n] << _U(bits * (SHINGLE - 1 - i))
+    valid = np.ones(n, bool)
+    ends = np.cumsum(sizes)[:-1]
+    for i in range(1, SHINGLE):
+        valid[ends - i] = False
+    keys = np.sort(keys[valid])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    line = (keys >> _U(SHINGLE * bits)).astype(np.int64)
+    return keys & _U((1 << SHINGLE * bits) - 1), np.cumsum(np.bincount(line, minlength=len(lines)))
+
+
+def group_links(groups: list[tuple[list[int], list[str]]]) -> list[tuple[int, int]]:
+    """(centre, member) pairs that span the components of similar lines of each group, by exact Jaccard
+    similarity of their shingles.
+
+    Every group puts up one centre a round, which all its lines that no component has
+    reached meet; the lines it reaches are centres later.  The rounds of all groups go together.
+    """
+    exact = _exact_shingles([x for _, lines in groups for x in lines]) if groups else None
+    if exact is None:
+        return linked_groups(shingles)(groups)
+    codes, ends = exact
+    starts = np.concatenate([[0], ends[:-1]])
+    many = ends - starts
+    ids = np.array([i for own, _ in groups for i in own], np.int64)
+    sizes = np.array([len(own) for own, _ in groups])
+    group = np.repeat(np.arange(len(groups)), sizes)
+    last = np.cumsum(sizes)
+    at = last - sizes  # of each group the next line to look at for a new component
+    left, fronts, live = np.ones(len(ids), bool), [[] for _ in groups], range(len(groups))
+    shift, out = int(codes.max()).bit_length(), []
+    wide = shift + len(groups).bit_length() > 64
+    while live:
+        centres = []
+        for g in live:
+            if fronts[g]:
+                centres.append(fronts[g].pop())
+                continue
+            while at[g] < last[g] and not left[at[g]]:
+                at[g] += 1
+            if at[g] < last[g]:
+                left[at[g]] = False
+                centres.append(int(at[g]))
+        if wide:
+            centres = centres[:1]
+        f = np.array(centres, np.int64)
+        turn = np.full(len(groups), -1)
+        turn[group[f]] = np.arange(len(f))
+        other = np.flatnonzero(left & (turn[group] >= 0)) if len(f) else f
+        mine = turn[group[other]]
+        a, b = many[other], many[f][mine]
+        some = np.minimum(a, b) >= SIMILAR * np.maximum(a, b)
+        other, mine, a, b = other[some], mine[some], a[some], b[some]
+        if len(other):
+            known = _spread(codes, starts[f], many[f]) | (np.repeat(np.arange(len(f), dtype=np.uint64), many[f]) << _U(shift) if not wide else _U(0))
+            asked = _spread(codes, starts[other], a) | (np.repeat(mine.astype(np.uint64), a) << _U(shift) if not wide else _U(0))
+            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(a) - a)
+            near = both >= SIMILAR * (a + b - both)
+            left[other[near]] = False
+            for x, c in zip(other[near].tolist(), f[mine[near]].tolist(), strict=True):
+                out.append((int(ids[c]), int(ids[x])))
+                fronts[group[x]].append(x)
+        waiting = np.add.reduceat(left, last - sizes) if len(left) else left
+        live = [g for g in live if waiting[g]]
+    return out
+
+
+def _spread(values: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The runs [start, start + many) of ``values`` after one another."""
+    return values[np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)]
+
+
+def candidate_buckets(ws: Workspace, banded: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(grp, id): the different lines of ``banded(k1, k2, bands)`` that share a bucket, by their number in
+    ``numbers(h1, h2, lid)``, those of all buckets with the same first line together.  Rows are dealt by bucket
+    once, and a row stays if a neighbour in its bucket differs; only such rows meet their numbers."""
+    rows = banded.select(F.explode("bands").alias("bucket"), "k1", "k2")
+    w = Window.partitionBy("bucket").orderBy("k1", "k2")
+    before, after = (f(F.struct("k1", "k2")).over(w) for f in (F.lag, F.lead))
+    near = rows.withColumn("a", before).withColumn("b", after)
+    differs = lambda c: F.col(c).isNotNull() & ((F.col(f"{c}.k1") != F.col("k1")) | (F.col(f"{c}.k2") != F.col("k2")))
+    near = near.where(differs("a") | differs("b")).select("bucket", "k1", "k2")
+    found = ws.save(near.join(numbers.hint("shuffle_hash"), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).select("bucket", "lid"), "buckets")
     firsts = found.groupBy("bucket").agg(F.min("lid").alias("grp")).withColumnRenamed("bucket", "b")
     return found.join(firsts, F.col("bucket") == F.col("b")).select("grp", F.col("lid").alias("id")).distinct()
 
 
 def line_links(ws: Workspace, docs: DataFrame, firsts: DataFrame, block_rows: int = 2_000) -> DataFrame:
-    """Links (a, b) between the numbers of different similar lines, ``firsts(key, lid, ...)``, that share a bucket.
+    """Links (a, b) between the numbers of different similar lines, ``firsts(k1, k2, lid, ...)``, that share a bucket.
 
     Only lines in such buckets have their text fetched, once each.
     """
-    numbers = firsts.select(F.col("key").alias("k"), "lid")
-    banded = banded_lines(docs).join(numbers.hint("shuffle_hash"), F.col("key") == F.col("k")).select("lid", "bands")
-    found = ws.save(candidate_buckets(ws, banded), "candidates")
-    wanted = ws.save(numbers.join(found.select(F.col("id").alias("lid")).distinct(), "lid"), "wanted")
+    numbers = firsts.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "lid")
+    found = ws.save(candidate_buckets(ws, banded_lines(docs), numbers), "candidates")
+    wanted = ws.save(numbers.join(found.select(F.col("id").alias("lid")).distinct(), "lid").select("h1", "h2", "lid"), "wanted")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = _different(batch)
-            yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string())], names=["key", "line"])
+            yield pa.record_batch([*_halves(list(own)), pa.array(list(own.values()), pa.string())], names=["k1", "k2", "line"])
 
-    all_lines = docs.select(as_text("text").alias("text")).mapInArrow(texts, "key binary, line string")
-    fetched = all_lines.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("k")).groupBy("lid").agg(F.min("line").alias("text")).withColumnRenamed("lid", "id")
+    all_lines = docs.select(as_text("text").alias("text")).mapInArrow(texts, "k1 long, k2 long, line string")
+    fetched = all_lines.join(wanted.hint("shuffle_hash"), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).groupBy("lid").agg(F.min("line").alias("text")).withColumnRenamed("lid", "id")
     fetched = ws.save(fetched, "lines")
-    return blocked_links(ws, found, fetched, shingles, block_rows)
+    return blocked_links(ws, found, fetched, group_links, block_rows)
 
 
 def dropped_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     """Per row of the saved table ``docs(row_id, doc_id, text)``: row_id, doc_id, n_lines (with a
-    character other than white space) and ``dropped``, the numbers of the lines to leave out.
+    character other than white space) and ``dropped``, of each line to leave out its line_no and the
+    document and line (kept_doc, kept_line) that keep its component.
 
     Equal and similar lines of all documents are one component through any chain;
     of each the line with the smallest (doc_id, row_id, line_no), null ids last,
@@ -211,17 +314,18 @@ def dropped_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
     """
     lines = ws.save(hashed_lines(docs), "hashed")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "line_no")
-    firsts = lines.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
+    firsts = lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(place).alias("first"))
     firsts = ws.save(firsts.withColumn("lid", F.monotonically_increasing_id()), "firsts")
     roots = components(ws, ws.save(line_links(ws, docs, firsts), "links"))
     linked = firsts.select("lid", "first").join(roots, F.col("lid") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("root").alias("r"), "kept")
     better = linked.join(least, F.col("root") == F.col("r")).select(F.col("lid").alias("l"), "kept")
-    kept = firsts.join(better, F.col("lid") == F.col("l"), "left").select(F.col("key").alias("k"), F.coalesce("kept", "first").alias("kept"))
-    kept = ws.save(kept.select("k", F.col("kept.row_id").alias("kept_row"), F.col("kept.line_no").alias("kept_line")), "kept")
-    told = lines.join(kept, lines["key"] == kept["k"], "left")
-    out = F.when((F.col("kept_row") != F.col("row_id")) | (F.col("kept_line") != F.col("line_no")), F.col("line_no"))
-    return told.groupBy("row_id", "doc_id").agg(F.count("key").alias("n_lines"), F.array_sort(F.collect_list(out)).alias("dropped"))
+    kept = firsts.join(better, F.col("lid") == F.col("l"), "left").select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.coalesce("kept", "first").alias("kept"))
+    kept = ws.save(kept.select("h1", "h2", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.row_id").alias("kept_row"), F.col("kept.line_no").alias("kept_line")), "kept")
+    told = lines.join(kept, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    gone = (F.col("kept_row") != F.col("row_id")) | (F.col("kept_line") != F.col("line_no"))
+    out = F.when(gone, F.struct("line_no", "kept_doc", "kept_line"))
+    return told.groupBy("row_id", "doc_id").agg(F.count("k1").alias("n_lines"), F.array_sort(F.collect_list(out)).alias("dropped"))
 
 
 def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
@@ -240,11 +344,12 @@ def dedup_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
 
     Documents that lose all their lines go; those without any line from the start stay.
     """
-    own = ws.save(docs.withColumn("_line_row", F.monotonically_increasing_id()), "numbered")
-    thin = own.select(F.col("_line_row").alias("row_id"), F.col("doc_id").cast("long"), "text")
-    told = ws.save(dropped_lines(ws, thin), "dropped").select(F.col("row_id").alias("_line_row"), F.col("n_lines").alias("_line_n"), F.col("dropped").alias("_line_out"))
-    rows = own.join(told.hint("shuffle_hash"), "_line_row").where("_line_n = 0 or size(_line_out) < _line_n")
-    rows = rows.withColumn("text", without_lines(as_text("text"), F.col("_line_out")))
+    row, n, out = free_names(docs, "_line_row", "_line_n", "_line_out")
+    own = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    thin = own.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long"), "text")
+    told = ws.save(dropped_lines(ws, thin), "dropped").select(F.col("row_id").alias(row), F.col("n_lines").alias(n), F.col("dropped.line_no").alias(out))
+    rows = own.join(told.hint("shuffle_hash"), row).where((F.col(n) == 0) | (F.size(out) < F.col(n)))
+    rows = rows.withColumn("text", without_lines(as_text("text"), F.col(out)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    return rows.select(*quoted(docs))

@@ -56,10 +56,15 @@ def op6_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its lines, and the numbers of those that equal or resemble an earlier line."""
+    """Per document its lines, the numbers of those that equal or resemble an earlier line, and for each
+    of them the doc_id and line number that stay for its component."""
     ws = Workspace(spark)
     rows = lines.dropped_lines(ws, lines.numbered(ws, table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+    listed = lambda name: F.array_join(F.col(f"dropped.{name}").cast("array<string>"), ",", "null")
+    return rows.select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), listed("line_no").alias("dropped"),
+        F.col("dropped.kept_doc").alias("kept_docs"), listed("kept_line").alias("kept_lines"),
+    )
 
 
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_text, blocked_links, components
+from .common import Workspace, as_text, blocked_links, components, linked_groups
 
 SEED = 42
 #: Fingerprints that the trees' vantage points and radii are fitted on, at most.
@@ -300,7 +300,7 @@ def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) ->
     several = grouped.groupBy("grp").count().where("count > 1").select("grp")
     members = ws.save(grouped.join(several, "grp"), "members")
     texts = ws.save(thin.select(F.col("row").alias("id"), "text").join(members.select("id").hint("shuffle_hash"), "id", "left_semi"), "texts")
-    same = components(ws, ws.save(blocked_links(ws, members, texts, lambda t: word_shingles(t, width)), "links"))
+    same = components(ws, ws.save(blocked_links(ws, members, texts, linked_groups(lambda t: word_shingles(t, width))), "links"))
     linked = units.select("id", "first").join(same, F.col("id") == F.col("node"))
     best = linked.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept.row").alias("kept"))
     gone = linked.join(best, "root").where("id <> kept").select(F.col("id").alias("gone"))
