@@ -5,10 +5,14 @@ at least one of ``slices`` bit slices.  Each slice has a vantage-point tree over
 the Hamming distance on that slice: a level has one vantage point and a radius;
 a fingerprint goes inside or outside by its distance, and also outside where the
 triangle inequality cannot rule out a partner there (inside, but within the
-slice's tolerance of the radius).  The leaves are the shards.  Every linked pair
-so meets in a shard, where distances to a local vantage point bound which pairs
-need their exact distance.  With more slices than bits of ``limit`` the tolerance
-is zero and a fingerprint visits one shard per tree.
+slice's tolerance of the radius).  The leaves are the shards, which overlap at the
+boundaries.  Every linked pair so meets in a shard, where distances to a local vantage
+point bound which pairs need their exact distance.
+
+With 3 slices and a limit of 4 the tolerance is one bit: about 17 of 100 fingerprints
+lie at a boundary, so a level leaves 0.585 of a node in each child.  That grows more
+slowly in copies than one tree of tolerance 4, where 68 of 100 lie there, and unlike
+more slices (tolerance 0) it has no greatest number of shards short of 2 to the 21.
 
 ``keep_one`` groups by Jaccard similarity, which fingerprints alone meet only in
 part, and so takes a second set of shards: buckets of MinHash bands.
@@ -16,6 +20,7 @@ part, and so takes a second set of shards: buckets of MinHash bands.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_text, blocked_links, components, linked_groups
+from .common import Workspace, as_text, blocked_links, components, free_names, linked_groups, quoted
 
 SEED = 42
 #: Fingerprints that the trees' vantage points and radii are fitted on, at most.
 FIT_SAMPLE = 4096
+#: Slices of a fingerprint, rows aimed at in a shard, and the share of a node that each child gets.
+SLICES, LEAF_ROWS, SHRINK = 3, 64, 0.585
 #: MinHash bands of ``keep_one`` and values in each: two sets of Jaccard similarity 0.8 share a bucket
 #: with probability 1 - (1 - 0.8**5)**20 = 0.9996; fingerprints in a bucket are linked within so many bits.
 BANDS, ROWS, BAND_LIMIT = 20, 5, 22
@@ -132,6 +139,11 @@ def fit_forest(sample: np.ndarray, depth: int, slices: int, seed: int = 1) -> li
     return forest
 
 
+def tree_depth(n: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Levels after which a shard of ``n`` fingerprints has about ``leaf_rows``."""
+    return min(48, max(0, math.ceil(math.log(max(n, 1) / leaf_rows) / -math.log(SHRINK))))
+
+
 def shards(fps: DataFrame, forest: list, tolerance: int) -> DataFrame:
     """(tree, leaf, fp): the shards that each distinct fingerprint visits."""
 
@@ -182,7 +194,7 @@ def star_links(fp: np.ndarray, limit: int, rows: int = 256) -> tuple[np.ndarray,
     return join(a).view(np.int64), join(b).view(np.int64)
 
 
-def links(ws: Workspace, fps: DataFrame, limit: int = 4, slices: int = 5, leaf_rows: int = 256, block_rows: int = 20_000) -> DataFrame:
+def links(ws: Workspace, fps: DataFrame, limit: int = 4, slices: int = SLICES, leaf_rows: int = LEAF_ROWS, block_rows: int = 20_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fps(fp)`` that span the components of all
     pairs within ``limit`` bits; exact, no pair that would join two components is missed.
 
@@ -190,7 +202,7 @@ def links(ws: Workspace, fps: DataFrame, limit: int = 4, slices: int = 5, leaf_r
     a group of their own, so that no group grows with a dense region.
     """
     n = fps.count()
-    depth = min(16, max(0, int(np.ceil(np.log2(max(n, 1) / leaf_rows)))))
+    depth = tree_depth(n, leaf_rows)
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(FIT_SAMPLE).collect()], np.int64)
     visits = shards(fps, fit_forest(sample, depth, slices), limit // slices)
     if n > block_rows:
@@ -276,7 +288,7 @@ def word_shingles(text: str, width: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) -> DataFrame:
+def keep_one(ws: Workspace, docs: DataFrame, limit: int = 4, width: int = 5) -> DataFrame:
     """Documents, with the columns of ``docs``, of which one stays of each group of near copies.
 
     Candidates are components of fingerprints within ``limit`` bits, and of those within
@@ -285,16 +297,17 @@ def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) ->
     The document with the smallest doc_id (nulls last) stays.  Exact copies meet by
     digest before anything else; texts without words are one group.
     """
-    own = ws.save(docs.withColumn("_sim_row", F.monotonically_increasing_id()), "numbered")
-    thin = own.select(F.col("_sim_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text"))
-    marked = ws.save(sketches(thin.withColumn("doc_id", F.col("row")), width), "fingerprints").withColumnRenamed("doc_id", "frow")
+    (name,) = free_names(docs, "_sim_row")
+    own = ws.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    thin = own.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text"))
+    marked = ws.save(sketches(thin.select(F.col("row").alias("doc_id"), "text"), width), "fingerprints").withColumnRenamed("doc_id", "frow")
     digests = thin.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     units = digests.groupBy("digest").agg(first).select("first", F.col("first.row").alias("id"))
     units = ws.save(units.join(marked, F.col("id") == F.col("frow")).select("id", "first", "fp", "buckets"), "units")
     fps = ws.save(units.select("fp").distinct(), "distinct")
     shared = bucket_links(ws, units.select(F.explode("buckets").alias("bucket"), "fp"))
-    roots = components(ws, ws.save(links(ws, fps, limit, limit + 1).unionByName(shared), "near"))
+    roots = components(ws, ws.save(links(ws, fps, limit).unionByName(shared), "near"))
     grouped = units.join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("grp"))
     grouped = ws.save(grouped, "groups")
     several = grouped.groupBy("grp").count().where("count > 1").select("grp")
@@ -304,8 +317,8 @@ def keep_one(ws: Workspace, docs: DataFrame, limit: int = 8, width: int = 5) ->
     linked = units.select("id", "first").join(same, F.col("id") == F.col("node"))
     best = linked.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept.row").alias("kept"))
     gone = linked.join(best, "root").where("id <> kept").select(F.col("id").alias("gone"))
-    kept = units.join(gone, F.col("id") == F.col("gone"), "left_anti").select(F.col("id").alias("_sim_row"))
-    return own.join(kept.hint("shuffle_hash"), "_sim_row", "left_semi").select(*docs.columns)
+    kept = units.join(gone, F.col("id") == F.col("gone"), "left_anti").select(F.col("id").alias(name))
+    return own.join(kept.hint("shuffle_hash"), name, "left_semi").select(*quoted(docs))
 
 
 def hex_fingerprint(fp: str = "fp"):
