@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, as_text, running_start
+from .common import WORD, Workspace, as_text, free_names, quoted, running_start
 
 #: A mix names weights per source, so sources are a small dimension; more than this is an error.
 MAX_SOURCES = 100_000
+#: Blocks in an output shard.
+SHARD_BLOCKS = 1_024
 SEGMENTS = "row_id long, source_no int, pass_no int, start long, length long, position long, window long"
 
 
@@ -88,29 +90,41 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_plan(spark, quota: list[Quota], shards: int, seed: int) -> DataFrame:
-    """(source_no, shard, lo, hi): the positions of each source that each shard takes."""
-    have = np.array([q.quota for q in quota], np.int64)
-    total = int(have.sum())
+def split_tree(have: np.ndarray, shards: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first position, blocks) of each source in shard ``k``: the walk from the root, whose node has the
+    quotas ``have``, down to leaf k.  A node's left half is one multivariate hypergeometric draw."""
+    lo, hi, at, own, total = 0, shards, np.zeros_like(have), have, int(have.sum())
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        slots = total * mid // shards - total * lo // shards
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, slots, method="marginals")
+        if k < mid:
+            hi, own = mid, left
+        else:
+            lo, at, own = mid, at + left, own - left
+    return at, own
+
+
+def shard_plan(spark, quota: list[Quota], shards: int, seed: int, width: list[int]) -> DataFrame:
+    """(s, shard, lo, hi, w): the positions [lo, hi) of each source that each shard takes, a row
+    for each window of ``width`` positions that they touch."""
+    have, wide = np.array([q.quota for q in quota], np.int64), np.array(width, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                lo, hi, at, own = 0, shards, np.zeros_like(have), have
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    slots = total * mid // shards - total * lo // shards
-                    rng = np.random.default_rng([seed, lo, hi])
-                    left = rng.multivariate_hypergeometric(own, slots, method="marginals")
-                    if k < mid:
-                        hi, own = mid, left
-                    else:
-                        lo, at, own = mid, at + left, own - left
+                at, own = split_tree(have, shards, k, seed)
                 s = np.flatnonzero(own)
-                yield pa.record_batch([pa.array(s.astype(np.int32)), pa.array(np.full(len(s), k)), pa.array(at[s]), pa.array((at + own)[s])], names=["s", "shard", "lo", "hi"])
+                lo, hi = at[s], (at + own)[s]
+                first = lo // wide[s]
+                many = (hi - 1) // wide[s] - first + 1
+                i = np.repeat(np.arange(len(s)), many)
+                w = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                cols = s[i].astype(np.int32), np.full(len(i), k), lo[i], hi[i], w
+                yield pa.record_batch([pa.array(c) for c in cols], names=["s", "shard", "lo", "hi", "w"])
 
     tasks = min(shards, 4 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, shards, 1, tasks).mapInArrow(run, "s int, shard long, lo long, hi long")
+    return spark.range(0, shards, 1, tasks).mapInArrow(run, "s int, shard long, lo long, hi long, w long")
 
 
 def word_counts(docs: DataFrame, out: str = "size") -> DataFrame:
@@ -118,10 +132,10 @@ def word_counts(docs: DataFrame, out: str = "size") -> DataFrame:
     return docs.withColumn(out, F.regexp_count(as_text("text"), F.lit(WORD)).cast("long"))
 
 
-def plan_mix(ws: Workspace, sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shard_blocks: int = 16_384, seed: int = 11) -> tuple[DataFrame, list[Quota]]:
+def plan_mix(ws: Workspace, sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> tuple[DataFrame, list[Quota]]:
     """The mix of a saved table ``sized(row_id, doc_id, source, size)``, row_id unique.
 
-    Returns rows (row_id, pass_no, start, length, shard, slot) -- words
+    Returns rows (row_id, source_no, pass_no, start, length, shard, slot) -- words
     [start, start + length) of a document at a place in a shard, shuffled within
     the shard -- and the quotas.  A source with a large share of all rows is dealt to
     many buckets and blocks.  Documents without words are never drawn.
@@ -154,23 +168,27 @@ def plan_mix(ws: Workspace, sized: DataFrame, weights: tuple[float, ...] = (5, 2
 
     placed = running_start(sized.where("size > 0"), "source", F.col("size"), ["doc_id", "size", "row_id"], "at")
     drawn = placed.select("row_id", "source", "at", "size").mapInArrow(segments, SEGMENTS)
-    of = F.element_at(F.array(*[F.lit(w).cast("long") for w in width] or [F.lit(1).cast("long")]), F.col("s") + 1)
-    plan = shard_plan(ws.spark, quota, shards, seed).withColumn("w", F.explode(F.sequence(F.floor(F.col("lo") / of), F.floor((F.col("hi") - 1) / of))))
+    plan = shard_plan(ws.spark, quota, shards, seed, width)
     hit = (F.col("source_no") == F.col("s")) & (F.col("window") == F.col("w")) & (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi"))
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source_no", "position"), "source_no", "position", "row_id")
     mixed = drawn.join(plan, hit).withColumn("slot", F.row_number().over(local) - 1)
-    return mixed.select("row_id", "pass_no", "start", "length", "shard", "slot"), quota
+    return mixed.select("row_id", "source_no", "pass_no", "start", "length", "shard", "slot"), quota
 
 
 def mix_summary(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, size, its source's size and target, and the words that the mix takes."""
+    """Per document: doc_id, size, its source's size and target, the words that the mix takes, and ``places``,
+    where they go: (shard, slot, start, length) of each run of words, in the order of shards and slots.
+
+    Null text and texts without words have no place; repeated rows are rows of their own; an empty
+    table gives no rows.
+    """
     thin = word_counts(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")).select("doc_id", "source", "size")
     sized = ws.save(thin.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     mixed, quota = plan_mix(ws, sized, **options)
-    taken = mixed.groupBy("row_id").agg(F.sum("length").alias("taken"))
+    taken = mixed.groupBy("row_id").agg(F.sum("length").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "slot", "start", "length"))).alias("places"))
     table = ws.spark.createDataFrame([(q.source, q.words, float(q.target)) for q in quota], "s string, source_size long, target double")
     rows = sized.join(taken, "row_id", "left").join(F.broadcast(table), sized["source"].eqNullSafe(table["s"]), "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("places", F.array()).alias("places"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,20 +203,25 @@ def take_words(text: str, parts: list[tuple[int, int]]) -> str:
 
 
 def mix_documents(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents with the columns of ``docs``: a row for each document and pass that
-    takes words of it, its text the words taken.  Rows of a document repeat if it is taken twice.
+    """The mixed documents with the columns of ``docs``, shard by shard in the order of slots.
+
+    A row holds the words of a document that one pass puts into one shard, so a document's
+    rows repeat if it is taken twice or its words fall into several shards.  A shard is the work of
+    one task, and its size is bounded.
     """
-    own = ws.save(word_counts(docs, "_mix_size").withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
-    thin = own.select(F.col("_mix_row").alias("row_id"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("_mix_size").alias("size"))
+    size, row, runs, shard, slot = free_names(docs, "_mix_size", "_mix_row", "_mix_runs", "_mix_shard", "_mix_slot")
+    own = ws.save(word_counts(docs, size).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    thin = own.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col(size).alias("size"))
     mixed, _ = plan_mix(ws, thin, **options)
-    runs = F.collect_list(F.struct("start", "length")).alias("_mix_runs")
-    parts = mixed.withColumnRenamed("row_id", "_mix_row").groupBy("_mix_row", "pass_no").agg(runs).drop("pass_no")
+    parts = mixed.groupBy("row_id", "pass_no", "shard").agg(F.collect_list(F.struct("start", "length")).alias(runs), F.min("slot").alias(slot))
+    parts = parts.select(F.col("row_id").alias(row), runs, F.col("shard").alias(shard), slot)
 
     @F.udf("string", useArrow=True)
     def slice_text(text: str, runs: list) -> str:
         return take_words(text, [(r["start"], r["length"]) for r in runs])
 
-    taken = own.join(parts, "_mix_row").withColumn("text", slice_text(as_text("text"), "_mix_runs"))
+    taken = own.join(parts, row).withColumn("text", slice_text(as_text("text"), runs))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.length("text").cast("long"))
-    return taken.select(*docs.columns)
+    placed = taken.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), shard).sortWithinPartitions(shard, slot)
+    return placed.select(*quoted(docs))
