@@ -4,9 +4,8 @@ Any two equal strings of ``length`` bytes hold an equal anchor, the k-mer with t
 least hash within them, at the same place, so the suffixes to sort are those that
 start at anchors; suffixes with an equal anchor are dealt to one shard, which is the
 first step of the sort.  In a shard the suffixes, and the reversed prefixes before
-them, are put in order by deep-shallow sorting: multikey quicksort over eight
-bytes at a time to a shallow depth, then a blind trie for each group that still
-ties.  Common-prefix lengths of neighbours then tell which strings around an anchor
+them, are put in order by deep-shallow sorting: multikey quicksort, eight bytes a
+word, to a shallow depth, then a blind trie for each group that still ties.  Common-prefix lengths of neighbours then tell which strings around an anchor
 are equal, and the smallest doc_id that has each.
 """
 
@@ -155,39 +154,70 @@ def blind_trie_order(strings: list[bytes], skip: int = 0) -> list[int]:
     return out
 
 
-def deep_shallow_order(strings: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
-    """The order of the rows of a byte matrix whose width is a multiple of eight."""
-    digits = strings.view(">u8").astype(np.uint64)
-    order, group = np.arange(len(strings)), np.zeros(len(strings), np.int64)
-    todo = np.arange(len(strings))  # places in the order that still tie
-    for level in range(min(shallow // 8, digits.shape[1])):
-        rows = order[todo]
-        sub = np.lexsort((digits[rows, level], group[todo]))
-        rows = rows[sub]
-        order[todo] = rows
-        new = np.concatenate([[True], (group[todo][1:] != group[todo][:-1]) | (digits[rows[1:], level] != digits[rows[:-1], level])])
-        start = np.flatnonzero(new)
-        sizes = np.diff(np.concatenate([start, [len(todo)]]))
-        group[todo] = np.repeat(todo[start], sizes)
-        todo = todo[np.repeat(sizes > 1, sizes)]
-        if not len(todo):
-            return order
-    cuts = np.flatnonzero(np.concatenate([[True], group[todo][1:] != group[todo][:-1]])).tolist() + [len(todo)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        rows, same = order[todo[a:b]], {}
+def multikey_quicksort(words: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order rows by ``group`` and then by their first ``depth`` words, and where rows still tie:
+    (order, starts, sizes) of the runs of two and more rows that agree in all of these.
+
+    Three-way partition as in a quicksort of strings: a segment's rows are dealt by one word to
+    less, equal and greater than a pivot (the median of three); the equal ones go on with the next word.  All
+    segments are partitioned together, pass by pass.
+    """
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    start, size = cuts, np.diff(np.concatenate([cuts, [len(order)]]))
+    level, ties = np.zeros(len(start), np.int64), []
+    while True:
+        done = (level >= depth) & (size > 1)
+        ties.append((start[done], size[done]))
+        more = (level < depth) & (size > 1)
+        start, size, level = start[more], size[more], level[more]
+        if not len(start):
+            break
+        first = np.cumsum(size) - size  # of each segment among the rows of this pass
+        seg = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(seg)) + (start - first)[seg]
+        rows = order[place]
+        word = words[rows, level[seg]]
+        a, b, c = word[first], word[first + size // 2], word[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[seg]
+        less, same = word < pivot, word == pivot
+        n_less, n_same = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(same, first, dtype=np.int64)
+        more = ~(less | same)
+        rank = lambda hit: np.cumsum(hit) - np.concatenate([[0], np.cumsum(hit)[first[1:] - 1]])[seg] - 1
+        to = np.where(less, rank(less), np.where(same, n_less[seg] + rank(same), (n_less + n_same)[seg] + rank(more)))
+        order[start[seg] + to] = rows
+        start = np.concatenate([start, start + n_less, start + n_less + n_same])
+        size = np.concatenate([n_less, n_same, size - n_less - n_same])
+        level = np.concatenate([level, level + 1, level])
+    start, size = (np.concatenate(x) for x in zip(*ties, strict=True))
+    return order, start, size
+
+
+def deep_shallow_order(strings: np.ndarray, group: np.ndarray | None = None, shallow: int = SHALLOW) -> np.ndarray:
+    """The order, within each ``group``, of the rows of a byte matrix whose width is a multiple of eight:
+    multikey quicksort to ``shallow`` bytes, blind tries for the different strings of what ties."""
+    words = strings.view(">u8").astype(np.uint64)
+    group = np.zeros(len(strings), np.int64) if group is None else group
+    order, start, size = multikey_quicksort(words, group, min(shallow // 8, words.shape[1]))
+    for a, n in zip(start.tolist(), size.tolist(), strict=True):
+        rows, same = order[a : a + n], {}
         for r in rows.tolist():
             same.setdefault(strings[r].tobytes(), []).append(r)
         if len(same) > 1:
             keys = list(same)
-            order[todo[a:b]] = [r for i in blind_trie_order(keys, shallow) for r in same[keys[i]]]
+            order[a : a + n] = [r for i in blind_trie_order(keys, shallow) for r in same[keys[i]]]
+        else:
+            order[a : a + n] = next(iter(same.values()))
     return order
 
 
-def _neighbours(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order, and the common prefix of each row with the one before it in that order."""
-    order = deep_shallow_order(strings)
+def _neighbours(strings: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order within groups, and the common prefix of each row with the one before it in that order
+    (-1 where a group begins)."""
+    order = deep_shallow_order(strings, group)
     equal = strings[order[1:]] == strings[order[:-1]]
     common = np.where(equal.all(axis=1), strings.shape[1], equal.argmin(axis=1)) if len(equal) else np.zeros(0, np.int64)
+    common = np.where(group[order][1:] == group[order][:-1], common, -1)
     return order, np.concatenate([[-1], common])
 
 
@@ -201,9 +231,7 @@ def smaller_owners(left: np.ndarray, right: np.ndarray, group: np.ndarray, lo: n
     n = len(owner)
     parts = []
     for side in (right, left):
-        keyed = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), side], axis=1)
-        order, common = _neighbours(np.ascontiguousarray(keyed))
-        parts.append((order, common - 8))
+        parts.append(_neighbours(side, group))
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     open_ = np.full(n, -1)
     for d in range(int(lo.min()), int(hi.max()) + 2):
@@ -241,13 +269,18 @@ def contexts(t: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]
     return left, right
 
 
-def decide_shard(t: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Of contexts (g, h, sid, ctx, before, lo, hi, owner), g the group that may hold equal strings, each
-    different one once: its smallest owner, ``first``, and ``runs``, distances with a smaller owner still."""
+def distinct_contexts(t: pa.Table) -> pa.Table:
+    """Of equal contexts (g, h, sid, lo) the one with the smallest owner, sorted by these."""
     keys = [t.column(c).to_numpy() for c in ("owner", "lo", "sid", "h", "g")]
     order = np.lexsort(keys)
     new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys[1:]], axis=0)])
-    t = t.take(pa.array(order[new]))
+    return t.take(pa.array(order[new]))
+
+
+def decide_shard(t: pa.Table, length: int = LENGTH) -> pa.Table:
+    """Of contexts (g, h, sid, ctx, before, lo, hi, owner), g the group that may hold equal strings, each
+    different one once: its smallest owner, ``first``, and ``runs``, distances with a smaller owner still."""
+    t = distinct_contexts(t)
     left, right = contexts(t, length)
     group = np.unique(t.column("g").to_numpy(), return_inverse=True)[1]
     runs = smaller_owners(left, right, group, t.column("lo").to_numpy(), t.column("hi").to_numpy(), t.column("owner").to_numpy(), length)
@@ -325,18 +358,19 @@ def repeated_strings(ws: Workspace, units: DataFrame, length: int = LENGTH, k: i
     n = marked.count()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        """Whole groups of about ``shard_rows`` together; of a larger one only its different contexts are held."""
+        held, rows, most = [], 0, shard_rows
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held.append(t)
-            rows += t.num_rows
-            if rows > shard_rows:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows > most:
                 t = pa.concat_tables(held)
                 g = t.column("g").to_numpy()
                 end = int(np.searchsorted(g, g[-1], "left"))
                 if end:
                     yield from decide_shard(t.slice(0, end), length).to_batches()
-                held, rows = [t.slice(end)], t.num_rows - end
+                t = distinct_contexts(t.slice(end)).combine_chunks()
+                held, rows, most = [t], t.num_rows, max(shard_rows, 2 * t.num_rows)
         if rows:
             yield from decide_shard(pa.concat_tables(held), length).to_batches()
 
