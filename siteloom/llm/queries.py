@@ -39,9 +39,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents; the Markov models learn from what the fixed patterns find."""
+    """Secrets in all documents; the Markov models learn from what the fixed patterns find in them, other
+    words of a sample of them, and labelled samples made by rule."""
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.train_markov(secrets.corpus_samples(docs)))
+    samples = secrets.corpus_samples(docs).unionByName(secrets.labelled_samples(spark))
+    return secrets.scan(docs, secrets.train_markov(samples))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
