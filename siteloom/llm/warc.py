@@ -2,7 +2,8 @@
 
 Records are written with Spark's text sink, whose line separator is the blank
 lines that end a record, and read with the binary-file source, so that archives
-live wherever Spark reads and writes.  One archive file per partition.
+live wherever Spark reads and writes.  A file is read as one value, so its size is bounded: files
+of pages by the input split they come from, deduplicated ones by FILE_BYTES.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "record_id string, warc_type string, page_id long, uri string, date string, digest string, n_bytes long, refers_to long"
 _BATCH = 4 << 20
+#: Bytes of records in a deduplicated archive file, about.
+FILE_BYTES = 256 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -56,10 +59,10 @@ def record_text(kind: Column, payload: Column, n_bytes: Column, refers: dict[str
     )
 
 
-def write_records(ws: Workspace, records: DataFrame, path: str) -> None:
-    """Write a one-column frame of record texts as gzip archives."""
+def write_records(ws: Workspace, records: DataFrame, path: str, per_file: int = 0) -> None:
+    """Write a one-column frame of record texts as gzip archives, of ``per_file`` records at most (0: one file per partition)."""
     with ws.writing():
-        records.write.option("compression", "gzip").option("lineSep", END).text(path)
+        records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def write_pages(ws: Workspace, pages: DataFrame, path: str, date: str) -> None:
@@ -169,11 +172,12 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def deduplicate_archive(ws: Workspace, source: str, target: str, date: str, min_bytes: int = 0) -> None:
+def deduplicate_archive(ws: Workspace, source: str, target: str, date: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write to ``target`` the archive at ``source`` with repeated payloads as revisit records.
 
     Payloads move once, to meet the decision on their record; revisit records are
-    made from headers alone.
+    made from headers alone.  A file takes as many records as have about ``file_bytes`` together,
+    by their mean size (headers about 700 bytes).
     """
     spark = ws.spark
     told = ws.save(resolve_revisits(read_records(spark, source, payload=False).drop("refers_to"), min_bytes), "decisions")
@@ -187,7 +191,8 @@ def deduplicate_archive(ws: Workspace, source: str, target: str, date: str, min_
     }
     again = told.where("record_type = 'revisit'").withColumn("date", F.lit(date))
     revisits = again.select(record_text(F.lit("revisit"), F.lit(b""), F.col("n_bytes"), refers).alias("value"))
-    write_records(ws, responses.unionByName(revisits), target)
+    mean = told.agg(F.avg(F.when(F.col("record_type") == "response", F.col("n_bytes")).otherwise(0) + 700)).first()[0]
+    write_records(ws, responses.unionByName(revisits), target, max(1, int(file_bytes // (mean or 1))))
 
 
 def revisit_pages(ws: Workspace, pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", later: str = "2024-01-02T00:00:00Z") -> DataFrame:
