@@ -113,8 +113,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
     """Fit on the labelled documents outside the held-out fold, ``limit`` label rows at most, in hash order.
 
-    Null labels and labels without a document are passed over.  Only the texts of
-    these rows are read into features.
+    Null labels and labels without a document are passed over; repeated rows of either table
+    count once each.  Only the texts of these rows are read into features, whole and of any length
+    (null or empty: all statistics zero).  Without both labels, as with empty tables, there is no model.
     """
     told = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_id is not null and _quality in (0, 1)")
     told = told.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "_quality").limit(limit)
@@ -124,14 +125,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             x = pa.array([text_features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))
             yield pa.record_batch([b.column(0), b.column(1), x], names=["id", "y", "x"])
 
-    known = docs.join(F.broadcast(told), docs["doc_id"] == told["_id"]).select("_id", "_quality", as_text("text"))
+    known = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == F.col("_id")).select("_id", "_quality", as_text("text"))
     rows = known.mapInArrow(run, "id long, y int, x array<double>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 
 
 def quality_score(model: Model | None) -> Column:
-    """Score of the ``text`` column, 0 to 1 (null text: empty); 0.5 for all without a model."""
+    """Score of the ``text`` column, 0 to 1 (null text: empty); 0.5 for all without a model.
+
+    Equal texts have equal scores; a score of exactly the cut counts as good.
+    """
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Workspace, as_text
+from .common import BLANK, Workspace, as_text, free_names
 
 #: Labelled rows that a list is learned from, at most, and thresholds tried per statistic and label.
 MAX_LABELLED = 20_000
@@ -33,31 +33,32 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     repeated words are found by 64-bit hashes within the text; only texts that hold
     an equal pair sort theirs.
     """
-    t, n = F.col("_t"), F.size("_w")
-    out = docs.withColumn("_t", as_text(text))
-    trimmed = F.btrim("_t", F.lit(" \t\n\x0b\x0c\r"))
-    out = out.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANK}]+")))
-    out = out.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    h = F.col("_h")
+    _t, _w, _h, _v, _s, _p, _l = free_names(docs, "_t", "_w", "_h", "_v", "_s", "_p", "_l")
+    t, n = F.col(_t), F.size(_w)
+    out = docs.withColumn(_t, as_text(text))
+    trimmed = F.btrim(_t, F.lit(" \t\n\x0b\x0c\r"))
+    out = out.withColumn(_w, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANK}]+")))
+    out = out.withColumn(_h, F.transform(_w, lambda w: F.xxhash64(w)))
+    h = F.col(_h)
     window = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
-    out = out.withColumn("_v", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
-    ordered = F.array_sort(F.transform("_v", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_v")) < F.size("_v"), ordered))
-    s = F.col("_s")
-    again = F.filter("_s", lambda x, i: (F.get(s, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(s, F.greatest(i - 1, F.lit(0)))["h"] == x["h"])))
-    out = out.withColumn("_p", F.array_sort(F.transform(again, lambda x: x["i"])))
-    p = F.col("_p")
-    covered = F.transform("_p", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1), x + WINDOW) - x))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
-    out = out.withColumn("_l", lines)
-    same = F.filter(F.transform("_h", lambda x, i: F.get(h, i + 1) == x), lambda x: x)
-    without = lambda x: F.octet_length("_t") - F.octet_length(F.replace(t, F.lit(x), F.lit("")))
+    out = out.withColumn(_v, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    ordered = F.array_sort(F.transform(_v, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumn(_s, F.when(F.size(F.array_distinct(_v)) < F.size(_v), ordered))
+    s = F.col(_s)
+    again = F.filter(_s, lambda x, i: (F.get(s, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(s, F.greatest(i - 1, F.lit(0)))["h"] == x["h"])))
+    out = out.withColumn(_p, F.array_sort(F.transform(again, lambda x: x["i"])))
+    p = F.col(_p)
+    covered = F.transform(_p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1), x + WINDOW) - x))
+    lines = F.filter(F.split(_t, "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
+    out = out.withColumn(_l, lines)
+    same = F.filter(F.transform(_h, lambda x, i: F.get(h, i + 1) == x), lambda x: x)
+    without = lambda x: F.octet_length(_t) - F.octet_length(F.replace(t, F.lit(x), F.lit("")))
     values = {
-        "n_words": n, "word_chars": F.length("_t") - F.regexp_count("_t", F.lit(f"[{BLANK}]")), "n_symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)),
-        "n_marks": without("!"), "n_bars": without("|"), "n_caps": F.regexp_count("_t", F.lit("[A-Z]")), "n_adjacent": F.size(same),
+        "n_words": n, "word_chars": F.length(_t) - F.regexp_count(_t, F.lit(f"[{BLANK}]")), "n_symbols": F.regexp_count(_t, F.lit(r"[#*$%&|<>]")),
+        "n_dup_lines": F.size(_l) - F.size(F.array_distinct(_l)), "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)),
+        "n_marks": without("!"), "n_bars": without("|"), "n_caps": F.regexp_count(_t, F.lit("[A-Z]")), "n_adjacent": F.size(same),
     }
-    out = out.withColumns({prefix + k: v.cast("long") for k, v in values.items()}).drop("_t", "_w", "_h", "_v", "_s", "_p", "_l")
+    out = out.withColumns({prefix + k: v.cast("long") for k, v in values.items()}).drop(_t, _w, _h, _v, _s, _p, _l)
     c = lambda k: F.col(prefix + k)
     rates = {"word_length": c("word_chars") / F.greatest(c("n_words"), F.lit(1)), "symbol_rate": c("n_symbols") / F.greatest(c("n_words"), F.lit(1)),
              "caps_rate": c("n_caps") / F.greatest(c("word_chars"), F.lit(1)), "repeat_rate": c("n_repeat_words") / F.greatest(c("n_words"), F.lit(1))}
