@@ -57,7 +57,7 @@ def test_fingerprint_matches_its_definition():
         assert simhash.fingerprint(t) == plain(t)
 
 
-@pytest.mark.parametrize("slices,limit", [(5, 4), (1, 4), (2, 5)])
+@pytest.mark.parametrize("slices,limit", [(3, 4), (5, 4), (1, 4), (2, 5)])
 def test_forest_shards_and_stars_find_every_component(slices, limit):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
@@ -78,6 +78,26 @@ def test_forest_shards_and_stars_find_every_component(slices, limit):
     assert got == want
 
 
+def test_without_overlap_at_boundaries_pairs_are_lost():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    near = base ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in base], np.uint64)
+    forest = simhash.fit_forest(np.concatenate([base, near]).view(np.int64), 8, simhash.SLICES)
+
+    def leaves(fp, tolerance):
+        out = set()
+        for tree, (mask, levels) in enumerate(forest):
+            own = [0]
+            for v, r in levels:
+                d = ((fp ^ v) & mask).bit_count()
+                own = [x for leaf in own for x in ([2 * leaf + (d > r)] + ([2 * leaf + 1] if r - tolerance < d <= r else []))]
+            out |= {(tree, x) for x in own}
+        return out
+
+    met = [sum(bool(leaves(a, t) & leaves(b, t)) for a, b in zip(base.tolist(), near.tolist())) for t in (0, 4 // simhash.SLICES)]
+    assert met[1] == 400 > met[0]
+
+
 def components_of(nodes, edges):
     root = {n: n for n in nodes}
 
@@ -175,12 +195,32 @@ def test_blind_trie_orders_like_sorted(strings):
     assert [strings[i] for i in suffixes.blind_trie_order(strings)] == sorted(strings)
 
 
-@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 2), st.integers(0, 3)), min_size=1, max_size=40))
-@settings(max_examples=60, deadline=None)
-def test_deep_shallow_orders_like_sorted(shape):
-    m = np.array([[97] * 20 + [97 + a] * 20 + [97 + b] * 8 + [97 + c] * 8 for a, b, c in shape], np.uint8)
-    order = suffixes.deep_shallow_order(m)
-    assert [m[i].tobytes() for i in order] == sorted(x.tobytes() for x in m)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(0, 2), st.integers(0, 3)), min_size=1, max_size=60), st.sampled_from([0, 8, 16, 56]))
+@settings(max_examples=80, deadline=None)
+def test_deep_shallow_orders_like_sorted(shape, shallow):
+    m = np.array([[97 + c] * 3 + [97] * 17 + [97 + a] * 20 + [97 + b] * 8 + [97 + c] * 8 for _, a, b, c in shape], np.uint8)
+    group = np.array([g for g, *_ in shape])
+    order = suffixes.deep_shallow_order(m, group, shallow)
+    assert sorted(order.tolist()) == list(range(len(m)))
+    assert [(group[i], m[i].tobytes()) for i in order] == sorted((g, x.tobytes()) for g, x in zip(group, m))
+
+
+def test_multikey_quicksort_leaves_ties_of_its_depth_to_the_tries(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 5, (3000, 3)).astype(np.uint64)
+    words[rng.random(3000) < 0.1, 0] = 2**64 - 1
+    group = rng.integers(0, 4, 3000)
+    order, start, size = suffixes.multikey_quicksort(words, group, 2)
+    keys = [(group[i], *words[i, :2].tolist()) for i in order]
+    assert keys == sorted(keys)
+    runs = {keys[a]: n for a, n in zip(start.tolist(), size.tolist())}
+    assert runs == {k: keys.count(k) for k in set(keys) if keys.count(k) > 1}
+    assert all(len({keys[i] for i in range(a, a + n)}) == 1 for a, n in zip(start.tolist(), size.tolist()))
+    # a shard's strings are ordered by these two steps and nothing else
+    asked = []
+    monkeypatch.setattr(suffixes, "blind_trie_order", lambda strings, skip=0: asked.append((len(strings), skip)) or sorted(range(len(strings)), key=strings.__getitem__))
+    m = np.array([[1] * 16 + [k] * 8 for k in (3, 1, 2)] + [[2] * 24], np.uint8)
+    assert suffixes.deep_shallow_order(m).tolist() == [1, 2, 0, 3] and asked == [(3, 16)]
 
 
 def test_anchors_partition_the_starts_and_agree_between_texts():
@@ -227,3 +267,18 @@ def test_decision_list_finds_a_planted_rule():
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1, 256], "<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00\x00\x01\x00\x00")
+
+
+def test_shards_draw_what_the_splitting_tree_gives_them():
+    have = np.array([700, 200, 90, 10])
+    parts = [mixing.split_tree(have, 10, k, 11) for k in range(10)]
+    assert sum(own for _, own in parts).tolist() == have.tolist() and all(own.sum() == 100 for _, own in parts)
+    at = np.zeros(4, int)
+    for first, own in parts:
+        assert first.tolist() == at.tolist()
+        at = at + own
+    even = np.array([own / have for _, own in parts])
+    assert even.std() > 0.01  # a draw, not an even cut
+    many = np.array([mixing.split_tree(have, 2, 0, seed)[1][0] for seed in range(400)])
+    # hypergeometric: 500 of 1000 blocks, 700 of them of the first source
+    assert abs(many.mean() - 350) < 2 and abs(many.std() - 7.25) < 1.2

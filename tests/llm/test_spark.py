@@ -194,7 +194,7 @@ def test_random_strings_of_all_documents_are_learned(spark):
 
 def secrets_of(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return [r[0] for r in df.select(F.flatten(F.array(*secrets.base_spans(F.col("text")).values()))).collect()]
+    return [r[0] for r in secrets.with_base_spans(df, "text").select(F.flatten(F.array("_assign", "_access", "_hex"))).collect()]
 
 
 def test_statistics_match_brute_force(spark, docs):
@@ -316,3 +316,108 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     assert sum("Shared closing line" in (t or "") for t in texts) <= 2
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert pieces and {"doc_id", "sequence_id", "offset", "length"} <= set(pieces[0].asDict())
+
+
+ODD = [
+    "_id", "_quality", "_q", "_part", "_t", "_w", "_h", "_v", "_base", "_token", "_sim_row", "_line_row", "_line_n", "_line_out", "_mix_row", "_mix_size", "_mix_runs", "row", "row_id", "key",
+    "owner", "grp", "node", "root", "fp", "f", "u", "k", "id", "at", "size", "shard", "slot", "start", "n", "s", "a", "b", "lid", "with.dot",
+]
+
+
+def test_columns_with_clashing_names_pass_through(spark, ws):
+    texts = [f"document {i} has its own words {i * i} and a few more of them\nline {i} of text" for i in range(12)]
+    rows = [(i, texts[i % 10], f"s{i % 2}", len(texts[i % 10]), *["mine"] * len(ODD)) for i in range(12)]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "x") for i in range(12)], "doc_id long, quality int, toxic int, _id string")
+    for got in (lines.dedup_lines(ws, docs), simhash.keep_one(ws, docs), mixing.mix_documents(ws, docs, share=1.0), docs.where(ranking.quality_score(ranking.train(docs, labels)) >= 0)):
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert all(r[c] == "mine" for c in ODD)
+    assert rules.with_statistics(docs).where("_t <> 'mine' or _w <> 'mine' or n_words < 10").count() == 0
+    for got in (rules.judge(ws, docs, labels), secrets.scan(docs, None), suffixes.removal_summary(ws, docs), simhash.near_duplicates(ws, docs), mixing.mix_summary(ws, docs), lines.dropped_lines(ws, lines.numbered(ws, docs))):
+        assert got.count() == 12
+
+
+def test_quality_of_null_empty_long_and_repeated_texts(spark):
+    texts = [None, "", "good words in a line of text. " * 5, "*** ### %%% !!! ||| " * 10, "word " * 200_000]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(50)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 2), 0) for i in range(50)] * 2, "doc_id long, quality int, toxic int")
+    model = ranking.train(docs, labels)
+    got = docs.select("text", ranking.quality_score(model).alias("s")).distinct().collect()
+    by = {r["text"]: r["s"] for r in got}
+    assert by[None] == by[""] and len(by) == 5 == len(got) and all(0 <= s <= 1 for s in by.values()) and by[texts[2]] > max(by[texts[3]], by[""])
+    assert ranking.train(docs.limit(0), labels) is None and ranking.train(docs, labels.limit(0)) is None
+
+
+def test_rules_with_repeated_labels_and_empty_tables(spark, ws):
+    texts = ["calm words in a long line of ordinary text that goes on and on for a while until it ends with a stop here. ", "*** ### %%% &&& ||| <<< >>> $$$ # * word % & | < > $ # * of % & no | < use > # * $ % & | < > $ "]
+    docs = spark.createDataFrame([(i, f"{texts[i % 2]} {i} {i * 7} {i * 31}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"] % 2, r["kept"]) for r in rules.judge(ws, docs, labels).collect()} == {(0, True), (1, False)}
+    assert rules.judge(ws, docs.limit(0), labels).count() == 0 and rules.judge(ws, docs, labels.limit(0)).where("kept").count() == 60
+
+
+def test_long_texts_with_many_matches_take_linear_time(spark):
+    import time
+
+    docs = lambda n: spark.createDataFrame([(1, " ".join(f"{i:020x}" if i % 2 else f"xQ9zK{i}Jw7vB4nHq2LpT8" for i in range(n)))], "doc_id long, text string")
+    table = secrets.train_markov(secrets.labelled_samples(spark))
+    took = []
+    for n in (500, 50_000):
+        began = time.perf_counter()
+        r = secrets.scan(docs(n), table).collect()[0]
+        took.append(time.perf_counter() - began)
+        spans = r["spans"].split(",")
+        assert r["n_hex"] == n // 2 and spans[0].startswith("markov:0:") and spans[1].startswith("hex:") and len(spans) == n
+    assert took[1] < 60
+
+
+def test_tokens_apart_from_fixed_spans(spark):
+    import itertools
+
+    spans = [(0, 30, 0), (5, 9, 2), (40, 50, 1), (41, 44, 2), (90, 95, 0)]
+    tokens = [(28, 33), (33, 40), (44, 49), (50, 60), (70, 91), (95, 99), (99, 120)]
+    for k in (0, 2, 5):
+        for base in itertools.combinations(spans, k):
+            rows = spark.createDataFrame([([(a, n, b, "") for a, b, n in base], [(a, 3, b, "") for a, b in tokens])], f"base {secrets.SPAN}, tokens {secrets.SPAN}")
+            got = secrets.with_apart(rows, "base", "tokens", "apart").first()["apart"]
+            assert [(x["start"], x["end"]) for x in got] == [(a, b) for a, b in tokens if not any(c < b and a < d for c, d, _ in base)]
+
+
+def test_markov_models_find_random_strings_and_leave_identifiers(spark):
+    import random
+    import string
+
+    random.seed(8)
+    pick = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.hexdigits.upper()[:16], string.ascii_lowercase + string.digits]
+    names = "reverse lookup translation matrix converter observer timestamp gateway cluster history payment address customer invoice product balance schedule reminder planner calendar".split()
+    made = lambda: random.choice([lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w), lambda w: "-".join(w), "".join])(random.sample(names, 4))
+    rows = [(i, f"see {pick(kinds[i % 5], 32)} there") for i in range(500)] + [(1000 + i, f"see {made()} there") for i in range(400)]
+    table = secrets.train_markov(secrets.labelled_samples(spark))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert sum("markov" in got[i] for i in range(500)) >= 0.97 * 500
+    assert sum("markov" in got[1000 + i] for i in range(400)) <= 0.02 * 400
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), table).count() == 0
+
+
+def test_archive_files_are_bounded(spark, ws):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i // 2} " * 50) for i in range(200)], "page_id long, url string, html string").repartition(2)
+    raw, slim = ws.path("raw"), ws.path("slim")
+    warc.write_pages(ws, pages, raw, "2024-01-01T00:00:00Z")
+    warc.deduplicate_archive(ws, raw, slim, "2024-01-02T00:00:00Z", file_bytes=10_000)
+    files = spark.read.format("binaryFile").load(slim + "/*.gz").select("path").collect()
+    many = spark.read.text([r["path"] for r in files]).where("value like 'WARC/1.1%'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 15 and max(r["count"] for r in many) <= 12
+    assert warc.read_records(spark, slim, payload=False).where("warc_type = 'revisit'").count() == 100
+
+
+def test_pipeline_of_empty_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _mix_row string"
+    for name, rows in (("none", []), ("same", [(1, "the same words in each row of this table", "en", "a", 3, "mine")] * 30)):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert len({r["doc_id"] for r in got}) == bool(rows)
