@@ -75,6 +75,85 @@ def extract_features(latest: DataFrame, fields: dict[str, tuple[str, str]], type
     return wide.select("domain", *cols)
 
 
+_LIST = "status string, rank double, list_date string, list_size double, ref_subnets double, ref_ips double, score double, ref_domains double, pr_rank double, n_hosts double"
+_STRINGS = "array<string>"
+#: What is read of each source's payload.
+PAYLOADS = {s: _LIST for s in POPULARITY_SOURCES} | {
+    "commoncrawl": "url_count double, unique_paths_max_crawl double, unique_subdomains_max_crawl double, crawl_count double, crawls_queried double, first_seen string, last_seen string, html_share double, limit_hit boolean",
+    "crawl": (
+        "reachable boolean, blocked boolean, requests double, homepage struct<status: double, redirected_to_other_domain: boolean, page: struct<schema_types: array<string>>>, "
+        "signals struct<parked: boolean, homepage_word_count: double, homepage_internal_links: double, homepage_external_links: double, has_rss: boolean, has_search: boolean, og_present: boolean, jsonld_present: boolean, title: string, html_lang: string>, "
+        "sitemaps struct<fetched: array<string>, url_count: double, url_count_estimated: double, kinds: map<string,double>, lastmod_buckets: map<string,double>, lastmod_max: string, truncated: boolean>, "
+        "structure struct<page_count_from_sitemap: double, product_count: double, article_count: double, category_count: double, language_count: double, subdomain_count: double>, "
+        "pages struct<fetched: double, ok: double, avg_word_count: double, avg_internal_links: double, schema_types: map<string,double>>, "
+        f"tech struct<technologies: array<struct<name: string>>, cms: string, ecommerce_platform: string, frameworks: {_STRINGS}, cdn: {_STRINGS}, hosting: {_STRINGS}, analytics: {_STRINGS}, advertising: {_STRINGS}, marketing: {_STRINGS}, payments: {_STRINGS}>"
+    ),
+    "dns": (
+        f"resolves boolean, nxdomain boolean, has_mx boolean, has_spf boolean, records map<string,{_STRINGS}>, infra struct<cdn: {_STRINGS}, hosting: {_STRINGS}, dns_provider: {_STRINGS}, email_provider: {_STRINGS}, parked_provider: string>, "
+        f"verification_tags {_STRINGS}, rdap struct<status: string, registration_date: string, domain_age_days: double, expiration_date: string, registrar: string>"
+    ),
+}
+PRODUCT_TYPES = ["Product", "ProductGroup", "Offer", "AggregateOffer"]
+ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "TechArticle"]
+ORGANISATION_TYPES = ["Organization", "Corporation", "LocalBusiness", "Store"]
+
+
+def feature_vector(latest: DataFrame) -> DataFrame:
+    """The 92 typed features of each domain out of its latest JSON payloads ``latest(domain, source, payload)``.
+
+    Each payload is parsed once, with the schema of its source.  Numbers are null where they were not observed; flags
+    that a payload lacks are false, but null without the payload; a crawl's site features are null unless it was reachable.
+    """
+    # a payload of any JSON kind but an object counts as an empty one
+    picked = [F.max(F.when(F.col("source") == s, F.coalesce("payload", F.lit("{}")))).alias(s) for s in PAYLOADS]
+    wide = latest.groupBy("domain").agg(*picked)
+    wide = wide.select("domain", *[F.when(F.col(s).isNotNull(), F.coalesce(F.from_json(s, t), F.from_json(F.lit("{}"), t))).alias(s) for s, t in PAYLOADS.items()])
+    c = F.col
+    whole = lambda path: c(path).cast("long")
+    false = lambda x: F.coalesce(x, F.lit(False))
+    have = lambda source, x: F.when(c(source).isNotNull(), x)
+    listed = lambda source, field: F.when((c(f"{source}.status") == "present") & c(f"{source}.rank").isNotNull(), c(f"{source}.{field}"))
+    up = lambda x: F.when(c("crawl.reachable"), x)
+    strings = lambda path: F.coalesce(c(path), F.array().cast(_STRINGS))
+    counted = lambda path, key: F.coalesce(c(path)[key], F.lit(0.0)).cast("long")
+    types = F.array_union(F.coalesce(F.map_keys("crawl.pages.schema_types"), F.array().cast(_STRINGS)), strings("crawl.homepage.page.schema_types"))
+    any_of = lambda names: F.arrays_overlap(types, F.array(*[F.lit(x) for x in names]))
+    names = F.transform(F.filter(F.coalesce("crawl.tech.technologies", F.array()), lambda t: t.isNotNull()), lambda t: t["name"])
+    out = {
+        "tranco_rank": listed("tranco", "rank").cast("long"), "tranco_list_date": c("tranco.list_date"), "tranco_list_size": whole("tranco.list_size"), "majestic_rank": listed("majestic", "rank").cast("long"),
+        "majestic_ref_subnets": listed("majestic", "ref_subnets").cast("long"), "majestic_ref_ips": listed("majestic", "ref_ips").cast("long"), "opr_rank": listed("openpagerank", "rank").cast("long"),
+        "opr_score": listed("openpagerank", "score"), "opr_ref_domains": listed("openpagerank", "ref_domains").cast("long"), "crux_rank_bucket": listed("crux_top", "rank").cast("long"),
+        "ccg_harmonic_rank": listed("cc_webgraph", "rank").cast("long"), "ccg_pagerank_rank": listed("cc_webgraph", "pr_rank").cast("long"), "ccg_n_hosts": listed("cc_webgraph", "n_hosts").cast("long"),
+    }
+    for name, field in {"url_count": "url_count", "unique_paths": "unique_paths_max_crawl", "unique_subdomains": "unique_subdomains_max_crawl", "crawl_count": "crawl_count", "crawls_queried": "crawls_queried"}.items():
+        out[f"commoncrawl_{name}"] = whole(f"commoncrawl.{field}")
+    out |= {f"commoncrawl_{k}": c(f"commoncrawl.{k}") for k in ("first_seen", "last_seen", "html_share")} | {"commoncrawl_limit_hit": have("commoncrawl", false(c("commoncrawl.limit_hit")))}
+    out |= {f"crawl_{k}": have("crawl", false(c(f"crawl.{k}"))) for k in ("reachable", "blocked")}
+    out |= {
+        "crawl_parked": have("crawl", false(c("crawl.signals.parked"))), "crawl_redirected_elsewhere": have("crawl", false(c("crawl.homepage.redirected_to_other_domain"))),
+        "crawl_homepage_status": whole("crawl.homepage.status"), "crawl_requests": whole("crawl.requests"), "sitemap_found": up(F.size(strings("crawl.sitemaps.fetched")) > 0),
+        "sitemap_url_count": up(whole("crawl.sitemaps.url_count")), "sitemap_page_count": up(whole("crawl.sitemaps.url_count_estimated")),
+    }
+    out |= {f"sitemap_{k}_count": up(counted("crawl.sitemaps.kinds", k)) for k in ("product", "article", "category")} | {f"sitemap_lastmod_{k}": up(counted("crawl.sitemaps.lastmod_buckets", k)) for k in ("30d", "90d", "365d", "older")}
+    out |= {"sitemap_lastmod_max": up(c("crawl.sitemaps.lastmod_max")), "sitemap_truncated": up(false(c("crawl.sitemaps.truncated")))}
+    out |= {k: up(whole(f"crawl.structure.{k}")) for k in ("page_count_from_sitemap", "product_count", "article_count", "category_count", "language_count", "subdomain_count")}
+    out |= {k: up(whole(f"crawl.pages.{f}")) for k, f in {"pages_fetched": "fetched", "pages_ok": "ok", "avg_word_count": "avg_word_count", "avg_internal_links": "avg_internal_links"}.items()}
+    out |= {f"homepage_{k}": up(whole(f"crawl.signals.homepage_{k}")) for k in ("word_count", "internal_links", "external_links")} | {k: up(false(c(f"crawl.signals.{k}"))) for k in ("has_rss", "has_search", "og_present", "jsonld_present")}
+    out |= {"schema_product": up(any_of(PRODUCT_TYPES)), "schema_article": up(any_of(ARTICLE_TYPES)), "schema_organization": up(any_of(ORGANISATION_TYPES)), "title": up(c("crawl.signals.title")), "html_lang": up(c("crawl.signals.html_lang"))}
+    seen = lambda path: F.coalesce(up(strings(path)), F.array().cast(_STRINGS))
+    out |= {"technology_count": up(F.size(names).cast("long")), "technologies": F.coalesce(up(names), F.array().cast(_STRINGS)), "cms": up(c("crawl.tech.cms")), "ecommerce_platform": up(c("crawl.tech.ecommerce_platform"))}
+    out |= {k: seen(f"crawl.tech.{f}") for k, f in {"frameworks": "frameworks", "cdn": "cdn", "hosting": "hosting", "analytics_tags": "analytics", "advertising_tags": "advertising", "payment_providers": "payments"}.items()}
+    out |= {"analytics_detected": up(F.size(strings("crawl.tech.analytics")) > 0), "advertising_tags_detected": up(F.size(strings("crawl.tech.advertising")) > 0), "marketing_tag_count": up(F.size(strings("crawl.tech.marketing")).cast("long"))}
+    out |= {f"dns_{k}": have("dns", false(c(f"dns.{k}"))) for k in ("resolves", "nxdomain", "has_mx", "has_spf")} | {f"dns_{k.lower()}_count": have("dns", F.size(F.coalesce(c("dns.records")[k], F.array().cast(_STRINGS))).cast("long")) for k in ("A", "NS")}
+    out |= {name: strings(f"dns.infra.{f}") for name, f in {"dns_cdn": "cdn", "dns_hosting": "hosting", "dns_provider": "dns_provider", "dns_email_provider": "email_provider"}.items()}
+    ok = lambda field: F.when(c("dns.rdap.status") == "ok", c(f"dns.rdap.{field}"))
+    out |= {
+        "dns_parked": have("dns", false(c("dns.infra.parked_provider") != "")), "dns_verification_tag_count": have("dns", F.size(strings("dns.verification_tags")).cast("long")), "domain_creation_date": ok("registration_date"),
+        "domain_age_days": ok("domain_age_days").cast("long"), "domain_expiration_date": ok("expiration_date"), "registrar": ok("registrar"), "rdap_status": c("dns.rdap.status"),
+    }
+    return wide.select("domain", *[v.alias(k) for k, v in out.items()])
+
+
 def source_status(domains: DataFrame, observed: DataFrame, sources: list[str]) -> DataFrame:
     """(domain, source, status): what the latest observation says, else ``missing``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import average_ranks, cols
+from .relational import cols
 
 # Traffic buckets by lower edge.
 BUCKETS = [("<1K", 0), ("1K-10K", 1_000), ("10K-100K", 10_000), ("100K-1M", 100_000), ("1M-10M", 1_000_000), ("10M+", 10_000_000)]
@@ -30,20 +30,63 @@ def nearest_rank(value: Column, share: float) -> Column:
     return F.get(v, F.least(F.size(v) - 1, F.floor(F.size(v) * F.lit(share)).cast("int")))
 
 
+def running_counts(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """(keys, value, n, before, total): per different value its rows, those of smaller values, and all rows of the key.
+
+    Equal values meet map-side.  A key's values are dealt to ranges between approximate quantiles, so that a key with
+    a large share of all rows is many windows; ``before`` is what the ranges before hold and what the window holds.  Nulls are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    at = F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts")
+    cuts = counts.groupBy(*keys).agg(at, F.sum("n").alias("total"))
+    dealt = counts.join(_renamed(cuts, keys), _same(keys)).drop(*[f"_k{i}" for i in range(len(keys))])
+    dealt = dealt.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _renamed(sums.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), [*keys, "_part"])
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, _same([*keys, "_part"]))
+    return rows.select(*keys, value, "n", (F.col("_start") + F.col("_in")).alias("before"), "total")
+
+
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out
+
+
+def wide_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Average ranks like W6 for keys of any size, by :func:`running_counts`; rows without a value are left out."""
+    ranks = running_counts(df, keys, value).select(*keys, F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    joined = df.join(_renamed(ranks, keys), _same(keys) & (F.col(value) == F.col("_v")))
+    return joined.drop("_v", *[f"_k{i}" for i in range(len(keys))])
+
+
 def error_summary(df: DataFrame, keys: str | list[str], error: str) -> DataFrame:
     """N, bias, median, MAE, RMSE, 90th percentile of |e|, and shares within 0.3, 0.5 and 1.
 
-    The percentile comes from the rank within the key, so that no group is gathered.
+    Median and percentile are picked by rank out of :func:`running_counts`, so that no group is gathered or sorted in one task.
     """
     keys, e = cols(keys), F.col(error)
-    w = Window.partitionBy(*keys)
     rows = df.where(e.isNotNull()).withColumn("_a", F.abs(e))
-    rows = rows.withColumn("_rn", F.row_number().over(w.orderBy("_a"))).withColumn("_n", F.count("*").over(w))
-    at = F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(0.9)) + 1)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(e).alias("bias"), F.median(e).alias("median"), F.avg("_a").alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.max(F.when(F.col("_rn") == at, F.col("_a"))).alias("p90"), *[F.avg((F.col("_a") <= t).cast("double")).alias(f"within_{n}") for n, t in (("03", 0.3), ("05", 0.5), ("10", 1.0))],
+    plain = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg("_a").alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        *[F.avg((F.col("_a") <= t).cast("double")).alias(f"within_{n}") for n, t in (("03", 0.3), ("05", 0.5), ("10", 1.0))],
     )
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("what"), e.alias("v")), F.struct(F.lit(1).alias("what"), F.col("_a").alias("v")))).alias("_x")).select(*keys, "_x.*")
+    ranked = running_counts(both, [*keys, "what"], "v")
+    rank = lambda at: (F.col("before") < at) & (at <= F.col("before") + F.col("n"))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    p90 = F.least(F.col("total"), F.floor(F.col("total") * F.lit(0.9)) + 1)
+    pick = lambda what, at: F.max(F.when((F.col("what") == what) & rank(at), F.col("v")))
+    picked = ranked.groupBy(*keys).agg(((pick(0, low) + pick(0, high)) / 2).alias("median"), pick(1, p90).alias("p90"))
+    out = plain.join(_renamed(picked, keys), _same(keys))
+    return out.select(*keys, "n", "bias", "median", "mae", "rmse", "p90", "within_03", "within_05", "within_10")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -55,7 +98,7 @@ def pearson(x: str, y: str) -> Column:
 def spearman(df: DataFrame, keys: str | list[str], x: str, y: str) -> DataFrame:
     """Pearson on average ranks, per key."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
+    rows = wide_ranks(wide_ranks(rows.select(*cols(keys), x, y), cols(keys), x, "_rx"), cols(keys), y, "_ry")
     return rows.groupBy(*cols(keys)).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("rho"))
 
 
@@ -88,7 +131,10 @@ def group_metrics(df: DataFrame, keys: str | list[str]) -> DataFrame:
 def overall_metrics(df: DataFrame) -> DataFrame:
     """Group metrics of all rows, and the error of always answering the median reference."""
     rows = df.withColumn("all", F.lit("all"))
-    middle = df.agg(F.median("reference").alias("median_visits"))
+    counts = running_counts(df.select(F.lit(0).alias("_all"), "reference"), ["_all"], "reference")
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    at = lambda r: F.max(F.when((F.col("before") < r) & (r <= F.col("before") + F.col("n")), F.col("reference")))
+    middle = counts.agg(((at(low) + at(high)) / 2).alias("median_visits"))
     gap = F.avg(F.abs(F.log10(F.greatest("reference", F.lit(1.0))) - F.log10(F.greatest("median_visits", F.lit(1.0)))))
     base = df.crossJoin(F.broadcast(middle)).groupBy("median_visits").agg(gap.alias("median_mae"))
     return group_metrics(rows, "all").crossJoin(F.broadcast(base))

@@ -18,7 +18,7 @@ PARKED = [
     "this web page is parked", "hugedomains", "dan.com", "afternic", "godaddy.com/domainsearch", "namecheap.com/domains/registration", "expired domain", "renew your domain",
 ]
 BLOCKED = [
-    "attention required", "access denied", "pardon our interruption", "verify you are a human", "are you a human", "captcha", "cf-challenge", "challenge-platform",
+    "just a moment", "attention required", "access denied", "pardon our interruption", "verify you are a human", "are you a human", "captcha", "cf-challenge", "challenge-platform",
     "bot detection", "request unsuccessful. incapsula", "_incapsula_resource", "perimeterx", "px-captcha", "ddos-guard", "reference #18.", "blocked by",
 ]
 INTERSTITIAL = [
@@ -35,7 +35,11 @@ PARKED_TEXT = r"(?i)/lander\b|domain (is )?for sale|buy this domain|parked (free
 PLATFORMS = [("magento", r"(?i)/static/version\d+/frontend/|mage/cookies|Magento_"), ("shopify", r"(?i)cdn\.shopify\.com|Shopify\.theme"), ("woocommerce", r"(?i)woocommerce|wc-ajax")]
 TAG_IDS = {"ga": r"\b(G-[A-Z0-9]{6,12}|UA-\d{4,10}-\d{1,3})\b", "gtm": r"\b(GTM-[A-Z0-9]{4,10})\b", "google_ads": r"\b(AW-\d{6,12})\b", "meta_pixel": r"fbq\(\s*['\"]init['\"]\s*,\s*['\"](\d{8,20})['\"]"}
 DENIAL_TEXT = r"(?i)(destination|target) (address|host) is not allowed|blocked by egress policy"
-KEPT_HEADERS = ["server", "x-powered-by", "via", "content-type", "x-generator", "cf-ray", "last-modified", "content-language"]
+KEPT_HEADERS = [
+    "server", "x-powered-by", "content-type", "cf-ray", "cf-mitigated", "x-vercel-id", "x-nf-request-id", "via", "x-served-by", "x-cache", "x-shopify-stage", "x-shopid", "x-wix-request-id",
+    "x-akamai-transformed", "x-amz-cf-id", "x-generator", "x-drupal-cache", "x-aspnet-version", "x-kinsta-cache", "x-pantheon-styx-hostname", "x-azure-ref", "x-magento-cache-debug",
+    "x-bc-apicontext", "x-fastly-request-id", "x-varnish", "last-modified",
+]
 
 FACTS = (
     "url string, title string, description string, lang string, canonical string, robots string, noindex boolean, generator string, n_h1 int, n_h2 int, n_h3 int, og map<string,string>, "
@@ -187,17 +191,37 @@ def basics(pages: DataFrame) -> DataFrame:
     )
 
 
-def link_edges(pages: DataFrame, links: Column, domain: str = "domain", url: str = "url", sample: int = 300) -> DataFrame:
-    """(src, dst, dst_host, internal) of each page's anchors, resolved, without fragments; other
-    schemes go; up to ``sample`` different targets per page, in page order."""
-    href = F.trim("_href")
-    base = U.url_origin(F.col(url))
-    folder = F.concat(base, F.regexp_replace(F.when(U.url_path(F.col(url)) == "", "/").otherwise(U.url_path(F.col(url))), r"[^/]*$", ""))
+def without_dots(path: Column) -> Column:
+    """A URL path whose ``.`` and ``..`` segments are worked in; ``..`` at the root is dropped."""
+    parts = F.split(path, "/", -1)
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    slash = F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(folded, "/"), slash)).otherwise(path)
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """``href`` on the page ``url`` as an absolute http(s) URL without fragment; null for fragments only, other schemes and nothing."""
+    origin, path = U.url_origin(url), F.when(U.url_path(url) == "", "/").otherwise(U.url_path(url))
+    rest, query = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"\?[^#]*", 0)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    scheme = href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     absolute = (
-        F.when(href.rlike(r"(?i)^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(base, href)).when(href.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)") | (href == ""), None).otherwise(F.concat(folder, href))
+        F.when(href.rlike(r"(?i)^https?://"), href).when(scheme | href.startswith("#") | (href == ""), None)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(origin, "^([a-z]+:)", 1), href)).when(href.startswith("/"), F.concat(origin, without_dots(rest), query))
+        .when(rest == "", F.concat(origin, U.url_path(url), query)).otherwise(F.concat(origin, without_dots(F.concat(folder, rest)), query))
     )
-    rows = pages.select(F.col(url).alias("src"), url, domain, F.posexplode(links).alias("_pos", "_href")).withColumn("dst", F.regexp_replace(absolute, "#.*$", ""))
+    return F.regexp_replace(absolute, "#.*$", "")
+
+
+def link_edges(pages: DataFrame, links: Column, domain: str = "domain", url: str = "url", sample: int = 300) -> DataFrame:
+    """(src, dst, dst_host, internal) of each page's anchors, resolved (relative, dot-segment and query-only
+    ones too), without fragments; other schemes go; up to ``sample`` different targets per page, in page order."""
+    rows = pages.select(F.col(url).alias("src"), url, domain, F.posexplode(links).alias("_pos", "_href")).withColumn("dst", resolved(F.col(url), F.trim("_href")))
     first = rows.where("dst is not null").groupBy("src", domain, "dst").agg(F.min("_pos").alias("_pos"))
     first = first.withColumn("_rn", F.row_number().over(Window.partitionBy("src").orderBy("_pos"))).where(F.col("_rn") <= sample)
     first = first.withColumn("dst_host", U.url_host(F.col("dst")))
@@ -205,7 +229,9 @@ def link_edges(pages: DataFrame, links: Column, domain: str = "domain", url: str
 
 
 def html_links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))
+    """The targets of all anchors, quoted in either way or not at all."""
+    raw = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    return F.transform(raw, lambda x: F.regexp_replace(x, """^["']|["']$""", ""))
 
 
 def dominant_origin(edges: DataFrame, site: str) -> DataFrame:
@@ -237,8 +263,31 @@ def blocked_reason(status: Column, mitigated: Column, body: Column) -> Column:
     return F.when(mitigated == "challenge", "cloudflare_challenge").when(refusing & first.isNotNull(), F.concat(code, F.lit(":"), first)).when(status.isin(403, 429), code)
 
 
+def _branding_issues(pages: DataFrame) -> list[Column]:
+    """Of a ``branding`` struct (logo and colours with confidence; favicon with source), if there is one."""
+    if "branding" not in pages.columns:
+        return []
+    b, has = F.col("branding"), F.col("branding").isNotNull()
+    failed = F.concat(F.lit("branding failed: "), F.coalesce("branding_error", F.lit("unknown"))) if "branding_error" in pages.columns else F.lit("branding failed: unknown")
+    logo, colours = b["logo"], b["colors"]
+    return [
+        F.when(~has, failed), F.when(has & logo.isNull(), "no logo").when(logo["confidence"] == "low", F.concat(F.lit("logo low confidence ("), logo["source"], F.lit(")"))),
+        F.when(has & (b["favicon"].isNull() | (b["favicon"]["source"] == "default")), "favicon not declared (guessed /favicon.ico)"),
+        F.when(has & colours["primary"].isNull(), "no primary color").when(colours["confidence"] == "low", F.concat(F.lit("colors low confidence ("), colours["basis"], F.lit(")"))),
+    ]
+
+
 def grade(pages: DataFrame, text: str = "markdown", success: Column | None = None) -> DataFrame:
-    """Words, lines, issues and the verdict GOOD, CHECK or BAD of each page's text."""
+    """Words, lines, issues and the verdict GOOD, CHECK or BAD of each page's text.
+
+    Where ``pages`` has them, ``error_code`` and ``status_code`` tell of a failure, ``url`` and ``final_url``
+    of a redirect to another host, and ``branding`` of what a brand lacks.
+    """
+    have = set(pages.columns)
+    bare_host = lambda c: F.regexp_replace(U.url_host(F.col(c)), r"^www\.", "")
+    off = F.when(bare_host("url") != bare_host("final_url"), F.concat(F.lit("redirected off-host to "), U.url_host(F.col("final_url")))) if {"url", "final_url"} <= have else None
+    code = F.coalesce("error_code", F.lit("unknown")) if "error_code" in have else F.lit("unknown")
+    failure = F.concat_ws(" ", F.concat(F.lit("failed: "), code), F.col("status_code").cast("string") if "status_code" in have else F.lit(None).cast("string"))
     ok = F.lit(True) if success is None else success
     md = F.coalesce(F.col(text), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[#>*_`|\\-]+", " ")
@@ -250,9 +299,10 @@ def grade(pages: DataFrame, text: str = "markdown", success: Column | None = Non
     link_lines = F.size(F.filter("_l", lambda x: x.rlike(r"^\W*\[[^\]]*\]\([^)]*\)\W*$")))
     issue = lambda cond, label: F.when(cond, F.lit(label))
     issues = [
-        issue(~ok, "failed"), F.when(w < 50, F.concat(F.lit("thin content ("), w, F.lit(" words)"))).when(w < 150, F.concat(F.lit("low content ("), w, F.lit(" words)"))),
+        F.when(~ok, failure), F.when(w < 50, F.concat(F.lit("thin content ("), w, F.lit(" words)"))).when(w < 150, F.concat(F.lit("low content ("), w, F.lit(" words)"))),
         *(issue((w < 400) & says(p), f"block/interstitial: {p}") for p in INTERSTITIAL), *(issue((w < 200) & says(p), f"placeholder: {p}") for p in PLACEHOLDER),
-        issue((n > 10) & (link_lines / n > 0.6), "mostly links"), issue((n > 20) & (F.size(F.array_distinct("_l")) / n < 0.5), "heavy duplication"),
+        F.when((n > 10) & (link_lines / n > 0.6), F.concat(F.lit("mostly links ("), link_lines, F.lit("/"), n, F.lit(" lines)"))), issue((n > 20) & (F.size(F.array_distinct("_l")) / n < 0.5), "heavy duplication"),
+        *([off] if off is not None else []), *_branding_issues(pages),
     ]
     rows = rows.withColumn("words", w).withColumn("lines", n).withColumn("images", F.regexp_count(md, F.lit(r"!\[[^\]]*\]\(")).cast("long")).withColumn("issues", F.array_compact(F.array(*issues)))
     bad = ~ok | (F.col("words") < 50) | F.exists("issues", lambda i: i.startswith("block"))
@@ -290,24 +340,48 @@ def page_outcome(docs: DataFrame) -> DataFrame:
 
 
 def bound_metadata(metadata: Column) -> Column:
-    """The first 40 entries with keys of at most 100 characters, values cut to 1000."""
+    """P17 on string maps: the first 40 entries with keys of at most 100 characters, values cut to 1000."""
     kept = F.slice(F.filter(F.map_entries(metadata), lambda e: F.length(e["key"]) <= 100), 1, 40)
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], F.substring(e["value"], 1, 1000))))
 
 
+def bound_json_metadata(metadata: Column) -> Column:
+    """P17 on JSON objects, as a map of JSON values: strings cut to 1000 characters, numbers, booleans and nulls as
+    they are, of arrays the first 20 strings, each cut; other values and arrays without a string go.  40 entries at most."""
+    kind = lambda v: F.schema_of_variant(v)
+    cut = lambda x: F.substring(x, 1, 1000)
+
+    def bounded(v: Column) -> Column:
+        texts = F.slice(F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: kind(x) == "STRING"), lambda x: cut(F.try_variant_get(x, "$", "string"))), 1, 20)
+        plain = kind(v).isin("BIGINT", "DOUBLE", "BOOLEAN", "VOID") | kind(v).startswith("DECIMAL")
+        return (
+            F.when(kind(v) == "STRING", F.to_json(F.to_variant_object(F.array(cut(F.try_variant_get(v, "$", "string"))))).substr(F.lit(2), F.greatest(F.length(F.to_json(F.to_variant_object(F.array(cut(F.try_variant_get(v, "$", "string")))))) - 2, F.lit(0))))
+            .when(plain, F.to_json(v)).when(kind(v).startswith("ARRAY") & (F.size(texts) > 0), F.to_json(texts))
+        )
+
+    entries = F.map_entries(F.from_json(metadata, "map<string,variant>"))
+    made = F.transform(F.filter(entries, lambda e: F.length(e["key"]) <= 100), lambda e: F.struct(e["key"].alias("key"), bounded(e["value"]).alias("value")))
+    return F.map_from_entries(F.slice(F.filter(made, lambda e: e["value"].isNotNull()), 1, 40))
+
+
 def fit_budget(content: DataFrame, budget: int) -> DataFrame:
-    """Links to 1000, then logo image, html, text, markdown and links give way, in this order, until
-    the JSON of the content fits ``budget`` bytes; ``truncated`` tells whether anything did."""
-    size = lambda: F.octet_length(F.to_json(F.struct("html", "text", "markdown", "links", "logo")))
-    rows = content.withColumn("_n", F.size("links")).withColumn("links", F.slice("links", 1, 1000)).withColumn("_s", size()).withColumn("truncated", F.col("_n") > 1000)
+    """Content whose JSON fits ``budget`` bytes stays as it is.  Else links are cut to 1000, then the logo image,
+    html, text, markdown and links give way, in this order, as far as needed; ``truncated`` tells which rows that were.
+
+    A text loses the bytes that are too many and 64 more, and a character that is cut in two goes whole.
+    """
+    size = lambda: F.octet_length(F.to_json(F.struct("html", "text", "markdown", "links", "logo"), {"ignoreNullFields": "false"}))
+    rows = content.withColumn("_s", size()).withColumn("truncated", F.col("_s") > budget)
     over = F.col("_s") > budget
-    rows = rows.withColumn("truncated", F.col("truncated") | over).withColumn("logo", F.when(~over, F.col("logo"))).withColumn("_s", size())
+    cut = F.when(F.col("truncated") & (F.size("links") > 1000), F.slice("links", 1, 1000)).otherwise(F.col("links"))
+    rows = rows.withColumn("links", cut).withColumn("_s", size())
+    rows = rows.withColumn("logo", F.when(~over, F.col("logo"))).withColumn("_s", size())
     for c in ("html", "text", "markdown"):
-        # a character takes at least one byte of the JSON, so cutting as many characters as there are bytes over is enough
-        room = F.greatest(F.length(c) - (F.col("_s") - budget), F.lit(0)).cast("int")
-        rows = rows.withColumn(c, F.when(over & F.col(c).isNotNull(), F.left(F.col(c), room)).otherwise(F.col(c))).withColumn("_s", size())
+        room = F.greatest(F.octet_length(c) - (F.col("_s") - budget) - 64, F.lit(0)).cast("int")
+        short = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), F.lit(1), room).cast("string")), "\ufffd+$", "")
+        rows = rows.withColumn(c, F.when(over & (F.length(c) > 0), short).otherwise(F.col(c))).withColumn("_s", size())
     rows = rows.withColumn("links", F.when(over, F.array().cast("array<string>")).otherwise(F.col("links"))).withColumn("_s", size())
-    return rows.withColumn("content_bytes", F.col("_s").cast("long")).drop("_s", "_n")
+    return rows.withColumn("content_bytes", F.col("_s").cast("long")).drop("_s")
 
 
 def store_platform(html: Column) -> Column:

@@ -279,12 +279,20 @@ def detect_technologies(inputs: DataFrame, signatures: list[tuple] | None = None
 
 
 def implied_closure(spark, implies: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """All (tech, implied, category) that follow through any chain; the table must have no cycle."""
-    rows = implies or IMPLIES
-    spark.createDataFrame(rows, "tech string, implied string, category string").createOrReplaceTempView("_implies")
-    return spark.sql("""WITH RECURSIVE c(tech, implied, category) AS (
-        SELECT tech, implied, category FROM _implies UNION ALL SELECT c.tech, i.implied, i.category FROM c JOIN _implies i ON c.implied = i.tech)
-        SELECT DISTINCT tech, implied, category FROM c""")
+    """All (tech, implied, category) that follow through any chain, cycles too, from a table of configuration size."""
+    follows: dict[str, dict[str, str]] = {}
+    for tech, implied, category in implies or IMPLIES:
+        follows.setdefault(tech, {})[implied] = category
+    rows = []
+    for tech in follows:
+        found, todo = {}, [tech]
+        while todo:
+            for implied, category in follows.get(todo.pop(), {}).items():
+                if implied not in found and implied != tech:
+                    found[implied] = category
+                    todo.append(implied)
+        rows += [(tech, implied, category) for implied, category in found.items()]
+    return spark.createDataFrame(rows, "tech string, implied string, category string")
 
 
 def add_implied(detected: DataFrame, implies: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -311,23 +319,33 @@ def technology_summary(detected: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def ranges_table(spark, cidrs: list[tuple[str, str]]) -> DataFrame:
-    """(ordinal, provider, lo, hi, block) of IPv4 ranges in feed order, one row per /8 that a range touches."""
+    """(ordinal, provider, lo, hi, block) of IPv4 and IPv6 ranges in feed order, bounds as hex, a row per block that a
+    range touches: the first two hex digits of an IPv4 address, the first four of an IPv6 one."""
     rows = []
     for i, (provider, cidr) in enumerate(cidrs):
-        if ":" not in cidr:
-            lo, hi = U.range_bounds(cidr)
-            rows += [(i, provider, lo, hi, b) for b in range(lo >> 24, (hi >> 24) + 1)]
-    return spark.createDataFrame(rows, "ordinal int, provider string, lo long, hi long, block long")
+        lo, hi = U.range_bounds(cidr)
+        digits, lead = (32, 4) if ":" in cidr else (8, 2)
+        shift = 4 * (digits - lead)
+        rows += [(i, provider, f"{lo:0{digits}x}", f"{hi:0{digits}x}", f"{b:0{lead}x}") for b in range(lo >> shift, (hi >> shift) + 1)]
+    return spark.createDataFrame(rows, "ordinal int, provider string, lo string, hi string, block string")
+
+
+def ip_hex(ip: Column) -> Column:
+    """An address as lower-case hex: 8 digits for IPv4, 32 for IPv6 (``::`` filled up), else null."""
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(F.lower(ip), "::", -1), F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(0), groups(1)
+    zeros = F.array_repeat(F.lit("0"), F.when(ip.contains("::"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0))
+    v6 = F.array_join(F.transform(F.concat(left, zeros, right), lambda x: F.lpad(x, 4, "0")), "")
+    return F.when(ip.contains(":"), F.when(v6.rlike("^[0-9a-f]{32}$"), v6)).otherwise(F.lpad(F.lower(F.hex(U.ip4_number(ip))), 8, "0"))
 
 
 def ip_providers(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(domain, ip, provider, role) of the first range in feed order that holds each address.
+    """(domain, ip, provider, role) of the first range in feed order that holds each address of its family.
 
-    A range join on the /8 as equi key; the ranges are a feed of known size.
+    A range join on an address's leading digits as equi key; the ranges are a feed of known size.
     """
-    n = U.ip4_number(F.col("ip"))
-    rows = ips.withColumn("_n", n).where("_n is not null").withColumn("block", F.floor(F.col("_n") / (1 << 24)).cast("long"))
-    hit = rows.join(F.broadcast(ranges), "block").where((F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
+    rows = ips.withColumn("_n", ip_hex(F.col("ip"))).where("_n is not null").withColumn("block", F.left("_n", F.when(F.length("_n") == 32, 4).otherwise(2)))
+    hit = rows.join(F.broadcast(ranges), "block").where((F.length("_n") == F.length("lo")) & (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
     best = hit.groupBy("domain", "ip").agg(F.min_by("provider", "ordinal").alias("provider"))
     return best.withColumn("role", F.when(F.col("provider").isin(CDN_PROVIDERS), "cdn").otherwise("hosting"))
 
@@ -421,21 +439,34 @@ def capture_summary(captures: DataFrame, cap: int = 200_000, exact: bool = True)
     n = F.count_distinct if exact else F.approx_count_distinct
     rows = captures.withColumn("host", U.url_host(F.col("url"))).withColumn("page", F.concat(F.col("host"), U.url_path(F.col("url")))).withColumn("_k", F.struct("domain", "crawl"))
     out = rows.groupBy("_k").agg(
-        F.count("*").alias("url_count"), F.least(n("page"), F.lit(cap)).alias("n_pages"), F.least(n("digest"), F.lit(cap)).alias("n_digests"), n("host").alias("n_hosts"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at")
-    )
+        F.count("*").alias("url_count"), F.least(n("page"), F.lit(cap)).alias("n_pages"), F.least(n("digest"), F.lit(cap)).alias("n_digests"), n("host").alias("n_hosts"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"),
+        F.count_if(F.col("mime").contains("html")).alias("html_count"), F.count_if(F.col("status") == "200").alias("ok_count"),
+        *([F.bool_or("limit_hit").alias("limit_hit")] if "limit_hit" in captures.columns else []),
+    )
     for c in ("host", "status", "mime"):
         out = out.join(top_counts(rows, "_k", c, 10, f"top_{c}"), "_k", "left")
     return out.select("_k.*", *[c for c in out.columns if c != "_k"])
 
 
-def capture_rollup(per_crawl: DataFrame) -> DataFrame:
-    """A2: per domain over its crawls: sums, most per crawl, crawls with data, first and last seen, html and 200 shares."""
+def capture_rollup(per_crawl: DataFrame, exact: bool = True) -> DataFrame:
+    """A2: per domain over its crawls: sums, most per crawl, crawls with data, first and last seen, html and 200 shares,
+    the eight most frequent content types of the crawls' top tens, and whether any crawl hit its limit.
+
+    ``exact`` False takes the shares from the top tens as well, where a rare type may be missing.
+    """
     total = lambda m, keep: F.aggregate(F.map_values(F.map_filter(m, keep)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    rows = per_crawl.withColumn("_h", total("top_mime", lambda k, _: k.contains("html"))).withColumn("_s", total("top_status", lambda k, _: k == "200"))
-    return rows.groupBy("domain").agg(
+    html = F.col("html_count") if exact else total("top_mime", lambda k, _: k.contains("html"))
+    ok = F.col("ok_count") if exact else total("top_status", lambda k, _: k == "200")
+    limit = F.coalesce(F.bool_or("limit_hit"), F.lit(False)) if "limit_hit" in per_crawl.columns else F.lit(False)
+    rows = per_crawl.withColumn("_h", html).withColumn("_s", ok).withColumn("_m", F.map_entries("top_mime"))
+    out = rows.groupBy("domain").agg(
         F.sum("url_count").alias("url_count"), F.max("url_count").alias("most_per_crawl"), F.count_if(F.col("url_count") > 0).alias("n_crawls"), F.min("first_at").alias("first_seen"), F.max("last_at").alias("last_seen"),
-        F.try_divide(F.sum("_h"), F.sum("url_count")).alias("html_share"), F.try_divide(F.sum("_s"), F.sum("url_count")).alias("ok_share"),
+        F.try_divide(F.sum("_h"), F.sum("url_count")).alias("html_share"), F.try_divide(F.sum("_s"), F.sum("url_count")).alias("ok_share"), F.flatten(F.collect_list("_m")).alias("_m"), limit.alias("limit_hit"),
     )
+    types = F.array_distinct(F.transform("_m", lambda e: e["key"]))
+    counted = F.transform(types, lambda k: F.struct((-F.aggregate(F.filter("_m", lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["value"])).alias("n"), k.alias("k")))
+    best = F.transform(F.slice(F.array_sort(counted), 1, 8), lambda e: F.struct(e["k"].alias("key"), (-e["n"]).alias("value")))
+    return out.withColumn("content_types", F.map_from_entries(best)).drop("_m")
 
 
 def sitemap_statistics(urls: DataFrame, today: Column) -> DataFrame:
@@ -450,7 +481,8 @@ def sitemap_statistics(urls: DataFrame, today: Column) -> DataFrame:
     )
 
 
-def extrapolated_count(parsed_urls: Column, parsed_children: Column, children: Column, truncated: Column) -> Column:
-    """A4: parsed URLs plus the average per child for each child that wasn't parsed, where truncated."""
-    more = F.floor(parsed_urls + parsed_urls / parsed_children * (children - parsed_children))
+def extrapolated_count(parsed_urls: Column, child_urls: Column, parsed_children: Column, children: Column, truncated: Column) -> Column:
+    """A4: parsed URLs plus, where truncated, the mean number of URLs in a parsed child of the index
+    (``child_urls`` in ``parsed_children``) for each child that wasn't parsed."""
+    more = F.floor(parsed_urls + child_urls / parsed_children * (children - parsed_children))
     return F.when(truncated & (parsed_children > 0) & (children > parsed_children), more).otherwise(parsed_urls)

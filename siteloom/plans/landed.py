@@ -99,9 +99,13 @@ def a1_two_level_summary(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT *, page_id % 3 AS c FROM {_P}), t AS (SELECT domain, c, count(*) AS n, count(*) FILTER (WHERE page_id % 4 <> 0) AS h, count(*) FILTER (WHERE page_id % 6 <> 0) AS o FROM p GROUP BY 1, 2)
-SELECT domain, CAST(sum(n) AS BIGINT) AS url_count, max(n) AS most_per_crawl, count(*) AS n_crawls, round(sum(h) / sum(n), 6) AS html_share, round(sum(o) / sum(n), 6) AS ok_share FROM t GROUP BY 1""")
+SELECT domain, CAST(sum(n) AS BIGINT) AS url_count, max(n) AS most_per_crawl, count(*) AS n_crawls, round(sum(h) / sum(n), 6) AS html_share, round(sum(o) / sum(n), 6) AS ok_share,
+  CASE WHEN sum(h) > sum(n) - sum(h) AND sum(n) > sum(h) THEN 'text/html=' || sum(h)::BIGINT || ';image/png=' || (sum(n) - sum(h))::BIGINT WHEN sum(n) = sum(h) THEN 'text/html=' || sum(h)::BIGINT
+       WHEN sum(h) = 0 THEN 'image/png=' || sum(n)::BIGINT ELSE 'image/png=' || (sum(n) - sum(h))::BIGINT || ';text/html=' || sum(h)::BIGINT END AS content_types, false AS limit_hit FROM t GROUP BY 1""")
 def a2_capture_rollup(spark, sf_dir):
-    return _round(S.capture_rollup(S.capture_summary(captured(spark, sf_dir)))).select("domain", "url_count", "most_per_crawl", "n_crawls", "html_share", "ok_share")
+    return _round(S.capture_rollup(S.capture_summary(captured(spark, sf_dir)))).select(
+        "domain", "url_count", "most_per_crawl", "n_crawls", "html_share", "ok_share", F.array_join(F.transform(F.map_entries("content_types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("content_types"), "limit_hit"
+    )
 
 
 def sitemaps(spark, sf_dir):
@@ -126,10 +130,10 @@ def a3_sitemap_statistics(spark, sf_dir):
     return S.sitemap_statistics(rows, F.lit(date(2024, 9, 20))).select("site", "url_count", "n_page", "lastmod_count", "n_30d")
 
 
-@query("""SELECT l_suppkey, CASE WHEN n > 3 THEN CAST(floor(q + q / 3.0::DOUBLE * (n - 3)) AS BIGINT) ELSE q END AS estimated FROM (SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1)""")
+@query("""SELECT l_suppkey, CASE WHEN n > 3 THEN CAST(floor(q + (q + 2 * n) / 3.0::DOUBLE * (n - 3)) AS BIGINT) ELSE q END AS estimated FROM (SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1)""")
 def a4_extrapolated_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"))
-    return rows.select("l_suppkey", S.extrapolated_count(F.col("q"), F.lit(3), F.col("n"), F.lit(True)).cast("long").alias("estimated"))
+    return rows.select("l_suppkey", S.extrapolated_count(F.col("q"), F.col("q") + 2 * F.col("n"), F.lit(3), F.col("n"), F.lit(True)).cast("long").alias("estimated"))
 
 
 @query("""WITH r AS (SELECT o_orderkey, 'shop' || o_custkey || '.com' AS domain, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE floor(o_totalprice) END AS visits FROM orders), f AS (SELECT *, first_value(visits) OVER (PARTITION BY domain ORDER BY o_orderkey) AS fv,

@@ -143,3 +143,35 @@ def j19_type_flags(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     types = F.array_compact(F.array(F.when(F.col("p_type").contains("BRASS"), "Offer"), F.when(F.col("p_type").contains("STEEL"), "BlogPosting"), F.lit("Thing")))
     return p.select("p_partkey", *[v.alias(k) for k, v in T.type_flags(types).items()])
+
+
+def payloads(spark, sf_dir):
+    """Latest payloads of a tranco, crawl and dns source made of the parts."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    tranco = F.to_json(F.struct(F.when(k % 3 == 0, "absent").otherwise("present").alias("status"), k.alias("rank"), F.lit(1_000_000).alias("list_size")))
+    tech = F.struct(F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit("jQuery").alias("name"))).alias("technologies"), F.col("p_type").alias("cms"), F.when(k % 2 == 0, F.array(F.lit("GA"))).alias("analytics"))
+    crawl = F.to_json(F.struct(
+        (k % 5 > 0).alias("reachable"), F.struct(F.col("p_size").alias("url_count"), F.create_map(F.lit("product"), F.col("p_size")).alias("kinds"), F.array(F.lit("/s.xml")).alias("fetched")).alias("sitemaps"), tech.alias("tech"),
+        F.struct(F.create_map(F.lit("Offer"), F.lit(1), F.lit("Thing"), F.lit(2)).alias("schema_types"), F.col("p_size").alias("ok")).alias("pages"), F.struct((k % 7 == 0).alias("parked"), F.col("p_name").alias("title")).alias("signals"),
+    ))
+    dns = F.to_json(F.struct(F.lit(True).alias("resolves"), F.create_map(F.lit("A"), F.array(F.lit("1.2.3.4"), F.lit("1.2.3.5"))).alias("records"), F.struct(F.when(k % 4 == 0, "ok").otherwise("error").alias("status"), F.col("p_brand").alias("registrar"), F.col("p_size").alias("domain_age_days")).alias("rdap")))
+    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.when(k % 11 != i, v).alias("payload")) for i, (s, v) in enumerate((("tranco", tranco), ("crawl", crawl), ("dns", dns)))])
+    return p.select(k.cast("string").alias("domain"), F.explode(rows).alias("r")).select("domain", "r.*").where("payload is not null")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, *, p_partkey % 11 <> 0 AS t, p_partkey % 11 <> 1 AS c, p_partkey % 11 <> 2 AS d FROM part), q AS (SELECT *, c AND k % 5 > 0 AS up FROM p)
+SELECT CAST(k AS VARCHAR) AS domain, CASE WHEN t AND k % 3 <> 0 THEN k END AS tranco_rank, CASE WHEN t THEN 1000000 END::BIGINT AS tranco_list_size, CASE WHEN c THEN k % 5 > 0 END AS crawl_reachable, CASE WHEN c THEN k % 7 = 0 END AS crawl_parked,
+  CASE WHEN c THEN false END AS crawl_blocked, CASE WHEN up THEN p_size END::BIGINT AS sitemap_url_count, CASE WHEN up THEN p_size END::BIGINT AS sitemap_product_count, CASE WHEN up THEN 0 END::BIGINT AS sitemap_article_count, CASE WHEN up THEN true END AS sitemap_found,
+  CASE WHEN up THEN p_size END::BIGINT AS pages_ok, CASE WHEN up THEN true END AS schema_product, CASE WHEN up THEN false END AS schema_article, CASE WHEN up THEN p_name END AS title, CASE WHEN up THEN 2 END::BIGINT AS technology_count,
+  CASE WHEN up THEN p_brand || ',jQuery' ELSE '' END AS technologies, CASE WHEN up THEN p_type END AS cms, CASE WHEN up THEN k % 2 = 0 END AS analytics_detected, CASE WHEN up AND k % 2 = 0 THEN 'GA' ELSE '' END AS analytics_tags,
+  CASE WHEN d THEN true END AS dns_resolves, CASE WHEN d THEN false END AS dns_parked, CASE WHEN d THEN 2 END::BIGINT AS dns_a_count, CASE WHEN d AND k % 4 = 0 THEN p_brand END AS registrar, CASE WHEN d AND k % 4 = 0 THEN p_size END::BIGINT AS domain_age_days,
+  CASE WHEN d THEN CASE WHEN k % 4 = 0 THEN 'ok' ELSE 'error' END END AS rdap_status, 93::BIGINT AS n_columns FROM q""")
+def p26_feature_vector(spark, sf_dir):
+    """All features of payloads made of the parts; those that they set."""
+    rows = T.feature_vector(payloads(spark, sf_dir))
+    listed = lambda name: F.array_join(name, ",").alias(name)
+    return rows.select(
+        "domain", "tranco_rank", "tranco_list_size", "crawl_reachable", "crawl_parked", "crawl_blocked", "sitemap_url_count", "sitemap_product_count", "sitemap_article_count", "sitemap_found", "pages_ok", "schema_product", "schema_article",
+        "title", "technology_count", listed("technologies"), "cms", "analytics_detected", listed("analytics_tags"), "dns_resolves", "dns_parked", "dns_a_count", "registrar", "domain_age_days", "rdap_status", F.lit(len(rows.columns)).cast("long").alias("n_columns"),
+    )

@@ -66,7 +66,7 @@ _ISSUES = (
     + ", ".join(f"CASE WHEN regexp_matches(lower(substr(text, 1, 3000)), '{p}') AND words < 400 THEN 'block/interstitial: {p}' END" for p in P.INTERSTITIAL)
     + ", "
     + ", ".join(f"CASE WHEN regexp_matches(lower(substr(text, 1, 3000)), '{p}') AND words < 200 THEN 'placeholder: {p}' END" for p in P.PLACEHOLDER)
-    + ", CASE WHEN n > 10 AND ll / n > 0.6 THEN 'mostly links' END, CASE WHEN n > 20 AND len(list_distinct(lines)) / n < 0.5 THEN 'heavy duplication' END], lambda x: x IS NOT NULL)"
+    + ", CASE WHEN n > 10 AND ll / n > 0.6 THEN 'mostly links (' || ll || '/' || n || ' lines)' END, CASE WHEN n > 20 AND len(list_distinct(lines)) / n < 0.5 THEN 'heavy duplication' END], lambda x: x IS NOT NULL)"
 )
 _GRADED = f"(SELECT *, CASE WHEN words < 50 OR len(list_filter(issues, lambda i: starts_with(i, 'block'))) > 0 THEN 'BAD' WHEN len(issues) > 0 THEN 'CHECK' ELSE 'GOOD' END AS verdict FROM (SELECT *, {_ISSUES} AS issues FROM {_GRADE}))"
 _SITE = f"CASE WHEN regexp_matches(substr(text, 1, 4000), '{P.PRIVATE_TEXT}') THEN 'private' WHEN regexp_matches(substr(text, 1, 4000), '{P.DEAD_TEXT}') THEN 'dead' WHEN regexp_matches(substr(text, 1, 4000), '{P.PARKED_TEXT}') THEN 'parked' WHEN doc_id % 7 = 3 AND words < 80 THEN 'blocked' WHEN doc_id % 7 = 4 AND words < 80 THEN 'dead' END"
@@ -102,12 +102,20 @@ def p11_parked_pages(spark, sf_dir):
     return p.select("page_id", P.parked(F.col("html"), F.size(P.visible_words(F.col("html"))), F.size(P.html_links(F.col("html")))).alias("parked"))
 
 
-@query("WITH p AS (SELECT page_id, lower(substr(html, 1, 60000)) AS h, [200, 403, 429, 503][1 + page_id % 4] AS s FROM pages) SELECT page_id, CASE WHEN page_id % 16 = 9 THEN 'cloudflare_challenge' "
-       + " ".join(f"WHEN s <> 200 AND contains(h, '{m}') THEN 'http_' || s || ':{m}'" for m in P.BLOCKED) + " WHEN s IN (403, 429) THEN 'http_' || s END AS reason FROM p")
+# written out again, so that a marker that is missing from either list shows
+_BLOCK_MARKERS = (
+    "just a moment|attention required|access denied|pardon our interruption|verify you are a human|are you a human|captcha|cf-challenge|challenge-platform|bot detection|"
+    "request unsuccessful. incapsula|_incapsula_resource|perimeterx|px-captcha|ddos-guard|reference #18.|blocked by"
+).split("|")
+
+
+@query("WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 2 THEN 'just a moment' ELSE '' END || lower(substr(html, 1, 60000)) AS h, [200, 403, 429, 503][1 + page_id % 4] AS s FROM pages) SELECT page_id, CASE WHEN page_id % 16 = 9 THEN 'cloudflare_challenge' "
+       + " ".join(f"WHEN s <> 200 AND contains(h, '{m}') THEN 'http_' || s || ':{m}'" for m in _BLOCK_MARKERS) + " WHEN s IN (403, 429) THEN 'http_' || s END AS reason FROM p")
 def p12_blocked_pages(spark, sf_dir):
     status = F.get(F.array(*[F.lit(x) for x in (200, 403, 429, 503)]), (F.col("page_id") % 4).cast("int"))
     mitigated = F.when(F.col("page_id") % 16 == 9, "challenge")
-    return table(spark, sf_dir, "pages").select("page_id", P.blocked_reason(status, mitigated, F.col("html")).alias("reason"))
+    html = F.concat(F.when(F.col("page_id") % 5 == 2, "Just a Moment").otherwise(""), "html")
+    return table(spark, sf_dir, "pages").select("page_id", P.blocked_reason(status, mitigated, html).alias("reason"))
 
 
 @query()

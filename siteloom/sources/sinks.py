@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import with_buckets
+from ..operators.pages import bound_json_metadata, fit_budget, verdict_counts
 from ..operators.relational import lowest_rank, outdated_versions
 
 #: What a collector hands in, and how K2 stores it.
@@ -53,9 +55,9 @@ def upsert_ground_truth(stored: DataFrame, new: DataFrame, features: DataFrame)
     bare = new.join(features.select("domain").distinct(), "domain", "left_anti").select("domain").limit(5).collect()
     if bare:
         raise ValueError(f"no feature snapshot for {', '.join(r[0] for r in bare)}")
-    a, b = stored.alias("a"), new.alias("b")
+    a, b = stored.alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     joined = a.join(b, key, "full_outer")
-    there = F.col("b.actual_monthly_visits").isNotNull()
+    there = F.col("b._new").isNotNull()  # also where the imported value is null
     pick = lambda c: F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     first = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
     return joined.select(*key, pick("actual_monthly_visits"), pick("notes"), first("period_start"), first("period_end"))
@@ -72,10 +74,31 @@ def export_results(df: DataFrame, path: str) -> None:
     df.orderBy("created_at", "id").write.mode("overwrite").json(path)
 
 
-def benchmark_rows(scored: DataFrame, error: Column | None = None) -> DataFrame:
-    """K9: one flat row per domain with signals as JSON and sources as ``k=v;``."""
+def benchmark_rows(scored: DataFrame, features: list[str] | None = None, extra: str | None = None) -> DataFrame:
+    """K9: one flat row per domain: signals as JSON, sources as ``k=v;``, the difference of the bucket indexes, the error in
+    decades, whether the reference is in range, the feature columns by name and the keys of the map ``extra`` as ``ref_`` columns by name."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))), "")
-    return scored.withColumn("signals", F.to_json("signals")).withColumn("sources", pairs)
+    rows = scored.withColumn("signals", F.to_json("signals")).withColumn("sources", pairs)
+    last = sorted(features or [])
+    if {"reference", "estimate"} <= set(scored.columns):
+        rows = with_buckets(rows, "reference", "estimate").withColumnRenamed("error", "log10_error")
+    if {"reference", "lower", "upper"} <= set(scored.columns):
+        rows = rows.withColumn("in_range", F.col("reference").between(F.col("lower"), F.col("upper")))
+    more = []
+    if extra:
+        names = sorted(r[0] for r in scored.select(F.explode(F.map_keys(extra))).distinct().collect())  # columns of the reference file
+        more = [F.col(extra)[k].alias(f"ref_{k}") for k in names]
+    return rows.select(*[c for c in rows.columns if c not in last and c != extra], *last, *more)
+
+
+def write_benchmark_rows(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_review(graded: DataFrame, path: str) -> None:
+    """The verdict table, and the counts of verdicts and site issues beside it."""
+    graded.withColumn("issues", F.array_join("issues", "; ")).write.mode("overwrite").parquet(f"{path}/verdicts")
+    verdict_counts(graded).write.mode("overwrite").parquet(f"{path}/counts")
 
 
 def markdown_table(metrics: DataFrame, order: str, most: int = 200) -> str:
@@ -86,11 +109,23 @@ def markdown_table(metrics: DataFrame, order: str, most: int = 200) -> str:
     return "\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
-def new_results(pages: DataFrame, stored: DataFrame | None, formats: list[str], most_links: int = 5000) -> DataFrame:
-    """Results to append: one per (job, url), none that is stored, only the asked formats, links cut."""
+def benchmark_report(tables: dict[str, tuple[DataFrame, str]]) -> str:
+    """A Markdown report, a heading and table for each (metrics, order) of ``tables``; metrics are aggregated rows."""
+    return "\n\n".join(f"## {title}\n\n{markdown_table(df, order)}" for title, (df, order) in tables.items()) + "\n"
+
+
+def new_results(pages: DataFrame, stored: DataFrame | None, formats: list[str], most_links: int = 5000, budget: int | None = None) -> DataFrame:
+    """Results to append: one per (job, url), none that is stored, only the asked formats, links cut.
+
+    With ``budget`` the content (with a ``logo`` column) is fitted into it (P18) and ``metadata``, a JSON object, is bounded (P17).
+    """
     drop = [c for c in ("markdown", "html", "text") if c not in formats]
     rows = pages.dropDuplicates(["job_id", "url"]).withColumn("links", F.slice("links", 1, most_links)).withColumns({c: F.lit(None).cast("string") for c in drop})
-    return rows if stored is None else rows.join(stored.select("job_id", "url"), ["job_id", "url"], "left_anti")
+    rows = rows if stored is None else rows.join(stored.select("job_id", "url"), ["job_id", "url"], "left_anti")
+    if budget is None:
+        return rows
+    rows = fit_budget(rows if "logo" in rows.columns else rows.withColumn("logo", F.lit(None).cast("string")), budget)
+    return rows.withColumn("metadata", bound_json_metadata(F.col("metadata"))) if "metadata" in rows.columns else rows
 
 
 def append_events(df: DataFrame, path: str) -> None:
