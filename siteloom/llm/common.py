@@ -43,6 +43,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[tuple[str, DataFrame]] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -55,7 +56,21 @@ class Workspace:
         path, schema = self.path(name), df.schema
         with self.writing():
             df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self._tables.append((path, out))
+        return out
+
+    def mark(self) -> int:
+        """Where an operator's own tables begin, for :meth:`release`."""
+        return len(self._tables)
+
+    def release(self, mark: int, *kept: DataFrame) -> None:
+        """Delete the tables made by ``save`` since ``mark`` but ``kept``; no later step may read them."""
+        stay = [x for x in self._tables[mark:] if any(x[1] is k for k in kept)]
+        for path, df in self._tables[mark:]:
+            if not any(df is k for k in kept):
+                self.drop_path(path)
+        self._tables[mark:] = stay
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by ``save`` that no later step reads."""

@@ -344,10 +344,13 @@ def dedup_lines(ws: Workspace, docs: DataFrame) -> DataFrame:
 
     Documents that lose all their lines go; those without any line from the start stay.
     """
+    mark = ws.mark()
     row, n, out = free_names(docs, "_line_row", "_line_n", "_line_out")
     own = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     thin = own.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long"), "text")
-    told = ws.save(dropped_lines(ws, thin), "dropped").select(F.col("row_id").alias(row), F.col("n_lines").alias(n), F.col("dropped.line_no").alias(out))
+    found = ws.save(dropped_lines(ws, thin), "dropped")
+    ws.release(mark, own, found)
+    told = found.select(F.col("row_id").alias(row), F.col("n_lines").alias(n), F.col("dropped.line_no").alias(out))
     rows = own.join(told.hint("shuffle_hash"), row).where((F.col(n) == 0) | (F.size(out) < F.col(n)))
     rows = rows.withColumn("text", without_lines(as_text("text"), F.col(out)))
     if "n_chars" in docs.columns:

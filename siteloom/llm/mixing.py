@@ -209,6 +209,7 @@ def mix_documents(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
     rows repeat if it is taken twice or its words fall into several shards.  A shard is the work of
     one task, and its size is bounded.
     """
+    mark = ws.mark()
     size, row, runs, shard, slot = free_names(docs, "_mix_size", "_mix_row", "_mix_runs", "_mix_shard", "_mix_slot")
     own = ws.save(word_counts(docs, size).withColumn(row, F.monotonically_increasing_id()), "numbered")
     thin = own.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col(size).alias("size"))
@@ -223,5 +224,7 @@ def mix_documents(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
     taken = own.join(parts, row).withColumn("text", slice_text(as_text("text"), runs))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.length("text").cast("long"))
+    taken = ws.save(taken.select(*quoted(docs), shard, slot), "taken")
+    ws.release(mark, taken)
     placed = taken.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), shard).sortWithinPartitions(shard, slot)
     return placed.select(*quoted(docs))

@@ -297,6 +297,7 @@ def keep_one(ws: Workspace, docs: DataFrame, limit: int = 4, width: int = 5) ->
     The document with the smallest doc_id (nulls last) stays.  Exact copies meet by
     digest before anything else; texts without words are one group.
     """
+    mark = ws.mark()
     (name,) = free_names(docs, "_sim_row")
     own = ws.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     thin = own.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text"))
@@ -317,7 +318,8 @@ def keep_one(ws: Workspace, docs: DataFrame, limit: int = 4, width: int = 5) ->
     linked = units.select("id", "first").join(same, F.col("id") == F.col("node"))
     best = linked.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept.row").alias("kept"))
     gone = linked.join(best, "root").where("id <> kept").select(F.col("id").alias("gone"))
-    kept = units.join(gone, F.col("id") == F.col("gone"), "left_anti").select(F.col("id").alias(name))
+    kept = ws.save(units.join(gone, F.col("id") == F.col("gone"), "left_anti").select(F.col("id").alias(name)), "kept")
+    ws.release(mark, own, kept)
     return own.join(kept.hint("shuffle_hash"), name, "left_semi").select(*quoted(docs))
 
 
