@@ -118,11 +118,11 @@ def quoted(df: DataFrame) -> list[Column]:
 
 
 def running_start(
-    df: DataFrame, key: str, weight: Column, order: list[str], out: str, bucket_rows: int = 1_000
+    df: DataFrame, key: str, weight: Column, order: list[str], out: str, bucket_rows: int = 1_000, deal: list[str] | None = None
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows that come earlier within ``key``.
 
-    The order is a hash bucket of the ``order`` columns, then these columns.  A
+    The order is a hash bucket of the ``deal`` columns (all of ``order`` if not given), then the ``order`` columns.  A
     key's rows are dealt to buckets of near ``bucket_rows``, or the square root of
     its rows if that is more, so that neither a bucket's rows nor the bucket totals
     of a key, which are summed in one place, grow with the whole key.
@@ -131,7 +131,7 @@ def running_start(
     """
     most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     n = max(1, -(-most // max(bucket_rows, math.isqrt(most))))
-    dealt = df.withColumn("_w", weight.cast("long")).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    dealt = df.withColumn("_w", weight.cast("long")).withColumn("_b", F.pmod(F.xxhash64(*(deal or order)), F.lit(n)).cast("int"))
     totals = dealt.groupBy(key, "_b").agg(F.sum("_w").alias("_t"))
     by_key = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_t").over(by_key), F.lit(0)).alias("_s"))

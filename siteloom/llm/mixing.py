@@ -166,7 +166,7 @@ def plan_mix(ws: Workspace, sized: DataFrame, weights: tuple[float, ...] = (5, 2
                     cols = row[own][at][got], np.full(got.sum(), s, np.int32), np.full(got.sum(), p, np.int32), (lo - a[at])[got], (hi - lo)[got], place[got], place[got] // width[s]
                     yield pa.record_batch([pa.array(c) for c in cols], names=names)
 
-    placed = running_start(sized.where("size > 0"), "source", F.col("size"), ["doc_id", "size", "row_id"], "at")
+    placed = running_start(sized.where("size > 0"), "source", F.col("size"), ["doc_id", "size", "row_id"], "at", deal=["doc_id", "size"])
     drawn = placed.select("row_id", "source", "at", "size").mapInArrow(segments, SEGMENTS)
     plan = shard_plan(ws.spark, quota, shards, seed, width)
     hit = (F.col("source_no") == F.col("s")) & (F.col("window") == F.col("w")) & (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi"))
