@@ -12,10 +12,16 @@ from pyspark.sql import types as T
 
 from .relational import top_k_per_key
 
-# Weights of colour sources, carriers of a brand, thresholds in Lab distance.
-SOURCE_WEIGHTS = {"buttons": 3.0, "logo": 3.0, "cssvar": 2.5, "header": 1.5, "links": 1.0, "headings": 1.0, "theme": 1.0, "footer": 0.5, "borders": 0.5, "background": 0.5, "screenshot": 1.0}
-CARRIERS = ["buttons", "logo", "cssvar", "header"]
+# Weights of colour sources, carriers of a brand, thresholds in Lab distance, palette values that page builders ship.
+SOURCE_WEIGHTS = {"buttons": 5.0, "logo": 4.0, "cssvar": 3.0, "header": 2.5, "links": 2.0, "headings": 2.0, "borders": 1.0, "background": 2.0, "footer": 1.5, "theme": 2.0, "screenshot": 1.5}
+CARRIERS = ["buttons", "logo", "header", "cssvar"]
 MERGE, DISTINCT_ROLE = 12.0, 20.0
+BUILDER_DEFAULTS = [
+    "#6EC1E4", "#54595F", "#7A7A7A", "#61CE70",
+    "#0170B9", "#3A3A3A", "#4B4F58", "#F5F5F5", "#0274BE", "#046BD2", "#045CB4", "#1E293B", "#334155", "#F9FAFB", "#E2E8F0", "#CBD5E1", "#94A3B8",
+    "#2B6CB0", "#3B3B3B", "#215387",
+]
+BRAND_VARIABLE, PRIMARY_VARIABLE = "primary|secondary|accent|brand|theme|global-color-0|palette1", "primary|global-color-0|palette1"
 
 
 def colour_columns(df: DataFrame, colour: str) -> DataFrame:
@@ -47,15 +53,15 @@ def colour_columns(df: DataFrame, colour: str) -> DataFrame:
     return rows.withColumn("neutral", neutral).withColumn("tint", ~neutral & (F.col("l") >= 0.85)).withColumn("hex", F.upper(F.concat(F.lit("#"), *[F.lpad(F.hex(c), 2, "0") for c in "rgb"])))
 
 
-def scaled_weights(df: DataFrame, site: str = "site") -> DataFrame:
-    """Weights scaled to each source's fixed total; sources of a site without weight go."""
-    total = F.sum("weight").over(Window.partitionBy(site, "source"))
-    table = F.create_map(*[F.lit(x) for kv in SOURCE_WEIGHTS.items() for x in kv])
+def scaled_weights(df: DataFrame, *keys: str, totals: dict[str, float] = SOURCE_WEIGHTS) -> DataFrame:
+    """Weights scaled to each source's fixed total (1 where ``totals`` lacks it) within ``keys`` (site); sources without weight go."""
+    total = F.sum("weight").over(Window.partitionBy(*(keys or ("site",)), "source"))
+    table = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])
     return df.withColumn("_t", total).where("_t > 0").withColumn("weight", F.col("weight") / F.col("_t") * F.coalesce(F.element_at(table, F.col("source")), F.lit(1.0))).drop("_t")
 
 
-def merge_colours(lab: np.ndarray, weight: np.ndarray, key: list[str], threshold: float) -> np.ndarray:
-    """For each colour the row of its cluster's representative: heaviest first (ties by hex), each joins the first within reach."""
+def merge_colours(lab: np.ndarray, weight: np.ndarray, key: list, threshold: float) -> np.ndarray:
+    """For each colour the row of its cluster's representative: heaviest first (ties by key), each joins the first within reach."""
     order = sorted(range(len(weight)), key=lambda i: (-weight[i], key[i]))
     heads: list[int] = []
     out = np.zeros(len(weight), int)
@@ -68,66 +74,126 @@ def merge_colours(lab: np.ndarray, weight: np.ndarray, key: list[str], threshold
     return out
 
 
-CLUSTERS = "site string, hex string, weight double, sources array<string>, l double, s double, neutral boolean, tint boolean, lab_l double, lab_a double, lab_b double"
+CLUSTERS = "site string, pool string, hex string, weight double, sources array<string>, place int, h double, s double, l double, neutral boolean, tint boolean, lab_l double, lab_a double, lab_b double"
 
 
 def colour_clusters(weighted: DataFrame, threshold: float = MERGE) -> DataFrame:
-    """Greedy clusters per site of ``colour_columns`` rows.  Equal colours of a source are summed first, so
-    that what a site's task holds is bounded by its different colours (at most 2^24)."""
-    keep = [c for c in ("l", "s", "neutral", "tint", "lab_l", "lab_a", "lab_b")]
-    sums = weighted.groupBy("site", "hex").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("source")).alias("sources"), *[F.first(c).alias(c) for c in keep])
+    """Greedy clusters per site (and ``pool``, where the rows have one) of ``colour_columns`` rows, ties by the order of sources, then ``position`` (where the rows have one), then hex.
 
-    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    ``place`` is a cluster's place by the weight of its representative, and breaks ties of clusters.  Equal colours of a source are summed first, so that what a site's task holds is bounded by its different colours (at most 2^24 a source).
+    """
+    missing = {"pool": F.lit(""), "position": F.lit(0)}
+    weighted = weighted.withColumns({c: v for c, v in missing.items() if c not in weighted.columns})
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     out = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in CLUSTERS.split(", ")])
+    names = [f.name for f in out if f.name not in ("sources", "place")]
+    sums = weighted.groupBy("site", "pool", "source", "hex").agg(F.sum("weight").alias("weight"), F.coalesce(F.min("position"), F.lit(0)).cast("long").alias("position"), *[F.first(c).alias(c) for c in names[4:]])
+    order = {s: i for i, s in enumerate(SOURCE_WEIGHTS)}
 
     def run(t: pa.Table) -> pa.Table:
         d = t.to_pydict()
         lab = np.array([d["lab_l"], d["lab_a"], d["lab_b"]]).T
-        head = merge_colours(lab, np.array(d["weight"]), d["hex"], threshold)
+        key = [(order.get(s, len(order)), at, x) for s, at, x in zip(d["source"], d["position"], d["hex"])]
+        head = merge_colours(lab, np.array(d["weight"]), key, threshold)
         rows = []
-        for h in np.unique(head):
+        for place, h in enumerate(sorted(np.unique(head), key=lambda i: (-d["weight"][i], key[i]))):
             own = np.flatnonzero(head == h)
-            rows.append({**{k: d[k][h] for k in d}, "weight": float(sum(d["weight"][i] for i in own)), "sources": sorted({s for i in own for s in d["sources"][i]})})
+            rows.append({**{k: d[k][h] for k in names}, "weight": float(sum(sorted(d["weight"][i] for i in own))), "sources": sorted({d["source"][i] for i in own}), "place": place})
         return pa.Table.from_pylist(rows, schema=out)
 
-    names = [x.split()[0] for x in CLUSTERS.split(", ")]
-    return sums.select(*names).groupBy("site").applyInArrow(run, CLUSTERS)
+    return sums.select(*names, "source", "position").groupBy("site", "pool").applyInArrow(run, CLUSTERS)
+
+
+def colour_pools(inputs: DataFrame) -> DataFrame:
+    """Weighted colours of ``inputs(site, source, name, colour, weight, position)`` by what they decide.
+
+    ``colours``: all that carries a brand.  Of CSS variables (source ``cssvar``, in the order of ``position``) only those
+    named after a brand count, each value once, and none that a page builder ships.  ``ground``: background, screenshot and body;
+    ``body``; ``text``: paragraphs, or source ``text`` where a site has none; ``variable``: the first variable named primary.
+    """
+    counts = inputs.withColumn("_paragraphs", F.max(F.col("source") == "paragraphs").over(Window.partitionBy("site")))
+    rows = colour_columns(counts, "colour")
+    own = rows.where(~F.coalesce(F.col("source") == "cssvar", F.lit(False)))
+    named = rows.where((F.col("source") == "cssvar") & ~F.col("hex").isin(BUILDER_DEFAULTS))
+    first_of = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct("position", "name")).alias("_v")).select(*keys, "_v.*")
+    brand = first_of(named.where(F.col("name").rlike(BRAND_VARIABLE)), "site", "colour").withColumn("weight", F.lit(1.0))
+    first = first_of(named.where(F.col("name").rlike(PRIMARY_VARIABLE)), "site")
+    pool = lambda df, name: df.withColumn("pool", F.lit(name))
+    is_text = (F.col("source") == "paragraphs") | ((F.col("source") == "text") & ~F.col("_paragraphs"))
+    parts = [
+        scaled_weights(pool(own.where(F.col("source").isin(list(SOURCE_WEIGHTS))).unionByName(brand), "colours")),
+        scaled_weights(pool(own.where(F.col("source").isin("background", "screenshot", "body")), "ground"), totals={"screenshot": 0.3, "body": 0.1}),
+        pool(own.where("source = 'body'"), "body"), scaled_weights(pool(own.where(is_text), "text")), pool(first, "variable"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def brand_colours(inputs: DataFrame) -> DataFrame:
+    """A28 to A30 for all sites of ``inputs`` (see :func:`colour_pools`); a site without a readable colour has nulls, an empty palette and low confidence."""
+    roles = brand_roles(colour_clusters(colour_pools(inputs)))
+    rows = inputs.select("site").distinct().join(roles, "site", "left")
+    none = F.array().cast(roles.schema["palette"].dataType)
+    return rows.withColumns({"palette": F.coalesce("palette", none), "basis": F.coalesce("basis", F.lit("none")), "confidence": F.coalesce("confidence", F.lit("low"))})
+
+
+def _heaviest(items: Column) -> Column:
+    return F.get(F.array_sort(F.transform(items, lambda c: F.struct((-c["weight"]).alias("o"), c["place"].alias("place"), c["hex"].alias("hex"), c["lab_l"].alias("lab_l"), c["lab_a"].alias("lab_a"), c["lab_b"].alias("lab_b")))), F.lit(0))
 
 
 def brand_roles(clusters: DataFrame) -> DataFrame:
-    """Primary, secondary, accent and background of each site, a palette of eight, the basis and confidence.
+    """Primary, secondary, accent, background and text of each site, a palette of eight, the basis and confidence.
 
-    Scores are columns; roles that must differ in Lab are picked from each site's ranked clusters.
+    Scores are columns; roles that must differ are picked from each site's ranked clusters (ties by weight, then place).  Clusters without pools
+    (``colour_clusters`` of plain rows) give the background from their own neutral or tinted surfaces and no text.
     """
-    has = lambda s: F.array_contains("sources", s)
-    support = F.size(F.array_remove("sources", "screenshot"))
-    carrier = F.arrays_overlap("sources", F.array(*[F.lit(c) for c in CARRIERS]))
-    m = (
-        F.when(support == 0, 0.0).when(~F.col("neutral") & ~F.col("tint"), F.when((support >= 2) | has("buttons") | has("logo"), 1.0).otherwise(0.5))
-        .when(F.col("tint"), F.when(carrier, 0.7).otherwise(0.3)).when((F.col("l") < 0.4) & (has("buttons") | has("cssvar") | has("logo")), 0.45)
-        .when(carrier & F.col("l").between(0.4, 0.85), 0.25).otherwise(0.0)
-    )
-    rows = clusters.withColumn("score", F.col("weight") * m).withColumn("support", support)
-    item = F.struct((-F.col("score")).alias("o"), "hex", "score", "weight", "neutral", "tint", "support", "sources", "lab_l", "lab_a", "lab_b")
-    ranked = rows.groupBy("site").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    good = F.filter("all", lambda c: c["score"] > 0)
-    ranked = ranked.withColumn("good", good).withColumn("p", F.get(good, F.lit(0)))
-    far = lambda a, b: F.hypot(F.hypot(a["lab_l"] - b["lab_l"], a["lab_a"] - b["lab_a"]), a["lab_b"] - b["lab_b"]) >= DISTINCT_ROLE
-    p = F.col("p")
-    others = F.filter("good", lambda c: (c["hex"] != p["hex"]) & far(c, p))
-    coloured = F.filter("others", lambda c: ~c["neutral"] & (c["score"] >= p["score"] * 0.15))
-    ranked = ranked.withColumn("others", others).withColumn("q", F.coalesce(F.get(coloured, F.lit(0)), F.get("others", F.lit(0))))
-    q = F.col("q")
-    accent = F.get(F.filter("others", lambda c: ~c["neutral"] & (c["hex"] != q["hex"]) & far(c, q)), F.lit(0))
-    surface = F.filter("all", lambda c: (c["neutral"] | c["tint"]) & F.array_contains(c["sources"], "background"))
-    ground = F.get(F.array_sort(F.transform(surface, lambda c: F.struct((-c["weight"]).alias("w"), c["hex"].alias("hex")))), F.lit(0))["hex"]
-    margin = F.coalesce(F.try_divide(p["score"], F.get("good", F.lit(1))["score"]), F.lit(3.0))
+    table = F.create_map(*[F.lit(x) for kv in SOURCE_WEIGHTS.items() for x in kv])
+    delta = lambda a, b: F.hypot(F.hypot(a["lab_l"] - b["lab_l"], a["lab_a"] - b["lab_a"]), a["lab_b"] - b["lab_b"])
+    by_weight = lambda s: F.transform(F.array_sort(F.transform(s, lambda x: F.struct((-F.coalesce(F.element_at(table, x), F.lit(0.0))).alias("o"), x.alias("s")))), lambda x: x["s"])
+    surface = lambda c: c["neutral"] | c["tint"]
+    support = lambda c: F.size(F.array_remove(c["sources"], "screenshot"))
+    names = [x.split()[0] for x in CLUSTERS.split(", ")[1:]]
+    rows = clusters.groupBy("site").agg(F.collect_list(F.struct(*names)).alias("_all"))
+    pool = lambda *p: F.filter("_all", lambda c: c["pool"].isin(*p))
+    plain = F.filter(pool(""), lambda c: surface(c) & F.array_contains(c["sources"], "background"))
+    ground = F.coalesce(_heaviest(F.filter(pool("ground"), surface)), _heaviest(pool("body")), _heaviest(plain))
+    rows = rows.select("site", pool("", "colours").alias("_own"), ground.alias("_ground"), _heaviest(pool("text"))["hex"].alias("text"), _heaviest(pool("variable")).alias("_variable"))
+
+    def score(c: Column) -> Column:
+        has = lambda s: F.array_contains(c["sources"], s)
+        carrier = F.arrays_overlap(c["sources"], F.array(*[F.lit(x) for x in CARRIERS]))
+        role = (
+            F.when(support(c) == 0, 0.0).when(~surface(c), F.when((support(c) >= 2) | has("buttons") | has("logo"), 1.0).otherwise(0.5))
+            .when(c["tint"], F.when(carrier, 0.7).otherwise(0.3)).when((c["l"] < 0.4) & (has("buttons") | has("cssvar") | has("logo")), 0.45)
+            .when(carrier & c["l"].between(0.4, 0.85), 0.25).otherwise(0.0)
+        )
+        hidden = F.coalesce((delta(c, F.col("_ground")) < 6) & ~has("buttons"), F.lit(False))
+        named = F.coalesce(delta(c, F.col("_variable")) < MERGE, F.lit(False))
+        return c["weight"] * role * F.when(hidden, 0.5).otherwise(1.0) * F.when(named, 1.5).otherwise(1.0)
+
+    scored = F.transform("_own", lambda c: F.struct((-score(c)).alias("o"), (-c["weight"]).alias("w"), c["place"].alias("at"), *[c[n].alias(n) for n in names[1:]], support(c).alias("support")))
+    rows = rows.withColumn("_scored", F.array_sort(scored)).withColumn("_good", F.filter("_scored", lambda c: c["o"] < 0)).withColumn("_p", F.get("_good", F.lit(0)))
+
+    def distinct(a: Column, b: Column) -> Column:
+        turn = F.abs(a["h"] - b["h"])
+        return (delta(a, b) >= DISTINCT_ROLE) & ((a["neutral"] != b["neutral"]) | (F.least(turn, 360 - turn) >= 30) | (F.abs(a["l"] - b["l"]) >= 0.3))
+
+    p, q = F.col("_p"), F.col("_q")
+    rows = rows.withColumn("_others", F.filter("_good", lambda c: (c["hex"] != p["hex"]) & distinct(c, p)))
+    coloured = F.filter("_others", lambda c: ~c["neutral"] & (c["o"] <= p["o"] * 0.15))
+    rows = rows.withColumn("_q", F.coalesce(F.get(coloured, F.lit(0)), F.get("_others", F.lit(0))))
+    accent = F.get(F.filter("_others", lambda c: ~c["neutral"] & (c["hex"] != q["hex"]) & distinct(c, q)), F.lit(0))
+    margin = F.coalesce(F.try_divide(p["o"], F.get("_good", F.lit(1))["o"]), F.lit(3.0))
     strong = (p["support"] >= 3) | (F.array_contains(p["sources"], "buttons") & F.array_contains(p["sources"], "logo"))
     level = F.when(p.isNull(), "low").when(strong & (margin >= 1.2), "high").when(p["support"] >= 2, "medium").otherwise("low")
-    heavy = F.slice(F.array_sort(F.transform(F.filter("all", lambda c: (c["support"] >= 1) | (c["weight"] > 0.3)), lambda c: F.struct((-c["weight"]).alias("w"), c["hex"].alias("hex")))), 1, 8)
-    return ranked.select(
-        "site", p["hex"].alias("primary"), q["hex"].alias("secondary"), accent["hex"].alias("accent"), ground.alias("background"), F.transform(heavy, lambda c: c["hex"]).alias("palette"),
-        F.coalesce(F.array_join(p["sources"], "+"), F.lit("none")).alias("basis"), level.alias("confidence"),
+    heavy = F.filter("_own", lambda c: (support(c) >= 1) | (c["weight"] > 0.3))
+    heavy = F.slice(F.array_sort(F.transform(heavy, lambda c: F.struct((-c["weight"]).alias("o"), c["place"].alias("place"), c["hex"].alias("hex"), c["sources"].alias("sources")))), 1, 8)
+    palette = F.transform(heavy, lambda c: F.struct(c["hex"].alias("hex"), F.round(-c["o"], 2).alias("weight"), by_weight(c["sources"]).alias("sources")))
+    return rows.select(
+        "site", p["hex"].alias("primary"), q["hex"].alias("secondary"), accent["hex"].alias("accent"), F.col("_ground.hex").alias("background"), "text", palette.alias("palette"),
+        F.coalesce(F.array_join(by_weight(p["sources"]), "+"), F.lit("none")).alias("basis"), level.alias("confidence"),
     )
 
 

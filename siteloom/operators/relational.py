@@ -254,9 +254,17 @@ def minus_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b.select(key), key, "left_anti")
 
 
-def job_view(jobs: DataFrame, options: str, created: str, finished: str, status: str) -> DataFrame:
-    """Snake-case option keys, duration in milliseconds, and pending / ready / failed."""
-    snake = lambda k: F.lower(F.regexp_replace(k, "([a-z0-9])([A-Z])", "$1_$2"))
-    view = F.when(F.col(status).isin("queued", "running"), "pending").when(F.col(status) == "completed", "ready").otherwise("failed")
-    ms = F.unix_millis(F.col(finished).cast("timestamp")) - F.unix_millis(F.col(created).cast("timestamp"))
-    return jobs.withColumn(options, F.transform_keys(options, lambda k, _: snake(k))).withColumn("duration_ms", ms).withColumn("view_status", view)
+def job_view(jobs: DataFrame, options: str, started: str, finished: str, status: str, estimate: str | None = None) -> DataFrame:
+    """Snake-case option keys, duration in milliseconds (null until both times are known), pending / ready / failed, and refreshing.
+
+    With ``estimate`` (a column, null where there is none) an estimate makes a row ready whatever its last job does, and
+    refreshing while that is queued or running; without it a completed job is ready and nothing refreshes.
+    """
+    snake = lambda k: F.lower(F.regexp_replace(k, "([A-Z])", "_$1"))
+    running, failed = F.coalesce(F.col(status).isin("queued", "running"), F.lit(False)), F.coalesce(F.col(status).isin("failed", "cancelled"), F.lit(False))
+    there = F.col(estimate).isNotNull() if estimate else F.coalesce(F.col(status) == "completed", F.lit(False))
+    ms = F.unix_millis(F.col(finished).cast("timestamp")) - F.unix_millis(F.col(started).cast("timestamp"))
+    return jobs.withColumns({
+        options: F.transform_keys(options, lambda k, _: snake(k)), "duration_ms": ms,
+        "view_status": F.when(there, "ready").when(failed, "failed").otherwise("pending"), "refreshing": there & running,
+    })

@@ -436,16 +436,17 @@ def u4_disabled_sources(spark, sf_dir):
     return c.subtract(s).union(table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")).distinct()
 
 
-@query("""SELECT o_orderkey, '{"order_priority":"' || o_orderpriority || '","ship_to":"' || o_custkey || '"}' AS options, date_diff('millisecond', o_orderdate, o_orderdate + to_days(CAST(o_custkey % 9 AS INTEGER))) AS duration_ms,
-  CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'ready' ELSE 'failed' END AS view_status FROM orders""")
+@query("""SELECT o_orderkey, '{"order_priority":"' || o_orderpriority || '","ship_u_r_l":"' || o_custkey || '"}' AS options, date_diff('millisecond', o_orderdate, o_orderdate + to_days(CAST(o_custkey % 9 AS INTEGER))) AS duration_ms,
+  CASE WHEN o_custkey % 3 = 0 THEN 'ready' WHEN o_orderstatus IN ('O', 'F') THEN 'pending' ELSE 'failed' END AS view_status, o_custkey % 3 = 0 AND o_orderstatus = 'O' AS refreshing FROM orders""")
 def p30_job_view(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
     jobs = o.select(
-        "o_orderkey", F.create_map(F.lit("orderPriority"), F.col("o_orderpriority"), F.lit("shipTo"), F.col("o_custkey").cast("string")).alias("options"),
+        "o_orderkey", F.create_map(F.lit("orderPriority"), F.col("o_orderpriority"), F.lit("shipURL"), F.col("o_custkey").cast("string")).alias("options"),
         F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.make_dt_interval((F.col("o_custkey") % 9).cast("int"))).alias("b"), status.alias("s"),
+        F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("e"),
     )
-    return R.job_view(jobs, "options", "a", "b", "s").select("o_orderkey", F.to_json("options").alias("options"), "duration_ms", "view_status")
+    return R.job_view(jobs, "options", "a", "b", "s", "e").select("o_orderkey", F.to_json("options").alias("options"), "duration_ms", "view_status", "refreshing")
 
 
 # evaluation -------------------------------------------------------------------------------

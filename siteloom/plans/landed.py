@@ -382,7 +382,7 @@ def p31_colour_columns(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT p_brand AS site, ['buttons', 'logo', 'header', 'background', 'links'][1 + p_partkey % 5] AS source, p_size FROM part), w AS (SELECT site, source, p_size / sum(p_size) OVER (PARTITION BY site, source) AS w FROM s)
-SELECT site, source, round(sum(w) * CASE source WHEN 'buttons' THEN 3 WHEN 'logo' THEN 3 WHEN 'header' THEN 1.5 WHEN 'background' THEN 0.5 ELSE 1 END, 6) AS weight, count(*) AS n FROM w GROUP BY site, source""")
+SELECT site, source, round(sum(w) * CASE source WHEN 'buttons' THEN 5 WHEN 'logo' THEN 4 WHEN 'header' THEN 2.5 WHEN 'background' THEN 2 WHEN 'links' THEN 2 END, 6) AS weight, count(*) AS n FROM w GROUP BY site, source""")
 def a28_scaled_weights(spark, sf_dir):
     rows = B.scaled_weights(site_colours(spark, sf_dir))
     return rows.groupBy("site", "source").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"))
@@ -394,10 +394,20 @@ def a29_colour_clusters(spark, sf_dir):
     return c.select("site", "hex", F.round("weight", 6).alias("weight"), F.array_join("sources", "+").alias("sources"))
 
 
+def brand_inputs(spark, sf_dir):
+    """Colours per part brand from all sources of a page, with variables named after a brand or not."""
+    k = F.col("p_partkey")
+    kinds = ("buttons", "logo", "cssvar", "header", "links", "headings", "borders", "background", "footer", "theme", "screenshot", "text", "paragraphs", "body")
+    source = F.get(F.array(*[F.lit(x) for x in kinds]), (k % len(kinds)).cast("int"))
+    name = F.get(F.array(*[F.lit(x) for x in ("--brand-1", "--gap", "--primary", "--accent", "--line")]), (k % 5).cast("int"))
+    return site_colours(spark, sf_dir).withColumns({"source": source, "name": name, "position": k})
+
+
 @query()
 def a30_brand_roles(spark, sf_dir):
-    c = B.colour_clusters(B.scaled_weights(B.colour_columns(site_colours(spark, sf_dir), "colour")))
-    return B.brand_roles(c).withColumn("palette", F.array_join("palette", ","))
+    rows = B.brand_colours(brand_inputs(spark, sf_dir))
+    shown = F.transform("palette", lambda p: F.concat(p["hex"], F.lit("="), p["weight"], F.lit("="), F.array_join(p["sources"], "+")))
+    return rows.withColumn("palette", F.array_join(shown, ","))
 
 
 @query()

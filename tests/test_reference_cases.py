@@ -6,9 +6,11 @@ from urllib.parse import urldefrag, urljoin
 
 from pyspark.sql import functions as F
 
+from siteloom.operators import brand as B
 from siteloom.operators import estimate as T
 from siteloom.operators import evaluate as V
 from siteloom.operators import pages as P
+from siteloom.operators import relational as R
 from siteloom.operators import signals as S
 from siteloom.sources import sinks as K
 
@@ -162,3 +164,108 @@ def test_imports_with_a_null_value_win(spark):
     new = spark.createDataFrame([("a", "s", day, None, "new", None, day)], schema)
     r = K.upsert_ground_truth(old, new, old.select("domain")).first()
     assert r["actual_monthly_visits"] is None and r["notes"] == "new" and r["period_start"] == day and r["period_end"] == day
+
+
+def plain_roles(rows, seen):
+    """The rules of A28 to A30 for one site in plain Python; ``seen`` holds the facts of each readable colour."""
+    kept = [r for r in rows if r["colour"] in seen]
+    delta = lambda a, b: sum((seen[a][k] - seen[b][k]) ** 2 for k in ("lab_l", "lab_a", "lab_b")) ** 0.5
+
+    def scale(source, total, items):
+        whole = sum(w for _, w in items)
+        return [(c, w / whole * total, source) for c, w in items] if whole > 0 else []
+
+    def merged(entries):
+        out = []
+        for c, w, s in sorted(entries, key=lambda e: -e[1]):
+            for o in out:
+                if delta(o[0], c) < 12:
+                    o[1] += w
+                    o[2].add(s)
+                    break
+            else:
+                out.append([c, w, {s}])
+        return sorted(out, key=lambda o: -o[1])
+
+    of = lambda s: [(r["colour"], r["weight"]) for r in kept if r["source"] == s]
+    fixed = {"buttons": 5, "logo": 4, "cssvar": 3, "header": 2.5, "links": 2, "headings": 2, "borders": 1, "background": 2, "footer": 1.5, "theme": 2, "screenshot": 1.5}
+    variables = [r for r in kept if r["source"] == "cssvar" and seen[r["colour"]]["hex"] not in ("#6EC1E4", "#0170B9")]
+    brand = list(dict.fromkeys(r["colour"] for r in variables if any(x in r["name"] for x in ("primary", "accent", "brand"))))
+    first = next((r["colour"] for r in variables if "primary" in r["name"]), None)
+    pooled = [e for s, total in fixed.items() for e in scale(s, total, [(c, 1) for c in brand] if s == "cssvar" else of(s))]
+    neutral, tint = (lambda c: seen[c]["neutral"]), (lambda c: seen[c]["tint"])
+    ground = [o[0] for o in merged(scale("background", 1, of("background")) + scale("screenshot", 0.3, of("screenshot")) + scale("background", 0.1, of("body"))) if neutral(o[0]) or tint(o[0])]
+    ground = (ground or [c for c, _ in of("body")] or [None])[0]
+    text = merged(scale("text", 1, of("paragraphs" if any(r["source"] == "paragraphs" for r in rows) else "text")))
+
+    def score(o):
+        c, w, s = o
+        n, light = len(s - {"screenshot"}), seen[c]["l"]
+        carried = bool(s & {"buttons", "logo", "header", "cssvar"})
+        if n == 0:
+            return 0
+        if not neutral(c) and not tint(c):
+            m = 1 if n >= 2 or s & {"buttons", "logo"} else 0.5
+        elif tint(c):
+            m = 0.7 if carried else 0.3
+        elif light < 0.4 and s & {"buttons", "cssvar", "logo"}:
+            m = 0.45
+        else:
+            m = 0.25 if carried and 0.4 <= light <= 0.85 else 0
+        m *= 0.5 if ground and delta(c, ground) < 6 and "buttons" not in s else 1
+        return w * m * (1.5 if first and delta(c, first) < 12 else 1)
+
+    def differ(a, b):
+        turn = abs(seen[a]["h"] - seen[b]["h"])
+        return delta(a, b) >= 20 and (neutral(a) != neutral(b) or min(turn, 360 - turn) >= 30 or abs(seen[a]["l"] - seen[b]["l"]) >= 0.3)
+
+    ranked = sorted(((score(o), o) for o in merged(pooled) if score(o) > 0), key=lambda x: -x[0])
+    p = ranked[0][1] if ranked else None
+    others = [(s, o) for s, o in ranked if p and o is not p and differ(o[0], p[0])]
+    q = next((o for s, o in others if not neutral(o[0]) and s >= ranked[0][0] * 0.15), others[0][1] if others else None)
+    a = next((o for _, o in others if o is not q and not neutral(o[0]) and (q is None or differ(o[0], q[0]))), None)
+    hexed = lambda o: seen[o[0]]["hex"] if o else None
+    confidence = "low"
+    if p:
+        n, margin = len(p[2] - {"screenshot"}), ranked[0][0] / ranked[1][0] if len(ranked) > 1 else 3
+        confidence = "high" if (n >= 3 or {"buttons", "logo"} <= p[2]) and margin >= 1.2 else "medium" if n >= 2 else "low"
+    palette = [hexed(o) for o in merged(pooled) if o[2] - {"screenshot"} or o[1] > 0.3][:8]
+    return hexed(p), hexed(q), hexed(a), seen[ground]["hex"] if ground else None, hexed(text[0]) if text else None, confidence, palette, sorted(p[2]) if p else ["none"]
+
+
+def test_brand_roles_match_plain_form(spark):
+    rng = random.Random(11)
+    sources = [*B.SOURCE_WEIGHTS, "text", "paragraphs", "body"]
+    base = [f"#{rng.randrange(1 << 24):06x}" for _ in range(40)] + ["#ffffff", "#fdf6e3", "#222222", "#111", "#6ec1e4", "#0170b9", "#888888"]
+    rows = []
+    for site in range(60):
+        for s in rng.sample(sources, rng.randrange(1, len(sources) + 1)):
+            single = s in ("footer", "theme", "body")
+            for c in rng.sample(base, 1 if single else rng.randrange(1, 6)):
+                rows.append((f"s{site}", s, rng.choice(["--primary", "--accent-2", "--brand", "--gap"]), c, rng.random() + 0.01, len(rows)))
+    rows += [("none", "text", "", "red", 1.0, 0), ("none", None, None, None, None, None), ("unread", "paragraphs", "", "nope", 1.0, 0), ("unread", "text", "", "#333", 1.0, 1)]
+    schema = "site string, source string, name string, colour string, weight double, position long"
+    df = spark.createDataFrame(rows, schema)
+    seen = {r["colour"]: r.asDict() for r in B.colour_columns(df.select("colour").distinct(), "colour").collect()}
+    got = {r["site"]: (r["primary"], r["secondary"], r["accent"], r["background"], r["text"], r["confidence"], [p["hex"] for p in r["palette"]], sorted(r["basis"].split("+"))) for r in B.brand_colours(df).collect()}
+    assert len(got) == 62 and got["none"] == (None, None, None, None, None, "low", [], ["none"]) and got["unread"][4] is None
+    for site in {r[0] for r in rows} - {"none"}:
+        own = [dict(zip(("site", "source", "name", "colour", "weight", "position"), r)) for r in rows if r[0] == site]
+        assert got[site] == plain_roles(own, seen), site
+    for k in range(5):  # every role is met
+        assert any(v[k] for v in got.values())
+
+
+def test_variables_of_page_builders_do_not_count(spark):
+    rows = [("s", "buttons", "", "rgb(54, 48, 42)", 2.0, 0), ("s", "header", "", "rgb(236, 228, 218)", 1.0, 1), ("s", "background", "", "rgb(236, 228, 218)", 1.0, 2),
+            ("s", "cssvar", "--custom-primary-color", "#36302a", 1.0, 3), ("s", "cssvar", "--e-global-color-primary", "#6EC1E4", 1.0, 4)]
+    r = B.brand_colours(spark.createDataFrame(rows, "site string, source string, name string, colour string, weight double, position long")).first()
+    assert r["primary"] == "#36302A" and "#6EC1E4" not in [p["hex"] for p in r["palette"]]
+
+
+def test_job_view_states(spark):
+    rows = [(i, s, e) for i, (s, e) in enumerate((s, e) for s in ("queued", "running", "completed", "failed", "cancelled", None) for e in (None, 5.0))]
+    got = R.job_view(spark.createDataFrame(rows, "id int, s string, e double").selectExpr("*", "map('maxURLs', 1) as o", "timestamp'2024-01-01' as a", "cast(null as timestamp) as b"), "o", "a", "b", "s", "e").collect()
+    for r in got:
+        want = "ready" if r["e"] else "failed" if r["s"] in ("failed", "cancelled") else "pending"
+        assert (r["view_status"], r["refreshing"], r["duration_ms"], list(r["o"])) == (want, bool(r["e"]) and r["s"] in ("queued", "running"), None, ["max_u_r_ls"])
