@@ -107,38 +107,54 @@ def modified_age(lastmod: Column, today: Column) -> Column:
     return F.when(days <= 30, "30d").when(days <= 90, "90d").when(days <= 365, "365d").when(days > 365, "older")
 
 
+@F.udf(T.StringType(), useArrow=True)
+def _idna(host: str) -> str | None:
+    import idna
+
+    try:
+        return idna.encode(host, uts46=True).decode("ascii")
+    except idna.IDNAError:
+        return None
+
+
 def suffix_table(spark, suffixes: list[str] | None = None) -> DataFrame:
-    """(suffix, labels, rule) from a public-suffix list; its size is that of the list, not of the data."""
+    """(suffix, rule) from a public-suffix list: rule ``=``, ``*`` (one more label) or ``!`` (exception)."""
     rows = [(s.lstrip("!").removeprefix("*."), "!" if s[0] == "!" else "*" if s[0] == "*" else "=") for s in suffixes or DEFAULT_SUFFIXES]
     return spark.createDataFrame(rows, "suffix string, rule string")
 
 
+def read_suffixes(spark, path: str) -> DataFrame:
+    """``suffix_table`` of a public-suffix file: a rule a line, up to white space; ``//`` begins a comment; IDN rules take their ASCII form."""
+    rules = spark.read.text(path).select(F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1)).alias("r")).where("r <> '' and not startswith(r, '//')")
+    name = F.regexp_replace("r", r"^(!|\*\.)", "")
+    kind = F.when(F.col("r").startswith("!"), "!").when(F.col("r").startswith("*."), "*").otherwise("=")
+    return rules.select(F.when(name.rlike(r"[^\x00-\x7F]"), _idna(name)).otherwise(name).alias("suffix"), kind.alias("rule")).distinct()
+
+
 def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: str = "domain") -> DataFrame:
     """Add ``out``: the label before the longest public suffix, and that suffix; null without one.
 
-    The list becomes one pattern anchored at the end of the host, whose leftmost match
-    is the longest suffix, so that no row is exploded, joined or shuffled.  Wildcard rules
-    take one more label; exceptions, tried first, one less.
+    The rules become hashed sets of literals by kind and number of labels.  A host's last
+    labels are looked up in them, most labels first, so that a row costs a few lookups however
+    long the list is, and no row is exploded, joined or shuffled.  Wildcard rules take one more
+    label; exceptions, tried first, one less.
     """
-    rules = [(r["suffix"], r["rule"]) for r in suffixes.collect()]
-    literal = lambda x: x.replace(".", r"\.")
-    ends = [literal(x) for x, r in rules if r == "="] + [r"[^.]+\." + literal(x) for x, r in rules if r == "*"]
+    sets: dict[tuple[str, int], list[str]] = {}
+    for r in suffixes.collect():  # its size is that of the list, not of the data
+        sets.setdefault((r["rule"], r["suffix"].count(".") + 1), []).append(r["suffix"])
     h = F.rtrim(F.lower(F.col(host)), F.lit("."))
-    plain = F.regexp_extract(h, rf"(?:^|\.)([^.]+\.(?:{'|'.join(sorted(ends, key=len, reverse=True))}))$", 1)
-    kept = [literal(x) for x, r in rules if r == "!"]
-    found = plain if not kept else F.coalesce(F.nullif(F.regexp_extract(h, rf"(?:^|\.)({'|'.join(kept)})$", 1), F.lit("")), plain)
-    bare = h.rlike(rf"^(?:{'|'.join(ends)})$") & ~(h.rlike(rf"^(?:{'|'.join(kept)})$") if kept else F.lit(False))
-    return hosts.withColumn(out, F.when(~bare, F.nullif(found, F.lit(""))))
-
-
-@F.udf(T.StringType(), useArrow=True)
-def _idna(host: str) -> str | None:
-    import idna
-
-    try:
-        return idna.encode(host, uts46=True).decode("ascii")
-    except idna.IDNAError:
-        return None
+    last = lambda n: F.substring_index(h, ".", -n)
+    among = lambda rule, n: last(n).isin(sets[rule, n]) if (rule, n) in sets else F.lit(False)
+    more = lambda n: (last(n) != last(n - 1)) & ~last(n).startswith(".")
+    most = max([n + (rule == "*") for rule, n in sets], default=0)
+    found = F.lit(None).cast("string")
+    for n in range(1, most + 1):  # the last condition built is the first one asked
+        suffix = among("=", n) | (among("*", n - 1) & more(n))
+        found = F.when(suffix, F.when(more(n + 1), last(n + 1))).otherwise(found)
+    for n in range(1, most + 1):
+        if ("!", n) in sets:
+            found = F.when(among("!", n), last(n)).otherwise(found)
+    return hosts.withColumn(out, found)
 
 
 def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:

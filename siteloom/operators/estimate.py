@@ -1,7 +1,8 @@
 """Traffic estimates from signals: features, status, curves, caps, confidence and ranges, for all domains at once.
 
-Configurations are small dictionaries; their tables are broadcast, and their size is
-that of the configuration.  Time and configuration enter as parameters.
+Configurations are small dictionaries that become expressions on the row: a chain reads
+the features once and meets the status, summed up per domain, in one join.  Time and
+configuration enter as parameters.
 """
 
 from __future__ import annotations
@@ -175,7 +176,7 @@ def _log1p(c: Column) -> Column:
     return F.round(F.log10(F.when(c >= 0, c + 1)), 4)
 
 
-def normalize(features: DataFrame) -> DataFrame:
+def normalized_columns(features: DataFrame) -> dict[str, Column]:
     """Doubles by name; log10, log10(1 + v), flags 0 / 1, shares; crawl-derived ones null unless reachable."""
     have = set(features.columns)
     c = lambda n: F.col(n) if n in have else F.lit(None).cast(TYPES.get(n, "double"))
@@ -189,56 +190,80 @@ def normalize(features: DataFrame) -> DataFrame:
     out["has_cms"] = crawl(flag(false(c("cms") != "")))
     out["is_ecommerce"] = crawl(flag(false(c("ecommerce_platform") != "") | false(c("schema_product"))))
     out["is_publisher"] = crawl(flag(false(c("schema_article")) | false(c("has_rss"))))
-    return features.select("domain", *[v.alias(k) for k, v in out.items()])
+    return out
 
 
-def curve_segments(spark, config: dict) -> DataFrame:
-    """(signal, feature, weight, kind, x0, x1, y0, y1), half-open segments that cover the line; flat beyond both ends."""
-    rows = []
-    for name, feature, weight, kind, points in config["signals"]:
-        xs = [float("-inf"), *(float(x) for x, _ in points), float("inf")]
-        ys = [float(points[0][1]), *(float(y) for _, y in points), float(points[-1][1])]
-        rows += [(name, feature, weight, kind, xs[i], xs[i + 1], ys[i], ys[i + 1]) for i in range(len(xs) - 1)]
-    return spark.createDataFrame(rows, "signal string, feature string, weight double, kind string, x0 double, x1 double, y0 double, y1 double")
+def normalize(features: DataFrame) -> DataFrame:
+    """P28 as a table: domain and the normalised features."""
+    return features.select("domain", *[v.alias(k) for k, v in normalized_columns(features).items()])
+
 
+def curve_sql(x: str, points: list[tuple[float, float]]) -> str:
+    """SQL of the curve through ``points`` at the expression ``x``: straight between two of them, flat beyond both ends, null at null."""
+    n = lambda v: f"{float(v)!r}D"
+    parts = [f"WHEN {x} < {n(b[0])} THEN {n(a[1])} + {n(b[1] - a[1])} * ({x} - {n(a[0])}) / {n(b[0] - a[0])}" for a, b in zip(points, points[1:])]  # noqa: B905
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < {n(points[0][0])} THEN {n(points[0][1])} {' '.join(parts)} ELSE {n(points[-1][1])} END"
 
-def _on_segment(x: Column) -> Column:
-    inner = (F.col("x0") > float("-inf")) & (F.col("x1") < float("inf"))
-    return F.when(inner, F.col("y0") + (F.col("y1") - F.col("y0")) * (x - F.col("x0")) / (F.col("x1") - F.col("x0"))).when(F.col("x1") < float("inf"), F.col("y1")).otherwise(F.col("y0"))
+
+def signal_list(columns: dict[str, str], config: dict) -> Column:
+    """J12 on the row: the structs (signal, kind, weight, log10_estimate) of the signals that it has, by their curves.
+    ``columns`` names the column of each normalised feature."""
+    out = []
+    for name, feature, weight, kind, points in config["signals"]:
+        if feature in columns:
+            value = f"round({curve_sql(f'`{columns[feature]}`', points)} + 1e-9D, 3)"
+            out.append(f"CASE WHEN `{columns[feature]}` IS NOT NULL THEN named_struct('signal', '{name}', 'kind', '{kind}', 'weight', {float(weight)!r}D, 'log10_estimate', {value}) END")
+    return F.expr(f"array_compact(array({', '.join(out)}))" if out else "CAST(array() AS array<struct<signal:string,kind:string,weight:double,log10_estimate:double>>)")
 
 
 def signal_estimates(normalized: DataFrame, config: dict) -> DataFrame:
-    """(domain, signal, kind, weight, log10_estimate) of the signals a domain has, by its curves."""
-    names = sorted({f for _, f, *_ in config["signals"]})
-    have = [n for n in names if n in normalized.columns]
-    long = normalized.select("domain", *have).unpivot("domain", have, "feature", "x").where("x is not null")
-    segments = F.broadcast(curve_segments(normalized.sparkSession, config))
-    hit = long.join(segments, "feature").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
-    return hit.select("domain", "signal", "kind", "weight", F.round(_on_segment(F.col("x")) + 1e-9, 3).alias("log10_estimate"))
+    """(domain, signal, kind, weight, log10_estimate) of the signals a domain has."""
+    return normalized.select("domain", F.inline(signal_list({c: c for c in normalized.columns}, config)))
 
 
 def combine_signals(signals: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Per domain the weighted mean, and agreement with its deviation over the popularity signals, else all."""
-    v, pop = F.col("log10_estimate"), F.col("kind") == "popularity"
-    rows = signals.groupBy("domain").agg(
-        (F.sum(F.col("weight") * v) / F.sum("weight")).alias("mean"), F.count_if(pop).alias("n_popularity"), F.count("*").alias("n_signals"),
-        F.stddev_pop(F.when(pop, v)).alias("_sp"), F.stddev_pop(v).alias("_sa"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", v)))).alias("signals"),
+    """A10 and A8 of the long form: what ``with_combined`` gives, per domain with a signal."""
+    rows = signals.groupBy("domain").agg(F.collect_list(F.struct("signal", "kind", "weight", "log10_estimate")).alias("_list"))
+    return with_combined(rows, "_list", scale).drop("_list")
+
+
+def with_combined(rows: DataFrame, listed: str, scale: float = 1.0) -> DataFrame:
+    """A10 and A8 on the row: the weighted mean of the list of signals, and agreement with its deviation over the popularity
+    signals, else all.  Adds mean, n_popularity, n_signals, signals, agreement and stddev; without a signal all but the counts are null."""
+    added = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda a, r: a + f(r))
+    v = lambda r: r["log10_estimate"]
+    popular = F.filter(listed, lambda r: r["kind"] == "popularity")
+    rows = rows.withColumn("n_signals", F.size(listed).cast("long")).withColumn("n_popularity", F.size(popular).cast("long"))
+    rows = rows.withColumn("_judged", F.when(F.col("n_popularity") > 0, popular).otherwise(F.col(listed))).withColumn("_n", F.size("_judged"))
+    rows = rows.withColumn("_m", F.try_divide(added(F.col("_judged"), v), F.col("_n")))
+    rows = rows.withColumn("_sd", F.sqrt(F.try_divide(added(F.col("_judged"), lambda r: (v(r) - F.col("_m")) * (v(r) - F.col("_m"))), F.col("_n"))))
+    pairs = F.array_sort(F.transform(listed, lambda r: F.struct(r["signal"].alias("signal"), v(r).alias("log10_estimate"))))
+    some = F.col("n_signals") > 0
+    rows = rows.withColumn("mean", F.try_divide(added(F.col(listed), lambda r: r["weight"] * v(r)), added(F.col(listed), lambda r: r["weight"])))
+    rows = rows.withColumn("signals", F.when(some, F.map_from_entries(pairs)))
+    agree = F.when(F.col("_n") < 2, 0.6).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.col("_sd") / scale)), 4))
+    return rows.withColumn("agreement", F.when(some, agree)).withColumn("stddev", F.when(F.col("_n") >= 2, F.round(F.col("_sd") + 1e-9, 4))).drop("_judged", "_n", "_m", "_sd")
+
+
+def _evidence(status: DataFrame, weights: dict[str, float], caps: list[dict]) -> DataFrame:
+    """One row per domain of ``status``: A7, and ``may_cap_i`` where the i-th absence cap applies."""
+    s, is_ = F.col("source"), lambda x: F.col("status") == x
+    credit = F.when(is_("present"), 1.0).when(is_("absent"), 0.8).when(is_("unreachable"), 0.5).when(is_("blocked"), 0.3).otherwise(0.0)
+    w = F.lit(None).cast("double")
+    for name, weight in weights.items():
+        w = F.when(s == name, float(weight)).otherwise(w)
+    live = F.when(~is_("disabled"), w)
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    flags = [(any_((s == c["source"]) & is_("absent")) & ~any_(s.isin(c["unless_present"]) & is_("present"))).alias(f"may_cap_{i}") for i, c in enumerate(caps)]
+    return status.groupBy("domain").agg(
+        F.round(F.try_divide(F.sum(live * credit), F.sum(live)), 4).alias("coverage"), F.count_if(live.isNotNull() & is_("present") & s.isin(POPULARITY_SOURCES)).alias("n_present"),
+        any_(live.isNotNull() & (s == "crawl") & is_("blocked")).alias("crawl_blocked_status"), F.count(live).alias("n_weighed"), *flags,
     )
-    n = F.when(F.col("n_popularity") > 0, F.col("n_popularity")).otherwise(F.col("n_signals"))
-    sd = F.when(F.col("n_popularity") > 0, F.col("_sp")).otherwise(F.col("_sa"))
-    agree = F.when(n < 2, 0.6).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), sd / scale)), 4))
-    return rows.withColumn("agreement", agree).withColumn("stddev", F.when(n >= 2, F.round(sd + 1e-9, 4))).drop("_sp", "_sa")
 
 
 def evidence_coverage(status: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The weighted credit of each domain's sources; disabled ones are left out, unlisted ones count nothing."""
-    credit = F.when(F.col("status") == "present", 1.0).when(F.col("status") == "absent", 0.8).when(F.col("status") == "unreachable", 0.5).when(F.col("status") == "blocked", 0.3).otherwise(0.0)
-    table = F.broadcast(status.sparkSession.createDataFrame(list(weights.items()), "source string, w double"))
-    rows = status.join(table, "source").where("status <> 'disabled'")
-    popular = (F.col("status") == "present") & F.col("source").isin(POPULARITY_SOURCES)
-    return rows.groupBy("domain").agg(
-        F.round(F.try_divide(F.sum(F.col("w") * credit), F.sum("w")), 4).alias("coverage"), F.count_if(popular).alias("n_present"), F.coalesce(F.bool_or((F.col("source") == "crawl") & (F.col("status") == "blocked")), F.lit(False)).alias("crawl_blocked_status")
-    )
+    return _evidence(status, weights, []).where("n_weighed > 0").drop("n_weighed")
 
 
 def confidence(coverage: Column, agreement: Column, n_present: Column, blocked: Column, cfg: dict) -> tuple[Column, Column]:
@@ -248,22 +273,22 @@ def confidence(coverage: Column, agreement: Column, n_present: Column, blocked:
     return F.when(score >= cfg["high"], "high").when(score >= cfg["medium"], "medium").otherwise("low"), score
 
 
+def _cap(features: DataFrame, config: dict) -> Column:
+    """The least of the caps that apply to a row with the flags ``may_cap_i``; null without one."""
+    curves = {name: points for name, _, _, _, points in config["signals"]}
+    caps = []
+    for i, spec in enumerate(config["absence_caps"]):
+        if spec["size"] in features.columns and spec["signal"] in curves:
+            x = f"log10(CASE WHEN `{spec['size']}` > 0 THEN `{spec['size']}` END)"
+            caps.append(F.when(F.col(f"may_cap_{i}"), F.round(F.expr(curve_sql(x, curves[spec["signal"]])) + spec["tolerance"], 2)))
+    return F.array_min(F.array(*caps)) if caps else F.lit(None).cast("double")
+
+
 def absence_caps(features: DataFrame, status: DataFrame, config: dict) -> DataFrame:
     """(domain, cap): a complete list that lacks the domain bounds it at the curve's value for the list's size
     plus a tolerance, unless one of some other sources has the domain."""
-    out = None
-    spark = features.sparkSession
-    for spec in config["absence_caps"]:
-        segments = curve_segments(spark, config).where(F.col("signal") == spec["signal"])
-        absent = status.where((F.col("source") == spec["source"]) & (F.col("status") == "absent")).select("domain")
-        other = status.where(F.col("source").isin(spec["unless_present"]) & (F.col("status") == "present")).select("domain")
-        sized = features.select("domain", F.log10(F.when(F.col(spec["size"]) > 0, F.col(spec["size"]))).alias("x")).where("x is not null")
-        rows = sized.join(absent, "domain", "left_semi").join(other, "domain", "left_anti").join(F.broadcast(segments), (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
-        rows = rows.select("domain", F.round(_on_segment(F.col("x")) + spec["tolerance"], 2).alias("cap"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "domain string, cap double")
-    return out.groupBy("domain").agg(F.min("cap").alias("cap"))
+    rows = features.join(_evidence(status, {}, config["absence_caps"]), "domain")
+    return rows.select("domain", _cap(features, config).alias("cap")).where("cap is not null")
 
 
 def apply_modifiers(rows: DataFrame, config: dict) -> DataFrame:
@@ -313,9 +338,12 @@ def heuristic(version: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     config = CONFIGS[version]
 
     def run(features: DataFrame, status: DataFrame) -> DataFrame:
-        signals = combine_signals(signal_estimates(normalize(features), config), config["confidence"]["scale"])
-        cover = evidence_coverage(status, config["source_weights"])
-        rows = features.join(signals, "domain", "left").join(cover, "domain", "left").join(absence_caps(features, status, config), "domain", "left")
+        used = {f for _, f, *_ in config["signals"]}
+        inputs = {k: v for k, v in normalized_columns(features).items() if k in used}
+        rows = features.withColumns({f"_{k}": v for k, v in inputs.items()})  # named once, as a curve reads its input at each bend
+        rows = rows.withColumn("_list", signal_list({k: f"_{k}" for k in inputs}, config)).drop(*[f"_{k}" for k in inputs])
+        rows = with_combined(rows, "_list", config["confidence"]["scale"]).drop("_list")
+        rows = rows.join(_evidence(status, config["source_weights"], config["absence_caps"]), "domain", "left").withColumn("cap", _cap(features, config))
         rows = with_range(apply_modifiers(rows, config), config["range"])
         label, score = confidence(F.coalesce("coverage", F.lit(0.0)), F.coalesce("agreement", F.lit(0.3)), F.coalesce("n_present", F.lit(0)), F.coalesce("crawl_blocked_status", F.lit(False)), config["confidence"])
         return rows.select(

@@ -162,6 +162,26 @@ def signal_metrics(scored: DataFrame, signals: str, reference: str) -> DataFrame
     return errors.join(spearman(rows, "signal", "x", "y").drop("n"), "signal").join(least_squares(rows, "signal", "x", "y").drop("n"), "signal")
 
 
+def run_counts(rows: DataFrame, domain: str, reference: str, estimate: str, completed: Column) -> DataFrame:
+    """One row of counts: all rows, those without a reference or an estimate, different domains, completed runs."""
+    missing = lambda c, name: F.count_if(F.col(c).isNull()).alias(name)
+    return rows.agg(F.count("*").alias("n"), missing(reference, "n_no_reference"), missing(estimate, "n_no_estimate"), F.count_distinct(domain).alias("n_domains"), F.count_if(completed).alias("n_completed"))
+
+
+def source_statuses(rows: DataFrame, sources: str) -> DataFrame:
+    """(source, status, n) over the maps source -> status; a row that lacks a source counts as ``none``."""
+    said = rows.select(F.explode(sources).alias("source", "status")).groupBy("source", "status").agg(F.count("*").alias("n"))
+    rest = said.groupBy("source").agg(F.sum("n").alias("_n")).crossJoin(rows.agg(F.count("*").alias("_all")))  # a row of totals
+    return said.unionByName(rest.select("source", F.lit("none").alias("status"), (F.col("_all") - F.col("_n")).alias("n")).where("n > 0"))
+
+
+def without_reference(rows: DataFrame, reference: str, estimate: str, below: float = 5_000) -> DataFrame:
+    """(bucket, n, n_below) of the estimates of rows whose reference is missing or zero; no estimate counts as zero."""
+    at = F.coalesce(F.col(estimate), F.lit(0))
+    none = rows.where(F.coalesce(F.col(reference), F.lit(0)) == 0)
+    return none.groupBy(bucket(at).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(at < below).alias("n_below"))
+
+
 def load_statistics(df: DataFrame, key: str, position: str, value: str) -> DataFrame:
     """Rows, domains, duplicates, duplicates in conflict with the first row, invalid keys, and missing values."""
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, position).alias("_first"), F.count("*").alias("_n"))

@@ -539,9 +539,22 @@ def a21_per_signal(spark, sf_dir):
 @query(f"""WITH s AS {_SC} SELECT count(*) AS n, count(*) FILTER (WHERE reference IS NULL) AS n_no_reference, count(*) FILTER (WHERE estimate IS NULL) AS n_no_estimate,
   count(DISTINCT l_suppkey) AS n_domains, count(*) FILTER (WHERE l_linestatus = 'F') AS n_completed FROM s""")
 def a22_counts(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return s.agg(F.count("*").alias("n"), F.count_if(F.col("reference").isNull()).alias("n_no_reference"), F.count_if(F.col("estimate").isNull()).alias("n_no_estimate"),
-                 F.count_distinct("l_suppkey").alias("n_domains"), F.count_if(F.col("l_linestatus") == "F").alias("n_completed"))
+    return E.run_counts(scored(spark, sf_dir), "l_suppkey", "reference", "estimate", F.col("l_linestatus") == "F")
+
+
+@query("""WITH k AS (SELECT 'mode' AS source, l_returnflag AS status FROM lineitem WHERE l_linenumber <> 3 UNION ALL SELECT 'line', l_linestatus FROM lineitem WHERE l_quantity < 20)
+SELECT source, status, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT source, 'none', (SELECT count(*) FROM lineitem) - count(*) FROM k GROUP BY 1""")
+def a22_source_statuses(spark, sf_dir):
+    mode, line = F.struct(F.lit("mode").alias("key"), F.col("l_returnflag").alias("value")), F.struct(F.lit("line").alias("key"), F.col("l_linestatus").alias("value"))
+    kept = F.array_compact(F.array(F.when(F.col("l_linenumber") != 3, mode), F.when(F.col("l_quantity") < 20, line)))
+    return E.source_statuses(table(spark, sf_dir, "lineitem").select(F.map_from_entries(kept).alias("sources")), "sources")
+
+
+@query("""SELECT CASE WHEN e >= 10000000 THEN '10M+' WHEN e >= 1000000 THEN '1M-10M' WHEN e >= 100000 THEN '100K-1M' WHEN e >= 10000 THEN '10K-100K' WHEN e >= 1000 THEN '1K-10K' ELSE '<1K' END AS bucket,
+  count(*) AS n, count(*) FILTER (WHERE e < 5000) AS n_below FROM (SELECT CASE WHEN l_linenumber = 2 THEN 0 ELSE l_extendedprice END AS e FROM lineitem WHERE l_discount = 0) GROUP BY 1""")
+def a22_without_reference(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("reference"), F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("estimate"))
+    return E.without_reference(rows, "reference", "estimate")
 
 
 @query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE o_custkey END AS d, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, -5) END AS v FROM orders),

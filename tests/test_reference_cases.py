@@ -1,11 +1,15 @@
 """Cases of single rows against plain Python forms of the same rules."""
 
 import json
+import math
 import random
+import statistics
 from urllib.parse import urldefrag, urljoin
 
+import pytest
 from pyspark.sql import functions as F
 
+from siteloom.functions import urls as U
 from siteloom.operators import brand as B
 from siteloom.operators import estimate as T
 from siteloom.operators import evaluate as V
@@ -269,3 +273,71 @@ def test_job_view_states(spark):
     for r in got:
         want = "ready" if r["e"] else "failed" if r["s"] in ("failed", "cancelled") else "pending"
         assert (r["view_status"], r["refreshing"], r["duration_ms"], list(r["o"])) == (want, bool(r["e"]) and r["s"] in ("queued", "running"), None, ["max_u_r_ls"])
+
+
+def plain_registrable(host, rules):
+    """The registrable domain by walking all rules: an exception wins, else the rule with the most labels."""
+    labels, best = host.split("."), 0
+    if "" in labels:
+        return None
+    for i in range(len(labels)):
+        tail = ".".join(labels[i:])
+        if "!" + tail in rules:
+            return tail
+        if tail in rules:
+            best = max(best, len(labels) - i)
+        if "*." + tail in rules and i > 0:
+            best = max(best, len(labels) - i + 1)
+    return ".".join(labels[-best - 1 :]) if 0 < best < len(labels) else None
+
+
+def test_registrable_domains_of_a_long_list(spark, tmp_path):
+    rng = random.Random(3)
+    rules = {f"t{i}" for i in range(300)} | {f"s{i % 7}.t{i % 300}" for i in range(4000)} | {f"x.s{i % 5}.t{i}" for i in range(300)} | {f"*.w{i}" for i in range(50)} | {f"!k.w{i}" for i in range(50)} | {f"*.z.t{i}" for i in range(20)}
+    parts = ["a", "www", "k", "x", "z", *[f"s{i}" for i in range(8)], *[f"t{i}" for i in range(0, 320, 5)], *[f"w{i}" for i in range(0, 55, 5)]]
+    hosts = sorted({".".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(6000)} | rules - {r for r in rules if r[0] in "*!"} | {"a..t5", ".t5", "x.s1..t5", "b.z.t5", "a.b.z.t5"})
+    (tmp_path / "rules.txt").write_text("// a comment\n\n" + "".join(f"{r}  note\n" for r in sorted(rules)) + "b\u00fccher\n")
+    table = U.read_suffixes(spark, str(tmp_path / "rules.txt"))
+    assert {r["rule"] for r in table.collect()} == {"=", "*", "!"} and table.where("suffix = 'xn--bcher-kva'").count() == 1
+    rows = U.registrable_domains(spark.createDataFrame([(h,) for h in [*hosts, None]], "h string"), "h", table).collect()
+    got = {r["h"]: r["domain"] for r in rows}
+    assert got.pop(None) is None
+    assert {h: d for h, d in got.items() if "" not in h.split(".")} == {h: plain_registrable(h, rules) for h in hosts if "" not in h.split(".")}
+    assert got["a..t5"] is None and got[".t5"] is None and sum(d is not None for d in got.values()) > 1000
+
+
+def test_estimates_match_plain_form(spark):
+    """Curves, weighted mean, agreement, coverage and caps of rows with gaps, against Python arithmetic."""
+    rng, config = random.Random(5), T.V2
+    some = lambda v: None if rng.random() < 0.3 else v
+    people = [(f"d{i}", some(10 ** rng.uniform(0, 7)), some(4_600_000.0), some(10 ** rng.uniform(2, 7)), some(10 ** rng.uniform(0, 9))) for i in range(200)] + [("none", None, None, None, None)]
+    features = spark.createDataFrame(people, "domain string, tranco_rank double, tranco_list_size double, crux_rank_bucket double, opr_ref_domains double")
+    kinds = ["present", "absent", "unreachable", "blocked", "disabled", "missing"]
+    said = [(p[0], s, rng.choice(kinds)) for p in people if p[0] != "none" for s in [*config["source_weights"], "unlisted"] if rng.random() < 0.8]
+    rows = {r["domain"]: r for r in T.estimate(features, spark.createDataFrame(said, "domain string, source string, status string")).collect()}
+    caps = {r["domain"]: r["cap"] for r in T.absence_caps(features, spark.createDataFrame(said, "domain string, source string, status string"), config).collect()}
+    curves = {s: (w, k, c) for s, _, w, k, c in config["signals"]}
+
+    def at(x, points):
+        for (x0, y0), (x1, y1) in zip(points, points[1:]):  # noqa: B905
+            if x < points[0][0]:
+                return points[0][1]
+            if x < x1:
+                return y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+        return points[-1][1]
+
+    for name, rank, size, crux, refs in people:
+        have = {"tranco": rank and round(math.log10(rank), 4), "crux": crux and round(math.log10(crux), 4), "referring_domains": refs and round(math.log10(refs + 1), 4)}
+        have = {s: round(at(x, curves[s][2]) + 1e-9, 3) for s, x in have.items() if x is not None}
+        own = {s: k for d, s, k in said if d == name}
+        live = [(config["source_weights"][s], {"present": 1, "absent": 0.8, "unreachable": 0.5, "blocked": 0.3}.get(k, 0)) for s, k in own.items() if s in config["source_weights"] and k != "disabled"]
+        detail = rows[name]["details"]
+        assert (detail["signals"] or {}) == pytest.approx(have, abs=0.0011)
+        assert detail["coverage"] == (pytest.approx(sum(w * c for w, c in live) / sum(w for w, _ in live), abs=1e-4) if live else None)
+        judged = [v for s, v in have.items() if curves[s][1] == "popularity"] or list(have.values())
+        assert detail["stddev"] == (pytest.approx(statistics.pstdev(judged), abs=0.002) if len(judged) > 1 else None)
+        cap = round(at(math.log10(size), curves["tranco"][2]) + 0.5, 2) if size and own.get("tranco") == "absent" and own.get("crux_top") != "present" else None
+        assert caps.get(name) == (pytest.approx(cap, abs=0.011) if cap else None)
+        if have and any(curves[s][1] == "popularity" for s in have):
+            mean = sum(curves[s][0] * v for s, v in have.items()) / sum(curves[s][0] for s in have)
+            assert detail["log10_estimate"] == pytest.approx(min(mean, cap) if cap else mean, abs=0.012)
