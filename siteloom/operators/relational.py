@@ -160,10 +160,13 @@ def list_lookup(domains: DataFrame, versions: DataFrame, entries: DataFrame) ->
 
 
 def classify_ingest(raw: DataFrame, position: str, domain: str, open_runs: DataFrame, completed: DataFrame, now: Column, hours: int, force: bool = False) -> DataFrame:
-    """Invalid, duplicate, existing (a run is open), recent (completed within ``hours``) or queued."""
+    """Invalid, duplicate, existing (a run is open), recent (completed within ``hours``) or queued.
+
+    Rows without a domain are dealt by their position, so that many of them are not one window.
+    """
     last = completed.groupBy(domain).agg(F.max("completed_at").alias("_last"))
     open_ = open_runs.select(domain).distinct().withColumn("_open", F.lit(True))
-    rows = raw.withColumn("_rn", F.row_number().over(Window.partitionBy(domain).orderBy(position)))
+    rows = raw.withColumn("_rn", F.row_number().over(Window.partitionBy(domain, F.when(F.col(domain).isNull(), F.col(position))).orderBy(position)))
     rows = rows.join(open_, domain, "left").join(last, domain, "left")
     recent = F.lit(False) if force else F.coalesce(F.col("_last") >= now - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
     status = F.when(F.col(domain).isNull(), "invalid").when(F.col("_rn") > 1, "duplicate").when(F.col("_open"), "existing").when(recent, "recent").otherwise("queued")
@@ -173,7 +176,7 @@ def classify_ingest(raw: DataFrame, position: str, domain: str, open_runs: DataF
 def not_fresh(tasks: DataFrame, observations: DataFrame, sources: DataFrame, now: Column, hours: int) -> DataFrame:
     """Tasks (domain, collector) but those whose collector's sources all have an observation younger than ``hours``."""
     latest = observations.groupBy("domain", "source").agg(F.max("collected_at").alias("_at"))
-    wanted = tasks.join(F.broadcast(sources), "collector").join(latest, ["domain", "source"], "left")
+    wanted = tasks.join(sources, "collector").join(latest, ["domain", "source"], "left")
     fresh = F.coalesce(F.col("_at") >= now - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
     done = wanted.groupBy("domain", "collector").agg(F.bool_and(fresh).alias("_all")).where("_all")
     return tasks.join(done, ["domain", "collector"], "left_anti")
@@ -188,7 +191,7 @@ def last_status(domains: DataFrame, runs: DataFrame, key: str, at: str, status:
 def overlay_status(grid: DataFrame, failed: DataFrame, disabled: DataFrame) -> DataFrame:
     """Failed tasks (domain, source) and disabled sources replace ``missing`` only."""
     rows = grid.join(failed.select("domain", "source").distinct().withColumn("_f", F.lit(True)), ["domain", "source"], "left")
-    rows = rows.join(F.broadcast(disabled.select("source").distinct().withColumn("_d", F.lit(True))), "source", "left")
+    rows = rows.join(disabled.select("source").distinct().withColumn("_d", F.lit(True)), "source", "left")
     status = F.when((F.col("status") == "missing") & F.col("_d"), "disabled").when((F.col("status") == "missing") & F.col("_f"), "failed").otherwise(F.col("status"))
     return rows.withColumn("status", status).drop("_f", "_d").select(*grid.columns)
 

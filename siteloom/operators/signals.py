@@ -342,10 +342,10 @@ def ip_hex(ip: Column) -> Column:
 def ip_providers(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """(domain, ip, provider, role) of the first range in feed order that holds each address of its family.
 
-    A range join on an address's leading digits as equi key; the ranges are a feed of known size.
+    A range join on an address's leading digits as equi key; Spark broadcasts the ranges where they are small.
     """
     rows = ips.withColumn("_n", ip_hex(F.col("ip"))).where("_n is not null").withColumn("block", F.left("_n", F.when(F.length("_n") == 32, 4).otherwise(2)))
-    hit = rows.join(F.broadcast(ranges), "block").where((F.length("_n") == F.length("lo")) & (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
+    hit = rows.join(ranges, "block").where((F.length("_n") == F.length("lo")) & (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
     best = hit.groupBy("domain", "ip").agg(F.min_by("provider", "ordinal").alias("provider"))
     return best.withColumn("role", F.when(F.col("provider").isin(CDN_PROVIDERS), "cdn").otherwise("hosting"))
 
