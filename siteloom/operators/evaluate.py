@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.scratch import scratch
 from .relational import cols
 
 # Traffic buckets by lower edge.
@@ -30,23 +36,40 @@ def nearest_rank(value: Column, share: float) -> Column:
     return F.get(v, F.least(F.size(v) - 1, F.floor(F.size(v) * F.lit(share)).cast("int")))
 
 
-def running_counts(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+def running_counts(df: DataFrame, keys: list[str], value: str, small: bool = False) -> DataFrame:
     """(keys, value, n, before, total): per different value its rows, those of smaller values, and all rows of the key.
 
-    Equal values meet map-side.  A key's values are dealt to ranges between approximate quantiles, so that a key with
-    a large share of all rows is many windows; ``before`` is what the ranges before hold and what the window holds.  Nulls are left out.
+    Equal values meet map-side.  The counts are then dealt to value ranges by one range exchange, whose partition numbers are
+    written with them and the running sum inside the range, so that every later step sees the same ranges and a key with a large
+    share of all values is in many of them: ``before`` is what the ranges before hold and what the range holds.  With ``small`` the caller says that no key has many
+    values; a key is then one window and nothing is written.  Nulls are left out.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    at = F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts")
-    cuts = counts.groupBy(*keys).agg(at, F.sum("n").alias("total"))
-    dealt = counts.join(_renamed(cuts, keys), _same(keys)).drop(*[f"_k{i}" for i in range(len(keys))])
-    dealt = dealt.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = _renamed(sums.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), [*keys, "_part"])
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, _same([*keys, "_part"]))
-    return rows.select(*keys, value, "n", (F.col("_start") + F.col("_in")).alias("before"), "total")
+    smaller = lambda w: F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if small:
+        key = Window.partitionBy(*keys)
+        return counts.select(*keys, value, "n", smaller(key).alias("before"), F.sum("n").over(key).alias("total"))
+    path, spark = scratch(df.sparkSession, "counts"), df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(ranges, *keys, value).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*keys, value)
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_before", T.LongType())])
+    dealt.mapInArrow(_running, schema).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    parts = dealt.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row per shuffle partition
+    starts = parts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    ranks = dealt.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn("_before", F.col("_start") + F.col("_before"))
+    firsts = _renamed(ranks.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("n").alias("total")), keys)
+    return ranks.join(firsts, _same(keys)).select(*keys, value, "n", (F.col("_before") - F.col("_first")).alias("before"), "total")
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the sum of ``n`` over the rows of the partition before each row."""
+    done = 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        ends = done + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], [*batch.schema.names, "_before"])
+        done = int(ends[-1]) if len(n) else done
 
 
 def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,33 +83,49 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def wide_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def wide_ranks(df: DataFrame, keys: list[str], value: str, out: str, small: bool = False) -> DataFrame:
     """Average ranks like W6 for keys of any size, by :func:`running_counts`; rows without a value are left out."""
-    ranks = running_counts(df, keys, value).select(*keys, F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    ranks = running_counts(df, keys, value, small).select(*keys, F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
     joined = df.join(_renamed(ranks, keys), _same(keys) & (F.col(value) == F.col("_v")))
     return joined.drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
-def error_summary(df: DataFrame, keys: str | list[str], error: str) -> DataFrame:
-    """N, bias, median, MAE, RMSE, 90th percentile of |e|, and shares within 0.3, 0.5 and 1.
+def _middle(total: Column) -> list[Column]:
+    return [F.floor((total + 1) / 2), F.floor(total / 2) + 1]
+
+
+def _ninth_decile(total: Column) -> list[Column]:
+    return [F.least(total, F.floor(total * F.lit(0.9)) + 1)]
+
+
+def by_rank(df: DataFrame, keys: list[str], picks: dict[str, tuple], small: bool = False) -> DataFrame:
+    """A column per pick, from name to (value column, ranks): the mean of the values at the ranks that ``ranks(total)`` names.
+
+    All picks take one pass of :func:`running_counts`.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("what"), c.cast("double").alias("v")) for i, (c, _) in enumerate(picks.values())])
+    ranked = running_counts(df.select(*keys, F.explode(values).alias("_x")).select(*keys, "_x.*"), [*keys, "what"], "v", small)
+    at = lambda i, r: F.max(F.when((F.col("what") == i) & (F.col("before") < r) & (r <= F.col("before") + F.col("n")), F.col("v")))
+    means = []
+    for i, (name, (_, ranks)) in enumerate(picks.items()):
+        found = [at(i, r) for r in ranks(F.col("total"))]
+        means.append((sum(found[1:], found[0]) / len(found)).alias(name))
+    return ranked.groupBy(*keys).agg(*means)
+
+
+def error_summary(df: DataFrame, keys: str | list[str], error: str, small: bool = False, **more: tuple) -> DataFrame:
+    """N, bias, median, MAE, RMSE, 90th percentile of |e|, and shares within 0.3, 0.5 and 1; then ``more`` picks of :func:`by_rank`.
 
-    Median and percentile are picked by rank out of :func:`running_counts`, so that no group is gathered or sorted in one task.
+    Median and percentile are picked by rank, so that no group is gathered or sorted in one task (with ``small``, a key is one window).
     """
     keys, e = cols(keys), F.col(error)
-    rows = df.where(e.isNotNull()).withColumn("_a", F.abs(e))
-    plain = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg("_a").alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        *[F.avg((F.col("_a") <= t).cast("double")).alias(f"within_{n}") for n, t in (("03", 0.3), ("05", 0.5), ("10", 1.0))],
+    plain = df.where(e.isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        *[F.avg((F.abs(e) <= t).cast("double")).alias(f"within_{n}") for n, t in (("03", 0.3), ("05", 0.5), ("10", 1.0))],
     )
-    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("what"), e.alias("v")), F.struct(F.lit(1).alias("what"), F.col("_a").alias("v")))).alias("_x")).select(*keys, "_x.*")
-    ranked = running_counts(both, [*keys, "what"], "v")
-    rank = lambda at: (F.col("before") < at) & (at <= F.col("before") + F.col("n"))
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    p90 = F.least(F.col("total"), F.floor(F.col("total") * F.lit(0.9)) + 1)
-    pick = lambda what, at: F.max(F.when((F.col("what") == what) & rank(at), F.col("v")))
-    picked = ranked.groupBy(*keys).agg(((pick(0, low) + pick(0, high)) / 2).alias("median"), pick(1, p90).alias("p90"))
+    picked = by_rank(df, keys, {"median": (e, _middle), "p90": (F.abs(e), _ninth_decile), **more}, small)
     out = plain.join(_renamed(picked, keys), _same(keys))
-    return out.select(*keys, "n", "bias", "median", "mae", "rmse", "p90", "within_03", "within_05", "within_10")
+    return out.select(*keys, "n", "bias", "median", "mae", "rmse", "p90", "within_03", "within_05", "within_10", *more)
 
 
 def pearson(x: str, y: str) -> Column:
@@ -95,11 +134,19 @@ def pearson(x: str, y: str) -> Column:
     return F.when(F.count("*") >= 3, F.try_divide(F.covar_pop(x, y), spread))
 
 
-def spearman(df: DataFrame, keys: str | list[str], x: str, y: str) -> DataFrame:
-    """Pearson on average ranks, per key."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = wide_ranks(wide_ranks(rows.select(*cols(keys), x, y), cols(keys), x, "_rx"), cols(keys), y, "_ry")
-    return rows.groupBy(*cols(keys)).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("rho"))
+def spearman(df: DataFrame, keys: str | list[str], x: str, y: str, small: bool = False) -> DataFrame:
+    """Pearson on average ranks, per key.
+
+    ``small`` says that a key's rows fit a window (many small keys); otherwise keys may be of any size.
+    """
+    keys = cols(keys)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    if small:
+        place = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+        rows = rows.select(*keys, place(x).alias("_rx"), place(y).alias("_ry"))
+    else:
+        rows = wide_ranks(wide_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("rho"))
 
 
 def least_squares(df: DataFrame, keys: str | list[str], x: str, y: str) -> DataFrame:
@@ -118,26 +165,22 @@ def with_buckets(df: DataFrame, reference: str, estimate: str) -> DataFrame:
     return rows.withColumn("error", safe(estimate) - safe(reference))
 
 
-def group_metrics(df: DataFrame, keys: str | list[str]) -> DataFrame:
+def group_metrics(df: DataFrame, keys: str | list[str], **picks: tuple) -> DataFrame:
     """The error summary, and shares with the exact bucket, within one, and reference in range."""
     keys = cols(keys)
     more = df.groupBy(*keys).agg(
         F.avg((F.col("bucket_diff") == 0).cast("double")).alias("bucket_exact"), F.avg((F.abs("bucket_diff") <= 1).cast("double")).alias("bucket_within_1"),
         F.avg(F.col("reference").between(F.col("lower"), F.col("upper")).cast("double")).alias("in_range"),
     )
-    return error_summary(df, keys, "error").join(more, keys)
+    return error_summary(df, keys, "error", **picks).join(more, keys)
 
 
 def overall_metrics(df: DataFrame) -> DataFrame:
     """Group metrics of all rows, and the error of always answering the median reference."""
-    rows = df.withColumn("all", F.lit("all"))
-    counts = running_counts(df.select(F.lit(0).alias("_all"), "reference"), ["_all"], "reference")
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    at = lambda r: F.max(F.when((F.col("before") < r) & (r <= F.col("before") + F.col("n")), F.col("reference")))
-    middle = counts.agg(((at(low) + at(high)) / 2).alias("median_visits"))
+    found = group_metrics(df.withColumn("all", F.lit("all")), "all", median_visits=(F.col("reference"), _middle))
     gap = F.avg(F.abs(F.log10(F.greatest("reference", F.lit(1.0))) - F.log10(F.greatest("median_visits", F.lit(1.0)))))
-    base = df.crossJoin(F.broadcast(middle)).groupBy("median_visits").agg(gap.alias("median_mae"))
-    return group_metrics(rows, "all").crossJoin(F.broadcast(base))
+    base = df.crossJoin(F.broadcast(found.select("median_visits"))).agg(gap.alias("median_mae"))  # one row each
+    return found.crossJoin(F.broadcast(base))
 
 
 def confusion(df: DataFrame) -> DataFrame:
