@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.patterns import LiteralIndex
 from .relational import top_counts
 
 # The technology signatures (name, category, part, key, pattern), all 138 of the survey's J9, and what implies what.
@@ -72,7 +73,7 @@ SIGNATURES = [
     ("Shopware", "ecommerce", "cookie", "", "^sw-"),
     ("Shopware", "ecommerce", "html", "", "shopware|/bundles/storefront/"),
     ("Ecwid", "ecommerce", "html", "", r"ecwid\.com|ecwid-"),
-    ("Other cart", "ecommerce", "html", "", "add-to-cart|addtocart|cart/add"),
+    ("Wizzcommerce/Other cart", "ecommerce", "html", "", "add-to-cart|addtocart|cart/add"),
     ("Next.js", "framework", "header", "x-powered-by", r"next\.js"),
     ("Next.js", "framework", "html", "", "/_next/static/|__NEXT_DATA__|next/dist"),
     ("Nuxt", "framework", "html", "", r"/_nuxt/|__NUXT__|window\.__NUXT"),
@@ -242,7 +243,7 @@ IMPLIES = [
     ("WP Rocket", "WordPress", "cms"),
     ("Cloudflare Rocket Loader", "Cloudflare", "cdn"),
 ]
-GENERIC_CART, CART_NAME = "Other cart", "Generic shopping cart"
+GENERIC_CART, CART_NAME = "Wizzcommerce/Other cart", "Generic shopping cart"
 PREFER = ["Shopify", "WooCommerce", "Magento", "BigCommerce"]
 CDN_PROVIDERS = ["Cloudflare", "Fastly", "Amazon CloudFront", "Akamai"]
 HTML_HEAD = 300_000
@@ -251,17 +252,18 @@ HTML_HEAD = 300_000
 def detect_technologies(inputs: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
     """(domain, tech, category) by signature over html, script, header, cookie, generator and dns parts.
 
-    Each signature is one native condition on the row, so that pages are read once
-    and nothing is joined; the html is cut where the rule says so.
+    The html is cut where the rule says so and read once, by an automaton for the plain parts of all html patterns
+    (:class:`~siteloom.functions.patterns.LiteralIndex`); patterns that are more than plain text are checked on the rows
+    that hold their plain part.  The other parts are short, and each of their patterns is a native condition.
     ``inputs``: domain, html, scripts array, headers map (lower-case keys), cookies array of names, generator, dns array.
     """
     have = set(inputs.columns)
-    html = F.substring("html", 1, HTML_HEAD) if "html" in have else None
+    literals = LiteralIndex()
 
     def hit(part: str, key: str, pattern: str) -> Column:
         p = f"(?i){pattern}"
-        if part == "html" and html is not None:
-            return html.rlike(p)
+        if part == "html" and "html" in have:
+            return literals.condition(pattern, F.col("_found"), F.col("_head"))
         if part == "generator" and "generator" in have:
             return F.col("generator").rlike(p)
         if part == "header" and "headers" in have:
@@ -275,7 +277,10 @@ def detect_technologies(inputs: DataFrame, signatures: list[tuple] | None = None
         c = F.coalesce(hit(part, key, pattern), F.lit(False))
         by_tech[(name, category)] = by_tech[(name, category)] | c if (name, category) in by_tech else c
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("tech"), F.lit(k).alias("category"))) for (n, k), c in by_tech.items()]))
-    return inputs.select("domain", F.explode(found).alias("x")).select("domain", "x.tech", "x.category").distinct()
+    rows = inputs
+    if "html" in have:
+        rows = inputs.withColumn("_head", F.substring("html", 1, HTML_HEAD)).drop("html").withColumn("_found", literals.found_in(F.col("_head")))
+    return rows.select("domain", F.explode(found).alias("x")).select("domain", "x.tech", "x.category").distinct()
 
 
 def implied_closure(spark, implies: list[tuple[str, str, str]] | None = None) -> DataFrame:

@@ -288,7 +288,7 @@ def tech_inputs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(i.cast("string").alias("domain"), F.concat("html", mark).alias("html"), head.alias("headers"), F.when(i % 5 == 0, F.array(F.lit("PHPSESSID"))).otherwise(F.array().cast("array<string>")).alias("cookies"))
 
 
-_TECH = """(SELECT i, unnest(list_concat(list_concat(CASE i % 4 WHEN 0 THEN ['WordPress', 'WooCommerce', 'Other cart'] WHEN 1 THEN ['Next.js'] WHEN 2 THEN ['Other cart'] ELSE [] END, CASE WHEN i % 3 = 0 THEN ['Cloudflare', 'nginx'] ELSE [] END), CASE WHEN i % 5 = 0 THEN ['PHP'] ELSE [] END)) AS tech FROM (SELECT page_id AS i FROM pages))"""
+_TECH = """(SELECT i, unnest(list_concat(list_concat(CASE i % 4 WHEN 0 THEN ['WordPress', 'WooCommerce', 'Wizzcommerce/Other cart'] WHEN 1 THEN ['Next.js'] WHEN 2 THEN ['Wizzcommerce/Other cart'] ELSE [] END, CASE WHEN i % 3 = 0 THEN ['Cloudflare', 'nginx'] ELSE [] END), CASE WHEN i % 5 = 0 THEN ['PHP'] ELSE [] END)) AS tech FROM (SELECT page_id AS i FROM pages))"""
 
 
 @query(f"SELECT DISTINCT CAST(i AS VARCHAR) AS domain, tech FROM {_TECH}")
@@ -297,7 +297,7 @@ def j9_tech_detect(spark, sf_dir):
 
 
 @query(f"""WITH t AS {_TECH}, a AS (SELECT * FROM t UNION SELECT i, unnest(CASE tech WHEN 'WordPress' THEN ['PHP'] WHEN 'WooCommerce' THEN ['WordPress', 'PHP'] WHEN 'Next.js' THEN ['React'] ELSE [] END) FROM t)
-SELECT CAST(i AS VARCHAR) AS domain, CASE WHEN tech = 'Other cart' THEN 'Generic shopping cart' ELSE tech END AS tech FROM a WHERE tech <> 'Other cart' OR i % 4 <> 0""")
+SELECT CAST(i AS VARCHAR) AS domain, CASE WHEN tech = 'Wizzcommerce/Other cart' THEN 'Generic shopping cart' ELSE tech END AS tech FROM a WHERE tech <> 'Wizzcommerce/Other cart' OR i % 4 <> 0""")
 def j10_implied_and_demoted(spark, sf_dir):
     """J10 and J11 after J9."""
     return S.demote_generic_cart(S.add_implied(S.detect_technologies(tech_inputs(spark, sf_dir)))).select("domain", "tech")
