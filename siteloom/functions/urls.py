@@ -6,17 +6,12 @@ All are native expressions; only a host with letters beyond ASCII meets Python
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A small default of public suffixes; pass a full table where it matters.
-DEFAULT_SUFFIXES = [
-    "com", "org", "net", "edu", "gov", "io", "dev", "info", "biz", "de", "fr", "es", "it", "nl", "pl", "se", "ch", "at",
-    "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "au", "com.au", "net.au", "jp", "co.jp", "ne.jp", "br", "com.br", "in", "co.in",
-    "nz", "co.nz", "za", "co.za", "github.io", "blogspot.com", "herokuapp.com", "*.ck", "!www.ck",
-]
-
 # Path kinds in order, first match wins.
 PATH_KINDS = [
     ("media", r"(?i)\.(jpe?g|png|gif|webp|svg|avif|mp4|mp3|pdf|zip|css|js|ico|woff2?|xml)$"),
@@ -107,8 +102,7 @@ def modified_age(lastmod: Column, today: Column) -> Column:
     return F.when(days <= 30, "30d").when(days <= 90, "90d").when(days <= 365, "365d").when(days > 365, "older")
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _idna(host: str) -> str | None:
+def _ascii_name(host: str) -> str | None:
     import idna
 
     try:
@@ -117,10 +111,23 @@ def _idna(host: str) -> str | None:
         return None
 
 
+_idna = F.udf(_ascii_name, T.StringType(), useArrow=True)
+_SHIPPED = "com.google.thirdparty.publicsuffix.PublicSuffixPatterns"
+
+
+@cache
+def shipped_suffixes(spark) -> list[str]:
+    """The whole public-suffix list, private names too, that the session's Java libraries carry: ``*.`` rules and ``!`` exceptions in its own notation."""
+    lists = spark._jvm.java.lang.Class.forName(_SHIPPED)
+    names = lambda field: [x.split("=")[0] for x in lists.getField(field).get(None).toString().strip("{}").split(", ")]
+    return [*names("EXACT"), *(f"*.{x}" for x in names("UNDER")), *(f"!{x}" for x in names("EXCLUDED"))]
+
+
 def suffix_table(spark, suffixes: list[str] | None = None) -> DataFrame:
-    """(suffix, rule) from a public-suffix list: rule ``=``, ``*`` (one more label) or ``!`` (exception)."""
-    rows = [(s.lstrip("!").removeprefix("*."), "!" if s[0] == "!" else "*" if s[0] == "*" else "=") for s in suffixes or DEFAULT_SUFFIXES]
-    return spark.createDataFrame(rows, "suffix string, rule string")
+    """(suffix, rule) from a public-suffix list, the shipped one by default: rule ``=``, ``*`` (one more label) or ``!`` (exception)."""
+    kind = lambda s: s[0] if s[0] in "!*" else "="
+    rows = {(_ascii_name(s.removeprefix("!").removeprefix("*.")), kind(s)) for s in suffixes or shipped_suffixes(spark)}
+    return spark.createDataFrame(sorted(rows), "suffix string, rule string")
 
 
 def read_suffixes(spark, path: str) -> DataFrame:
@@ -142,9 +149,9 @@ def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: s
     sets: dict[tuple[str, int], list[str]] = {}
     for r in suffixes.collect():  # its size is that of the list, not of the data
         sets.setdefault((r["rule"], r["suffix"].count(".") + 1), []).append(r["suffix"])
-    h = F.rtrim(F.lower(F.col(host)), F.lit("."))
-    last = lambda n: F.substring_index(h, ".", -n)
-    among = lambda rule, n: last(n).isin(sets[rule, n]) if (rule, n) in sets else F.lit(False)
+    hosts = hosts.withColumn("_suffixed", F.rtrim(F.lower(F.col(host)), F.lit(".")))
+    last = lambda n: F.substring_index("_suffixed", ".", -n)
+    among = lambda rule, n: _in_set(f"substring_index(_suffixed, '.', -{n})", sets.get((rule, n), []))
     more = lambda n: (last(n) != last(n - 1)) & ~last(n).startswith(".")
     most = max([n + (rule == "*") for rule, n in sets], default=0)
     found = F.lit(None).cast("string")
@@ -154,7 +161,13 @@ def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: s
     for n in range(1, most + 1):
         if ("!", n) in sets:
             found = F.when(among("!", n), last(n)).otherwise(found)
-    return hosts.withColumn(out, found)
+    return hosts.withColumn(out, found).drop("_suffixed")
+
+
+def _in_set(sql: str, names: list[str]) -> Column:
+    """Whether an expression is one of many literals, parsed at once; Spark makes a hashed set of them."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"{sql} IN ({', '.join(map(text, names))})") if names else F.lit(False)
 
 
 def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:
@@ -179,7 +192,7 @@ def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFram
         .when(~F.col("host").contains("."), "a registrable domain needs at least two labels").when(label, "invalid label")
     )
     rows = registrable_domains(rows.withColumn("_early", early), "host", suffixes, "name")
-    suffix_only = F.col("host").isin([r["suffix"] for r in suffixes.collect()])
+    suffix_only = _in_set("host", [r["suffix"] for r in suffixes.collect()])
     late = F.when(F.col("name").isNull(), F.when(suffix_only, "a public suffix is not a registrable domain").otherwise("unknown top-level domain"))
     rows = rows.withColumn("error", F.coalesce("_early", late))
     good = F.col("error").isNull()

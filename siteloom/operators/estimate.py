@@ -377,5 +377,5 @@ def compare_models(reference: DataFrame, run_status: DataFrame, features: DataFr
 
 def type_flags(types: Column) -> dict[str, Column]:
     """Product, article and organisation flags of a page's structured-data types."""
-    sets = {"schema_product": ["Product", "ProductGroup", "Offer", "AggregateOffer"], "schema_article": ["Article", "NewsArticle", "BlogPosting"], "schema_organization": ["Organization", "LocalBusiness", "Corporation"]}
+    sets = {"schema_product": PRODUCT_TYPES, "schema_article": ARTICLE_TYPES, "schema_organization": ORGANISATION_TYPES}
     return {k: F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(x) for x in v])), F.lit(False)) for k, v in sets.items()}

@@ -137,11 +137,16 @@ def j21_compare_models(spark, sf_dir):
     return T.compare_models(parts, ran, *stored(spark, sf_dir), ["heuristic_v1", "heuristic_v2"])
 
 
-@query("SELECT p_partkey, contains(p_type, 'BRASS') AS schema_product, contains(p_type, 'STEEL') AS schema_article, false AS schema_organization FROM part")
+@query("""WITH t AS (SELECT p_partkey, CASE p_size % 14 WHEN 0 THEN 'Product' WHEN 1 THEN 'ProductGroup' WHEN 2 THEN 'Offer' WHEN 3 THEN 'AggregateOffer' WHEN 4 THEN 'Article' WHEN 5 THEN 'NewsArticle' WHEN 6 THEN 'BlogPosting' WHEN 7 THEN 'TechArticle'
+  WHEN 8 THEN 'Organization' WHEN 9 THEN 'Corporation' WHEN 10 THEN 'LocalBusiness' WHEN 11 THEN 'Store' END AS a, CASE WHEN contains(p_type, 'BRASS') THEN 'Store' WHEN contains(p_type, 'STEEL') THEN 'TechArticle' END AS b FROM part)
+SELECT p_partkey, coalesce(a IN ('Product', 'ProductGroup', 'Offer', 'AggregateOffer'), false) AS schema_product, coalesce(a IN ('Article', 'NewsArticle', 'BlogPosting', 'TechArticle') OR b = 'TechArticle', b = 'TechArticle', false) AS schema_article,
+  coalesce(a IN ('Organization', 'Corporation', 'LocalBusiness', 'Store') OR b = 'Store', b = 'Store', false) AS schema_organization FROM t""")
 def j19_type_flags(spark, sf_dir):
     """J19 on type lists made of part types."""
     p = table(spark, sf_dir, "part")
-    types = F.array_compact(F.array(F.when(F.col("p_type").contains("BRASS"), "Offer"), F.when(F.col("p_type").contains("STEEL"), "BlogPosting"), F.lit("Thing")))
+    names = "Product ProductGroup Offer AggregateOffer Article NewsArticle BlogPosting TechArticle Organization Corporation LocalBusiness Store Thing Person".split()
+    one = F.element_at(F.array(*map(F.lit, names)), (F.col("p_size") % 14 + 1).cast("int"))
+    types = F.array_compact(F.array(F.when(F.col("p_type").contains("BRASS"), "Store").when(F.col("p_type").contains("STEEL"), "TechArticle"), one))
     return p.select("p_partkey", *[v.alias(k) for k, v in T.type_flags(types).items()])
 
 

@@ -101,17 +101,19 @@ def write_review(graded: DataFrame, path: str) -> None:
     verdict_counts(graded).write.mode("overwrite").parquet(f"{path}/counts")
 
 
-def markdown_table(metrics: DataFrame, order: str, most: int = 200) -> str:
-    """A few aggregated rows as a Markdown table."""
-    rows = metrics.orderBy(order).limit(most).collect()
+def markdown_table(metrics: DataFrame, order: str, most: int = 100_000) -> str:
+    """Aggregated rows, all of them, as a Markdown table; more than ``most`` are no report and raise an error."""
+    rows = metrics.orderBy(order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report takes aggregated rows: this table has more than {most}")
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = "| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns)
     return "\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
-def benchmark_report(tables: dict[str, tuple[DataFrame, str]]) -> str:
+def benchmark_report(tables: dict[str, tuple[DataFrame, str]], most: int = 100_000) -> str:
     """A Markdown report, a heading and table for each (metrics, order) of ``tables``; metrics are aggregated rows."""
-    return "\n\n".join(f"## {title}\n\n{markdown_table(df, order)}" for title, (df, order) in tables.items()) + "\n"
+    return "\n\n".join(f"## {title}\n\n{markdown_table(df, order, most)}" for title, (df, order) in tables.items()) + "\n"
 
 
 def new_results(pages: DataFrame, stored: DataFrame | None, formats: list[str], most_links: int = 5000, budget: int | None = None) -> DataFrame:
