@@ -149,25 +149,23 @@ def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: s
     sets: dict[tuple[str, int], list[str]] = {}
     for r in suffixes.collect():  # its size is that of the list, not of the data
         sets.setdefault((r["rule"], r["suffix"].count(".") + 1), []).append(r["suffix"])
-    hosts = hosts.withColumn("_suffixed", F.rtrim(F.lower(F.col(host)), F.lit(".")))
-    last = lambda n: F.substring_index("_suffixed", ".", -n)
-    among = lambda rule, n: _in_set(f"substring_index(_suffixed, '.', -{n})", sets.get((rule, n), []))
-    more = lambda n: (last(n) != last(n - 1)) & ~last(n).startswith(".")
+    last = lambda n: f"substring_index(h, '.', -{n})"
+    among = lambda rule, n: _in_set(last(n), sets.get((rule, n), []))
+    more = lambda n: f"({last(n)} <> {last(n - 1)} AND NOT startswith({last(n)}, '.'))"
     most = max([n + (rule == "*") for rule, n in sets], default=0)
-    found = F.lit(None).cast("string")
-    for n in range(1, most + 1):  # the last condition built is the first one asked
-        suffix = among("=", n) | (among("*", n - 1) & more(n))
-        found = F.when(suffix, F.when(more(n + 1), last(n + 1))).otherwise(found)
-    for n in range(1, most + 1):
-        if ("!", n) in sets:
-            found = F.when(among("!", n), last(n)).otherwise(found)
-    return hosts.withColumn(out, found).drop("_suffixed")
-
-
-def _in_set(sql: str, names: list[str]) -> Column:
-    """Whether an expression is one of many literals, parsed at once; Spark makes a hashed set of them."""
+    exact = [f"WHEN {among('!', n)} THEN {last(n)}" for n in range(most, 0, -1) if ("!", n) in sets]
+    known = [f"WHEN {among('=', n)} OR ({among('*', n - 1)} AND {more(n)}) THEN CASE WHEN {more(n + 1)} THEN {last(n + 1)} END" for n in range(most, 0, -1)]
+    if not most:
+        return hosts.withColumn(out, F.lit(None).cast("string"))
+    # the host is the variable of a lambda: it is worked out once a row, wherever the optimizer moves the lookup
+    sql = f"transform(array(_suffixed), h -> CASE {' '.join(exact + known)} END)[0]"
+    return hosts.withColumn("_suffixed", F.rtrim(F.lower(F.col(host)), F.lit("."))).withColumn(out, F.expr(sql)).drop("_suffixed")
+
+
+def _in_set(sql: str, names: list[str]) -> str:
+    """Whether an expression is one of many literals, as SQL that is parsed at once; Spark makes a hashed set of them."""
     text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr(f"{sql} IN ({', '.join(map(text, names))})") if names else F.lit(False)
+    return f"{sql} IN ({', '.join(map(text, names))})" if names else "false"
 
 
 def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:
@@ -192,7 +190,7 @@ def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFram
         .when(~F.col("host").contains("."), "a registrable domain needs at least two labels").when(label, "invalid label")
     )
     rows = registrable_domains(rows.withColumn("_early", early), "host", suffixes, "name")
-    suffix_only = _in_set("host", [r["suffix"] for r in suffixes.collect()])
+    suffix_only = F.expr(_in_set("host", [r["suffix"] for r in suffixes.collect()]))
     late = F.when(F.col("name").isNull(), F.when(suffix_only, "a public suffix is not a registrable domain").otherwise("unknown top-level domain"))
     rows = rows.withColumn("error", F.coalesce("_early", late))
     good = F.col("error").isNull()
