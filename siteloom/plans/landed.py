@@ -453,28 +453,33 @@ def w21_logo_choice(spark, sf_dir):
 
 
 def page_stream(spark, sf_dir):
-    """Events as page results in three files, the last of which repeats the first."""
+    """Events as page results in three parts, the last of which repeats the first."""
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("job_id"), F.concat(F.lit("u"), F.col("event_id") % 40).alias("url"), J.utc_stamp("ts").alias("at"), "event_id", (F.col("event_type") != "error").alias("success"), (F.col("event_id") % 50 + 1).alias("found")
     )
     path = scratch(spark, "stream")
     for i, part in enumerate((ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1"), ev.where("event_id % 2 = 0"))):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return J.read_stream(spark, path)
+        part.write.mode("append").parquet(path)
+    return J.read_stream(spark, path, files_per_trigger=64)
 
 
 @query("SELECT job_id, url, count(*) AS n FROM (SELECT DISTINCT user_id AS job_id, 'u' || event_id % 40 AS url FROM events) GROUP BY 1, 2")
 def t1_ingest_pages(spark, sf_dir):
     """The stream of page results, each (job, url) once."""
     sink = scratch(spark, "sink")
-    J.ingest_pages(page_stream(spark, sf_dir), sink, scratch(spark, "ck"), ["job_id", "url"], "at", "3650 days").awaitTermination()
+    J.ingest_pages(page_stream(spark, sf_dir), sink, scratch(spark, "ck"), ["job_id", "url"], "at").awaitTermination()
     return spark.read.parquet(sink).groupBy("job_id", "url").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id AS job_id, greatest(max(event_id % 50 + 1), count(*)) AS discovered, count(*) AS processed, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
 def t2_progress(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", (F.col("event_type") != "error").alias("success"), (F.col("event_id") % 50 + 1).alias("found"))
-    return J.progress(ev, "job_id", "ts", "found", "success").drop("last_at")
+    """T2 as a stream over the events in several batches; what stands after the last one."""
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), J.utc_stamp("ts").alias("at"), (F.col("event_type") != "error").alias("success"), (F.col("event_id") % 50 + 1).alias("found"), "event_id")
+    path, sink = scratch(spark, "progress"), scratch(spark, "sink")
+    for odd in (1, 0):  # later events first
+        ev.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(path)
+    J.stream_progress(J.read_stream(spark, path, files_per_trigger=64), sink, scratch(spark, "ck"), "job_id", "at", "found", "success").awaitTermination()
+    return J.latest_progress(spark, sink, "job_id").drop("last_at")
 
 
 @query("""WITH r AS (SELECT user_id AS job_id, count(*) FILTER (WHERE event_type = 'purchase' AND user_id % 5 <> 0) AS s, count(*) FILTER (WHERE NOT (event_type = 'purchase' AND user_id % 5 <> 0)) AS f FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1), x AS (SELECT user_id AS job_id, count(*) AS x FROM events WHERE event_type = 'signup' GROUP BY 1)

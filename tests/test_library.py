@@ -162,19 +162,6 @@ def test_colours_and_roles(spark):
     assert (r["primary"], r["secondary"], r["background"], r["confidence"]) in [("#0050FF", "#FF8800", "#FFFFFF", "high"), ("#0052FE", "#FF8800", "#FFFFFF", "high")]
 
 
-def test_stream_of_alerts_equals_batch(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(f"s{i % 3}", i, (i * 7) % 11 > 3) for i in range(120)]
-    df = spark.createDataFrame(rows, "source string, seq long, failed boolean")
-    batch = {(r["source"], r["seq"]) for r in J.failure_alerts(df, "source", ["seq"], F.col("failed"), ~F.col("failed")).collect()}
-    for k in range(3):
-        df.where((F.col("seq") >= 40 * k) & (F.col("seq") < 40 * k + 40)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = J.stream_failure_alerts(stream).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r["source"], r["seq"]) for r in spark.table("alerts").collect()} == batch
-
-
 def test_stream_windows_equal_batch(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, h, m), f"s{m % 2}", float(h * m)) for h in range(6) for m in range(0, 60, 7)]
     df = spark.createDataFrame(rows, "at timestamp, source string, value double")
