@@ -1,11 +1,11 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-A vector's components, less the middle of their dimension, are postings, and the
-impact of a posting is its size.  Impacts are quantised; the postings of one level
-are a segment.  Queries take the segments by descending impact, a few levels a step,
-and add up scores.  What a vector still lacks is bounded by the norm of its postings to come,
-so the search stops at the step that proves that all but a few vectors cannot reach a
-query's k best; these possible members are scored exactly.
+A vector's components, less the middle of their dimension, are postings (zeros are none), and the
+impact of a posting is its size.  Impacts are quantised; the postings of one dimension and level
+are a segment, a list of rows and values.  A block of queries weighs the dimensions, takes the
+segments by descending weight times impact, and adds up scores.  What a row still lacks is
+bounded by the norm of its postings to come, so a query stops at the segment that proves that all
+but a few rows cannot reach its k best; these possible members are scored exactly.
 
 Shards are cells around pivots.  A query first asks the shard it lies in, whose k-th
 score is its threshold everywhere else; cells whose ball cannot reach the threshold are
@@ -21,36 +21,44 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Levels of quantised impact, and the shares of the squared norm still to come at which a step ends.
-LEVELS, STEPS = 16, (0.1, 0.03, 0.0)
-#: A search passes on to exact scores once so small a share of all pairs is possible.
-FEW = 1 / 64
-SHARD_ROWS, QUERY_ROWS, CHUNK = 8_192, 32_768, 256
+#: Levels of quantised impact, and the shares of the weighted squared norm still to come at which proof is tried.
+LEVELS, PROOFS = 16, (0.5, 0.3, 0.15, 0.07, 0.03, 0.0)
+#: A query passes on to exact scores once so small a share of the rows is possible.
+FEW = 1 / 16
+SHARD_ROWS, QUERY_ROWS, CHUNK = 8_192, 32_768, 128
 #: Pivots are drawn from at most so many rows; every row is indexed.
 MAX_CELLS = 4_096
 
 
 class ImpactIndex:
-    """The impact segments of one shard of integer vectors (rows of ``x``)."""
+    """The posting segments of one shard of integer vectors (rows of ``x``): row numbers and values by dimension and level of impact.
+
+    ``read`` counts the postings that searches have read.
+    """
 
     def __init__(self, x: np.ndarray, levels: int = LEVELS) -> None:
         self.x = x.astype(np.int64)
         self.middle = np.median(self.x, axis=0).astype(np.int64)
         e = self.x - self.middle
-        impact = np.abs(e)
+        self.row, dim = np.nonzero(e)  # zeros are no postings
+        value = e[self.row, dim]
+        impact = np.abs(value)
         # level 0 has the greatest impacts
         level = levels - 1 - impact * levels // (int(impact.max(initial=0)) + 1)
-        energy = e.astype(float) ** 2
-        whole, self.steps, done = energy.sum() or 1.0, [], np.zeros(e.shape, bool)
-        self.norm = float(np.sqrt(energy.sum(axis=1).max(initial=0)))
-        to_come, ends = 1 - np.cumsum(np.bincount(level.ravel(), energy.ravel(), levels)) / whole, []
-        for share in STEPS[:-1]:
-            ends.append(int(np.argmax(to_come <= share)))
-        for end in dict.fromkeys([*ends, levels - 1]):
-            now = (level <= end) & ~done
-            done |= now
-            left = np.sqrt(np.where(done, 0.0, energy).sum(axis=1))
-            self.steps.append((np.where(now, e, 0).astype(np.float32), left.astype(np.float32)))
+        order = np.lexsort((-impact, level, dim))
+        self.row, dim, level, value = self.row[order], dim[order], level[order], value[order].astype(float)
+        self.value, self.energy = value.astype(np.float32), value**2
+        self.begin = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (level[1:] != level[:-1])]) if len(dim) else np.zeros(0, int)
+        self.dim, self.top = dim[self.begin], np.abs(value[self.begin])
+        self.end = np.r_[self.begin[1:], len(dim)].astype(int)
+        self.norm = float(np.sqrt((e.astype(float) ** 2).sum(axis=1).max(initial=0)))
+        self.read = 0
+
+    def order(self, weight: np.ndarray) -> np.ndarray:
+        """The segments by descending impact times the queries' weight of their dimension; those without weight are not read."""
+        impact = weight[self.dim] * self.top
+        order = np.argsort(-impact, kind="stable")
+        return order[impact[order] > 0]
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of all that can be among the k best of each query (rows of ``q``).
@@ -60,33 +68,56 @@ class ImpactIndex:
         """
         n, dims = self.x.shape
         q = q.astype(np.int64)
-        size = np.sqrt((q.astype(float) ** 2).sum(axis=1))
-        wide = q.astype(np.float32)
+        real = q.astype(float)
+        weight = np.sqrt((real**2).mean(axis=0)) if len(q) else np.zeros(dims)
+        share = np.divide(1.0, weight, out=np.zeros(dims), where=weight > 0)
+        # what a row still lacks is at most the norm of its postings to come, plain or weighted, times the query's
+        size, sized = (np.sqrt((v**2).sum(axis=1)) for v in (real, real * share))
         # what single precision may be off by
-        off = ((dims + 8) * 2.0**-22 * size * self.norm + 1e-3).astype(np.float32)
-        need = threshold - (q @ self.middle).astype(float) - off
+        off = (dims + 8) * 2.0**-22 * size * self.norm + 1e-3
+        need, asked, free = threshold - (q @ self.middle).astype(float) - off, np.arange(len(q)), np.isneginf(threshold)
+        acc, wide = np.zeros((n, len(q)), np.float32), q.T.astype(np.float32)
         mine = np.flatnonzero(own >= 0)
-        acc = np.zeros((len(q), n), np.float32)
-        size = size.astype(np.float32) * np.float32(1 + 1e-5)
-        for step, left in self.steps:
-            acc += wide @ step.T
-            acc[mine, own[mine]] = -np.inf
-            rest = size[:, None] * left[None, :]
-            if n > k:
-                sure = np.partition(acc - rest, n - k, axis=1)[:, n - k] - 2 * off
-                need = np.maximum(need, sure)
-            member = acc + rest >= need[:, None]
-            member[mine, own[mine]] = False
-            if member.mean() <= FEW:
+        acc[own[mine], mine] = -np.inf
+        order = self.order(weight)
+        scaled = self.energy * np.repeat(weight[self.dim] ** 2, self.end - self.begin)
+        left, lefted = np.bincount(self.row, self.energy, n), np.bincount(self.row, scaled, n)
+        to_come = np.add.reduceat(scaled, self.begin)[order] if len(order) else np.zeros(0)
+        to_come = 1 - np.cumsum(to_come) / (to_come.sum() or 1.0)
+        proofs = {int(np.argmax(to_come <= p)) for p in PROOFS[:-1]} if len(order) else set()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at, s in enumerate([*order.tolist(), None]):
+            if s is not None:
+                seg = slice(self.begin[s], self.end[s])
+                rows = self.row[seg]
+                acc[rows] += self.value[seg, None] * wide[self.dim[s]]
+                left[rows] -= self.energy[seg]
+                lefted[rows] -= scaled[seg]
+                self.read += len(rows)
+                if at not in proofs:
+                    continue
+            rest = np.zeros((n, 1)) if s is None else np.minimum(size * np.sqrt(np.maximum(left, 0))[:, None], sized * np.sqrt(np.maximum(lefted, 0))[:, None]) * (1 + 1e-5)
+            rest = (rest + off * (s is not None)).astype(np.float32)
+            if n > k and free.any():  # no threshold from elsewhere: the k-th of what is sure
+                need = np.maximum(need, np.partition(acc - rest, n - k, axis=0)[n - k] - 2 * off)
+            member = acc + rest >= need.astype(np.float32) - np.abs(need).astype(np.float32) * np.float32(2.0**-22)
+            member &= acc > -np.inf
+            ready = np.full(len(asked), True) if s is None else member.mean(axis=0) <= FEW
+            if ready.any():
+                row, who = np.nonzero(member[:, ready])
+                found.append((asked[ready][who], row))
+                stay = ~ready
+                asked, acc, wide, need, size, sized, off, free = asked[stay], np.ascontiguousarray(acc[:, stay]), np.ascontiguousarray(wide[:, stay]), need[stay], size[stay], sized[stay], off[stay], free[stay]
+            if not len(asked):
                 break
-        who, row = np.nonzero(member)
+        who, row = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
         score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[a], self.x[b]) for a, b in ((who[i : i + 65_536], row[i : i + 65_536]) for i in range(0, len(who), 65_536)))])
         return who, row, score
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v) with v = floor(scale * component); rows with a null vec_id, vector or component,
-    or a component that isn't finite, take no part.  Inner products must stay within a long."""
+    or a component that isn't finite, take no part.  :func:`top_k` refuses vectors whose inner products may leave a long."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), x.alias("x")).where("vec_id is not null and x is not null").where(~bad)
@@ -135,7 +166,10 @@ def top_k(ws: Workspace, vectors: DataFrame, is_query, k: int = 5, shard_rows: i
     No rows or no queries give no rows.
     """
     rows = ws.save(vectors.withColumn("row_id", F.monotonically_increasing_id()).withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
-    n, m, dims = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))
+    n, m, dims, largest = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v")), largest).first()
+    if (dims or 0) * (largest or 0) ** 2 >= 2**62:
+        raise ValueError("inner products must stay within a long")
     if not m:
         return ws.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims, cells, blocks = max(1, dims or 0), min(MAX_CELLS, -(-n // shard_rows)), max(1, -(-m // query_rows))

@@ -151,15 +151,40 @@ def test_index_is_exact_with_ties_and_negative_values(spread):
     assert topk.ImpactIndex(np.zeros((9, 4), int)).search(np.zeros((1, 4), int), 5, np.array([-1]), none)[1].size == 9
 
 
-def test_index_stops_before_the_last_segments():
+def clustered(n=6000, dims=64):
     rng = np.random.default_rng(2)
-    x = np.round(256 * rng.normal(size=(4000, 64)) / 8).astype(int)
+    centres = rng.normal(size=(30, dims)) * (rng.random((30, dims)) < 0.3)
+    return np.floor(256 * (centres[rng.integers(0, 30, n)] + 0.05 * rng.normal(size=(n, dims)))).astype(int)
+
+
+def test_index_reads_few_postings_in_order_of_impact(monkeypatch):
+    """On clustered vectors proof comes long before the last segment, and only if segments come by descending impact."""
+    x = clustered()
+    own = np.flatnonzero((x @ x[0]) > 0.5 * (x[0] @ x[0]))[:60]
+    best = np.sort(x[own] @ x.T, axis=1)[:, -6].astype(float)
+    read = {}
+    for name in ("impact", "by dimension", "ascending"):
+        if name == "by dimension":
+            monkeypatch.setattr(topk.ImpactIndex, "order", lambda self, w: np.arange(len(self.begin)))
+        if name == "ascending":
+            monkeypatch.setattr(topk.ImpactIndex, "order", lambda self, w: np.argsort(w[self.dim] * self.top, kind="stable"))
+        index = topk.ImpactIndex(x)
+        who, at, score = index.search(x[own], 5, own, best)
+        assert all((score[who == i] >= best[i]).sum() >= 5 for i in range(len(own)))
+        read[name] = index.read / x.size
+    assert read["impact"] < 0.5 and read["impact"] < 0.7 * min(read["by dimension"], read["ascending"])
+
+
+def test_index_holds_no_zeros():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((3000, 64)) < 0.05, rng.integers(1, 900, (3000, 64)), 0)
     index = topk.ImpactIndex(x)
-    best = np.sort(x[:20] @ x.T, axis=1)[:, -6].astype(float)
-    assert len(index.steps) == 3
-    index.steps[-1] = (np.full_like(index.steps[-1][0], np.nan), index.steps[-1][1])  # a step that is taken would spoil all scores
-    who, at, score = index.search(x[:20], 5, np.arange(20), best)
-    assert all((score[who == i] >= best[i]).sum() >= 5 for i in range(20))
+    who, at, score = index.search(x[:50], 5, np.arange(50), np.full(50, -np.inf))
+    assert index.read <= len(index.row) < 0.06 * x.size
+    plain = x[:50] @ x.T
+    plain[np.arange(50), np.arange(50)] = -1
+    for i in range(50):
+        assert sorted(score[who == i])[-5:] == sorted(plain[i])[-5:]
 
 
 def test_band_recall_is_high_at_the_threshold():
