@@ -23,6 +23,8 @@ from .common import as_text
 #: Labelled rows that the model is fitted on, at most, and pairs for each label-0 row.
 MAX_LABELLED = 20_000
 PAIRS_EACH = 40
+#: Pairs learned from in all: at most 200 MB of differences on the driver.
+MAX_PAIRS = 400_000
 CUT_SCORE = 0.3
 _SYMBOLS, _CAPS, _DIGITS = b"#*$%&<>{}[]\\^~@_=+/", bytes(range(65, 91)), b"0123456789"
 _RATES = ("symbols", "marks", "bars", "caps", "digits", "repeats", "alike", "short")
@@ -69,7 +71,8 @@ class Model:
     cut: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return _shaped((x - self.mean) / self.scale) @ self.weights
+        # row by row: a matrix product may differ in its last digit with the number of rows
+        return (np.ascontiguousarray(_shaped((x - self.mean) / self.scale)) * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         s = self.raw(x) - self.cut + math.log(CUT_SCORE / (1 - CUT_SCORE))
@@ -82,11 +85,15 @@ def _shaped(z: np.ndarray) -> np.ndarray:
     return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0)], axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3, rounds: int = 25, seed: int = 5) -> Model | None:
-    """Newton steps on the mean logistic loss of pair differences; None without both labels."""
+def fit(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH, most_pairs: int = MAX_PAIRS, ridge: float = 1e-3, rounds: int = 25, seed: int = 5) -> Model | None:
+    """Newton steps on the mean logistic loss of pair differences; None without both labels.
+
+    Each row of label 0 takes ``pairs_each`` pairs, or fewer (one at least) where that would be more than ``most_pairs``.
+    """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
+    pairs_each = max(1, min(pairs_each, most_pairs // len(bad)))
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = _shaped((x - mean) / scale)
     rng = np.random.default_rng(seed)
@@ -113,8 +120,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
     """Fit on the labelled documents outside the held-out fold, ``limit`` label rows at most, in hash order.
 
-    Null labels and labels without a document are passed over; repeated rows of either table
-    count once each.  Only the texts of these rows are read into features, whole and of any length
+    Null labels and labels without a document are passed over; of repeated documents of one id and label the
+    one with the smallest statistics counts.  Only the texts of these rows are read into features, whole and of any length
     (null or empty: all statistics zero).  Without both labels, as with empty tables, there is no model.
     """
     told = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where("_id is not null and _quality in (0, 1)")
@@ -126,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             yield pa.record_batch([b.column(0), b.column(1), x], names=["id", "y", "x"])
 
     known = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == F.col("_id")).select("_id", "_quality", as_text("text"))
-    rows = known.mapInArrow(run, "id long, y int, x array<double>").toArrow().to_pylist()
+    found = known.mapInArrow(run, "id long, y int, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))  # a row per label row at most
+    rows = found.toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 

@@ -307,3 +307,17 @@ def test_shards_draw_what_the_splitting_tree_gives_them():
     many = np.array([mixing.split_tree(have, 2, 0, seed)[1][0] for seed in range(400)])
     # hypergeometric: 500 of 1000 blocks, 700 of them of the first source
     assert abs(many.mean() - 350) < 2 and abs(many.std() - 7.25) < 1.2
+
+
+def test_pairs_are_bounded_in_all(monkeypatch):
+    """19,000 of 20,000 rows of label 0 give as many pairs as the bound says, and the order is learned."""
+    rng, made = np.random.default_rng(4), []
+    y = (np.arange(20_000) % 20 == 0).astype(int)
+    x = rng.normal(size=(20_000, len(ranking.FEATURES))) + y[:, None] * 2
+    repeat = np.repeat
+    monkeypatch.setattr(np, "repeat", lambda a, n, *r, **k: made.append(len(a) * n) or repeat(a, n, *r, **k))
+    model = ranking.fit(x, y)
+    monkeypatch.undo()
+    assert made[0] == 19_000 * 21 <= ranking.MAX_PAIRS
+    s = model.score(x)
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None, :2_000]) > 0.99
