@@ -156,7 +156,7 @@ def _different(batch: pa.RecordBatch) -> dict[bytes, str]:
 
 
 def banded_lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, bands) of each different line of a batch, k1 and k2 the halves of its key, a row per family it has."""
+    """(k1, bands) of each different line of a batch, k1 the first half of its key, a row per family it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +167,13 @@ def banded_lines(docs: DataFrame) -> DataFrame:
                 lines.append(line)
                 held += len(line)
                 if held > _CHUNK or i == len(todo) - 1:
-                    halves = _halves(keys)
+                    half = _halves(keys)[0]
                     for which, bands in band_families(lines):
                         ends = pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS)
-                        yield pa.record_batch([*(h.take(pa.array(which)) for h in halves), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["k1", "k2", "bands"])
+                        yield pa.record_batch([half.take(pa.array(which)), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["k1", "bands"])
                     keys, lines, held = [], [], 0
 
-    return docs.select(as_text("text").alias("text")).mapInArrow(run, "k1 long, k2 long, bands array<long>")
+    return docs.select(as_text("text").alias("text")).mapInArrow(run, "k1 long, bands array<long>")
 
 
 def shingles(line: str) -> set[str]:
@@ -269,16 +269,14 @@ def _spread(values: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndar
 
 
 def candidate_buckets(ws: Workspace, banded: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(grp, id): the different lines of ``banded(k1, k2, bands)`` that share a bucket, by their number in
+    """(grp, id): the different lines of ``banded(k1, bands)`` that share a bucket, by their number in
     ``numbers(h1, h2, lid)``, those of all buckets with the same first line together.  Rows are dealt by bucket
-    once, and a row stays if a neighbour in its bucket differs; only such rows meet their numbers."""
-    rows = banded.select(F.explode("bands").alias("bucket"), "k1", "k2")
-    w = Window.partitionBy("bucket").orderBy("k1", "k2")
-    before, after = (f(F.struct("k1", "k2")).over(w) for f in (F.lag, F.lead))
-    near = rows.withColumn("a", before).withColumn("b", after)
-    differs = lambda c: F.col(c).isNotNull() & ((F.col(f"{c}.k1") != F.col("k1")) | (F.col(f"{c}.k2") != F.col("k2")))
-    near = near.where(differs("a") | differs("b")).select("bucket", "k1", "k2")
-    found = ws.save(near.join(numbers.hint("shuffle_hash"), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).select("bucket", "lid"), "buckets")
+    once, and a row stays if a neighbour in its bucket differs; only such rows meet their numbers.  Half a key is
+    enough here: it takes 64 equal bits of two similar lines to lose their link, and lines that share it are all numbered."""
+    rows = banded.select(F.explode("bands").alias("bucket"), "k1")
+    w = Window.partitionBy("bucket").orderBy("k1")
+    near = rows.withColumn("a", F.lag("k1").over(w)).withColumn("b", F.lead("k1").over(w)).where("a <> k1 or b <> k1").select("bucket", "k1")
+    found = ws.save(near.join(numbers.hint("shuffle_hash"), F.col("k1") == F.col("h1")).select("bucket", "lid"), "buckets")
     firsts = found.groupBy("bucket").agg(F.min("lid").alias("grp")).withColumnRenamed("bucket", "b")
     return found.join(firsts, F.col("bucket") == F.col("b")).select("grp", F.col("lid").alias("id")).distinct()
 
