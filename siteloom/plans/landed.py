@@ -192,11 +192,11 @@ def s13_catalog_products(spark, sf_dir):
 def k1_list_versions(spark, sf_dir):
     """Four versions of a list loaded one after another; two are kept, the last is active."""
     p = table(spark, sf_dir, "part")
-    path, versions = scratch(spark, "entries"), spark.createDataFrame([], "provider string, list_id string, row_count long, active boolean, downloaded_at timestamp")
+    path = scratch(spark, "lists")
     for i in range(4):
         entries = p.where(F.col("p_size") % 4 == i).select(F.col("p_brand").alias("domain"), F.col("p_partkey").alias("rank"))
-        versions, _ = K.load_list_version(entries, versions, {"provider": "a", "list_id": f"v{i}", "downloaded_at": datetime(2024, 1, 1 + i)}, path)
-    return versions.select("provider", "list_id", "row_count", "active")
+        K.load_list_version(entries, {"provider": "a", "list_id": f"v{i}", "downloaded_at": datetime(2024, 1, 1 + i)}, path)
+    return K.list_versions(spark, path).select("provider", "list_id", "row_count", "active")
 
 
 @query("SELECT event_type AS source, count(*) AS n, count(DISTINCT user_id) AS n_domains FROM events GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +19,71 @@ def _overwrite(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def load_list_version(entries: DataFrame, versions: DataFrame, version: dict, entries_path: str, keep: int = 2) -> tuple[DataFrame, DataFrame]:
-    """K1: replace the entries of one (provider, list_id), make it the active version, and tell which versions to prune.
+VERSIONS = "provider string, list_id string, row_count long, active boolean, downloaded_at timestamp, path string"
+_POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, root: str):
+    """The file context of a folder, and a maker of its paths."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(make(root).toUri(), conf), make
+
+
+def list_versions(spark: SparkSession, root: str) -> DataFrame:
+    """K1: the versions that the pointer file of ``root`` names; none before the first load."""
+    files, path = _files(spark, root)
+    if not files.util().exists(path(f"{root}/{_POINTER}")):
+        return spark.createDataFrame([], VERSIONS)
+    named = spark.read.text(f"{root}/{_POINTER}", wholetext=True).first()[0].strip()
+    return spark.read.schema(VERSIONS).parquet(f"{root}/{named}")
+
+
+def list_entries(spark: SparkSession, root: str, provider: str) -> DataFrame | None:
+    """K1: the entries of a provider's active version, None without one."""
+    active = list_versions(spark, root).where((F.col("provider") == provider) & F.col("active")).select("path").first()
+    return spark.read.parquet(f"{root}/{active[0]}") if active else None
+
+
+def load_list_version(entries: DataFrame, version: dict, root: str, keep: int = 2) -> tuple[DataFrame, DataFrame]:
+    """K1: load the entries of one (provider, list_id), make it the active version, and prune what ``keep`` leaves no room for.
 
-    Returns (versions, pruned); only the partition of the list is rewritten.
+    Entries and the table of versions go to new folders; the pointer file, replaced last by one rename, makes both current at once,
+    so that readers and a load that fails in between see the old version whole.  Loads of one ``root`` must not run at the same time.
+    Returns (versions, pruned); the folders of pruned versions are deleted after the switch.
     """
-    p, i = version["provider"], version["list_id"]
+    p, i, spark = version["provider"], version["list_id"], entries.sparkSession
+    name = f"entries-{uuid.uuid4().hex}"
     rows = lowest_rank(entries.withColumn("provider", F.lit(p)).withColumn("list_id", F.lit(i)), ["provider", "list_id", "domain"], "rank")
-    _overwrite(rows, entries_path, "provider", "list_id")
-    n = entries.sparkSession.read.parquet(entries_path).where((F.col("provider") == p) & (F.col("list_id") == i)).count()
-    others = versions.where(~((F.col("provider") == p) & (F.col("list_id") == i))).withColumn("active", F.when(F.col("provider") == p, F.lit(False)).otherwise(F.col("active")))
-    new = versions.sparkSession.createDataFrame([(p, i, n, True, version["downloaded_at"])], "provider string, list_id string, row_count long, active boolean, downloaded_at timestamp")
-    now = others.select(new.columns).unionByName(new)
-    pruned = outdated_versions(now, "provider", "active", "downloaded_at", keep)
-    return now.join(pruned.select("provider", "list_id"), ["provider", "list_id"], "left_anti"), pruned
+    rows.write.parquet(f"{root}/{name}")
+    n = spark.read.parquet(f"{root}/{name}").count()
+    before = list_versions(spark, root)
+    others = before.where(~((F.col("provider") == p) & (F.col("list_id") == i))).withColumn("active", (F.col("provider") != p) & F.col("active"))
+    new = spark.createDataFrame([(p, i, n, True, version["downloaded_at"], name)], VERSIONS)
+    now = others.unionByName(new)
+    gone = outdated_versions(now, "provider", "active", "downloaded_at", keep)
+    table = f"versions-{uuid.uuid4().hex}"
+    now.join(gone.select("provider", "list_id"), ["provider", "list_id"], "left_anti").select(before.columns).coalesce(1).write.parquet(f"{root}/{table}")  # a row per version
+    versions = spark.read.schema(VERSIONS).parquet(f"{root}/{table}")
+    pruned = before.join(versions.select("path"), "path", "left_anti")
+    old = pruned.collect()  # versions replaced or outdated by this load
+    _switch(spark, root, table)
+    files, path = _files(spark, root)
+    for r in old:
+        files.delete(path(f"{root}/{r['path']}"), True)
+    return versions, spark.createDataFrame(old, pruned.schema)
+
+
+def _switch(spark: SparkSession, root: str, table: str) -> None:
+    """Name ``table`` in the pointer file, by a new file that takes its place in one rename."""
+    files, path = _files(spark, root)
+    jvm, fresh = spark._jvm, path(f"{root}/{_POINTER}-{uuid.uuid4().hex}")
+    out = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fresh)
+    out.write(bytearray(table, "ascii"))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, path(f"{root}/{_POINTER}"), options)
 
 
 def append_observations(df: DataFrame, path: str) -> None:
