@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.paths import PathRules
 from ..functions.patterns import LiteralIndex
 from .relational import top_counts
 
@@ -390,13 +392,30 @@ def robots_rules(bodies: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
     return rules, facts.join(maps, "host", "full")
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """J17, second part: each URL with ``allowed``: the longest matching rule decides, allow wins ties, no rule allows."""
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\$$", r"\$"))
-    rows = urls.withColumn("host", U.url_host(F.col(url))).withColumn("_path", U.url_path_query(F.col(url)))
-    hits = rows.join(rules.withColumn("_re", pattern), "host").where(F.regexp_like("_path", F.col("_re")))
-    best = hits.groupBy(url).agg(F.max_by("allow", F.struct(F.length("path"), F.col("allow"))).alias("_allow"))
-    return rows.drop("_path").join(best, url, "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+#: URLs of a host that one task tells apart by its rules.
+HOST_URLS = 200_000
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", host_urls: int = HOST_URLS) -> DataFrame:
+    """J17, second part: each URL with ``allowed``: the longest matching rule decides, allow wins ties, no rule allows.
+
+    Different URLs are dealt by host, a large host's to several groups; each group makes its host's rules one automaton and
+    walks every path once, however many rules there are.  A robots file is a bounded text, so are the rules of a host.
+    """
+    rows = urls.withColumn("host", U.url_host(F.col(url)))
+    asked = rows.select(F.col(url).alias("_url"), "host").where("host is not null").distinct().withColumn("_path", U.url_path_query(F.col("_url")))
+    ruled = asked.join(rules.select("host").distinct(), "host", "left_semi")
+    groups = ruled.groupBy("host").agg(F.ceil(F.count("*") / host_urls).cast("int").alias("_n"))
+    dealt = ruled.join(groups, "host").withColumn("_g", F.pmod(F.xxhash64("_url"), F.col("_n")).cast("int"))
+    each = rules.join(groups, "host").withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("host", "_g", "allow", "path")
+
+    def told(paths: pa.Table, own: pa.Table) -> pa.Table:
+        automaton = PathRules(zip(own.column("allow").to_pylist(), own.column("path").to_pylist(), strict=True))
+        allowed = [automaton.allows(p or "") for p in paths.column("_path").to_pylist()]
+        return pa.table({"_url": paths.column("_url"), "_allow": pa.array(allowed, pa.bool_())})
+
+    decided = dealt.select("host", "_g", "_url", "_path").groupBy("host", "_g").cogroup(each.groupBy("host", "_g")).applyInArrow(told, "_url string, _allow boolean")
+    return rows.join(decided, F.col(url) == F.col("_url"), "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow", "_url")
 
 
 def flatten_registration(records: DataFrame, today: Column) -> DataFrame:
