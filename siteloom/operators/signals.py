@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -326,15 +329,27 @@ def technology_summary(detected: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def ranges_table(spark, cidrs: list[tuple[str, str]]) -> DataFrame:
-    """(ordinal, provider, lo, hi, block) of IPv4 and IPv6 ranges in feed order, bounds as hex, a row per block that a
-    range touches: the first two hex digits of an IPv4 address, the first four of an IPv6 one."""
-    rows = []
-    for i, (provider, cidr) in enumerate(cidrs):
-        lo, hi = U.range_bounds(cidr)
-        digits, lead = (32, 4) if ":" in cidr else (8, 2)
-        shift = 4 * (digits - lead)
-        rows += [(i, provider, f"{lo:0{digits}x}", f"{hi:0{digits}x}", f"{b:0{lead}x}") for b in range(lo >> shift, (hi >> shift) + 1)]
-    return spark.createDataFrame(rows, "ordinal int, provider string, lo string, hi string, block string")
+    """(lo, hi, provider) of IPv4 and IPv6 ranges as stretches that do not overlap, bounds as hex of 8 or 32 digits.
+
+    Where ranges lie in one another, the first in feed order owns the stretch: one sweep over their ends, with the open
+    ranges in a heap, so that the table has at most twice as many rows as the feeds, however wide a range is.
+    """
+    rows: list[tuple[str, str, str]] = []
+    for digits in (8, 32):
+        ranges = [(*U.range_bounds(c), i, p) for i, (p, c) in enumerate(cidrs) if (":" in c) == (digits == 32)]
+        starts, at, waiting = sorted(ranges, key=lambda r: r[:3]), 0, []
+        edges = sorted({r[0] for r in ranges} | {r[1] + 1 for r in ranges})
+        for edge, after in zip(edges, edges[1:], strict=False):
+            while at < len(starts) and starts[at][0] == edge:
+                heapq.heappush(waiting, (starts[at][2], starts[at][1], starts[at][3]))
+                at += 1
+            while waiting and waiting[0][1] < edge:
+                heapq.heappop(waiting)
+            if waiting:
+                lo, hi, provider = f"{edge:0{digits}x}", f"{after - 1:0{digits}x}", waiting[0][2]
+                joined = rows and rows[-1][2] == provider and len(rows[-1][1]) == digits and int(rows[-1][1], 16) + 1 == edge
+                rows[-1:] = [(rows[-1][0], hi, provider)] if joined else [*rows[-1:], (lo, hi, provider)]
+    return spark.createDataFrame(rows, "lo string, hi string, provider string")
 
 
 def ip_hex(ip: Column) -> Column:
@@ -346,15 +361,39 @@ def ip_hex(ip: Column) -> Column:
     return F.when(ip.contains(":"), F.when(v6.rlike("^[0-9a-f]{32}$"), v6)).otherwise(F.lpad(F.lower(F.hex(U.ip4_number(ip))), 8, "0"))
 
 
+#: Stretches of address ranges that are sent to all tasks, about 100 bytes each.
+MAX_STRETCHES = 1_000_000
+
+
 def ip_providers(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """(domain, ip, provider, role) of the first range in feed order that holds each address of its family.
 
-    A range join on an address's leading digits as equi key; Spark broadcasts the ranges where they are small.
+    ``ranges`` (:func:`ranges_table`) do not overlap, so an address is one binary search in their sorted bounds, in Arrow
+    batches; nothing is joined or exploded.  They are the size of the feeds, and more than MAX_STRETCHES are refused.
     """
-    rows = ips.withColumn("_n", ip_hex(F.col("ip"))).where("_n is not null").withColumn("block", F.left("_n", F.when(F.length("_n") == 32, 4).otherwise(2)))
-    hit = rows.join(ranges, "block").where((F.length("_n") == F.length("lo")) & (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
-    best = hit.groupBy("domain", "ip").agg(F.min_by("provider", "ordinal").alias("provider"))
-    return best.withColumn("role", F.when(F.col("provider").isin(CDN_PROVIDERS), "cdn").otherwise("hosting"))
+    stretches = ranges.limit(MAX_STRETCHES + 1).toArrow().to_pylist()
+    if len(stretches) > MAX_STRETCHES:
+        raise ValueError(f"more than {MAX_STRETCHES} stretches of addresses")
+    families = {}
+    for digits in (8, 32):
+        own = sorted((r["lo"], r["hi"], r["provider"]) for r in stretches if len(r["lo"]) == digits)
+        families[digits] = (np.array([r[0] for r in own], f"S{digits}"), np.array([r[1] for r in own], f"S{digits}"), [r[2] for r in own])
+    shared = ips.sparkSession.sparkContext.broadcast(families)
+
+    @F.arrow_udf("string")
+    def provider(addresses: pa.Array) -> pa.Array:
+        texts, out = addresses.to_pylist(), np.full(len(addresses), None, object)
+        for digits, (lo, hi, names) in shared.value.items():
+            place = np.array([i for i, x in enumerate(texts) if x is not None and len(x) == digits], int)
+            if len(place) and len(lo):
+                asked = np.array([texts[i] for i in place], f"S{digits}")
+                at = np.searchsorted(lo, asked, side="right") - 1
+                for i, k in zip(place[inside := (at >= 0) & (asked <= hi[at])].tolist(), at[inside].tolist(), strict=True):
+                    out[i] = names[k]
+        return pa.array(out, pa.string())
+
+    rows = ips.select("domain", "ip").distinct().withColumn("provider", provider(ip_hex(F.col("ip")))).where("provider is not null")
+    return rows.withColumn("role", F.when(F.col("provider").isin(CDN_PROVIDERS), "cdn").otherwise("hosting"))
 
 
 def record_providers(records: DataFrame, patterns: list[tuple[str, str, str, str]]) -> DataFrame:
