@@ -496,15 +496,24 @@ def flatten_dns(answers: DataFrame) -> DataFrame:
     })
 
 
-def capture_summary(captures: DataFrame, cap: int = 200_000, exact: bool = True) -> DataFrame:
+#: What :func:`capture_summary` sketches.
+SKETCHED = ["page", "digest", "host"]
+
+
+def capture_summary(captures: DataFrame, cap: int = 200_000, exact: bool = True, sketches: bool = False) -> DataFrame:
     """A1: per (domain, crawl): captures, distinct pages and digests (each capped), hosts, first and last time,
-    and the ten most frequent hosts, statuses and types as maps.  ``exact`` False takes sketches for the distinct counts."""
+    and the ten most frequent hosts, statuses and types as maps.  ``exact`` False takes sketches for the distinct counts.
+
+    ``sketches`` adds a mergeable sketch of the pages, digests and hosts (about 1.6% standard error, 4 kB each), from which
+    :func:`capture_rollup` tells how many there are over all crawls of a domain.
+    """
     n = F.count_distinct if exact else F.approx_count_distinct
     rows = captures.withColumn("host", U.url_host(F.col("url"))).withColumn("page", F.concat(F.col("host"), U.url_path(F.col("url")))).withColumn("_k", F.struct("domain", "crawl"))
     out = rows.groupBy("_k").agg(
         F.count("*").alias("url_count"), F.least(n("page"), F.lit(cap)).alias("n_pages"), F.least(n("digest"), F.lit(cap)).alias("n_digests"), n("host").alias("n_hosts"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"),
         F.count_if(F.col("mime").contains("html")).alias("html_count"), F.count_if(F.col("status") == "200").alias("ok_count"),
         *([F.bool_or("limit_hit").alias("limit_hit")] if "limit_hit" in captures.columns else []),
+        *([F.hll_sketch_agg(c, 12).alias(f"{c}_sketch") for c in SKETCHED] if sketches else []),
     )
     for c in ("host", "status", "mime"):
         out = out.join(top_counts(rows, "_k", c, 10, f"top_{c}"), "_k", "left")
@@ -515,7 +524,8 @@ def capture_rollup(per_crawl: DataFrame, exact: bool = True) -> DataFrame:
     """A2: per domain over its crawls: sums, most per crawl, crawls with data, first and last seen, html and 200 shares,
     the eight most frequent content types of the crawls' top tens, and whether any crawl hit its limit.
 
-    ``exact`` False takes the shares from the top tens as well, where a rare type may be missing.
+    ``exact`` False takes the shares from the top tens as well, where a rare type may be missing.  With the sketches of
+    :func:`capture_summary` it adds ``n_pages``, ``n_digests`` and ``n_hosts``: different ones over all crawls together.
     """
     total = lambda m, keep: F.aggregate(F.map_values(F.map_filter(m, keep)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     html = F.col("html_count") if exact else total("top_mime", lambda k, _: k.contains("html"))
@@ -526,6 +536,10 @@ def capture_rollup(per_crawl: DataFrame, exact: bool = True) -> DataFrame:
         F.sum("url_count").alias("url_count"), F.max("url_count").alias("most_per_crawl"), F.count_if(F.col("url_count") > 0).alias("n_crawls"), F.min("first_at").alias("first_seen"), F.max("last_at").alias("last_seen"),
         F.try_divide(F.sum("_h"), F.sum("url_count")).alias("html_share"), F.try_divide(F.sum("_s"), F.sum("url_count")).alias("ok_share"), F.flatten(F.collect_list("_m")).alias("_m"), limit.alias("limit_hit"),
     )
+    kept = [c for c in SKETCHED if f"{c}_sketch" in per_crawl.columns]
+    if kept:
+        merged = per_crawl.groupBy("domain").agg(*[F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(f"n_{c}s") for c in kept])
+        out = out.join(merged, "domain")
     types = F.array_distinct(F.transform("_m", lambda e: e["key"]))
     counted = F.transform(types, lambda k: F.struct((-F.aggregate(F.filter("_m", lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["value"])).alias("n"), k.alias("k")))
     best = F.transform(F.slice(F.array_sort(counted), 1, 8), lambda e: F.struct(e["k"].alias("key"), (-e["n"]).alias("value")))
