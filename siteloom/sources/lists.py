@@ -1,40 +1,26 @@
 """Readers of landed files: ranked lists, captures, sitemaps, reference data, URL lists, feeds, catalogs.
 
 Every list reader returns a part of one schema (see :func:`read_lists`); text stays
-in Spark's own readers, and only zip archives are opened in Python, one per task.
+in Spark's own readers, but the files of list providers come by the ``ranked_list`` source (:mod:`list_files`).
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators.relational import first_wins, union_entries
+from .list_files import list_file
 
 ENTRY = "domain string, rank long, score double, pr_rank long, n_hosts long, ref_domains long, ref_subnets long, ref_ips long"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain, gzip or zip files (first member of a zip that is no folder)."""
-    if not path.lower().endswith(".zip"):
-        return spark.read.text(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = next(n for n in z.namelist() if not n.endswith("/"))
-                    with io.TextIOWrapper(z.open(name), "utf-8", errors="replace") as f:
-                        while part := f.readlines(1 << 20):
-                            yield pa.record_batch([pa.array([x.rstrip("\r\n") for x in part], pa.string())], names=["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+    """Lines of plain, gzip or zip files (first member of a zip that is no folder, read as a stream)."""
+    return list_file(spark, "lines", path) if path.lower().endswith(".zip") else spark.read.text(path)
 
 
 def _entries(df: DataFrame, domain: Column, rank: Column, **more: Column) -> DataFrame:
@@ -80,11 +66,11 @@ def web_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "tranco": lambda s, p: ranked_lines(read_lines(s, p)),
-    "majestic": lambda s, p: majestic(s.read.csv(p, header=True)),
-    "openpagerank": lambda s, p: open_page_rank(s.read.csv(p, header=True)),
-    "crux_top": lambda s, p: origin_buckets(s.read.csv(p, header=True), U.suffix_table(s)),
-    "cc_webgraph": lambda s, p: web_graph(read_lines(s, p))[0],
+    "tranco": lambda s, p: ranked_lines(list_file(s, "tranco", p)),
+    "majestic": lambda s, p: majestic(list_file(s, "majestic", p)),
+    "openpagerank": lambda s, p: open_page_rank(list_file(s, "openpagerank", p)),
+    "crux_top": lambda s, p: origin_buckets(list_file(s, "crux_top", p), U.suffix_table(s)),
+    "cc_webgraph": lambda s, p: web_graph(list_file(s, "cc_webgraph", p))[0],
 }
 
 
