@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import bucket
+from .evaluate import BUCKETS, bucket
 
 POPULARITY_SOURCES = ["tranco", "crux_top", "cc_webgraph", "majestic", "openpagerank"]
 _GRAPH = [(0, 10.5), (3, 7.4), (4, 6.5), (5, 5.6), (6, 4.7), (7, 3.9), (8, 3.2), (8.2, 3.0)]
@@ -324,18 +324,19 @@ def apply_modifiers(rows: DataFrame, config: dict) -> DataFrame:
     return rows.withColumn("notes", notes).withColumn("est", final).drop("_0", "_1", "_2", "_3")
 
 
-def with_range(rows: DataFrame, cfg: dict) -> DataFrame:
+def with_range(rows: DataFrame, cfg: dict, buckets: list[tuple[str, float]] = BUCKETS) -> DataFrame:
     """Visits, lower, upper and bucket from est, coverage and stddev."""
     spread = F.least(cfg["base"] + cfg["missing"] * (1 - F.coalesce("coverage", F.lit(0.0))) + cfg["disagreement"] * F.coalesce("stddev", F.lit(0.0)), F.lit(cfg["max"]))
     power = lambda x: F.bround(F.pow(F.lit(10.0), x)).cast("long")
     rows = rows.withColumn("spread", spread).withColumn("visits", power(F.col("est")))
     rows = rows.withColumn("lower", power(F.greatest(F.lit(0.0), F.col("est") - F.col("spread")))).withColumn("upper", power(F.col("est") + F.col("spread")))
-    return rows.withColumn("bucket", bucket(F.col("visits")))
+    return rows.withColumn("bucket", bucket(F.col("visits"), buckets))
 
 
-def heuristic(version: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """The estimator of a version, (features, status) -> estimates."""
-    config = CONFIGS[version]
+def heuristic(version: str | dict) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The estimator of a version or of a configuration (X2), (features, status) -> estimates."""
+    config = CONFIGS[version] if isinstance(version, str) else version
+    version = version if isinstance(version, str) else config["model_version"]
 
     def run(features: DataFrame, status: DataFrame) -> DataFrame:
         used = {f for _, f, *_ in config["signals"]}
@@ -344,7 +345,7 @@ def heuristic(version: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
         rows = rows.withColumn("_list", signal_list({k: f"_{k}" for k in inputs}, config)).drop(*[f"_{k}" for k in inputs])
         rows = with_combined(rows, "_list", config["confidence"]["scale"]).drop("_list")
         rows = rows.join(_evidence(status, config["source_weights"], config["absence_caps"]), "domain", "left").withColumn("cap", _cap(features, config))
-        rows = with_range(apply_modifiers(rows, config), config["range"])
+        rows = with_range(apply_modifiers(rows, config), config["range"], config.get("buckets", BUCKETS))
         label, score = confidence(F.coalesce("coverage", F.lit(0.0)), F.coalesce("agreement", F.lit(0.3)), F.coalesce("n_present", F.lit(0)), F.coalesce("crawl_blocked_status", F.lit(False)), config["confidence"])
         return rows.select(
             "domain", "visits", "lower", "upper", "bucket", label.alias("confidence"), score.alias("score"), F.lit(version).alias("model_version"), "notes",
@@ -357,20 +358,23 @@ def heuristic(version: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
 ESTIMATORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {v: heuristic(v) for v in CONFIGS}
 
 
-def estimate(features: DataFrame, status: DataFrame, version: str = "heuristic_v2") -> DataFrame:
+def estimate(features: DataFrame, status: DataFrame, version: str | dict = "heuristic_v2") -> DataFrame:
+    """Estimates by a version's name or a configuration of ``read_config``."""
+    if isinstance(version, dict):
+        return heuristic(version)(features, status)
     if version not in ESTIMATORS:
         raise ValueError(f"unknown model version {version!r}")
     return ESTIMATORS[version](features, status)
 
 
-def compare_models(reference: DataFrame, run_status: DataFrame, features: DataFrame, status: DataFrame, versions: list[str]) -> DataFrame:
-    """Each reference domain under each version; an estimate only where the run completed."""
+def compare_models(reference: DataFrame, run_status: DataFrame, features: DataFrame, status: DataFrame, versions: list[str | dict]) -> DataFrame:
+    """Each reference domain under each version (names or configurations); an estimate only where the run completed."""
     out = None
     for v in versions:
         est = estimate(features, status, v).select("domain", F.col("visits").alias("estimate"), "lower", "upper", "bucket", "confidence")
         done = run_status.where("run_status = 'completed'").select("domain")
         rows = reference.join(run_status, "domain", "left").withColumn("run_status", F.coalesce("run_status", F.lit("not_submitted")))
-        rows = rows.join(est.join(done, "domain", "left_semi"), "domain", "left").withColumn("model_version", F.lit(v))
+        rows = rows.join(est.join(done, "domain", "left_semi"), "domain", "left").withColumn("model_version", F.lit(v if isinstance(v, str) else v["model_version"]))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -18,12 +18,12 @@ BUCKETS = [("<1K", 0), ("1K-10K", 1_000), ("10K-100K", 10_000), ("100K-1M", 100_
 LABELS = [b[0] for b in BUCKETS]
 
 
-def bucket(visits: Column) -> Column:
-    """Half-open buckets; null and negative fall in the first, anything beyond in the last."""
-    out = F.when(visits >= BUCKETS[-1][1], BUCKETS[-1][0])
-    for label, edge in reversed(BUCKETS[1:-1]):
-        out = out.when(visits >= edge, label)
-    return out.otherwise(BUCKETS[0][0])
+def bucket(visits: Column, buckets: list[tuple[str, float]] = BUCKETS) -> Column:
+    """Half-open buckets by lower edge; null and negative fall in the first, anything beyond in the last."""
+    out = F.lit(buckets[0][0])
+    for label, edge in buckets[1:]:
+        out = F.when(visits >= edge, label).otherwise(out)
+    return out
 
 
 def bucket_index(label: Column) -> Column:

@@ -252,6 +252,35 @@ def union_entries(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def owned_rows(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """The rows whose owner is among ``owners``, with the owner's columns; null keys meet nothing.
+
+    ``owners`` holds each key once, as scoped by the caller; no side is broadcast by force.
+    """
+    return owners.join(rows, key)
+
+
+def conditional_counts(df: DataFrame, keys: list[str], conditions: dict[str, Column], total: str = "n") -> DataFrame:
+    """Per key the rows (``total``) and those that meet each condition (null counts as not met), in one pass with partial sums."""
+    return df.groupBy(*keys).agg(F.count("*").alias(total), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+
+
+def union_of_sets(df: DataFrame, key: str, values: str, without: list | None = None) -> DataFrame:
+    """Per key the sorted distinct members of all its arrays ``values``, but nulls and those in ``without``.
+
+    Members are made distinct by (key, member) before they are gathered, so that a key with very many rows is spread over tasks
+    and only its distinct members meet.  A key whose set is empty has no row.
+    """
+    members = df.select(key, F.explode(values).alias("_m")).where(F.col("_m").isNotNull())
+    members = members.where(~F.col("_m").isin(without)) if without else members
+    return members.distinct().groupBy(key).agg(F.array_sort(F.collect_list("_m")).alias(values))
+
+
+def disabled_keys(known: DataFrame, enabled: DataFrame, unlisted: DataFrame, key: str) -> DataFrame:
+    """U4: the distinct keys that are known but not enabled, with those in ``unlisted``; a null is a key as any other."""
+    return known.select(key).subtract(enabled.select(key)).union(unlisted.select(key)).distinct()
+
+
 def minus_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of a whose key b doesn't hold."""
     return a.join(b.select(key), key, "left_anti")

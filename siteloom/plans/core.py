@@ -348,7 +348,7 @@ def j6_latest_attached(spark, sf_dir):
 def j14_owner_listing(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return c.join(o, "c_custkey")
+    return R.owned_rows(o, c, "c_custkey")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_children, max(o_orderdate) AS last_at FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -389,7 +389,7 @@ def a24_finished_parents(spark, sf_dir):
 @query("""SELECT o_custkey, count(*) AS n_jobs, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_done FROM orders GROUP BY 1""")
 def a25_filter_counts(spark, sf_dir):
     s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_jobs"), F.count_if(s == "O").alias("n_open"), F.count_if(s == "F").alias("n_done"))
+    return R.conditional_counts(table(spark, sf_dir, "orders"), ["o_custkey"], {"n_open": s == "O", "n_done": s == "F"}, total="n_jobs")
 
 
 @query("""SELECT event_type, count(*) FILTER (WHERE value <= 1) AS le_1, count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 50) AS le_50,
@@ -420,8 +420,8 @@ def u2_set_unions(spark, sf_dir):
     """The union of the languages of a domain's hosts, less one that doesn't count."""
     rows = page_domains(spark, sf_dir).withColumn("l", F.regexp_extract("path", "^/([a-z]{2})/", 1))
     per_host = rows.groupBy("domain", "host").agg(F.collect_set("l").alias("ls"))
-    sets = per_host.groupBy("domain").agg(F.array_except(F.array_distinct(F.flatten(F.collect_list("ls"))), F.array(F.lit(""), F.lit("de"))).alias("ls"))
-    return sets.where("size(ls) > 0").select("domain", F.array_join(F.array_sort("ls"), ",").alias("langs"))
+    sets = R.union_of_sets(per_host, "domain", "ls", without=["", "de"])
+    return sets.select("domain", F.array_join("ls", ",").alias("langs"))
 
 
 @query("SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
@@ -432,8 +432,8 @@ def u3_minus_by_key(spark, sf_dir):
 
 @query("(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
 def u4_disabled_sources(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select("s_nationkey")
-    return c.subtract(s).union(table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")).distinct()
+    of = lambda name, col: table(spark, sf_dir, name).withColumn("k", F.col(col))
+    return R.disabled_keys(of("customer", "c_nationkey"), of("supplier", "s_nationkey"), of("nation", "n_nationkey").where("n_regionkey = 1"), "k")
 
 
 @query("""SELECT o_orderkey, '{"order_priority":"' || o_orderpriority || '","ship_u_r_l":"' || o_custkey || '"}' AS options, date_diff('millisecond', o_orderdate, o_orderdate + to_days(CAST(o_custkey % 9 AS INTEGER))) AS duration_ms,
