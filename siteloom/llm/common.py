@@ -52,6 +52,10 @@ class Workspace:
     def writing(self):
         return _Setting(self.spark, _CLEANUP, "true")
 
+    def open_writers(self, n: int):
+        """A setting under which a task that writes folders by value keeps ``n`` files open before it sorts its rows."""
+        return _Setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(n))
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = self.path(name), df.schema
         with self.writing():
@@ -89,11 +93,14 @@ class _Setting:
         self.conf, self.key, self.value = spark.conf, key, value
 
     def __enter__(self) -> None:
-        self.was = self.conf.get(self.key, "false")
+        self.was = self.conf.get(self.key, None)
         self.conf.set(self.key, self.value)
 
     def __exit__(self, *_: object) -> None:
-        self.conf.set(self.key, self.was)
+        if self.was is None:
+            self.conf.unset(self.key)
+        else:
+            self.conf.set(self.key, self.was)
 
 
 def as_text(col: str | Column) -> Column:

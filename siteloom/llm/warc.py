@@ -2,8 +2,8 @@
 
 Records are written with Spark's text sink, whose line separator is the blank
 lines that end a record, and read with the binary-file source, so that archives
-live wherever Spark reads and writes.  A file is read as one value, so its size is bounded: files
-of pages by the input split they come from, deduplicated ones by FILE_BYTES.
+live wherever Spark reads and writes.  A file is read as one value, so its size is bounded: no
+file holds more than FILE_BYTES, but for a single record beyond that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_text
@@ -24,8 +24,10 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "record_id string, warc_type string, page_id long, uri string, date string, digest string, n_bytes long, refers_to long"
 _BATCH = 4 << 20
-#: Bytes of records in a deduplicated archive file, about.
+#: The most bytes of records in an archive file, unless one record alone has more.
 FILE_BYTES = 256 << 20
+#: Files that a writing task holds open before it sorts its records by file.
+_OPEN = 32
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,17 +61,37 @@ def record_text(kind: Column, payload: Column, n_bytes: Column, refers: dict[str
     )
 
 
-def write_records(ws: Workspace, records: DataFrame, path: str, per_file: int = 0) -> None:
-    """Write a one-column frame of record texts as gzip archives, of ``per_file`` records at most (0: one file per partition)."""
-    with ws.writing():
-        records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+def record_bytes(payload: Column, *uris: Column) -> Column:
+    """At least the bytes of a record: its payload, its addresses and 1,000 for the other headers."""
+    return sum((F.coalesce(F.octet_length(u), F.lit(0)) for u in uris), F.coalesce(payload, F.lit(0)).cast("long") + 1_000)
 
 
-def write_pages(ws: Workspace, pages: DataFrame, path: str, date: str) -> None:
+def _file_of_row(size: Column, file_bytes: int) -> tuple[Column, Column]:
+    """The file of a row within its task, without a shuffle: (class of size, stretch of row numbers).
+
+    Class c holds records of at most 4^c / 4096 of a file, and a stretch of 4096 / 4^c row numbers makes a file, so
+    that no file has more than ``file_bytes``; records beyond a quarter of a file have one each.
+    """
+    level = F.greatest(F.lit(0), F.least(F.lit(6), F.ceil(F.log(4.0, size * 4096 / F.lit(file_bytes))))).cast("int")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return level, F.floor(row / F.pow(F.lit(4.0), 6 - level)).cast("long")
+
+
+def write_records(ws: Workspace, records: DataFrame, path: str) -> None:
+    """Write record texts ``value`` as gzip archives, a folder for each pair of the two other columns.
+
+    Records of a task that agree in both make one file.
+    """
+    folders = [c for c in records.columns if c != "value"]
+    with ws.writing(), ws.open_writers(_OPEN):
+        records.write.option("compression", "gzip").option("lineSep", END).partitionBy(*folders).text(path)
+
+
+def write_pages(ws: Workspace, pages: DataFrame, path: str, date: str, file_bytes: int = FILE_BYTES) -> None:
     """One response record per row of ``pages(page_id, url, html)``; null html is an empty payload.
 
     Repeated rows get a record each.  A null url becomes ``urn:page:<id>``; control
-    characters and blanks in urls are dropped.
+    characters and blanks in urls are dropped.  Files hold at most ``file_bytes`` or one record.
     """
     html = as_text("html")
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), r"[\x00-\x20\x7F]+", "")
@@ -77,7 +99,9 @@ def write_pages(ws: Workspace, pages: DataFrame, path: str, date: str) -> None:
     uid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     body = F.encode(html, "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), body.alias("payload"), url.alias("uri"), uid.alias("record_id"), F.lit(date).alias("date"), base32_sha1(body).alias("digest"))
-    write_records(ws, rows.select(record_text(F.lit("response"), F.col("payload"), F.octet_length("payload").cast("long"))), path)
+    level, stretch = _file_of_row(record_bytes(F.octet_length("payload"), F.col("uri")), file_bytes)
+    text = record_text(F.lit("response"), F.col("payload"), F.octet_length("payload").cast("long"))
+    write_records(ws, rows.select(text.alias("value"), level.alias("level"), stretch.alias("stretch")), path)
 
 
 def _unzipped(data: bytes) -> Iterator[bytes]:
@@ -172,27 +196,42 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
+def with_files(told: DataFrame, size: Column, file_bytes: int) -> DataFrame:
+    """Add ``slot`` and ``part``, which name the archive file of each record.
+
+    A slot is what one task of a join by record_id holds (its shuffle partition), so that the join's tasks write whole files;
+    within it records of at most half a file are dealt by their running bytes, and larger ones have a file each.
+    Headers only are shuffled.
+    """
+    tasks = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = told.withColumn("_size", size).withColumn("slot", F.pmod(F.hash("record_id"), F.lit(tasks)))
+    large, before = F.col("_size") > file_bytes // 2, Window.partitionBy("slot").orderBy("record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    small = F.when(large, F.lit(0).cast("long")).otherwise(F.col("_size"))
+    dealt = F.floor((F.sum(small).over(before) - small) / (file_bytes // 2)).cast("long")
+    return rows.withColumn("part", F.when(large, -F.count_if(large).over(before)).otherwise(dealt)).drop("_size")
+
+
 def deduplicate_archive(ws: Workspace, source: str, target: str, date: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write to ``target`` the archive at ``source`` with repeated payloads as revisit records.
 
     Payloads move once, to meet the decision on their record; revisit records are
-    made from headers alone.  A file takes as many records as have about ``file_bytes`` together,
-    by their mean size (headers about 700 bytes).
+    made from headers alone.  Files hold at most ``file_bytes`` of records, or one record.
     """
     spark = ws.spark
-    told = ws.save(resolve_revisits(read_records(spark, source, payload=False).drop("refers_to"), min_bytes), "decisions")
-    kept = told.where("record_type = 'response'").select("record_id")
-    whole = read_records(spark, source).select("record_id", "page_id", "uri", "date", "digest", "n_bytes", "payload").join(kept, "record_id")
-    responses = whole.select(record_text(F.lit("response"), F.col("payload"), F.col("n_bytes")).alias("value"))
+    decided = resolve_revisits(read_records(spark, source, payload=False).drop("refers_to"), min_bytes)
+    payload = F.when(F.col("record_type") == "response", F.col("n_bytes")).otherwise(0)
+    told = ws.save(with_files(decided, record_bytes(payload, F.col("uri"), F.col("o_uri")), max(2, file_bytes)), "decisions")
+    kept = told.where("record_type = 'response'").select("record_id", "slot", "part")
+    whole = read_records(spark, source).select("record_id", "page_id", "uri", "date", "digest", "n_bytes", "payload").join(kept.hint("merge"), "record_id")
+    responses = whole.select(record_text(F.lit("response"), F.col("payload"), F.col("n_bytes")).alias("value"), "slot", "part")
     refers = {
         "WARC-Refers-To": F.concat(F.lit("<urn:uuid:"), F.col("o_record_id"), F.lit(">")),
         "WARC-Refers-To-Target-URI": F.col("o_uri"), "WARC-Refers-To-Date": F.col("o_date"),
         "WARC-Profile": F.lit(PROFILE), "X-Refers-To-Page-Id": F.col("o_page_id"),
     }
     again = told.where("record_type = 'revisit'").withColumn("date", F.lit(date))
-    revisits = again.select(record_text(F.lit("revisit"), F.lit(b""), F.col("n_bytes"), refers).alias("value"))
-    mean = told.agg(F.avg(F.when(F.col("record_type") == "response", F.col("n_bytes")).otherwise(0) + 700)).first()[0]
-    write_records(ws, responses.unionByName(revisits), target, max(1, int(file_bytes // (mean or 1))))
+    revisits = again.select(record_text(F.lit("revisit"), F.lit(b""), F.col("n_bytes"), refers).alias("value"), "slot", "part")
+    write_records(ws, responses.unionByName(revisits), target)
 
 
 def revisit_pages(ws: Workspace, pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", later: str = "2024-01-02T00:00:00Z") -> DataFrame:

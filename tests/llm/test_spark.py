@@ -403,14 +403,26 @@ def test_markov_models_find_random_strings_and_leave_identifiers(spark):
 
 
 def test_archive_files_are_bounded(spark, ws):
-    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i // 2} " * 50) for i in range(200)], "page_id long, url string, html string").repartition(2)
+    """No file of either archive is beyond the bound, unless it holds one record; sizes are skewed."""
+    bound, sizes = 40_000, [300, 40, 9_000, 0, 25_000, 1_200, 120_000, 60]
+    rows = [(i, f"http://a/{i}", f"{i // 2} " * (sizes[i // 2 % 8] // 4)) for i in range(400)] + [(1_000, "http://a/" + "u" * 50_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     raw, slim = ws.path("raw"), ws.path("slim")
-    warc.write_pages(ws, pages, raw, "2024-01-01T00:00:00Z")
-    warc.deduplicate_archive(ws, raw, slim, "2024-01-02T00:00:00Z", file_bytes=10_000)
-    files = spark.read.format("binaryFile").load(slim + "/*.gz").select("path").collect()
-    many = spark.read.text([r["path"] for r in files]).where("value like 'WARC/1.1%'").groupBy(F.input_file_name()).count().collect()
-    assert len(files) > 15 and max(r["count"] for r in many) <= 12
-    assert warc.read_records(spark, slim, payload=False).where("warc_type = 'revisit'").count() == 100
+    warc.write_pages(ws, pages, raw, "2024-01-01T00:00:00Z", file_bytes=bound)
+    warc.deduplicate_archive(ws, raw, slim, "2024-01-02T00:00:00Z", file_bytes=bound)
+    for path, fewest, most in ((raw, 60, 250), (slim, 30, 130)):
+        held = []
+        for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect():
+            data = b"".join(warc._unzipped(bytes(r["content"])))
+            held.append((len(data), sum(1 for _ in warc._records(bytes(r["content"])))))
+        assert all(size <= bound or n == 1 for size, n in held) and fewest < len(held) < most, sorted(held)
+        assert sum(n for _, n in held) == 401
+    read = warc.read_records(spark, slim, payload=True).collect()
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert {r["page_id"]: r["refers_to"] for r in read} == {i: None if first[h] == i else first[h] for i, _, h in rows}
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in read if r["warc_type"] == "response"} == {i: h for i, _, h in rows if first[h] == i}
 
 
 def test_pipeline_of_empty_and_repeated_rows(spark, tmp_path):
