@@ -349,7 +349,7 @@ def heuristic(version: str | dict) -> Callable[[DataFrame, DataFrame], DataFrame
         label, score = confidence(F.coalesce("coverage", F.lit(0.0)), F.coalesce("agreement", F.lit(0.3)), F.coalesce("n_present", F.lit(0)), F.coalesce("crawl_blocked_status", F.lit(False)), config["confidence"])
         return rows.select(
             "domain", "visits", "lower", "upper", "bucket", label.alias("confidence"), score.alias("score"), F.lit(version).alias("model_version"), "notes",
-            F.struct(F.round("est", 3).alias("log10_estimate"), "signals", F.round("spread", 3).alias("spread"), "coverage", "agreement", "stddev").alias("details"),
+            F.struct(F.round(F.col("est") + 1e-9, 3).alias("log10_estimate"), "signals", F.round(F.col("spread") + 1e-9, 3).alias("spread"), "coverage", "agreement", "stddev").alias("details"),
         )
 
     return run

@@ -303,7 +303,11 @@ def j10_implied_and_demoted(spark, sf_dir):
     return S.demote_generic_cart(S.add_implied(S.detect_technologies(tech_inputs(spark, sf_dir)))).select("domain", "tech")
 
 
-@query()
+@query(f"""WITH t AS {_TECH}, a AS (SELECT * FROM t UNION SELECT i, unnest(CASE tech WHEN 'WordPress' THEN ['PHP'] WHEN 'WooCommerce' THEN ['WordPress', 'PHP'] WHEN 'Next.js' THEN ['React'] ELSE [] END) FROM t),
+  d AS (SELECT i, CASE WHEN tech = 'Wizzcommerce/Other cart' THEN 'Generic shopping cart' ELSE tech END AS tech FROM a WHERE tech <> 'Wizzcommerce/Other cart' OR i % 4 <> 0)
+SELECT CAST(i AS VARCHAR) AS domain, coalesce(string_agg(tech, ',' ORDER BY tech) FILTER (WHERE tech = 'WordPress'), '') AS cms_names, coalesce(string_agg(tech, ',' ORDER BY tech) FILTER (WHERE tech = 'Cloudflare'), '') AS cdn_names,
+  coalesce(string_agg(tech, ',' ORDER BY tech) FILTER (WHERE tech IN ('Next.js', 'React')), '') AS framework_names, min(tech) FILTER (WHERE tech = 'WordPress') AS cms,
+  coalesce(min(tech) FILTER (WHERE tech = 'WooCommerce'), min(tech) FILTER (WHERE tech = 'Generic shopping cart')) AS ecommerce_platform, count(DISTINCT tech) AS n_technologies FROM d GROUP BY i""")
 def a33_technology_summary(spark, sf_dir):
     t = S.demote_generic_cart(S.add_implied(S.detect_technologies(tech_inputs(spark, sf_dir))))
     rows = S.technology_summary(t, ["cms", "cdn", "framework"])

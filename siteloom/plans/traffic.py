@@ -122,14 +122,46 @@ def p26_extract_features(spark, sf_dir):
     return T.extract_features(latest, {"click_k": ("click", "$.k"), "view_k": ("view", "$.k")})
 
 
-@query()
+def _chain(model: str, signals: str, base: float, most: float, caps: bool) -> str:
+    """The whole chain in SQL, for a version's signals, range and absence caps."""
+    bucket = lambda v: f"CASE WHEN {v} >= 10000000 THEN '10M+' WHEN {v} >= 1000000 THEN '1M-10M' WHEN {v} >= 100000 THEN '100K-1M' WHEN {v} >= 10000 THEN '10K-100K' WHEN {v} >= 1000 THEN '1K-10K' ELSE '<1K' END"
+    return f"""(WITH s AS {signals}, g AS (SELECT domain, sum(weight * log10_estimate) / sum(weight) AS mean, count(*) FILTER (WHERE kind = 'popularity') AS np, count(*) AS ns,
+    stddev_pop(log10_estimate) FILTER (WHERE kind = 'popularity') AS sp, stddev_pop(log10_estimate) AS sa FROM s GROUP BY 1),
+  j AS (SELECT *, CASE WHEN np > 0 THEN np ELSE ns END AS nj, CASE WHEN np > 0 THEN sp ELSE sa END AS sd FROM g),
+  c AS (SELECT domain, round(sum(w * CASE status WHEN 'present' THEN 1 WHEN 'absent' THEN 0.8 WHEN 'unreachable' THEN 0.5 WHEN 'blocked' THEN 0.3 ELSE 0 END) / sum(w), 4)::DOUBLE AS coverage, count(*) FILTER (WHERE status = 'present' AND source IN ('tranco', 'crux_top', 'cc_webgraph')) AS n_present,
+    bool_or(source = 'crawl' AND status = 'blocked') AS blocked FROM {_ST} GROUP BY 1),
+  e0 AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS domain, mean, np, coverage, n_present, blocked, CASE WHEN nj >= 2 THEN round(sd + 1e-9, 4) END AS stddev,
+    CASE WHEN nj < 2 THEN 0.6 ELSE round(greatest(0.0, 1 - least(1.0, sd)), 4) END AS agreement, mean IS NOT NULL AND np = 0 AND mean > 4.3 AS free,
+    CASE WHEN {str(caps).lower()} AND p_partkey % 3 = 0 AND p_partkey % 4 <> 0 THEN 4.3::DOUBLE END AS cap FROM part LEFT JOIN j ON j.domain = CAST(p_partkey AS VARCHAR) LEFT JOIN c ON c.domain = CAST(p_partkey AS VARCHAR)),
+  e1 AS (SELECT *, CASE WHEN free THEN 4.3 WHEN mean IS NOT NULL THEN mean WHEN k % 7 <> 0 THEN 3.0 WHEN k % 13 <> 0 THEN 2.5 ELSE 2.0 END::DOUBLE AS v FROM e0),
+  e2 AS (SELECT * REPLACE (CASE WHEN k % 26 = 0 THEN least(v, 1.5::DOUBLE) WHEN k % 13 = 0 THEN least(v, 2.0::DOUBLE) ELSE v END AS v) FROM e1),
+  e3 AS (SELECT * REPLACE (CASE WHEN k % 31 = 0 THEN least(v, 2.3::DOUBLE) ELSE v END + CASE WHEN k % 7 = 0 AND k % 13 <> 0 THEN -0.4 ELSE 0 END::DOUBLE + CASE WHEN k % 2 = 0 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN k % 9 = 0 THEN 0.1 ELSE 0 END::DOUBLE AS v) FROM e2),
+  e4 AS (SELECT *, coalesce(v > cap, false) AS capped, greatest(0::DOUBLE, CASE WHEN coalesce(v > cap, false) THEN cap ELSE v END) AS est,
+    least({base}::DOUBLE + 0.5::DOUBLE * (1 - coalesce(coverage, 0)) + 0.8::DOUBLE * coalesce(stddev, 0), {most}::DOUBLE) AS spread,
+    0.55::DOUBLE * coalesce(coverage, 0) + 0.35::DOUBLE * coalesce(CASE WHEN mean IS NOT NULL THEN agreement END, 0.3) + CASE WHEN n_present >= 2 THEN 0.1 ELSE 0 END::DOUBLE AS raw FROM e3),
+  e5 AS (SELECT *, CAST(round_even(pow(10::DOUBLE, est), 0) AS BIGINT) AS visits, CAST(round_even(pow(10::DOUBLE, greatest(0::DOUBLE, est - spread)), 0) AS BIGINT) AS lower, CAST(round_even(pow(10::DOUBLE, est + spread), 0) AS BIGINT) AS upper,
+    round(greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN blocked THEN least(raw, 0.65::DOUBLE) ELSE raw END)), 2) AS score FROM e4)
+SELECT '{model}' AS model_version, domain, visits, lower, upper, {bucket('visits')} AS bucket, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence, score,
+  concat_ws('; ', CASE WHEN free THEN 'no popularity signal: capped' END, CASE WHEN mean IS NULL THEN CASE WHEN k % 7 <> 0 THEN 'reachable site assumed small' WHEN k % 13 <> 0 THEN 'resolves, no page' ELSE 'no evidence' END END,
+    CASE WHEN k % 26 = 0 THEN 'unregistered' WHEN k % 13 = 0 THEN 'does not resolve' END, CASE WHEN k % 31 = 0 THEN 'parked' END, CASE WHEN k % 7 = 0 AND k % 13 <> 0 THEN 'unreachable' END, CASE WHEN k % 11 = 0 THEN 'crawl blocked' END,
+    CASE WHEN capped THEN 'absent from a complete list: capped' END) AS notes, round(est + 1e-9, 3) AS log10_estimate, round(spread + 1e-9, 3) AS spread FROM e5)"""
+
+
+_SIG_V1 = f"(SELECT domain, signal, kind, CASE signal WHEN 'cc_webgraph' THEN 2.0::DOUBLE ELSE weight END AS weight, log10_estimate FROM {_SIG} WHERE signal <> 'cc_webgraph_pagerank')"
+_V1, _V2 = _chain("heuristic_v1", _SIG_V1, 0.3, 1.3, False), _chain("heuristic_v2", _SIG, 0.5, 1.5, True)
+
+
+@query(f"SELECT domain, visits, lower, upper, bucket, confidence, score, notes, log10_estimate, spread FROM {_V2}")
 def a12_estimates(spark, sf_dir):
     """J12, A7 to A13 in order: the whole chain of version 2 per part."""
     e = T.estimate(*stored(spark, sf_dir), "heuristic_v2")
     return e.select("domain", "visits", "lower", "upper", "bucket", "confidence", "score", F.array_join("notes", "; ").alias("notes"), "details.log10_estimate", "details.spread")
 
 
-@query()
+@query(f"""WITH r AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS domain, CASE WHEN l_partkey % 17 = 0 THEN 'failed' ELSE 'completed' END AS run_status FROM lineitem),
+  e AS (SELECT * FROM {_V1} UNION ALL SELECT * FROM {_V2})
+SELECT CAST(p_partkey AS VARCHAR) AS domain, p_retailprice AS reference, coalesce(run_status, 'not_submitted') AS run_status, e.visits AS estimate, e.lower, e.upper, e.bucket, e.confidence, m.v AS model_version
+FROM part CROSS JOIN (VALUES ('heuristic_v1'), ('heuristic_v2')) m(v) LEFT JOIN r ON r.domain = CAST(p_partkey AS VARCHAR) LEFT JOIN e ON e.domain = r.domain AND run_status = 'completed' AND e.model_version = m.v""")
 def j21_compare_models(spark, sf_dir):
     """parts' prices as reference under both versions; a part without order lines never ran."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("domain"), F.col("p_retailprice").alias("reference"))

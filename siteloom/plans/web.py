@@ -118,12 +118,19 @@ def p12_blocked_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.blocked_reason(status, mitigated, html).alias("reason"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, url, html, [200, 403, 404, 204, 500][1 + page_id % 5] AS s, CASE WHEN page_id % 4 = 1 THEN 'The target host is NOT allowed. ' ELSE '' END || regexp_replace(html, '<[^>]*>', ' ', 'g') AS m,
+    CASE WHEN page_id % 6 = 0 THEN ' Google ' ELSE regexp_extract(html, '<title>([^<]*)<', 1) END AS t FROM pages),
+  o AS (SELECT *, s = 403 AND page_id % 4 = 1 AS denied, page_id % 6 = 0 AS bounce FROM p)
+SELECT page_id, CASE WHEN denied THEN 'BLOCKED_URL' WHEN bounce THEN 'EXTRACTION_FAILED' WHEN s >= 400 THEN 'HTTP_ERROR' END AS error_code, NOT denied AND NOT bounce AND s < 400 AS success, t AS title, 1::BIGINT AS n_metadata,
+  CASE WHEN NOT denied AND NOT bounce THEN length(m) END AS n_markdown FROM o""")
 def p16_page_outcome(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    docs = p.select("page_id", "url", (F.lit(200) + F.when(F.col("page_id") % 5 == 0, 204).otherwise(0)).alias("status_code"), F.array(F.regexp_extract("html", "<title>([^<]*)<", 1)).alias("title"),
-                    F.regexp_replace("html", "<[^>]*>", " ").alias("markdown"), "html", F.create_map(F.lit("viewport"), F.lit("x"), F.lit("lang"), F.lit("y")).alias("metadata"))
-    return P.page_outcome(docs).select("page_id", "error_code", "success", "title", F.size("metadata").alias("n_metadata"), F.length("markdown").alias("n_markdown"))
+    """P16 on pages with statuses, denial texts and titles of search engines put in."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    status = F.get(F.array(*[F.lit(x) for x in (200, 403, 404, 204, 500)]), (i % 5).cast("int"))
+    title = F.when(i % 6 == 0, " Google ").otherwise(F.regexp_extract("html", "<title>([^<]*)<", 1))
+    text = F.concat(F.when(i % 4 == 1, "The target host is NOT allowed. ").otherwise(""), F.regexp_replace("html", "<[^>]*>", " "))
+    docs = p.select("page_id", "url", status.alias("status_code"), F.array(title).alias("title"), text.alias("markdown"), "html", F.create_map(F.lit("viewport"), F.lit("x"), F.lit("lang"), F.lit("y")).alias("metadata"))
+    return P.page_outcome(docs).select("page_id", "error_code", "success", "title", F.size("metadata").cast("long").alias("n_metadata"), F.length("markdown").cast("long").alias("n_markdown"))
 
 
 @query("SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"long\":' || repeat('x', 0) || '\"' || repeat('ab', 500) || '\"}' AS metadata FROM events")
