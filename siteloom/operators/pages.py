@@ -290,13 +290,18 @@ def grade(pages: DataFrame, text: str = "markdown", success: Column | None = Non
     failure = F.concat_ws(" ", F.concat(F.lit("failed: "), code), F.col("status_code").cast("string") if "status_code" in have else F.lit(None).cast("string"))
     ok = F.lit(True) if success is None else success
     md = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[#>*_`|\\-]+", " ")
-    rows = pages.withColumn("_w", F.size(F.filter(F.split(bare, r"\s+"), lambda w: w.rlike("(?i)[a-z]{2,}"))).cast("long"))
-    rows = rows.withColumn("_l", F.filter(F.transform(F.split(md, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""))
+    linked = md.contains("](")  # no link or image without it
+    bare = F.when(linked, F.regexp_replace(F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(md)
+    # a word is counted at its first two letters in a row and passed over to its end; marks end a word as blanks do
+    rows = pages.withColumn("_w", F.regexp_count(bare, F.lit(r"[A-Za-z]{2}[^\s#>*_`|\\-]*")).cast("long"))
+    rows = rows.withColumn("_n", F.regexp_count(md, F.lit(r"[^ \t\r\x0b\x0c\n][^\n]*")).cast("long"))
+    lines = F.filter(F.transform(F.split(md, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != "")
+    rows = rows.withColumn("_l", F.when(F.col("_n") > 10, lines))
+    link_line = F.filter("_l", lambda x: x.rlike(r"^\W*\[[^\]]*\]\([^)]*\)\W*$"))
+    rows = rows.withColumn("_ll", F.when(F.col("_l").isNotNull() & linked, F.size(link_line)).otherwise(0))
     rows = rows.withColumn("_head", F.when(F.col("_w") < 400, F.lower(F.substring(md, 1, 3000))))
-    w, n, head = F.col("_w"), F.size("_l").cast("long"), F.col("_head")
+    w, n, head, link_lines = F.col("_w"), F.col("_n"), F.col("_head"), F.col("_ll")
     says = lambda p: head.contains(p) if p.replace(" ", "").replace("-", "").isalnum() else head.rlike(p)
-    link_lines = F.size(F.filter("_l", lambda x: x.rlike(r"^\W*\[[^\]]*\]\([^)]*\)\W*$")))
     issue = lambda cond, label: F.when(cond, F.lit(label))
     issues = [
         F.when(~ok, failure), F.when(w < 50, F.concat(F.lit("thin content ("), w, F.lit(" words)"))).when(w < 150, F.concat(F.lit("low content ("), w, F.lit(" words)"))),
@@ -304,10 +309,10 @@ def grade(pages: DataFrame, text: str = "markdown", success: Column | None = Non
         F.when((n > 10) & (link_lines / n > 0.6), F.concat(F.lit("mostly links ("), link_lines, F.lit("/"), n, F.lit(" lines)"))), issue((n > 20) & (F.size(F.array_distinct("_l")) / n < 0.5), "heavy duplication"),
         *([off] if off is not None else []), *_branding_issues(pages),
     ]
-    rows = rows.withColumn("words", w).withColumn("lines", n).withColumn("images", F.regexp_count(md, F.lit(r"!\[[^\]]*\]\(")).cast("long")).withColumn("issues", F.array_compact(F.array(*issues)))
+    rows = rows.withColumn("words", w).withColumn("lines", n).withColumn("images", F.when(linked, F.regexp_count(md, F.lit(r"!\[[^\]]*\]\("))).otherwise(0).cast("long")).withColumn("issues", F.array_compact(F.array(*issues)))
     bad = ~ok | (F.col("words") < 50) | F.exists("issues", lambda i: i.startswith("block"))
     verdict = F.when(bad, "BAD").when(F.size("issues") > 0, "CHECK").otherwise("GOOD")
-    return rows.withColumn("verdict", verdict).drop("_w", "_l", "_head")
+    return rows.withColumn("verdict", verdict).drop("_w", "_n", "_l", "_ll", "_head")
 
 
 def site_issue(host: Column, status: Column, text: Column, words: Column) -> Column:
