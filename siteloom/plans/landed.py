@@ -320,8 +320,8 @@ def j7_ip_ranges(spark, sf_dir):
     """Addresses made of part numbers against overlapping ranges; the first in feed order wins."""
     n = F.col("l_partkey") * 97 % 400_000
     ip = F.concat_ws(".", F.lit("5"), F.floor(n / 65536), F.floor(n / 256) % 256, n % 256)
-    ips = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("domain"), ip.alias("ip")).distinct()
-    return S.ip_providers(ips, S.ranges_table(spark, [("Cloudflare", "5.0.0.0/16"), ("Hetzner", "5.0.0.0/8"), ("Fastly", "5.2.0.0/15")]))
+    ips = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("domain"), ip.alias("ip"), "l_partkey")  # parts may share an address
+    return S.ip_providers(ips, S.ranges_table(spark, [("Cloudflare", "5.0.0.0/16"), ("Hetzner", "5.0.0.0/8"), ("Fastly", "5.2.0.0/15")])).drop("l_partkey")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS domain, CASE WHEN c_nationkey % 2 = 0 THEN 'dns' ELSE 'parked' END AS role, CASE WHEN c_nationkey % 2 = 0 THEN 'Cloudflare' ELSE 'Sedo' END AS providers FROM customer
