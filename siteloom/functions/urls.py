@@ -102,7 +102,9 @@ def modified_age(lastmod: Column, today: Column) -> Column:
     return F.when(days <= 30, "30d").when(days <= 90, "90d").when(days <= 365, "365d").when(days > 365, "older")
 
 
-def _ascii_name(host: str) -> str | None:
+def _ascii_name(host: str | None) -> str | None:
+    if host is None:
+        return None
     import idna
 
     try:
@@ -181,7 +183,8 @@ def normalize_domains(raw: DataFrame, col: str, suffixes: DataFrame) -> DataFram
     ip = (~with_scheme & (bare.startswith("[") | (F.length(bare) - F.length(F.replace(bare, F.lit(":"), F.lit(""))) > 1))) | host.rlike(r"^\[")
     rows = raw.withColumn("_ip", ip).withColumn("_h", F.rtrim(F.trim(host), F.lit(".")))
     h = F.col("_h")
-    rows = rows.withColumn("host", F.when(h.rlike(r"[^\x00-\x7F]"), _idna(h)).otherwise(h))
+    foreign = h.rlike(r"[^\x00-\x7F]")  # Python is given every row, so that plain hosts go in as nulls
+    rows = rows.withColumn("host", F.when(foreign, _idna(F.when(foreign, h))).otherwise(h))
     label = F.exists(F.split("host", r"\."), lambda x: ~x.rlike(r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"))
     early = (
         F.when(F.col("_ip"), "ip addresses are not domains")

@@ -48,11 +48,12 @@ def outdated_versions(versions: DataFrame, provider: str, active: str, at: str,
 
 def first_wins(df: DataFrame, key: str, position: str, value: str) -> DataFrame:
     """The first row of a key in file order, the rows dropped, and how many of these disagree with it."""
-    first = F.min_by(F.struct(*[c for c in df.columns if c != key]), position).alias("_row")
-    firsts = df.groupBy(key).agg(first)
-    joined = df.select(F.col(key).alias("_k"), F.col(value).alias("_v")).join(firsts, F.col("_k") == F.col(key))
-    differ = F.count_if(~F.col("_v").eqNullSafe(F.col(f"_row.{value}")))
-    return joined.groupBy(key, "_row").agg((F.count("*") - 1).alias("n_duplicates"), differ.alias("n_conflicts")).select(key, "_row.*", "n_duplicates", "n_conflicts")
+    row = F.struct(*[c for c in df.columns if c != key])
+    # a row per key and value, then one per key: the input is worked out once and joined with nothing
+    values = df.where(F.col(key).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.min_by(row, position).alias("_row"), F.min(position).alias("_at"), F.count("*").alias("_n"))
+    firsts = values.groupBy(key).agg(F.min_by(F.struct("_row", "_n"), "_at").alias("_f"), F.sum("_n").alias("_all"), F.sum(F.when(F.col("_v").isNull(), F.col("_n"))).alias("_none"))
+    same = F.coalesce("_f._n", "_none", F.lit(0))  # rows that agree with the first; without any position it is all null
+    return firsts.select(key, "_f._row.*", (F.col("_all") - 1).alias("n_duplicates"), (F.col("_all") - same).alias("n_conflicts"))
 
 
 def average_ranks(df: DataFrame, group: str | list[str], value: str, out: str = "avg_rank") -> DataFrame:

@@ -12,3 +12,19 @@ def test_parts_that_share_an_address_keep_their_rows(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = con.sql(__spark_entry__.oracle_sql()["j7_ip_ranges"]).fetchall()
     assert len(want) == 4 and sorted(got) == sorted(want)
+
+
+def test_the_input_of_first_wins_is_read_once(spark):
+    from siteloom.operators.relational import first_wins
+
+    rows = [("a", 2, 1.0), ("a", 1, None), ("a", 3, None), ("b", 5, float("nan")), ("b", 6, float("nan")), ("b", 7, 0.0), ("c", None, 4.0), ("c", None, None), (None, 1, 1.0)]
+    out = first_wins(spark.createDataFrame(rows, "k string, at int, v double").repartition(3), "k", "at", "v")
+    got = {r[0]: (r[1], str(r[2]), r[3], r[4]) for r in out.collect()}
+    assert got == {"a": (1, "None", 2, 1), "b": (5, "nan", 2, 1), "c": (None, "None", 1, 1)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_hosts_are_not_put_through_idna():
+    from siteloom.functions import urls as U
+
+    assert U._ascii_name(None) is None and U._ascii_name("bücher.de") == "xn--bcher-kva.de"
