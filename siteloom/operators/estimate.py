@@ -160,9 +160,13 @@ def source_status(domains: DataFrame, observed: DataFrame, sources: list[str]) -
 
     ``observed(domain, source, found, blocked, reachable)``; a found payload is
     present, one without a find absent; the crawl may be blocked or unreachable.
+    Both sides are dealt by domain before anything is gathered, so that a task holds its share of the domains
+    however few files they come from, and sources are listed on the row.
     """
-    grid = domains.select("domain").crossJoin(F.broadcast(domains.sparkSession.createDataFrame([(s,) for s in sources], "source string")))
-    rows = grid.join(observed, ["domain", "source"], "left")
+    seen = observed.repartition("domain").groupBy("domain").agg(F.collect_list(F.struct("source", "found", "blocked", "reachable")).alias("_seen"))
+    grid = domains.select("domain").join(seen.hint("merge"), "domain", "left").withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources])))
+    own = F.filter(F.coalesce("_seen", F.array()), lambda x: x["source"] == F.col("source"))
+    rows = grid.select("domain", "source", F.explode_outer(own).alias("_x")).select("domain", "source", "_x.found", "_x.blocked", "_x.reachable")
     crawl = F.col("source") == "crawl"
     status = F.when(F.col("found").isNull(), "missing").when(crawl & F.col("blocked"), "blocked").when(crawl & ~F.col("reachable"), "unreachable").when(F.col("found"), "present").otherwise("absent")
     return rows.select("domain", "source", status.alias("status"))
@@ -287,7 +291,7 @@ def _cap(features: DataFrame, config: dict) -> Column:
 def absence_caps(features: DataFrame, status: DataFrame, config: dict) -> DataFrame:
     """(domain, cap): a complete list that lacks the domain bounds it at the curve's value for the list's size
     plus a tolerance, unless one of some other sources has the domain."""
-    rows = features.join(_evidence(status, {}, config["absence_caps"]), "domain")
+    rows = features.join(_evidence(status, {}, config["absence_caps"]).hint("merge"), "domain")
     return rows.select("domain", _cap(features, config).alias("cap")).where("cap is not null")
 
 
@@ -344,7 +348,7 @@ def heuristic(version: str | dict) -> Callable[[DataFrame, DataFrame], DataFrame
         rows = features.withColumns({f"_{k}": v for k, v in inputs.items()})  # named once, as a curve reads its input at each bend
         rows = rows.withColumn("_list", signal_list({k: f"_{k}" for k in inputs}, config)).drop(*[f"_{k}" for k in inputs])
         rows = with_combined(rows, "_list", config["confidence"]["scale"]).drop("_list")
-        rows = rows.join(_evidence(status, config["source_weights"], config["absence_caps"]), "domain", "left").withColumn("cap", _cap(features, config))
+        rows = rows.join(_evidence(status, config["source_weights"], config["absence_caps"]).hint("merge"), "domain", "left").withColumn("cap", _cap(features, config))
         rows = with_range(apply_modifiers(rows, config), config["range"], config.get("buckets", BUCKETS))
         label, score = confidence(F.coalesce("coverage", F.lit(0.0)), F.coalesce("agreement", F.lit(0.3)), F.coalesce("n_present", F.lit(0)), F.coalesce("crawl_blocked_status", F.lit(False)), config["confidence"])
         return rows.select(

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 def part_features(spark, sf_dir):
     """A feature vector per part: ranks from its key and price, counts from its order lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    rows = table(spark, sf_dir, "part").join(lines, "p_partkey", "left")
+    rows = table(spark, sf_dir, "part").repartition("p_partkey").join(lines, "p_partkey", "left")  # one file of parts is few tasks
     k = F.col("p_partkey")
     n = F.coalesce("n", F.lit(0))
     return rows.select(

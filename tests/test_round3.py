@@ -28,3 +28,14 @@ def test_plain_hosts_are_not_put_through_idna():
     from siteloom.functions import urls as U
 
     assert U._ascii_name(None) is None and U._ascii_name("bücher.de") == "xn--bcher-kva.de"
+
+
+def test_sources_are_listed_on_the_row(spark):
+    from siteloom.operators.estimate import source_status
+
+    seen = [("a", "crawl", True, True, True), ("a", "dns", False, None, None), ("b", "crawl", True, False, False), ("z", "dns", True, None, None)]
+    out = source_status(spark.createDataFrame([("a",), ("b",), ("c",)], "domain string"), spark.createDataFrame(seen, "domain string, source string, found boolean, blocked boolean, reachable boolean"), ["crawl", "dns"])
+    want = {("a", "crawl", "blocked"), ("a", "dns", "absent"), ("b", "crawl", "unreachable"), ("b", "dns", "missing"), ("c", "crawl", "missing"), ("c", "dns", "missing")}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    counted = out.groupBy("domain").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in counted and counted.count("Exchange hashpartitioning(domain") == 2  # both inputs, and nothing gathered before
