@@ -223,10 +223,10 @@ def k3_collection_log(spark, sf_dir):
 @query("SELECT v AS model_version, count(*) AS n FROM part, (VALUES ('heuristic_v1'), ('heuristic_v2')) t(v) GROUP BY 1")
 def k4_estimates_written(spark, sf_dir):
     """K4, K5: both versions written, the second one again from the same observations; nothing doubles."""
-    from .traffic import part_features, part_status
+    from .traffic import stored
     from ..operators import estimate as T
 
-    f, s, path = part_features(spark, sf_dir), part_status(spark, sf_dir), scratch(spark, "estimates")
+    (f, s), path = stored(spark, sf_dir), scratch(spark, "estimates")
     for v in ("heuristic_v1", "heuristic_v2", "heuristic_v2"):
         K.write_estimates(T.estimate(f, s, v), path)
     return spark.read.parquet(path).groupBy("model_version").agg(F.count("*").alias("n"))
