@@ -55,11 +55,12 @@ def running_counts(df: DataFrame, keys: list[str], value: str, small: bool = Fal
     schema = T.StructType([*dealt.schema.fields, T.StructField("_before", T.LongType())])
     dealt.mapInArrow(_running, schema).write.parquet(path)
     dealt = spark.read.parquet(path)
-    parts = dealt.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row per shuffle partition
-    starts = parts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    ranks = dealt.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn("_before", F.col("_start") + F.col("_before"))
-    firsts = _renamed(ranks.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("n").alias("total")), keys)
-    return ranks.join(firsts, _same(keys)).select(*keys, value, "n", (F.col("_before") - F.col("_first")).alias("before"), "total")
+    # a row per key and range that it lies in; the join takes the range too, so that no task reads a whole key
+    held = dealt.groupBy("_part", *keys).agg(F.min("_before").alias("_from"), F.sum("n").alias("_n"))
+    key = Window.partitionBy(*keys)
+    held = held.select(*keys, F.col("_part").alias("_p"), (F.sum("_n").over(key.orderBy("_part")) - F.col("_n") - F.col("_from")).alias("_start"), F.sum("_n").over(key).alias("total"))
+    ranks = dealt.join(_renamed(held, keys), (F.col("_part") == F.col("_p")) & _same(keys))
+    return ranks.select(*keys, value, "n", (F.col("_start") + F.col("_before")).alias("before"), "total")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,15 @@ def test_sources_are_listed_on_the_row(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     counted = out.groupBy("domain").count()._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in counted and counted.count("Exchange hashpartitioning(domain") == 2  # both inputs, and nothing gathered before
+
+
+def test_a_key_with_all_values_is_joined_by_range(spark):
+    from siteloom.operators.evaluate import running_counts
+
+    rows = [("all", float(i * 7 % 50)) for i in range(200)] + [(None, 1.0), (None, 0.5), ("b", 3.0)]
+    out = running_counts(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in out.collect()}
+    of = lambda k: [v for x, v in rows if x == k]
+    assert got == {(k, v): (of(k).count(v), sum(x < v for x in of(k)), len(of(k))) for k, v in set(rows)}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "_part" in joins[0]
