@@ -151,6 +151,10 @@ def html_facts(url: str | None, html: str | None) -> tuple:
     )
 
 
+#: Pages whose facts a Python task holds at once, however many come in an Arrow batch.
+FACT_ROWS = 64
+
+
 def page_facts(pages: DataFrame, url: str = "url", html: str = "html", extra: list[str] | None = None) -> DataFrame:
     """Title, meta, headings, links, scripts, structured-data types and text of each page.
 
@@ -162,7 +166,7 @@ def page_facts(pages: DataFrame, url: str = "url", html: str = "html", extra: li
     out = schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, FACT_ROWS) for whole in batches for at in range(0, whole.num_rows, FACT_ROWS)):
             rows = [html_facts(u, h) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
             yield pa.record_batch([*b.columns[2:], *(pa.array(c, t) for c, t in zip(cols, _ARROW.values(), strict=True))], names=[*extra, *_ARROW])

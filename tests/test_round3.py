@@ -51,3 +51,29 @@ def test_a_key_with_all_values_is_joined_by_range(spark):
     assert got == {(k, v): (of(k).count(v), sum(x < v for x in of(k)), len(of(k))) for k, v in set(rows)}
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert len(joins) == 1 and "_part" in joins[0]
+
+
+def test_small_groups_keep_the_stated_partitions(spark):
+    from siteloom.operators.evaluate import spearman
+
+    rows = [(i % 9, float(i * 7 % 11), float(i * 5 % 13)) for i in range(900)]
+    out = spearman(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y", small=True)
+    assert out.count() == 9
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_dealt_before_they_are_picked(spark):
+    from siteloom.operators.estimate import extract_features, feature_vector
+
+    latest = spark.createDataFrame([("a", "tranco", '{"status":"present","rank":3}'), ("a", "dns", "{}")], "domain string, source string, payload string")
+    for out in (feature_vector(latest), extract_features(latest, {"rank": ("tranco", "$.rank")})):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("partial_max") < plan.index("Exchange") and plan.count("Exchange") == 1  # the plan reads from its end
+
+
+def test_facts_come_out_in_small_batches(spark, monkeypatch):
+    from siteloom.operators import pages as P
+
+    rows = spark.range(300).repartition(1).selectExpr("id", "'https://a.com/' url", "'<title>t</title>' html")
+    out = P.page_facts(rows, extra=["id"])
+    assert out.agg({"id": "sum"}).first()[0] == 300 * 299 // 2 and P.FACT_ROWS < 300
