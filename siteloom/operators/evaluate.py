@@ -143,6 +143,8 @@ def spearman(df: DataFrame, keys: str | list[str], x: str, y: str, small: bool =
     keys = cols(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     if small:
+        # a stated number of partitions is not merged again by their small shuffled size, which says little of what a sort holds
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
         place = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
         rows = rows.select(*keys, place(x).alias("_rx"), place(y).alias("_ry"))
     else:
