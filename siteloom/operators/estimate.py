@@ -71,7 +71,8 @@ def extract_features(latest: DataFrame, fields: dict[str, tuple[str, str]], type
     """
     types = types or TYPES
     sources = sorted({s for s, _ in fields.values()})
-    wide = latest.groupBy("domain").agg(*[F.max(F.when(F.col("source") == s, F.col("payload"))).alias(f"_{s}") for s in sources])
+    # dealt first: payloads picked where they are read would be sorted by domain there, however few tasks read them
+    wide = latest.repartition("domain").groupBy("domain").agg(*[F.max(F.when(F.col("source") == s, F.col("payload"))).alias(f"_{s}") for s in sources])
     cols = [F.get_json_object(F.col(f"_{s}"), path).try_cast(types.get(name, "double")).alias(name) for name, (s, path) in fields.items()]
     return wide.select("domain", *cols)
 
@@ -107,7 +108,7 @@ def feature_vector(latest: DataFrame) -> DataFrame:
     """
     # a payload of any JSON kind but an object counts as an empty one
     picked = [F.max(F.when(F.col("source") == s, F.coalesce("payload", F.lit("{}")))).alias(s) for s in PAYLOADS]
-    wide = latest.groupBy("domain").agg(*picked)
+    wide = latest.repartition("domain").groupBy("domain").agg(*picked)  # dealt first, as in extract_features
     wide = wide.select("domain", *[F.when(F.col(s).isNotNull(), F.coalesce(F.from_json(s, t), F.from_json(F.lit("{}"), t))).alias(s) for s, t in PAYLOADS.items()])
     c = F.col
     whole = lambda path: c(path).cast("long")
