@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,38 +33,56 @@ def _keyed_state(spark: SparkSession) -> None:
     spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class FirstRows(StatefulProcessor):
-    """The first row of a key, by ``at`` among those that come together; the key is remembered for a while after its last row."""
+#: The keys of a batch are dealt to so many groups, each reduced by one call.
+KEY_GROUPS = 1024
 
-    def __init__(self, at: str, keep_ms: int) -> None:
-        self.at, self.keep_ms = at, keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "yes boolean", self.keep_ms)
+def _firsts(batches: Iterator[pa.RecordBatch], keys: list[str], at: str) -> Iterator[pa.RecordBatch]:
+    """The first row of each key by ``at``, nulls last; what is held is a row per key and one batch."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        rows = rows.take(pc.sort_indices(rows[at], null_placement="at_end"))
+        places = rows.select(keys).append_column("_place", pa.array(np.arange(rows.num_rows)))
+        held = rows.take(places.group_by(keys, use_threads=False).aggregate([("_place", "min")])["_place_min"])
+    yield from held.combine_chunks().to_batches()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.seen.exists()
-        first = min(rows, key=lambda r: (r[self.at] is None, r[self.at] or 0))
-        self.seen.update((True,))
-        if not known:
-            yield first
 
-    def close(self) -> None:
-        pass
+def batch_firsts(stream: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The first row of each key by ``at`` among the rows of a micro-batch, without state; keys are of plain types."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _firsts(batches, keys, at)
+
+    groups = stream.groupBy(F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)))
+    return groups.applyInArrow(firsts, stream.schema)
 
 
 def first_rows(stream: DataFrame, keys: list[str], at: str, keep_s: int) -> DataFrame:
-    """The first row of each key; repeats within ``keep_s`` seconds of processing time after a key's last row are dropped."""
+    """The first row of each key; repeats within ``keep_s`` seconds of processing time after a key's last row are dropped.
+
+    Processing time is cut into periods of ``keep_s`` seconds.  A row marks its key in its own period and in the next one, and is
+    new if the mark of its own period is.  Marks are keys of Spark's own deduplication, so no state is asked for from Python.  A key
+    is forgotten when a whole period has passed without it: ``keep_s`` to twice ``keep_s`` seconds after its last row, never before.
+    """
     _keyed_state(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithState(FirstRows(at, 1000 * keep_s), stream.schema, "Append", "ProcessingTime")
+    period = F.floor(F.unix_seconds(F.current_timestamp()) / keep_s)  # of a batch, the same when it is replayed
+    marks = F.array(*[F.struct(F.timestamp_seconds((period + i) * keep_s).alias("_period"), F.lit(i == 0).alias("_own")) for i in (0, 1)])
+    rows = batch_firsts(stream, keys, at).select(F.struct("*").alias("_row"), F.explode(marks).alias("_mark"))
+    rows = rows.select(*[F.col(f"_row.`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)], "_mark.*", F.when(F.col("_mark._own"), F.col("_row")).alias("_row"))
+    # the newest mark is a period ahead; with a second more no row is late if the clock goes back into the period before
+    rows = rows.withWatermark("_period", f"{2 * keep_s + 1} seconds")
+    return rows.dropDuplicates([*[f"_key{i}" for i in range(len(keys))], "_period"]).where("_own").select("_row.*")
 
 
 def ingest_pages(stream: DataFrame, sink: str, checkpoint: str, keys: list[str], at: str, keep_s: int = 30 * 86_400):
     """Append rows that are new by ``keys``; the first one of a batch in order of ``at`` stays.
 
     What was stored is known from state, not from the sink, so a batch reads its own
-    rows only however long the history is.  The file sink's log makes a replayed batch change nothing; it must be read by Spark's
-    own reader.  A key that no row comes of for ``keep_s`` seconds is forgotten.
+    rows only however long the history is; to forget old marks Spark walks through the state once a batch.  The file sink's log makes
+    a replayed batch change nothing; it must be read by Spark's own reader.  A key that no row comes of for ``keep_s`` seconds is
+    forgotten before twice that time (:func:`first_rows`).  A checkpoint written with the Python state of before can't be continued.
     """
     rows, conf = first_rows(stream, keys, at, keep_s), stream.sparkSession.conf
     was = conf.get(_IDLE)
